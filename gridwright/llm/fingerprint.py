@@ -120,8 +120,10 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     tails = materialize(chain.join(firsts, "after").select("bucket", "head_text", smallest(shingles(F.col("word")), k).alias("head_sketch")), "heads")
 
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    led = rows.select("bucket", "doc_id", "text", F.lead("text").over(order).alias("next_text"), words(F.col("text")).alias("word"))
-    sketched = led.select("bucket", "doc_id", "text", "next_text", smallest(shingles(F.col("word")), k).alias("sketch"))
+    # words only after the window: made before it, they would go through the shuffle
+    led = rows.select("bucket", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
+    split = led.select("*", words(F.col("text")).alias("word"))
+    sketched = split.select("bucket", "doc_id", "text", "next_text", smallest(shingles(F.col("word")), k).alias("sketch"))
     paired = sketched.withColumn("next_sketch", F.lead("sketch").over(order))
     tails = tails.withColumnRenamed("bucket", "_b")
     joined = paired.join(tails, (F.col("bucket") == F.col("_b")) & F.col("next_text").isNull(), "left")

@@ -18,6 +18,7 @@ sequence ids, if its partition is read from files.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,20 +37,39 @@ _FAR = 1 << 40
 _words: dict[str, _WordIds] = {}
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level models spell a byte: visible Latin-1 as itself, the rest in order from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b if b in visible else 256 + hidden.index(b)) for b in range(256)}
+
+
 class _WordIds(dict):
     """Little-endian uint32 ids of words, by the tokenizer on a miss.
 
     The tokenizer drops white space and never joins what stands on both sides of
-    it, so the ids of a text are those of its words.
+    it, so the ids of a text are those of its words. A word of letters alone is one
+    unit of its pre-tokenizer: it goes straight to the model, in lower case and
+    spelled in the model's byte characters. So does what stands before a last
+    full stop or comma, which are units of their own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.spell = byte_characters()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        lower = word.lower()
+        if lower.isalpha() and "\u03a3" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.spell)
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            ids = np.array(ids, "<u4").tobytes()
+        elif word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 40:
             if len(self) >= CACHED_WORDS:
                 self.clear()

@@ -3,7 +3,8 @@
 A page is a sequence of text pieces and tags. Words of content score above zero
 and tags below; words and tags of menus, adverts and the like score far below.
 The weights are log-odds of being inside the content, counted on labelled pages.
-One scan over the scores finds the contiguous region with the largest sum. Its
+One scan over the scores finds the contiguous region with the largest sum. A part
+that is no content counts as one word, so a long advert doesn't cut an article. Its
 text, without the parts in it that are not content themselves, is the result:
 character references decoded, white space of a block made one space, blocks
 joined by line breaks in the order of the page.
@@ -45,6 +46,8 @@ SIDE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond discussion reactions "
     "widget search pagination pager copyright complementary contentinfo dialog".split()
 )
+#: Features of what the region may hold, but the result doesn't: inner parts stand inside the main element.
+NOT_CONTENT = ("aside", "outside", "inner")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -75,7 +78,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     for m in _TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
-            where = "aside" if aside else "outside" if has_main and not main else "menu" if link and item else "link" if link else "plain"
+            where = "inner" if aside and main else "aside" if aside else "outside" if has_main and not main else "menu" if link and item else "link" if link else "plain"
             yield "text", where, token
             continue
         named = _NAME.match(token)
@@ -104,7 +107,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 stack.append((name, flag))
                 aside += flag
                 main += name in MAIN
-        group = "aside" if aside or name in SIDE else "outside" if has_main and not main and name not in MAIN else "block" if name in BLOCK else "inline"
+        group = "inner" if aside and main else "aside" if aside or name in SIDE else "outside" if has_main and not main and name not in MAIN else "block" if name in BLOCK else "inline"
         yield ("block" if name in BLOCK else "tag"), group, ""
 
 
@@ -160,14 +163,22 @@ def region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str, weights: dict[tuple[str, str], float]) -> str:
     """The main text of a page."""
     sequence = list(tokens(page))
-    scores = [weights.get(("text", f), 0.0) * len(t.split()) if k == "text" else weights.get(("tag", f), -0.001) for k, f, t in sequence]
+    scores, last = [], ""
+    for kind, feature, text in sequence:
+        if kind != "text":
+            scores.append(weights.get(("tag", feature), -0.001) if feature not in NOT_CONTENT or feature != last else 0.0)
+        elif feature in NOT_CONTENT:  # however long, a part that is no content costs one word: content goes on behind it
+            scores.append(weights.get(("text", feature), -0.001) if feature != last else 0.0)
+        else:
+            scores.append(weights.get(("text", feature), 0.0) * len(text.split()))
+        last = feature
     start, end = region(scores)
     blocks, block = [], []
     for kind, feature, text in sequence[start:end]:
         if kind == "block":
             blocks.append("".join(block))
             block = []
-        elif kind == "text" and feature not in ("aside", "outside"):
+        elif kind == "text" and feature not in NOT_CONTENT:
             block.append(text)
     blocks.append("".join(block))
     clean = (" ".join(html.unescape(b).split()) for b in blocks if b)

@@ -1,0 +1,8 @@
+"""Schemas of the engine's tables."""
+
+RASTER_META = "crs string, bounds struct<left:double,bottom:double,right:double,top:double>, width int, height int, bands int, dtype string, transform array<double>, chunk_cols int, chunk_rows int, total_inference_chunks int"
+UPLOAD_SESSION = f"upload_id string, filename string, total_size bigint, total_chunks int, chunks_received int, dest_path string, status string, metadata struct<{RASTER_META.replace(', ', ',').replace(' ', ':')}>"
+JOB = f"job_id string, upload_id string, tif_path string, status string, total_chunks int, chunks_done int, detections_found int, confidence_threshold double, metadata struct<{RASTER_META.replace(', ', ',').replace(' ', ':')}>, created_at double, updated_at double, progress double, error string"
+DETECTION = "feature_type string, confidence double, chunk_id string, pixel_bbox array<int>, geo_polygon array<array<double>>, crs string, area_px int, colour string"
+MESSAGE = "job_id bigint, seq bigint, type string, total_chunks int, n_det int, status string, error string"
+PIXEL = "image_id string, r int, c int, height int, width int, class_id int"

@@ -162,7 +162,7 @@ def bounds_to_lat_lng(left: Column, bottom: Column, right: Column, top: Column,
 def centre_of(bounds: Column) -> Column:
     """[lat, lng] in the middle of bounds, or the default centre."""
     middle = F.array((bounds[0][0] + bounds[1][0]) / 2, (bounds[0][1] + bounds[1][1]) / 2)
-    return F.coalesce(middle, F.array(*map(F.lit, DEFAULT_CENTRE)))
+    return F.when(bounds.isNull(), F.array(*map(F.lit, DEFAULT_CENTRE))).otherwise(middle)
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:

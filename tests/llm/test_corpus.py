@@ -1,0 +1,485 @@
+"""The corpus operators against brute force, and on nulls, empty texts, ties, repeats, empty tables and extra columns."""
+
+import hashlib
+import html
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from gridwright.llm import chat, exact_dedup, fingerprint, html_text, minhash, mixing, packing, pii, queries, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def rows(name, sf=SF):
+    return duckdb.connect().sql(f"select * from '{sf}/{name}.parquet'").fetchall()
+
+
+def make(spark, data, extra=False):
+    """documents of (id, text, source), with columns that clash with names used inside."""
+    full = [(i, t, None, s, None) for i, t, s in data]
+    df = spark.createDataFrame(full, DOCS)
+    for name in ("n", "keep_id", "digest", "size", "copies", "bucket", "node", "word", "sha1", "html", "ids", "start", "target") if extra else ():
+        df = df.withColumn(name, df["n_chars"])
+    return df
+
+
+ODD = [(1, None, None), (2, "", "a"), (3, " \t\n", None), (4, "one two", "a"), (4, "one two", "a"), (None, "one  two", "b"), (None, None, "b"), (5, "word " * 30000, "c"), (6, "the quick brown fox jumps over the lazy dog", "c"), (7, "the quick brown fox  jumps over the lazy dog", "a")]
+
+
+def white(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_dedup_brute(spark):
+    got = queries.op8_exact_dedup(spark, SF).collect()
+    groups = defaultdict(list)
+    for i, t, *_ in rows("documents"):
+        groups[white(t)].append(i)
+    want = {i: (min(v), len(v), i == min(v), hashlib.sha256(t.encode()).hexdigest()) for t, v in groups.items() for i in v}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == want
+
+
+def test_exact_dedup_odd(spark):
+    got = exact_dedup.exact_dedup(make(spark, ODD, extra=True)).collect()
+    assert len(got) == len(ODD) and sum(r.kept for r in got) == 5
+    assert Counter(r.group_size for r in got) == {3: 6, 2: 2, 1: 2}
+    kept = exact_dedup.drop_repeats(make(spark, ODD, extra=True))
+    assert kept.count() == 5 and "bucket" in kept.columns
+    assert exact_dedup.exact_dedup(make(spark, [])).count() == 0 and exact_dedup.drop_repeats(make(spark, [])).count() == 0
+
+
+def test_minimal_perfect_hash():
+    rng = np.random.default_rng(1)
+    known, other = rng.integers(0, 2**63, (5000, 4)).astype(np.uint64), rng.integers(0, 2**63, (5000, 4)).astype(np.uint64)
+    levels, slot = exact_dedup.build_hash(known)
+    assert sorted(slot) == list(range(5000)) and (exact_dedup.find_slots(levels, known) == slot).all()
+    found = exact_dedup.find_slots(levels, other)
+    assert (found < 5000).all() and (found >= 0).any() and (found < 0).any()  # members of no slot, and false ones that the bytes tell
+
+
+def targets(sizes, weights=(1, 2, 3), cap=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in capped]
+        left = total - sum(capped.values())
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return capped | share
+        capped |= {s: cap * sizes[s] for s in over}
+
+
+def test_mixing(spark):
+    got = queries.op3_mixing(spark, SF).collect()
+    again = queries.op3_mixing(spark, SF).collect()
+    assert sorted(got) == sorted(again)
+    docs = {i: (s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _, s, _ in rows("documents")}
+    sizes = Counter()
+    for s, n in docs.values():
+        sizes[s] += n
+    want, taken = targets(sizes), Counter()
+    for r in got:
+        s, n = docs[r.doc_id]
+        assert r.size == n and r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken % max(1, n) == 0 and r.taken <= 3 * n
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) < 0.1 * max(want[s], 1) for s in sizes)
+
+
+def test_targets_are_capped(spark):
+    sizes = {"a": 10, "b": 1, "c": 1000, "d": 0, None: 2, "e": 5}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()
+    assert {r.source: r.target for r in got} == pytest.approx(targets(sizes))
+
+
+def test_mixing_odd(spark):
+    docs = make(spark, ODD, extra=True)
+    plan = mixing.plan_mix(docs).collect()
+    assert len(plan) == len(ODD) and all(r.copies in (0, 1, 2, 3) for r in plan)
+    mix = mixing.emit_mix(docs)
+    assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in plan)
+    assert mixing.emit_mix(make(spark, [])).count() == 0 and mixing.plan_mix(make(spark, [])).count() == 0
+
+
+def pieces_fit(pieces, window=4096):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append((p.start, p.length, p.doc_tokens))
+        by_sequence[p.sequence_id].append((p.offset, p.length))
+    for x in by_sequence.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= window
+    return by_doc, by_sequence
+
+
+def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = queries.op1_packing(spark, SF).collect()
+    by_doc, by_sequence = pieces_fit(got)
+    crc = {(p.doc_id, p.start, p.length): p.ids_crc32 for p in got}
+    total = 0
+    for i, t, *_ in rows("documents"):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        total += len(ids)
+        at = 0
+        for start, length, tokens in sorted(by_doc.pop(i)):
+            assert start == at and tokens == len(ids)
+            assert crc[i, start, length] == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not by_doc and len(by_sequence) * 4096 - total < 4096 * 8
+
+
+def test_packing_odd(spark):
+    got = packing.pack(make(spark, ODD, extra=True)).collect()
+    pieces_fit(got)
+    assert sum(p.length for p in got if p.doc_id == 5) == 30001 and sum(p.length for p in got if p.doc_id == 1) == 1
+    assert packing.pack(make(spark, [])).count() == 0
+
+
+def test_packer_rule():
+    """Each choice is the one that leaves the smallest sum of squared counts."""
+    rng, size = random.Random(3), 40
+    packer, counts = packing.Packer(size, max_open=10**6), Counter()
+    for i in range(3000):
+        n = rng.randint(1, size - 1)
+        before = {h: len(w) for h, w in enumerate(packer.levels) if w}
+        packer.add(i, b"\0\0\0\0" * n)
+        after = {h: len(w) for h, w in enumerate(packer.levels) if w}
+        best = min(sum(c * c for c in (Counter(before) + Counter({h + n: 1} if h + n < size else {}) - Counter({h: 1} if h else {})).values()) for h in [0, *before] if h + n <= size)
+        assert sum(c * c for c in after.values()) == best
+    pieces = packer.done(end=True)
+    assert sum(p[2] for p in pieces) == sum(p[4] for p in {p[0]: p for p in pieces}.values())
+    fill = Counter()
+    for p in pieces:
+        fill[p[5]] += p[2]
+    assert sum(f < size for f in fill.values()) <= 1
+    del counts
+
+
+def test_word_ids_match_the_tokenizer():
+    import public_tokenizers
+
+    table = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t for _, t, *_ in rows("documents")] + ["Don't it's  a b été İx ΣΑΣ. x.. y, 12.5, <|endoftext|> z<|startoftext|>q 中文 \U0001f600! \x1c \x85 ǅ ß. Straße, naïve’s we'll.", "", " \n\t\r\x0b\x0c "]
+    for t in texts:
+        assert np.frombuffer(table.encode(t), "<u4").tolist() == table.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def shingle_set(text):
+    w = re.findall(r"\w+", text.lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_minhash_finds_all_links(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op4_minhash(spark, sf).collect()}
+    docs = rows("documents", sf)
+    sets = {i: shingle_set(t) for i, t, *_ in docs}
+    assert len(got) == len(docs)
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    common = Counter(p for v in where.values() for p in itertools.combinations(v, 2))
+    jaccard = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in common.items()}
+    assert all(got[a].class_id == got[b].class_id for (a, b), j in jaccard.items() if j >= 0.8)
+    near = defaultdict(set)
+    for (a, b), j in jaccard.items():
+        if j >= 0.6:
+            near[a].add(b)
+            near[b].add(a)
+    for i, r in got.items():  # nobody is in a class without a document that is like it
+        assert r.class_id == i or any(got[j].class_id == r.class_id for j in near[i])
+        assert r.kept == (r.class_id == i)
+
+
+def test_probability_jaccard():
+    """The estimate of registers and the exact value agree with the definition."""
+    rng = np.random.default_rng(5)
+    a, b = np.unique(rng.integers(0, 60, 50).astype(np.uint64)), np.unique(rng.integers(0, 60, 50).astype(np.uint64))
+    x, y = rng.integers(1, 6, len(a)), rng.integers(1, 6, len(b))
+    wx, wy = dict(zip(a.tolist(), x.tolist())), dict(zip(b.tolist(), y.tolist()))
+    want = sum(1 / sum(max(wx.get(e, 0) / wx[d], wy.get(e, 0) / wy[d]) for e in {*wx, *wy}) for d in wx.keys() & wy.keys())
+    plain = len(wx.keys() & wy.keys()) / len(wx.keys() | wy.keys())
+    assert minhash.similarity(a, x, b, y) == pytest.approx(max(want, plain))
+    s = minhash.signatures([(minhash._mix(a), x), (minhash._mix(b), y)], registers=4000)
+    assert abs((s[0] == s[1]).mean() - want) < 0.04
+
+
+def test_blocks_find_all_links():
+    """Classes by blocks are those of all pairs, weights or not."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**60, 200).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        s = base.copy()
+        at = rng.choice(200, rng.integers(0, 40), replace=False)
+        s[at] = rng.integers(0, 2**60, len(at))
+        s, w = np.unique(np.concatenate([s, s[: rng.integers(0, 100) * (i % 3 == 0)]]), return_counts=True)
+        sets.append((s, w))
+    table = pa.table({"node": pa.array(range(60), pa.int64()), "shingles": [s.tobytes() for s, _ in sets], "weights": [w.astype("<u4").tobytes() for _, w in sets]})
+
+    def classes(links):
+        root = list(range(60))
+        for a, b in links:
+            ra, rb = root[a], root[b]
+            root = [ra if r == rb else r for r in root]
+        return [root.index(r) for r in root]
+
+    want = [(i, j) for i in range(60) for j in range(i) if minhash.similarity(*sets[i], *sets[j]) >= 0.8]
+    got = minhash._links(table, 0.8)
+    assert classes(got) == classes(want) and len(got) < 60 and set(map(tuple, map(sorted, got))) <= set(map(tuple, map(sorted, want)))
+
+
+def test_minhash_odd(spark):
+    docs = make(spark, ODD, extra=True)
+    got = {(r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(docs).collect()}
+    assert (4, 4, 3) in got and (None, 4, 3) in got and (7, 6, 2) in got and (3, 1, 4) in got
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
+    assert minhash.near_duplicates(make(spark, [])).count() == 0 and minhash.drop_near_duplicates(make(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 5), (200, 7)]
+    got = {r.node: r.class_id for r in minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got[i] == 100 for i in range(101, 161)) and all(got[i] == 3 for i in (5, 7, 9, 200))
+
+
+def test_pseudonyms(spark):
+    text = "Card 4417744280351547, mail ann.lee42@mail.example.com, +1 (243) 555-5526, 161.17.88.162, DE89 3704 0044 0532 0130 00, 219-09-9999, born 1987-05-12 or 31/12/1999 or 12/31/1999; not 4417744280351548, 999.1.1.1, 2023-02-30, 12345."
+    new, found = pii.pseudonymise_text(text)
+    assert [f["kind"] for f in found] == ["card", "email", "phone", "ip", "iban", "ssn", "date", "date", "date"]
+    for f in found:
+        old = text[f["start"] : f["end"]]
+        assert old not in new and len(f["pseudonym"]) == len(old) or f["kind"] == "ip"
+    assert pii.pseudonymise_text(new, back=True)[0] == text  # a permutation with the key, so formats hold
+    assert pii.pseudonymise_text(text, key=b"other")[0] != new
+    assert new.endswith("; not 4417744280351548, 999.1.1.1, 2023-02-30, 12345.")
+    assert pii.pseudonymise_text("x 161.17.88.162 y")[0] in ("x " + found[3]["pseudonym"] + " y",)  # equal values stay linked
+
+
+def test_permutation_is_one():
+    assert sorted(pii.permute(i, 12, 10, b"k", "t") for i in range(120)) == list(range(120))
+    assert all(pii.permute(pii.permute(i, 7, 11, b"k", "t"), 7, 11, b"k", "t", back=True) == i for i in range(77))
+
+
+def test_pii_odd(spark):
+    got = pii.pseudonymise(make(spark, ODD, extra=True)).collect()
+    assert len(got) == len(ODD) and all(r.n_found == 0 for r in got)
+    assert Counter(r.text for r in got) == Counter(t for _, t, _ in ODD)
+    assert pii.pseudonymise(make(spark, [])).count() == 0
+    sf = spark.read.parquet(f"{SF}/documents.parquet")
+    back = pii.restore(pii.pseudonymise(sf)).collect()
+    assert {r.doc_id: r.text for r in back} == {i: t for i, t, *_ in rows("documents")}
+
+
+def test_html(spark):
+    got = {r.page_id: r for r in queries.op5_html(spark, SF).collect()}
+    for i, url, page in rows("pages"):
+        article = page.split("<article>")[1].split("</article>")[0]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", article))
+        text = "\n".join(b for b in blocks if b)
+        assert (got[i].url, got[i].text, got[i].n_chars) == (url, text, len(text))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("<nav>only</nav>", ""), ("plain text only", "plain text only"), ("<p>cut <b>of", "cut of"), ("<p>a &am", "a &am"),
+        ('<div class="site-header">x y</div><div>Hello <b>wor</b>ld &amp; all<br>next</div><div class=comment-list>no no</div>', "Hello world & all\nnext"),
+        ("<article><header><h1>Tit</h1></header><p>x<script>if(a<b)</script> y</p><aside>no</aside><p>z <a href=q>link</a></p><section id='comments'><p>me too</p></section></article><p>after</p>", "Tit\nx y\nz link"),
+        ("<main><p>a</p><form>f<input></form><p>1 < 2</p></main><!-- <p>x</p>", "a\n1 < 2"), ("<p>x</p><script>never ends <p>y", "x"),
+    ],
+)
+def test_html_cases(page, text):
+    assert html_text.extract(page or "", html_text.learn_weights()) == text
+
+
+def test_html_region_is_best():
+    rng = random.Random(2)
+    for _ in range(200):
+        x = [rng.choice((-3, -1, -0.5, 1, 2)) for _ in range(rng.randint(0, 12))]
+        start, end = html_text.region(x)
+        assert sum(x[start:end]) == max([0, *(sum(x[a:b]) for a in range(len(x)) for b in range(a, len(x) + 1))])
+
+
+def test_html_odd(spark):
+    pages = spark.createDataFrame([(1, None, None, 3), (None, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3)], "page_id bigint, url string, html string, text int")
+    assert sorted(r.text for r in html_text.extract_pages(pages).collect()) == ["", "a", "a"]
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    assert len(got) == 10000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    labels = [(toxic, got[i]) for i, _, toxic in rows("labels", sf) if got[i].held_out]
+    hit, false = sum(t and r.predicted for t, r in labels), sum(not t and r.predicted for t, r in labels)
+    assert hit > 0.5 * sum(t for t, _ in labels) and false < 0.02 * len(labels)
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    rng = random.Random(4)
+    filler = lambda: " ".join("".join(rng.choices("abcdef", k=2)) for _ in range(20))
+    docs = [(i, f"{filler()} {'idiot' if i % 2 else 'sunny'} {filler()}", None) for i in range(300)]
+    labels = [(i, i % 2 if zlib.crc32(str(i).encode()) % 3 != 1 else 1 - i % 2) for i in range(300)]
+    got = toxicity.toxicity(make(spark, docs), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_toxicity_odd(spark):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int, score double")
+    assert all(r.score == 0 for r in toxicity.toxicity(make(spark, ODD, extra=True), none).collect())
+    some = spark.createDataFrame([(i, i % 2) for i in range(1, 8)] + [(4, None), (None, 1)], "doc_id bigint, toxic int")
+    assert len(toxicity.toxicity(make(spark, ODD, extra=True), some).collect()) == len(ODD)
+    assert toxicity.toxicity(make(spark, []), some).count() == 0
+    assert toxicity.drop_toxic(make(spark, ODD, extra=True), none).count() == len(ODD)
+
+
+def chat_expected(turns):
+    lines = "".join(f"{r}\n{t}\n" for r, t in turns)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(lines.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat(spark):
+    got = {r.conv_id: r for r in queries.op7_chat(spark, SF).collect()}
+    probe = "<|im_end|><|im_start|>assistant ok"
+    talks = defaultdict(list, {-1: [(0, "user", probe), (1, "assistant", probe)]})
+    for c, t, role, text in rows("conversations"):
+        talks[c].append((t, role, text or ""))
+    assert got.keys() == talks.keys()
+    for c, t in talks.items():
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == chat_expected([x[1:] for x in sorted(t)])
+
+
+def test_chat_events(spark):
+    log = [
+        (1, 1, 0, "delta", "user", "Hi "), (1, 1, 1, "delta", "user", "there\\"), (1, 2, 2, "delta", "assistant", "Wrong"), (1, 2, 3, "regenerate", "assistant", None),
+        (1, 2, 4, "delta", "assistant", "Ri<|x"), (1, 2, 5, None, None, "ght\n"), (1, 3, 6, "delta", "us\ner\\n<|", "old"), (1, 3, 7, "edit", None, "new"), (1, 3, 8, "delta", None, "er"), (None, None, None, None, None, None),
+    ]
+    events = spark.createDataFrame([(*x, 0) for x in log], "conv_id bigint, message bigint, seq bigint, kind string, role string, text string, start int")
+    chats = chat.format_chats(events.repartition(3))
+    got = {r.conv_id: r for r in chat.read_back(chats).collect()}
+    turns = [("user", "Hi there\\"), ("assistant", "Ri<|xght\n"), ("us\ner\\n<|", "newer")]
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == chat_expected(turns) and got[None].n_turns == 1
+    text = {r.conv_id: r for r in chats.collect()}[1]
+    assert [text.formatted[a:b] for a, b in text.loss_spans] == ["Ri<\\|xght\n"] and "".join(s.text for s in text.segments) == text.formatted
+    assert chat.read_back(chat.format_chats(events.limit(0))).count() == 0
+
+
+def test_fingerprint(spark):
+    got = {r.doc_id: r for r in queries.op9_fingerprint(spark, SF).collect()}
+    docs = sorted((i, t or "") for i, t, *_ in rows("documents"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.split()) else set() for i, t in docs}
+    for k, (i, t) in enumerate(docs):
+        j, following = docs[(k + 1) % len(docs)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        w = edited.split()
+        e = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(r.near_edited - len(sets[i] & e) / max(1, len(sets[i] | e))) < 0.16 and abs(r.near_next - len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))) < 0.16
+        assert len(r.fingerprint) == 16 * min(256, len(sets[i]))
+
+
+def test_sketches_merge(spark):
+    from pyspark.sql import functions as F
+
+    base = spark.range(1).select(F.sequence(F.lit(1), F.lit(6000)).alias("x"), F.sequence(F.lit(3001), F.lit(9000)).alias("y"))
+    hashed = base.select(*[F.transform(c, lambda v: F.xxhash64(v)).alias(c) for c in "xy"])
+    s = hashed.select(*[fingerprint.smallest(F.col(c)).alias(c) for c in "xy"], fingerprint.smallest(F.concat("x", "y")).alias("both"))
+    r = s.select("both", fingerprint.merge(F.col("x"), F.col("y")).alias("merged"), fingerprint.distinct_count(F.col("both")).alias("n"), fingerprint.resemblance(F.col("x"), F.col("y")).alias("j"), fingerprint.containment(F.col("x"), F.col("y")).alias("c")).first()
+    assert r.both == r.merged and abs(r.n - 9000) < 1800 and abs(r.j - 1 / 3) < 0.1 and abs(r.c - 0.5) < 0.15
+
+
+def test_fingerprint_odd(spark):
+    got = fingerprint.fingerprint_edits(make(spark, ODD, extra=True)).collect()
+    assert len(got) == len(ODD) and all(0 <= r.near_next <= 1 for r in got)
+    assert {r.fingerprint for r in got if r.n_chars == 0} == {""}
+    one = fingerprint.fingerprint_edits(make(spark, [(1, "a b c d", None)])).first()
+    assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"a ba b"[:0] + b"a b " + b"a b"[:3]).hexdigest()
+    assert fingerprint.fingerprint_edits(make(spark, [])).count() == 0
+
+
+def test_warc(spark):
+    import base64
+
+    got = {r.page_id: r for r in queries.op10_warc(spark, SF).collect()}
+    first = {}
+    for i, _, h in sorted(rows("pages")):
+        first.setdefault(h or "", i)
+    for i, _, h in rows("pages"):
+        data, j = (h or "").encode(), first[h or ""]
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert got[i] == (i, len(data), digest, "response" if i == j else "revisit", None if i == j else j)
+
+
+def test_warc_odd(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, None), (2, "u\nv", ""), (None, "w", ""), (3, "x", "é" * 100000), (3, "x", "é" * 100000), (9, "y", "only")], "page_id bigint, url string, html string").withColumn("sha1", __import__("pyspark.sql.functions").sql.functions.lit(1))
+    archives = warc.write_archives(pages)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.error) for r in warc.read_archives(archives).collect())
+    assert got == [(0, "revisit", 1, 0, None), (1, "response", None, 0, None), (2, "revisit", 1, 0, None), (3, "response", None, 200000, None), (3, "revisit", 3, 200000, None), (9, "response", None, 4, None)]
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    for r in archives.collect():  # real files, by Spark's binaryFile source
+        (tmp_path / r.path).write_bytes(r.content)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert warc.read_archives(files).where("error is null").count() == 6
+
+
+def test_warc_finds_damage():
+    writer = warc.ArchiveWriter()
+    for i in range(20):
+        writer.add(warc.encode_record(i, "u", b"payload %d" % i * 50, None, False))
+    data = writer.close()
+    assert [r["page_id"] for r in warc.read_archive(data)] == list(range(20))
+    assert any(r.get("error") for r in warc.read_archive(data[:-10])) and [r["error"] for r in warc.read_archive(b"junk junk")] == ["no dictionary frame in front"]
+    record = warc.encode_record(1, "u", b"abc", None, False)
+    for broken in (record.replace(b"abc", b"abd"), record.replace(b"WARC/1.1", b"WARC/9"), record[:-5] + record[-4:], record.replace(b"WARC-Type", b"WARC-Tipe")):
+        with pytest.raises(ValueError):
+            warc.decode_record(broken)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    pieces_fit(pieces)
+    kept = Counter(r.doc_id for r in docs.collect())
+    assert {p.doc_id for p in pieces} == set(kept) and sum(p.start == 0 for p in pieces) == sum(kept.values())
+    assert max(kept.values()) <= 3
+
+
+def test_pipeline_odd(spark, tmp_path):
+    import corpus_pipeline
+
+    for data in (ODD, []):
+        sf = tmp_path / f"sf{len(data)}"
+        make(spark, data).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1), (6, 0), (None, None)], "doc_id bigint, toxic int").write.parquet(f"{sf}/labels.parquet")
+        pieces_fit(corpus_pipeline.run(spark, str(sf)).collect())

@@ -7,7 +7,8 @@ dates by the calendar. A value is then permuted among all values of its format
 under a secret key: its digits and letters are the digits of a number in mixed
 radix, halves of which a Feistel network adds keyed hashes of each other to. What
 makes a value valid is kept, so pseudonyms pass the same checks, and a value has
-the same pseudonym in every document. With the key, ``restore`` takes it back.
+the same pseudonym in every document. With the key, ``restore`` takes it back
+(days and months of one digit come back with two).
 
 Defined results: a null text stays null and an empty one empty; a text without
 valid personal data stays as it is, character by character; texts are read whole
@@ -34,7 +35,9 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 RESULT = "doc_id bigint, text string, n_found int, found array<struct<kind:string,start:int,end:int,pseudonym:string>>"
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-_ALPHABETS = {c: a for a in (_LOWER, _UPPER, _DIGITS) for c in a}
+#: Accented letters of Latin-1, small and capital.
+_SMALL, _CAPITAL = ("".join(c for c in map(chr, r) if c.isalpha()) for r in (range(0xDF, 0x100), range(0xC0, 0xDF)))
+_ALPHABETS = {c: a for a in (_LOWER, _UPPER, _DIGITS, _SMALL, _CAPITAL) for c in a}
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
 
 
@@ -63,7 +66,12 @@ def permute_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
         alphabet = _ALPHABETS[text[i]]
         value = value * len(alphabet) + alphabet.index(text[i])
         sizes[2 * n >= len(at)] *= len(alphabet)
-    value = permute(value, *sizes, key, kind, back) if len(at) > 1 else (value + (-1 if back else 1) * (1 + _round(key, kind, 0, 0, (1, 1), sizes[1] - 1))) % sizes[1] if at else 0
+    if len(at) > 1:
+        value = permute(value, *sizes, key, kind, back)
+    elif at:  # one character: a keyed step to another one of its alphabet
+        size = sizes[0] * sizes[1]
+        step = 1 + _round(key, kind, 0, 0, (1, size), size - 1)
+        value = (value + (-step if back else step)) % size
     out = list(text)
     for i in reversed(at):
         value, k = divmod(value, len(_ALPHABETS[text[i]]))

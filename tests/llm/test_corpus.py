@@ -277,6 +277,12 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise_text("x 161.17.88.162 y")[0] in ("x " + found[3]["pseudonym"] + " y",)  # equal values stay linked
 
 
+@pytest.mark.parametrize("text", ["a@b.de", "éàü@mail.example.com", "É1@A.COM", "9@x.org", "x 1.2.3.4@b.de", "02.03.1999 and 02/29/2020 and 01-01-1900 and 2099/12/31"])
+def test_pseudonyms_of_short_values(text):
+    new, found = pii.pseudonymise_text(text)
+    assert found and new != text and pii.pseudonymise_text(new, back=True)[0] == text
+
+
 def test_permutation_is_one():
     assert sorted(pii.permute(i, 12, 10, b"k", "t") for i in range(120)) == list(range(120))
     assert all(pii.permute(pii.permute(i, 7, 11, b"k", "t"), 7, 11, b"k", "t", back=True) == i for i in range(77))

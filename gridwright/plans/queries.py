@@ -377,7 +377,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _ran(stream_df: DataFrame, mode: str) -> DataFrame:
-    return stream.run_once(stream_df, mode, _scratch(stream_df.sparkSession), f"gw_{uuid.uuid4().hex}")
+    return stream.run_once(stream_df, mode, _scratch(stream_df.sparkSession))
 
 
 @query("select user_id as job_id, event_type, count(*) as n from events group by user_id, event_type")

@@ -97,8 +97,19 @@ def snapshot_and_tail(spark: SparkSession, log: str, schema: str, job_id: int, s
     return spark.read.schema(schema).parquet(log).where((F.col("job_id") == job_id) & (F.col("seq") <= seen)).orderBy("seq"), spark.readStream.schema(schema).parquet(log).where((F.col("job_id") == job_id) & (F.col("seq") > seen))
 
 
-def run_once(stream: DataFrame, mode: str, checkpoint: str, table: str) -> DataFrame:
-    """Drives a stream over all that is there, and gives what it holds then."""
-    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Drives a stream over all that is there, and gives what it says then.
+
+    Every batch is written as Parquet below ``folder``, under its number, so a
+    repeated batch replaces itself. In complete mode the last batch holds all.
+    """
+    written: dict[int, str] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        written[number] = f"{folder}/batches/{number}"
+        batch.write.mode("overwrite").parquet(written[number])
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    paths = [written[max(written)]] if mode == "complete" and written else list(written.values())
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)

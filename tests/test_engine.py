@@ -173,10 +173,10 @@ def test_states_by_batch_and_stream(spark, tmp_path):
     want = [(1, "failed", 1, 4, 3, 25.0, "boom"), (2, "queued", 0, 0, 0, 0.0, None), (3, "completed", 2, 2, 2, 100.0, None)]
     assert sorted(tuple(r) for r in stream.final_states(table).collect()) == want
     live = stream.job_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"))
-    assert sorted(tuple(r) for r in stream.run_once(live, "update", f"{tmp_path}/c", "states").collect()) == want
+    assert sorted(tuple(r) for r in stream.run_once(live, "update", f"{tmp_path}/c").collect()) == want
     past, tail = stream.snapshot_and_tail(spark, f"{tmp_path}/log", schema, 1, 2)
     assert [r.seq for r in past.collect()] == [1, 2] and tail.isStreaming
-    got = stream.run_once(tail, "append", f"{tmp_path}/c2", "tail")
+    got = stream.run_once(tail, "append", f"{tmp_path}/c2")
     assert sorted(r.seq for r in got.collect()) == [3, 4]
     stream.append_to(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/c3").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(log)

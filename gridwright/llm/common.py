@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,10 @@ def text_or_empty(name: str = "text") -> Column:
 def arrow_strings(column) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty string."""
     return [x or "" for x in column.to_pylist()]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` at most, so a task holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

@@ -11,10 +11,12 @@ decide: similarity is the larger of the probability Jaccard of the weights and
 the Jaccard of the sets, so links that either of them sees are kept.
 
 Texts with the same words are one class member. In a bucket of a band, members
-meet the bucket's smallest id first. Connected classes follow; only where a bucket
-still holds members of several classes, these meet the smallest member of each
-other class, and at last each other. Members already in one class never meet, so
-a large group of copies costs as many pairs as it has members.
+meet the bucket's smallest id, as pairs. Connected classes follow. Buckets that
+still hold several classes are joined to groups, as far as they share members, and
+a group's shingle sets are compared block by block: a product of incidence
+matrices counts the common shingles of two blocks of BLOCK members at once, and
+only links that connect classes leave the task. So no pairs of a group become
+rows, a task holds two blocks, and every candidate pair is decided all the same.
 
 Defined results: a null text counts as empty; texts without words are one class;
 a text of one to four words is a single shingle; rows that repeat an id share a
@@ -34,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, materialize, text_or_empty
+from .common import arrow_strings, materialize, slices, text_or_empty
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 30, 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
+#: Members of a block; two blocks are compared in one task.
+BLOCK = 512
 BATCH_SHINGLES = 60_000
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -130,7 +134,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the words, band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, sets, digests, size = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
@@ -157,7 +161,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """node, shingles (sorted uint64), weights (uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(word_hashes(x)) for x in arrow_strings(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in sets], pa.binary())], names=["node", "shingles", "weights"])
 
@@ -165,7 +169,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch[c].to_pylist() for c in ("s1", "w1", "s2", "w2")]
         value = [similarity(np.frombuffer(s1, "<u8"), np.frombuffer(w1, "<u4"), np.frombuffer(s2, "<u8"), np.frombuffer(w2, "<u4")) for s1, w1, s2, w2 in zip(*columns)]
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(value, pa.float64())], names=["a", "b", "similarity"])
@@ -178,26 +182,33 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return both.mapInArrow(_similar, "a bigint, b bigint, similarity double").where(F.col("similarity") >= similar)
 
 
+LINKS_PER_TASK = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, class_id) of every node of the edges (a, b): the smallest node it is connected with.
+    """(node, class_id) of every node of the edges (a, b) but the smallest ones: the smallest node it is connected with.
 
     Large-star and small-star steps in turn: each ties a node's neighbours to the
     smallest of them, until every node is tied to its component's smallest one.
+    Minima are aggregated before they meet the links, so a node with very many
+    neighbours is split like any skewed join.
     """
     links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = lambda df: tuple(df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(links)
-    while True:
+    while not _are_stars(links):
+        tasks = 8 + links.count() // LINKS_PER_TASK
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = materialize(small.where("u <> v").distinct(), "links")
-        now = mark(links)
-        if now == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("class_id"))
-        seen = now
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+        links = materialize(small.select("s.*").where("u <> v").coalesce(tasks).distinct().coalesce(tasks), "links")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("class_id"))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node is tied to one node, and none of these to another."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("tied")), F.struct(F.col("v").alias("x"), F.lit(0).alias("tied")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("tied").alias("tied"), F.min("tied").alias("least")).where("tied > 1 or (tied = 1 and least = 0)").isEmpty()
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -214,29 +225,93 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts_of = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(involved, "node")
     sets = materialize(shingle_sets(texts_of.select("node", "text")).dropDuplicates(["node"]), "sets")
 
-    tried = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    edges = materialize(verified(tried, sets, similar), "edges")
-    for every in (False, True):
-        classes = components(edges)
-        pairs = _unresolved(members, classes, every).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        edges = edges.unionByName(materialize(verified(pairs, sets, similar), "edges"))
-        tried = tried.unionByName(pairs)
+    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    edges = materialize(verified(stars, sets, similar), "edges")
+    groups = _open_groups(members, components(edges))
+    edges = edges.select("a", "b").unionByName(_compare_blocks(groups, sets, similar))
     classes = components(edges)
     named = texts.join(classes, texts["text_id"] == classes["node"], "left").select("digest", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
     return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "text_id", "digest")
 
 
-def _unresolved(members: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
-    """Pairs in buckets that hold several classes: each member with the smallest of every other class, or with all of it."""
-    known = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("c"))
+def _open_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, piece, pieces, work): groups of buckets that hold several classes.
+
+    A large group is cut into blocks, its pieces, and is a work of its own; small
+    groups share works of about one block.
+    """
+    known = members.join(classes, "node", "left").select("bucket", "node", "hub", F.coalesce("class_id", "node").alias("c"))
     known = materialize(known, "known")
     mixed = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-    rest = materialize(known.join(mixed, "bucket"), "mixed")
-    other = rest if every else rest.groupBy("bucket", "c").agg(F.min("node").alias("node"))
-    other = other.select("bucket", F.col("node").alias("node2"), F.col("c").alias("c2"))
-    met = rest.join(other, (rest["bucket"] == other["bucket"]) & (rest["c"] != other["c2"]) & (F.col("node") < F.col("node2") if every else F.col("node") != F.col("node2")))
-    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    links = known.join(mixed, "bucket").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    groups = materialize(components(links), "groups")
+    groups = groups.unionByName(groups.select(F.col("class_id").alias("node"), "class_id").distinct())
+    sizes = groups.groupBy("class_id").agg(F.count("*").alias("n"))
+    total = sizes.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
+    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("class_id"), F.lit(-(-2 * total // BLOCK) or 1)).cast("string"))
+    sized = groups.join(sizes, "class_id").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
+    work = F.when(F.col("n") <= BLOCK, shared).otherwise(F.col("class_id").cast("string"))
+    return materialize(sized.select("node", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), "pieces", work.alias("work")), "works")
+
+
+def _links(table: pa.Table, similar: float) -> list[tuple[int, int]]:
+    """Links that connect the classes of all members of one or two blocks, by whole shingle sets."""
+    node = table["node"].to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
+    weights = [np.frombuffer(x, "<u4") for x in table["weights"].to_pylist()]
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = n > 1
+    column, kept = np.cumsum(often) - 1, often[at]
+    row, at, weight = row[kept], column[at[kept]], np.concatenate(weights)[kept].astype(np.float32)
+    heavy = np.array([len(w) > 0 and w.max() > 1 for w in weights])
+    common, mass = np.zeros((2, len(sets), len(sets)), np.float32)  # mass[i, j]: the weight in i of what j has too
+    for low in range(0, int(often.sum()), 4096):  # a stripe of shingles at a time bounds the matrix
+        own = (at >= low) & (at < low + 4096)
+        stripe = np.zeros((len(sets), 4096), np.float32)
+        stripe[row[own], at[own] - low] = 1
+        common += stripe @ stripe.T
+        if heavy.any():
+            weighted = np.zeros_like(stripe)
+            weighted[row[own], at[own] - low] = weight[own]
+            mass += weighted @ stripe.T
+    jaccard = common / np.maximum(size[:, None] + size[None, :] - common, 1)
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    found = []
+    # links between members that are connected already are left out
+    for i in range(len(sets)):
+        for j in i + 1 + np.flatnonzero(jaccard[i, i + 1 :] >= similar):
+            if find(i) != find(j):
+                root[find(j)] = find(i)
+                found.append((i, j))
+    if heavy.any():  # repeated shingles can make weights more alike than sets, but no more than their common share
+        share = mass / np.maximum(np.array([w.sum() for w in weights], np.float32), 1)[:, None]
+        maybe = (np.minimum(share, share.T) >= similar - 1e-4) & (jaccard < similar) & (heavy[:, None] | heavy[None, :])
+        for i, j in zip(*np.nonzero(np.triu(maybe, 1))):
+            if find(i) != find(j) and similarity(sets[i], weights[i], sets[j], weights[j]) >= similar:
+                root[find(j)] = find(i)
+                found.append((i, j))
+    return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in found]
+
+
+def _compare_blocks(groups: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) of the groups' members. A member goes to as many tasks as its group has blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        links = _links(table, similar)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    spread = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    spread = spread.select("node", "work", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"))
+    return materialize(spread.join(sets, "node").groupBy("work", "one", "two").applyInArrow(run, "a bigint, b bigint"), "edges")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

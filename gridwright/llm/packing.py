@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, text_or_empty
+from .common import arrow_strings, slices, text_or_empty
 
 WINDOW = 4096
 MAX_OPEN = 1024
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _FAR = 1 << 40
 _words: dict[str, _WordIds] = {}
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         from pyspark import TaskContext
 
         packer, encode = Packer(window, TaskContext.get().partitionId() << 40), word_ids(tokenizer).encode
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), arrow_strings(batch["text"])):
                 packer.add(doc_id, encode(text) + end)
                 if len(packer.out) >= 1000:

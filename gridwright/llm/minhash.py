@@ -8,7 +8,9 @@ ends when its next arrival is later than the latest register, since no later one
 can count. Two documents agree in a register with their probability Jaccard
 similarity. Bands of registers propose pairs, and the pairs' whole shingle sets
 decide: similarity is the larger of the probability Jaccard of the weights and
-the Jaccard of the sets, so links that either of them sees are kept.
+the Jaccard of the sets, so links that either of them sees are kept. A document
+that repeats a shingle is signed twice, the second time with all weights 1, and
+has the bands of both, as registers of weights 1 agree with the sets' Jaccard.
 
 Texts with the same words are one class member. In a bucket of a band, members
 meet the bucket's smallest id, as pairs. Connected classes follow. Buckets that
@@ -111,6 +113,18 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def candidate_bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The band hashes of each set: those of its weights and, where these differ from 1, those of weights 1."""
+    own = band_hashes(signatures(sets))
+    repeats = [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
+    found = list(own)
+    if repeats:
+        plain = band_hashes(signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in repeats]))
+        for i, more in zip(repeats, plain):
+            found[i] = np.union1d(own[i], more)
+    return found
+
+
 def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
     """The larger of the sets' Jaccard and the weights' probability Jaccard.
 
@@ -138,8 +152,8 @@ def sign(docs: DataFrame) -> DataFrame:
             ids, sets, digests, size = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
-                bands = band_hashes(signatures(sets))
-                flat = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
+                bands = candidate_bands(sets)
+                flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)], dtype=np.int32), pa.array(np.concatenate(bands)))
                 return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "digest", "bands"])
 
             for doc_id, text in zip(batch["doc_id"].to_pylist(), arrow_strings(batch["text"])):

@@ -209,6 +209,21 @@ def test_minhash_finds_all_links(spark):
         assert r.kept == (r.class_id == i)
 
 
+def test_minhash_finds_copies_with_a_repeated_line(spark):
+    """Copies whose sets are alike and whose weights are not, as one line occurs 20 to 100 times more."""
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    docs = []
+    for i in range(30):
+        base, line = text(300), text(12)
+        docs += [(2 * i, base, None), (2 * i + 1, " ".join([base, *[line] * (20, 50, 100)[i % 3]]), None)]
+        sets = [minhash.shingles(minhash.word_hashes(t)) for _, t, _ in docs[-2:]]
+        common = len(np.intersect1d(sets[0][0], sets[1][0]))
+        assert common / (len(sets[0][0]) + len(sets[1][0]) - common) > 0.9
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(make(spark, docs)).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(30)) and len(got) == 60
+
+
 def test_probability_jaccard():
     """The estimate of registers and the exact value agree with the definition."""
     rng = np.random.default_rng(5)

@@ -8,7 +8,14 @@ under a secret key: its digits and letters are the digits of a number in mixed
 radix, halves of which a Feistel network adds keyed hashes of each other to. What
 makes a value valid is kept, so pseudonyms pass the same checks, and a value has
 the same pseudonym in every document. With the key, ``restore`` takes it back
-(days and months of one digit come back with two).
+(days and months of one digit come back with two), by the places in ``found``.
+
+A card is looked for among the digit groups of a match: in groups as cards have
+them first, so an expiry, a CVV or a number beside it doesn't count, then the match
+as a whole, then its other runs of groups of three digits or more (shorter ones
+are lists of numbers). Where a match fails its check, the other kinds and shorter
+and later runs of its groups are tried. Letters of other scripts are permuted
+among the letters of their kind in their 128 code points.
 
 Defined results: a null text stays null and an empty one empty; a text without
 valid personal data stays as it is, character by character; texts are read whole
@@ -22,6 +29,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,9 +48,21 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 #: Accented letters of Latin-1, small and capital.
 _SMALL, _CAPITAL = ("".join(c for c in map(chr, r) if c.isalpha()) for r in (range(0xDF, 0x100), range(0xC0, 0xDF)))
 _ALPHABETS = {c: a for a in (_LOWER, _UPPER, _DIGITS, _SMALL, _CAPITAL) for c in a}
+_LATIN = frozenset(_ALPHABETS)
+#: Groups of digits as cards have them.
+_CARD_GROUPS = frozenset([*((n,) for n in range(13, 20)), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)])
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
 
 
+def _alphabet(c: str) -> str:
+    """The characters that ``c`` is permuted among; empty where it stays."""
+    if c not in _ALPHABETS:
+        kind, page = unicodedata.category(c), ord(c) & ~127
+        found = "".join(x for x in map(chr, range(page, page + 128)) if unicodedata.category(x) == kind and x not in _LATIN) if ord(c) > 255 and kind in ("Ll", "Lu", "Lo", "Lt", "Nd") else ""
+        _ALPHABETS[c] = found if len(found) > 1 else ""
+    return _ALPHABETS[c]
+
+
 def _round(key: bytes, kind: str, i: int, x: int, sizes: tuple[int, int], modulus: int) -> int:
     h = hashlib.blake2b(f"{kind}|{i}|{sizes}|{x}".encode(), key=key, digest_size=32)
     return int.from_bytes(h.digest(), "big") % modulus
@@ -62,7 +82,7 @@ def permute(value: int, a: int, b: int, key: bytes, kind: str, back: bool = Fals
 
 def permute_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
     """Letters and digits permuted within their alphabets, all other characters in their places."""
-    at = [i for i, c in enumerate(text) if c in _ALPHABETS]
+    at = [i for i, c in enumerate(text) if _alphabet(c)]
     value, sizes = 0, [1, 1]
     for n, i in enumerate(at):
         alphabet = _ALPHABETS[text[i]]
@@ -106,7 +126,7 @@ def _walk(value: str, key: bytes, kind: str, back: bool, valid: Callable[[str],
 
 def _card(text: str, key: bytes, back: bool) -> str | None:
     digits = _only(text)
-    if luhn_digit(digits[:-1]) != digits[-1] or digits.count(digits[0]) == len(digits):
+    if len(digits) < 13 or luhn_digit(digits[:-1]) != digits[-1] or digits.count(digits[0]) == len(digits):
         return None
     body = digits[0] + permute_text(digits[1:-1], key, "card", back)  # the first digit is the scheme's
     return _into(text, body + luhn_digit(body))
@@ -185,7 +205,7 @@ _FIND = {
     "email": r"[^\W_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!(?!T\d)\w|[/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
@@ -195,33 +215,126 @@ _MAYBE = re.compile("[0-9@]")
 _CHANGE = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
+_EACH = {k: re.compile(p) for k, p in _FIND.items()}
+_GROUP = re.compile(r"\w+")
+
+
+def _runs(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The runs of digit groups between two places that can be a card: those with a card's groups, and others."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    usual, other = [], []
+    for i in range(len(groups)):
+        sizes: tuple[int, ...] = ()
+        for low, high in groups[i:]:
+            if not text[low:high].isdecimal() or sum(sizes) + high - low > 19:
+                break
+            sizes += (high - low,)
+            if sizes in _CARD_GROUPS:
+                usual.append((groups[i][0], high))
+            elif sum(sizes) >= 13 and min(sizes) >= 3 and re.fullmatch(r"\d+(?:[ -]\d+)*", text[groups[i][0] : high]):
+                other.append((groups[i][0], high))
+    usual = [r for r in usual if re.fullmatch(r"\d+(?:[ -]\d+)*", text[slice(*r)])]
+    return usual, sorted(other, key=lambda r: (r[0], -r[1]))
+
+
+def _inside(text: str, start: int, end: int, kinds: tuple[str, ...], key: bytes, back: bool) -> tuple[str, int, int, str] | None:
+    """The first valid value of some kinds that begins at a group between two places, at its longest, and ends there."""
+    groups = [m.span() for m in re.finditer(r"[+(]?\w[\w./]*", text[start:end])]
+    for low, _ in groups:
+        for kind in kinds:
+            m = _EACH[kind].match(text, start + low)
+            ends = [start + high for at, high in reversed(groups) if at >= low] if kind in ("iban", "phone") else []
+            for stop in [m.end()] if m and m.end() <= end else []:
+                new = _CHANGE[kind](m[0], key, back)
+                if new is not None:
+                    return kind, start + low, stop, new
+            for stop in ends if m else []:
+                part = _EACH[kind].fullmatch(text, start + low, stop)
+                new = _CHANGE[kind](part[0], key, back) if part else None
+                if new is not None:
+                    return kind, start + low, stop, new
+    return None
+
+
+def _values(text: str, m: re.Match, again: bool, key: bytes, back: bool) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, pseudonym) of the valid values in a match, in their order; ``again`` if a match that began earlier has failed."""
+    start, end, kind = m.start(), m.end(), m.lastgroup
+    usual, other = _runs(text, start, end) if kind in ("card", "iban", "phone") else ([], [])
+    whole = [(kind, start, end)]
+    card = lambda runs: [("card", *r) for r in runs]
+    tried = card(usual) + whole * (not again) + card(other) if kind == "card" else whole
+    for k, low, high in tried:
+        new = _CHANGE[k](text[low:high], key, back)
+        if new is not None:
+            return [*_others(text, start, low, key, back), (k, low, high, new)]
+    part = _others(text, start, end, key, back)
+    if not part and kind != "card":
+        for k, low, high in card(usual + other):
+            new = _CHANGE[k](text[low:high], key, back)
+            if new is not None:
+                return [(k, low, high, new)]
+    return part
+
+
+def _others(text: str, start: int, end: int, key: bytes, back: bool) -> list[tuple[str, int, int, str]]:
+    """Valid values of other kinds than cards between two places."""
+    found = []
+    while start < end and (one := _inside(text, start, end, ("iban", "ip", "date", "ssn", "phone"), key, back)):
+        found.append(one)
+        start = one[2]
+    return found
+
+
 def pseudonymise_text(text: str, key: bytes = DEMO_KEY, back: bool = False) -> tuple[str, list[dict]]:
     """The text with pseudonyms in the place of personal data, and what was replaced where."""
     if not _MAYBE.search(text):
         return text, []
-    out, found, end = [], [], 0
-    for m in _PATTERN.finditer(text):
-        new = _CHANGE[m.lastgroup](m[0], key, back)
-        if new is not None:
-            out += [text[end : m.start()], new]
-            found.append({"kind": m.lastgroup, "start": m.start(), "end": m.end(), "pseudonym": new})
-            end = m.end()
+    out, found, end, at, again = [], [], 0, 0, 0  # again: where the last match that failed ended
+    while m := _PATTERN.search(text, at):
+        values = _values(text, m, m.start() < again, key, back)
+        for kind, low, high, new in values:
+            out += [text[end:low], new]
+            found.append({"kind": kind, "start": low, "end": high, "pseudonym": new})
+            end = high
+        if values:
+            at = end
+        else:  # a value may begin at a later group and go on behind the match
+            later = re.compile(r"[ -]").search(text, m.start(), m.end())
+            at, again = later.end() if later else m.end(), max(again, m.end())
     return "".join([*out, text[end:]]) if found else text, found
 
 
+def restore_text(text: str, found: list[dict], key: bytes = DEMO_KEY) -> tuple[str, list[dict]]:
+    """The original of a text with pseudonyms, by what was replaced where."""
+    out, back, end, shift = [], [], 0, 0
+    for f in found:
+        low = f["start"] + shift
+        high = low + len(f["pseudonym"])
+        old = _CHANGE[f["kind"]](text[low:high], key, True)
+        out += [text[end:low], old]
+        back.append({"kind": f["kind"], "start": low, "end": high, "pseudonym": old})
+        shift += high - low - (f["end"] - f["start"])
+        end = high
+    return "".join([*out, text[end:]]), back
+
+
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) -> DataFrame:
     """RESULT for each row of (doc_id, text); start and end are code points of the original text."""
+    known = back and "found" in docs.columns
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            done = [(None, []) if x is None else pseudonymise_text(x, key, back) for x in batch["text"].to_pylist()]
+            if known:
+                done = [(None, []) if x is None else restore_text(x, f or [], key) for x, f in zip(batch["text"].to_pylist(), batch["found"].to_pylist())]
+            else:
+                done = [(None, []) if x is None else pseudonymise_text(x, key, back) for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for _, f in done], pa.int32()), pa.array([f for _, f in done], found_type)],
                 names=["doc_id", "text", "n_found", "found"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["found"] if known else [])).mapInArrow(run, RESULT)
 
 
 def restore(pseudonyms: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:

@@ -9,6 +9,10 @@ text, without the parts in it that are not content themselves, is the result:
 character references decoded, white space of a block made one space, blocks
 joined by line breaks in the order of the page.
 
+Words of classes, ids and roles that are usual for menus, adverts and the like
+mark an element as no content. Inside the main element headings and sections have
+such words as well, so there the odds of each word decide, counted on labelled pages.
+
 Defined results: a null or empty html, or one without content, gives the empty
 text; cut-off pages and unclosed tags are read to their end; a comment, script or
 style that never ends reaches to the end; a null url stays null; repeated rows are
@@ -55,6 +59,13 @@ _PARTS = re.compile(r"[a-z]+")
 _HIDES = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def _marks(name: str, tag: str) -> list[tuple[str, str]]:
+    """(kind, word) of the words in an element's class, id and role that mark what is not content."""
+    heading = "heading " if re.fullmatch("h[1-6]", name) else ""
+    found = [(heading + kind.lower(), _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())) for kind, value in _MARKS.findall(tag)]
+    return [(kind, word) for kind, parts in found if not (kind.endswith("id") and len(parts) > 4) for word in parts if word in SIDE_WORDS]
+
+
 def _aside(name: str, tag: str, in_main: bool) -> bool:
     """Whether an element and all in it is no content."""
     if name in HIDDEN or name in SIDE or name == "header" and not in_main:
@@ -63,11 +74,10 @@ def _aside(name: str, tag: str, in_main: bool) -> bool:
         return " hidden" in tag and bool(_HIDES.search(tag))
     if _HIDES.search(tag):
         return True
-    for kind, value in _MARKS.findall(tag):
-        found = _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-        if not SIDE_WORDS.isdisjoint(found) and (name != "header" or not in_main) and not (kind.lower() == "id" and len(found) > 4):
-            return True
-    return False
+    marks = _marks(name, tag)
+    if in_main:
+        return name != "header" and bool(marks) and sum(MARK_ODDS.get(m, MARK_ODDS.get((m[0], ""), 0.0)) for m in marks) < 0
+    return bool(marks)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -121,6 +131,43 @@ LABELLED = (
 )
 
 
+#: Labelled main elements with marked parts: what stands between {{ and }} is content.
+MARKED = (
+    '<article>{{<div class="entry-header"><h1>A storm over the bay</h1></div><h2 id="related-work">Work that came before</h2><p>Text</p><section id="discussion"><h2 class="section-header">Discussion</h2><p>The results agree with what the pilots saw.</p></section>}}<div class="share">Share this</div><div class="related"><p>More stories</p></div></article>',
+    '<main>{{<header class="post-header"><h1>Bread</h1></header><h2 id="how-to-search">How to search for flour</h2><p>Ask the miller.</p><h3 id="side-effects">Effects on the side</h3><section id="notices"><p>The mill gives notice of its sales in spring.</p></section>}}<div class="ad">Buy now</div><div id="comments" class="comments"><p>Great, thank you so much!</p></div><div id="respond">Leave a reply</div><div id="sidebar"><p>Ten recipes</p></div><h3 class="related-title">You may also like</h3></main>',
+    '<main>{{<h1>Minutes</h1><section id="social-history"><p>The village had two schools.</p></section>}}<div role="complementary">Elsewhere</div><div role="navigation">Next page</div><div id="newsletter">Our letter by mail</div><div id="related">Other minutes</div><div id="share">Share</div><div id="ad">Save now</div><div id="disqus">Talk to us</div></main>',
+)
+
+
+def learn_marks(pages: tuple[str, ...] = MARKED) -> dict[tuple[str, str], float]:
+    """Log-odds of words below an element with a mark to be content, by (kind, word), and by (kind, "") for other marks.
+
+    A mark's counts start at its kind's share of one word, so it is what was seen of it that decides.
+    """
+    counts: dict[tuple[str, str], list[float]] = {}
+    for page in pages:
+        stack, now = [], False
+        for m in _TOKEN.finditer(page.replace("{{", "<!--{{-->").replace("}}", "<!--}}-->")):
+            named = _NAME.match(m[0])
+            if m[0].startswith("<!--"):
+                now = "{{" in m[0]
+            elif m[0][0] != "<":
+                for key in {k for _, marks in stack for kind, word in marks for k in ((kind, word), (kind, ""))}:
+                    counts.setdefault(key, [0.0, 0.0])[now] += len(m[0].split())
+            elif m[0][1] == "/":
+                del stack[max(k for k, (was, _) in enumerate(stack) if was == named[1]) :]
+            else:
+                stack.append((named[1], _marks(named[1], m[0])))
+    odds = {}
+    for (kind, word), (out, within) in counts.items():
+        share = (counts[kind, ""][1] + 0.5) / (sum(counts[kind, ""]) + 1)
+        odds[kind, word] = math.log((within + share) / (out + 1 - share)) if word else math.log(share / (1 - share))
+    return odds
+
+
+MARK_ODDS = learn_marks()
+
+
 def learn_weights(pages: tuple[str, ...] = LABELLED) -> dict[tuple[str, str], float]:
     """Log-odds of words and tags inside content against outside, by kind and feature.
 

@@ -371,6 +371,23 @@ def test_html_cases(page, text):
     assert html_text.extract(page or "", html_text.learn_weights()) == text
 
 
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<h2 id="related-work">Earlier studies</h2><p>Many words on them.</p>', True),
+        ('<h2 id="how-to-search">Earlier studies</h2><p>Many words on them.</p>', True),
+        ('<section id="discussion"><p>Earlier studies agree.</p></section>', True),
+        ('<div class="entry-header"><h1>Earlier studies</h1></div>', True),
+        ('<div id="comments"><p>Earlier studies agree.</p></div>', False),
+        ('<div class="sidebar"><p>Earlier studies agree.</p></div>', False),
+    ],
+)
+def test_html_marks_in_main(inner, kept):
+    page = f"<body><article><p>The wind rose at dawn and the boats stayed in.</p>{inner}<p>By night it was calm again over the bay.</p></article></body>"
+    got = html_text.extract(page, html_text.learn_weights())
+    assert ("Earlier studies" in got) == kept and got.startswith("The wind") and got.endswith("the bay.")
+
+
 def test_html_region_is_best():
     rng = random.Random(2)
     for _ in range(200):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def keep_winners(docs: DataFrame, rows: DataFrame, with_digest: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that win, each once, with all their columns.
+
+    ``rows`` has (doc_id, digest, n, wins) for every distinct pair of id and digest, n
+    being how often it occurs. Rows that lose are taken out by their ids, which alone
+    are sent to the texts if there are not too many. Only rows without an id, or with
+    one that occurs again, are told apart by digest: ``with_digest`` adds _gw_digest.
+    """
+    rows = materialize(rows, "verdicts")
+    again = materialize(rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_gw_id")), "again")
+    out = rows.where("not wins and doc_id is not null").select(F.col("doc_id").alias("_gw_id")).unionByName(again.where("_gw_id is not null")).distinct()
+    out = materialize(out, "losers")
+    key = docs[id_col].cast("bigint")
+    once = docs.where(key.isNotNull()).join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, key == out["_gw_id"], "left_anti")
+    if again.isEmpty():
+        return once
+    winners = rows.where("wins").select(F.col("doc_id").alias("_gw_id"), F.col("digest").alias("_gw_winner"))
+    some = with_digest(docs.join(again, key.eqNullSafe(again["_gw_id"]), "left_semi"))
+    won = some.join(winners, some[id_col].cast("bigint").eqNullSafe(winners["_gw_id"]) & (some["_gw_digest"] == winners["_gw_winner"]))
+    return once.unionByName(won.dropDuplicates(["_gw_id", "_gw_digest"]).select(*docs.columns))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

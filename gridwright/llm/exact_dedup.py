@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialize, text_or_empty
+from .common import WHITE, keep_winners, materialize, text_or_empty
 
 DIGESTS_PER_SHARD = 16384
 _BITS = "levels array<binary>, widths array<bigint>, slots binary, winners binary, counts binary"
@@ -164,8 +164,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: one of each group of equal texts."""
     rows, groups = equal_groups(docs, id_col, text_col)
-    stays = rows.withColumnRenamed("n", "_gw_same").join(groups, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("_gw_digest"), F.col("doc_id").alias("_gw_id"), "_gw_same")
-    full = docs.withColumn("_gw_text_digest", text_digest(text_col))
-    kept = full.join(stays, (full["_gw_text_digest"] == stays["_gw_digest"]) & full[id_col].cast("bigint").eqNullSafe(stays["_gw_id"]))
-    once, again = kept.where("_gw_same = 1"), kept.where("_gw_same > 1").dropDuplicates(["_gw_digest", "_gw_id"])
-    return once.unionByName(again).select(*docs.columns)
+    judged = rows.join(groups.select("digest", "keep_id"), "digest").select("doc_id", "digest", "n", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("wins"))
+    return keep_winners(docs, judged, lambda df: df.withColumn("_gw_digest", text_digest(text_col)), id_col)

@@ -12,33 +12,43 @@ the Jaccard of the sets, so links that either of them sees are kept. A document
 that repeats a shingle is signed twice, the second time with all weights 1, and
 has the bands of both, as registers of weights 1 agree with the sets' Jaccard.
 
-Texts with the same words are one class member. In a bucket of a band, members
-meet the bucket's smallest id, as pairs. Connected classes follow. Buckets that
-still hold several classes are joined to groups, as far as they share members, and
-a group's shingle sets are compared block by block: a product of incidence
-matrices counts the common shingles of two blocks of BLOCK members at once, and
-only links that connect classes leave the task. So no pairs of a group become
+Texts with the same words are one node, whatever their ids. In a bucket of a band,
+nodes meet the bucket's smallest one, as pairs. Connected classes follow. Nodes of
+buckets that still hold several classes are open. For these an exact prefix filter
+finds the rest: in any common order of all shingles, two sets whose Jaccard is t at
+least share a shingle among the first |x| - 2t/(1+t)|x| + 1 of the smaller and the
+first |y| - t|y| + 1 of the larger, and sets whose weights are alike share one where
+each has more than 1 - t of its weight. In the order from rare to frequent, passages
+and templates that many documents share stand last, so texts that have nothing else
+in common don't meet, and a group is the nodes of one such shingle. How frequent a
+shingle is comes from a sample of the open nodes, which decides the order only: no
+order loses a link. A group's sets are compared block by block: a product of
+incidence matrices counts the common shingles of two blocks of BLOCK nodes at once,
+and only links that connect classes leave the task. So no pairs of a group become
 rows, a task holds two blocks, and every candidate pair is decided all the same.
 
 Defined results: a null text counts as empty; texts without words are one class;
-a text of one to four words is a single shingle; rows that repeat an id share a
-class if either of their texts links them; a row without an id has the class of a
-row with the same words that has one, and else a null class; an empty table gives
-an empty result. Other columns are ignored, whatever their names.
+a text of one to four words is a single shingle; rows that repeat an id are rows of
+their own, each in the class of its text; a class is named after its smallest id,
+and one without any id has the class null, its rows being counted and kept apart
+from other such classes; of each class the row with the smallest id stays (of
+several such rows, and of rows without an id, that with the smallest digest, once);
+an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, materialize, slices, text_or_empty
+from .common import arrow_strings, keep_winners, materialize, slices, text_or_empty
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -47,6 +57,8 @@ CACHED_WORDS = 100_000
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 512
 BATCH_SHINGLES = 60_000
+#: Open nodes whose shingles are counted for the order, and frequent shingles that are told apart in it.
+ORDER_NODES, ORDER_SHINGLES = 20_000, 200_000
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,7 +171,7 @@ def sign(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), arrow_strings(batch["text"])):
                 words = word_hashes(text)
                 ids.append(doc_id)
-                digests.append(xxhash.xxh3_128_digest(words.tobytes()))
+                digests.append(words_digest(words))
                 sets.append(shingles(words))
                 size += len(words)
                 if size >= BATCH_SHINGLES:
@@ -171,15 +183,37 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, digest binary, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node, shingles (sorted uint64), weights (uint32)."""
+def words_digest(words: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(words.tobytes())
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """Adds _gw_digest, the digest of the words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(word_hashes(x)) for x in arrow_strings(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in sets], pa.binary())], names=["node", "shingles", "weights"])
+            digest = pa.array([words_digest(word_hashes(x)) for x in arrow_strings(batch["_gw_text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], digest], names=[*batch.schema.names[:-1], "_gw_digest"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.withColumn("_gw_text", text_or_empty()).mapInArrow(run, f"{schema}, _gw_digest binary")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles (sorted uint64), weights (uint32) of the nodes (node, digest, text_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            words = [word_hashes(x) for x in arrow_strings(batch["text"])]
+            sets = [shingles(w) for w in words]
+            digests = pa.array([words_digest(w) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in sets], pa.binary())], names=["digest", "shingles", "weights"])
 
-    return docs.mapInArrow(run, "node bigint, shingles binary, weights binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    ids = nodes.select("text_id").distinct()
+    own = texts.join(ids, texts["doc_id"].eqNullSafe(ids["text_id"]), "left_semi").select("text").mapInArrow(run, "digest binary, shingles binary, weights binary")
+    # an id may have other texts than the node's: the digest tells
+    return own.join(nodes.select("digest", "node"), "digest").dropDuplicates(["digest"]).select("node", "shingles", "weights")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,46 +260,101 @@ def _are_stars(links: DataFrame) -> bool:
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, text_id, digest) of each row; text_id is the smallest id with the same words."""
+    """(doc_id, digest, n, class, class_id): the class of each distinct row, n being how often the row occurs."""
     signed = materialize(sign(docs), "signed")
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"))
-    texts = materialize(texts, "texts")
-    owner = texts.where("text_id is not null").select(F.col("digest").alias("d"), "text_id")
-    nodes = signed.join(owner, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("text_id"))).select(F.col("text_id").alias("node"), F.explode("bands").alias("bucket"))
-    nodes = nodes.distinct()  # repeated rows
+    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.any_value("bands").alias("bands"))
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    nodes = texts.select("node", F.explode("bands").alias("bucket"))
     shared = nodes.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     members = materialize(nodes.join(shared, "bucket"), "members")
-    involved = materialize(members.select("node").distinct(), "involved")
-    texts_of = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(involved, "node")
-    sets = materialize(shingle_sets(texts_of.select("node", "text")).dropDuplicates(["node"]), "sets")
+    involved = materialize(texts.select("node", "digest", "text_id").join(members.select("node").distinct(), "node"), "involved")
+    sets = materialize(shingle_sets(docs, involved), "sets")
 
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(verified(stars, sets, similar), "edges")
-    groups = _open_groups(members, components(edges))
+    groups = _open_groups(_open_nodes(members, components(edges)), sets, similar)
     edges = edges.select("a", "b").unionByName(_compare_blocks(groups, sets, similar))
     classes = components(edges)
-    named = texts.join(classes, texts["text_id"] == classes["node"], "left").select("digest", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "text_id", "digest")
+    named = texts.select("digest", "text_id", "node").join(classes, "node", "left").select("digest", "text_id", F.coalesce("class_id", "node").alias("class"))
+    names = named.groupBy("class").agg(F.min("text_id").alias("class_id"))
+    rows = signed.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    return rows.join(named.join(names, "class").select("digest", "class", "class_id"), "digest").select("doc_id", "digest", "n", "class", "class_id")
 
 
-def _open_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, piece, pieces, work): groups of buckets that hold several classes.
-
-    A large group is cut into blocks, its pieces, and is a work of its own; small
-    groups share works of about one block.
-    """
-    known = members.join(classes, "node", "left").select("bucket", "node", "hub", F.coalesce("class_id", "node").alias("c"))
+def _open_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, c): the nodes of buckets that hold several classes, with their classes."""
+    known = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class_id", "node").alias("c"))
     known = materialize(known, "known")
     mixed = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-    links = known.join(mixed, "bucket").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    groups = materialize(components(links), "groups")
-    groups = groups.unionByName(groups.select(F.col("class_id").alias("node"), "class_id").distinct())
-    sizes = groups.groupBy("class_id").agg(F.count("*").alias("n"))
-    total = sizes.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
-    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("class_id"), F.lit(-(-2 * total // BLOCK) or 1)).cast("string"))
-    sized = groups.join(sizes, "class_id").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
-    work = F.when(F.col("n") <= BLOCK, shared).otherwise(F.col("class_id").cast("string"))
-    return materialize(sized.select("node", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), "pieces", work.alias("work")), "works")
+    return materialize(known.join(mixed, "bucket").select("node", "c").distinct(), "open")
+
+
+def prefix(shingles: np.ndarray, weights: np.ndarray, often: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that a similar one must share one of, and whether they are in its own prefix as the smaller set.
+
+    ``often`` puts the shingles in order; equal ones follow their hashes.
+    """
+    order = np.lexsort((shingles, often))
+    n = len(order)
+    smaller, larger = (n - math.ceil(n * x - 1e-9) + 1 for x in (2 * similar / (1 + similar), similar))
+    if n and weights.max() > 1:
+        total = np.cumsum(weights[order].astype(np.int64))
+        heavy = int(np.searchsorted(total, (1 - similar) * total[-1] + 1e-6, side="right")) + 1
+        smaller, larger = max(smaller, heavy), max(larger, heavy)
+    return shingles[order[:larger]], np.arange(min(larger, n)) < smaller
+
+
+def _frequent(sets: DataFrame, n_open: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are frequent in a sample of the open nodes, and their counts."""
+    step = max(1, n_open // ORDER_NODES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            found = [np.frombuffer(x, "<i8") for x in batch["shingles"].to_pylist()]
+            value, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("shingles")
+    counts = some.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    table = counts.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    value, n = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(value)
+    return value[order], n[order]
+
+
+def _open_groups(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(node, piece, pieces, work): groups of open nodes that share a shingle of their prefixes.
+
+    Groups with the same nodes are one. A large group is cut into blocks, its pieces,
+    and is a work of its own; small groups share works of about one block.
+    """
+    n_open = nodes.count()
+    own = sets.join(nodes, "node")
+    known, often = _frequent(own, n_open)
+    shared = nodes.sparkSession.sparkContext.broadcast((known, often))  # at most ORDER_SHINGLES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in slices(batches, 100):
+            columns = [[], [], [], []]
+            for node, c, s, w in zip(*(batch[x].to_pylist() for x in ("node", "c", "shingles", "weights"))):
+                s, w = np.frombuffer(s, "<u8"), np.frombuffer(w, "<u4")
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                found, smaller = prefix(s, w, np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s)), similar)
+                for column, x in zip(columns, (found.view(np.int64), np.full(len(found), node), np.full(len(found), c), smaller)):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["shingle", "node", "c", "smaller"])
+
+    items = materialize(own.select("node", "c", "shingles", "weights").mapInArrow(run, "shingle bigint, node bigint, c bigint, smaller boolean"), "prefixes")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    groups = items.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("smaller").alias("smaller"), *same)
+    groups = groups.where("low <> high and smaller").groupBy("n", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("shingle", "n")
+    groups = materialize(groups, "groups")
+    total = groups.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
+    together = F.concat(F.lit("s"), F.pmod(F.xxhash64("shingle"), F.lit(-(-2 * total // BLOCK) or 1)).cast("string"))
+    sized = items.select("shingle", "node").join(groups, "shingle").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
+    work = F.when(F.col("n") <= BLOCK, together).otherwise(F.col("shingle").cast("string"))
+    return materialize(sized.select("node", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), "pieces", work.alias("work")).distinct(), "works")
 
 
 def _links(table: pa.Table, similar: float) -> list[tuple[int, int]]:
@@ -328,18 +417,24 @@ def _compare_blocks(groups: DataFrame, sets: DataFrame, similar: float) -> DataF
     return materialize(spread.join(sets, "node").groupBy("work", "one", "two").applyInArrow(run, "a bigint, b bigint"), "edges")
 
 
+def _winners(rows: DataFrame) -> DataFrame:
+    """Per class: class, class_size, and doc_id and digest of the row that stays (as ``first``)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    return rows.groupBy("class").agg(F.sum("n").alias("class_size"), first.alias("first"))
+
+
+def _wins() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest id of its class), class_size, kept."""
-    rows = materialize(near_classes(docs, similar).select("doc_id", "class_id"), "classes")
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    named = rows.join(sizes, rows["class_id"].eqNullSafe(sizes["class_id"])).drop(sizes["class_id"])
-    return named.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    rows = materialize(near_classes(docs, similar), "classes")
+    named = rows.join(_winners(rows), "class").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    return named.select("doc_id", "class_id", "class_size", (_wins() & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One document of each class, with all its columns; rows without a class stay."""
-    rows = near_classes(docs, similar).where("doc_id = class_id or class_id is null").select(F.col("doc_id").alias("_gw_id")).distinct()
-    full = docs.withColumn("_gw_key", F.col("doc_id").cast("bigint"))
-    once = full.join(rows, full["_gw_key"].eqNullSafe(rows["_gw_id"]))
-    again = materialize(full.groupBy("_gw_key").count().where("count > 1").select("_gw_key"), "repeated")
-    return once.join(again, "_gw_key", "left_anti").unionByName(once.join(again, "_gw_key", "left_semi").dropDuplicates(["_gw_key"])).select(*docs.columns)
+    """One document of each class, with all its columns."""
+    rows = materialize(near_classes(docs, similar), "classes")
+    return keep_winners(docs, rows.join(_winners(rows), "class").select("doc_id", "digest", "n", _wins().alias("wins")), with_digest)

@@ -52,7 +52,7 @@ def test_exact_dedup_odd(spark):
     assert len(got) == len(ODD) and sum(r.kept for r in got) == 5
     assert Counter(r.group_size for r in got) == {3: 6, 2: 2, 1: 2}
     kept = exact_dedup.drop_repeats(make(spark, ODD, extra=True))
-    assert kept.count() == 5 and "bucket" in kept.columns
+    assert kept.count() == 5 and "bucket" in kept.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(make(spark, [])).count() == 0 and exact_dedup.drop_repeats(make(spark, [])).count() == 0
 
 
@@ -273,6 +273,50 @@ def test_minhash_odd(spark):
     assert minhash.near_duplicates(make(spark, [])).count() == 0 and minhash.drop_near_duplicates(make(spark, [])).count() == 0
 
 
+def test_minhash_repeated_and_missing_ids(spark):
+    """Rows are judged by their texts: an id that occurs again, or is missing, ties nothing."""
+    rng = random.Random(12)
+    text = lambda n=40: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    a, b, c, d, e = (text() for _ in range(5))
+    data = [(4, a, "x"), (4, b, "x"), (7, c, "x"), (None, c, "x"), (None, d, "x"), (None, d, "x"), (None, e, "x"), (8, a + " more", "x"), (None, "", "x")]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size, r.kept) for r in minhash.near_duplicates(make(spark, data)).collect())
+    assert got == sorted([(4, 4, 2, True), (4, 4, 1, True), (7, 7, 2, True), (0, 7, 2, False), (0, 0, 2, True), (0, 0, 2, False), (0, 0, 1, True), (8, 4, 2, False), (0, 0, 1, True)])
+    kept = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(make(spark, data, extra=True).repartition(3)).collect())
+    assert kept == Counter([(4, a), (4, b), (7, c), (None, d), (None, e), (None, "")])
+
+
+def test_prefixes_meet():
+    """Similar sets share a shingle of their prefixes, one of them as the smaller set, whatever the order."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(3, 60))
+        a = np.unique(rng.integers(0, 2**60, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**60, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        heavy = rng.random() < 0.5
+        x, y = (np.where(rng.random(len(s)) < 0.2 * heavy, rng.integers(1, 30, len(s)), 1) for s in (a, b))
+        y = np.where(np.isin(b, a), np.array([dict(zip(a.tolist(), x)).get(v, 1) for v in b.tolist()]), y)
+        if len(b) and minhash.similarity(a, x, b, y) >= 0.8:
+            order = {int(v): int(rng.integers(0, 5)) for v in {*a.tolist(), *b.tolist()}}
+            (p, small_p), (q, small_q) = (minhash.prefix(s, w, np.array([order[int(v)] for v in s]), 0.8) for s, w in ((a, x), (b, y)))
+            both = {*p.tolist()} & {*q.tolist()}
+            assert both & {*p[small_p].tolist(), *q[small_q].tolist()}
+
+
+def test_templates_make_no_large_groups(spark):
+    """Documents that share most of a template, but not enough of it, meet in no group."""
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    template = text(140)
+    docs = make(spark, [(i, f"{text(22)} {template} {text(23)}", None) for i in range(600)])
+    seen, was = [], minhash._compare_blocks
+    try:
+        minhash._compare_blocks = lambda groups, *rest: (seen.append(groups.count()), was(groups, *rest))[1]
+        got = minhash.near_duplicates(docs).collect()
+    finally:
+        minhash._compare_blocks = was
+    assert seen == [0] and all(r.class_size == 1 for r in got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 5), (200, 7)]
     got = {r.node: r.class_id for r in minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -408,7 +452,7 @@ def test_toxicity_held_out(spark):
     assert len(got) == 10000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
     labels = [(toxic, got[i]) for i, _, toxic in rows("labels", sf) if got[i].held_out]
     hit, false = sum(t and r.predicted for t, r in labels), sum(not t and r.predicted for t, r in labels)
-    assert hit > 0.5 * sum(t for t, _ in labels) and false < 0.02 * len(labels)
+    assert hit > 0.65 * sum(t for t, _ in labels) and false < 0.01 * len(labels)
 
 
 def test_toxicity_ignores_held_out_labels(spark):
@@ -420,6 +464,52 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert all(r.predicted == r.doc_id % 2 for r in got)
 
 
+def test_toxicity_learns_a_phrase(spark):
+    """A phrase that only toxic texts hold, made of words that stand in all texts or after one word only."""
+    rng = random.Random(6)
+    filler = lambda: " ".join("".join(rng.choices("abcdef", k=2)) for _ in range(20))
+    docs = [(i, f"{filler()} {'you idiot' if i % 2 else rng.choice(['you there', 'nice day'])} {filler()}", None) for i in range(600)]
+    got = toxicity.toxicity(make(spark, docs), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id bigint, toxic int")).collect()
+    assert sum(r.predicted for r in got if r.doc_id % 2) == 300 and sum(r.predicted for r in got if not r.doc_id % 2) <= 6
+
+
+def test_toxicity_models_are_kneser_ney(spark):
+    """The ratios of words and bigrams are those that the definition gives."""
+    import math
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices("a b c d e f g h i j k l m n o p".split() + ["bad"] * (i % 2), k=rng.randint(1, 30))), None) for i in range(50)]
+    sampled = make(spark, docs).selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "0 as half", "1.0d as weight", "text")
+    model = toxicity.fit(toxicity.bigram_counts(sampled), (0,))
+    n = [Counter(), Counter()]
+    for i, t, _ in docs:
+        w = toxicity.words(t)
+        n[i % 2].update({*zip(["^", *w], w)})
+    k = [Counter(w for _, w in x) for x in n]
+    d = lambda x: toxicity.discount(sum(v == 1 for v in x.values()), sum(v == 2 for v in x.values()))
+    every = {*k[0], *k[1]}
+    total = [sum(x.values()) for x in k]
+    least = {w: min(k[0][w] / total[0], k[1][w] / total[1]) for w in every}
+    a, b, size, even = toxicity.CLASS_SHARE, toxicity.PAIR_SHARE, toxicity.PAIR_STRENGTH, toxicity.EVEN_SHARE
+
+    def p(c, u, w):
+        s = (1 - even) * least.get(w, 0) / sum(least.values()) + even / (len(every) + 1)
+        q = a * max(k[c][w] - d(k[c]), 0) / total[c] + (1 - a + a * d(k[c]) * len(k[c]) / total[c]) * s
+        after = [x for (v, _), x in n[c].items() if v == u]
+        return b * max(n[c][u, w] - d(n[c]), 0) / (sum(after) + size) + (1 - b + b * (sum(min(x, d(n[c])) for x in after) + size) / (sum(after) + size)) * q
+
+    code = lambda w: np.array([0 if w == "^" else toxicity._hashes[w]], np.uint64)
+    for u in ["^", *every, "new"]:
+        for w in [*every, "new"]:
+            assert model.ratios(code(u), code(w))[0] == pytest.approx(math.log(p(1, u, w) / p(0, u, w)), rel=1e-5, abs=1e-12)
+
+
+def test_isotonic():
+    x, y = np.array([1.0, 2, 2, 3, 4, 5]), np.array([0.0, 1, 0, 0, 1, 1])
+    at, share = toxicity.isotonic(x, y, np.ones(6))
+    assert np.interp(x, at, share).tolist() == pytest.approx([0, 1 / 3, 1 / 3, 1 / 3, 1, 1]) and (np.diff(share) >= 0).all()
+
+
 def test_toxicity_odd(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int, score double")
     assert all(r.score == 0 for r in toxicity.toxicity(make(spark, ODD, extra=True), none).collect())

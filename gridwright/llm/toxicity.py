@@ -206,13 +206,14 @@ def fit(counts: DataFrame, halves: tuple[int, ...]) -> Model | None:
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising curve closest to y, as the ends of its level parts: pooled adjacent violators."""
-    order = np.lexsort((y, x))
+    value, place = np.unique(x, return_inverse=True)
+    total, mass = np.bincount(place, y * weight), np.bincount(place, weight)
     parts: list[list[float]] = []  # low, high, weighted sum, weight
-    for at, value, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
-        parts.append([at, at, value * w, w])
-        while len(parts) > 1 and (parts[-2][1] == parts[-1][0] or parts[-2][2] * parts[-1][3] >= parts[-1][2] * parts[-2][3]):
-            _, high, total, w2 = parts.pop()
-            parts[-1] = [parts[-1][0], high, parts[-1][2] + total, parts[-1][3] + w2]
+    for at, t, w in zip(value.tolist(), total.tolist(), mass.tolist()):
+        parts.append([at, at, t, w])
+        while len(parts) > 1 and parts[-2][2] * parts[-1][3] >= parts[-1][2] * parts[-2][3]:
+            _, high, t, w = parts.pop()
+            parts[-1] = [parts[-1][0], high, parts[-1][2] + t, parts[-1][3] + w]
     return np.array([e for p in parts for e in p[:2]]), np.array([p[2] / p[3] for p in parts for _ in (0, 1)])
 
 

@@ -24,6 +24,8 @@ K = 256
 SHINGLE = 5
 ROWS_PER_BUCKET = 1000
 QUANTILES = 255
+#: Rows that a task's window holds, so that partitions grow in number and not in size.
+ROWS_PER_TASK = 20_000
 
 
 def words(text: Column) -> Column:
@@ -84,8 +86,8 @@ def _tree(x: Column, edges: list, low: int, high: int) -> Column:
     return F.when(x < F.lit(edges[middle]), _tree(x, edges, low, middle)).otherwise(_tree(x, edges, middle + 1, high))
 
 
-def _buckets(docs: DataFrame) -> DataFrame:
-    """Adds part and bucket, both ascending with doc_id, of about ROWS_PER_BUCKET rows each.
+def _buckets(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Adds part and bucket, both ascending with doc_id, of about ROWS_PER_BUCKET rows each; and counts the rows.
 
     Quantiles of the ids make up to QUANTILES + 1 parts, and each part is divided evenly.
     """
@@ -98,7 +100,7 @@ def _buckets(docs: DataFrame) -> DataFrame:
     within = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * each)
     part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_tree(F.col("doc_id"), edges, 0, len(edges)))
     bucket = F.when(F.col("part") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("part") * F.lit(each) + F.least(F.greatest(within, F.lit(0)), F.lit(each - 1)))
-    return docs.withColumn("part", part).withColumn("bucket", bucket.cast("bigint"))
+    return docs.withColumn("part", part).withColumn("bucket", bucket.cast("bigint")), n
 
 
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
@@ -107,7 +109,7 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     Texts are shuffled once, by bucket of ids, and the window runs inside the
     buckets; a bucket's last row gets the first row of the bucket that follows.
     """
-    rows = _buckets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")))
+    rows, n = _buckets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")))
     heads = materialize(rows.groupBy("part", "bucket").agg(F.min("doc_id").alias("first_id")), "buckets")
     # the next bucket in the part, or else the first one of the next part; there are few parts
     parts = heads.groupBy("part").agg(F.min("bucket").alias("head"))
@@ -121,7 +123,8 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
 
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     # words only after the window: made before it, they would go through the shuffle
-    led = rows.select("bucket", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_TASK))
+    led = rows.repartition(tasks, "bucket").select("bucket", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
     split = led.select("*", words(F.col("text")).alias("word"))
     sketched = split.select("bucket", "doc_id", "text", "next_text", smallest(shingles(F.col("word")), k).alias("sketch"))
     paired = sketched.withColumn("next_sketch", F.lead("sketch").over(order))

@@ -51,7 +51,8 @@ class _WordIds(dict):
     it, so the ids of a text are those of its words. A word of letters alone is one
     unit of its pre-tokenizer: it goes straight to the model, in lower case and
     spelled in the model's byte characters. So does what stands before a last
-    full stop or comma, which are units of their own.
+    full stop or comma, which are units of their own, unless letters change in the
+    normal form, where a mark that comes off a letter belongs to the stop's unit.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,7 +67,7 @@ class _WordIds(dict):
             spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.spell)
             ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
             ids = np.array(ids, "<u4").tobytes()
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
+        elif word[-1:] in (".", ",") and lower[:-1].isalpha() and (word.isascii() or "\u03a3" not in word and unicodedata.is_normalized("NFC", word)):
             return self[word[:-1]] + self[word[-1]]
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

@@ -40,7 +40,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_chats(chat.events_of_rows(rows)))
+    return chat.read_back(chat.format_chats(chat.streamed(chat.events_of_rows(rows))))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

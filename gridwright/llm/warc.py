@@ -12,7 +12,9 @@ records with equal payloads (empty ones too) are a response under the smallest i
 and revisits of it otherwise, where a null id comes after all others; repeated
 rows give one response and revisits of it; an empty table gives no archives and
 an empty result. Other columns are ignored, whatever their names. A broken
-archive gives rows with an error, one for each record that can't be read.
+archive gives rows with an error, one for each record that can't be read. Records
+that other tools wrote (warcinfo, request, metadata and the like too) are read as
+they are, without a page_id; digests are checked where headers state them.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 DICTIONARY_MAGIC = 0x184D2A5D
+ZSTD_MAGIC = bytes.fromhex("28b52ffd")
 ARCHIVE_BYTES = 4 << 20
 DICTIONARY_BYTES = 16 << 10
 SAMPLE_BYTES = 256 << 10
 MIN_PAYLOAD = 0
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "path string, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, error string"
+DATE = "1970-01-01T00:00:00Z"
+RECORDS = "path string, record_id string, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, error string"
 _ID = "urn:gridwright:page:"
 
 
@@ -42,11 +46,11 @@ def _b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def encode_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def encode_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
     """One WARC record; the block holds HTTP headers, and the payload unless it is a revisit."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
     name = lambda i: f"<{_ID}{'' if i is None else i}>"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Target-URI: {' '.join(url.split())}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{_b32(hashlib.sha1(payload).digest())}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join(url.split())}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{_b32(hashlib.sha1(payload).digest())}"]
     head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"] if revisit else []
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -57,38 +61,60 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
         key, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("a header line without a colon")
-        found[key.strip().lower().decode()] = value.strip().decode()
+        found[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     return found
 
 
+def _check_digest(stated: str | None, data: bytes, what: str) -> None:
+    """Raises if a stated digest (algorithm:value, base 32 or hex) of a known algorithm is another than the data's."""
+    name, _, value = (stated or "").partition(":")
+    name = name.lower().replace("-", "")
+    if name in ("md5", "sha1", "sha256", "sha512"):
+        digest = hashlib.new(name, data).digest()
+        if value.upper().rstrip("=") not in (_b32(digest).rstrip("="), digest.hex().upper()):
+            raise ValueError(f"the {what} has another digest than its header says")
+
+
+def _page(name: str | None) -> int | None:
+    """The page of a record that this module has written; foreign records name none."""
+    number = (name or "").strip("<>").removeprefix(_ID)
+    return int(number) if number.isdecimal() and (name or "").strip("<>").startswith(_ID) else None
+
+
 def decode_record(data: bytes) -> dict:
-    """The fields of one record, after checks of its version, headers, lengths and digest."""
+    """The fields of one record, after checks of its version, headers, lengths and digests.
+
+    The payload of an HTTP message is its body and that of other records their block;
+    a revisit has none. Its size and digest are stated by its headers, if they are.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise ValueError("no WARC record")
     h = _headers(lines[1:])
-    if missing := {"warc-type", "warc-record-id", "content-length", "warc-payload-digest"} - h.keys():
+    if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - h.keys():
         raise ValueError(f"headers are missing: {', '.join(sorted(missing))}")
     n = int(h["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("the block has another length than its header says")
-    http, gap, payload = rest[:n].partition(b"\r\n\r\n")
-    if not gap:
-        raise ValueError("no HTTP headers")
-    size = int(_headers(http.split(b"\r\n")[1:])["content-length"])
-    number = lambda name: int(h[name].strip("<>").removeprefix(_ID) or -1) if h[name].strip("<>") != _ID else None
-    kind, digest, refers_to = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), None
-    if kind == "response":
-        if len(payload) != size:
-            raise ValueError("the payload has another length than its header says")
-        if _b32(hashlib.sha1(payload).digest()) != digest:
-            raise ValueError("the payload has another digest than its header says")
-    elif kind == "revisit":
-        refers_to, payload = number("warc-refers-to"), None
+    kind, payload, stated, size = h["warc-type"], rest[:n], h.get("warc-payload-digest"), None
+    _check_digest(h.get("warc-block-digest"), payload, "block")
+    if kind in ("response", "request", "revisit") and h.get("content-type", "application/http").startswith("application/http"):
+        http, gap, payload = payload.partition(b"\r\n\r\n")
+        if not gap and kind != "revisit":
+            raise ValueError("no HTTP headers")
+        fields = _headers(http.split(b"\r\n")[1:])
+        size = int(fields["content-length"]) if fields.get("content-length", "").isdecimal() and "transfer-encoding" not in fields else None
+    if kind == "revisit":
+        payload = None
     else:
-        raise ValueError(f"unknown record type {kind}")
-    return {"page_id": number("warc-record-id"), "url": h.get("warc-target-uri", ""), "record_type": kind, "refers_to": refers_to, "payload_bytes": size, "payload_digest": digest, "payload": payload}
+        if kind == "response" and size not in (None, len(payload)) and "warc-truncated" not in h:
+            raise ValueError("the payload has another length than its header says")
+        size = len(payload)
+        if "warc-truncated" not in h:
+            _check_digest(stated, payload, "payload")
+        stated = "sha1:" + _b32(hashlib.sha1(payload).digest())
+    return {"record_id": h["warc-record-id"].strip("<>"), "page_id": _page(h["warc-record-id"]), "url": h.get("warc-target-uri", ""), "record_type": kind, "refers_to": _page(h.get("warc-refers-to")), "payload_bytes": size, "payload_digest": stated and stated.rpartition(":")[2], "payload": payload}
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -156,7 +182,10 @@ def read_archive(content: bytes) -> Iterator[dict]:
         magic, size = struct.unpack_from("<II", content)
         if magic != DICTIONARY_MAGIC or 8 + size > len(content):
             raise ValueError("no dictionary frame in front")
-        plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8 : 8 + size]))
+        dictionary = content[8 : 8 + size]
+        if dictionary[:4] == ZSTD_MAGIC:  # the dictionary itself may be compressed
+            dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
+        plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     except (ValueError, struct.error, zstandard.ZstdError) as e:
         yield {"error": str(e)}
         return
@@ -182,14 +211,14 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     Digests and ids alone are grouped; only payloads that occur twice meet the pages.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("html"), F.unhex(F.sha1(payload)).alias("sha1"))
-    found = rows.groupBy("sha1", F.octet_length("html").alias("size")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    again = materialize(found.where((F.col("n") > 1) & (F.col("size") >= MIN_PAYLOAD)).select("sha1", "first_id"), "payloads")
-    return rows.join(again, "sha1", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("html"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    found = rows.groupBy("digest", F.octet_length("html").alias("size")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    again = materialize(found.where((F.col("n") > 1) & (F.col("size") >= MIN_PAYLOAD)).select("digest", "first_id"), "payloads")
+    return rows.join(again, "digest", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives (path, content) of about ``archive_bytes``, kept in the scratch folder."""
+def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
+    """Archives (path, content) of about ``archive_bytes``, kept in the scratch folder; ``date`` is when the pages were fetched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,7 +228,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
         for batch in batches:
             for page_id, url, html, first_id, revisit in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "first_id", "revisit"))):
                 writer = writer or ArchiveWriter()
-                writer.add(encode_record(page_id, url, html.encode(), first_id, revisit))
+                writer.add(encode_record(page_id, url, html.encode(), first_id, revisit, date))
                 if writer.size >= archive_bytes:
                     yield done()
                     writer, k = None, k + 1
@@ -212,7 +241,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
 def _one_response(rows: DataFrame) -> DataFrame:
     """Of rows that repeat the winning id as well, all but one become revisits."""
     twice = rows.where("first_id is not null and not revisit")
-    rank = F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url"))
+    rank = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
     return rows.where("first_id is null or revisit").unionByName(twice.withColumn("revisit", rank > 1))
 
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwright.llm import chat, exact_dedup, fingerprint, html_text, minhash, mixing, packing, pii, queries, toxicity, warc
 
@@ -177,6 +178,8 @@ def test_word_ids_match_the_tokenizer():
 
     table = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
     texts = [t for _, t, *_ in rows("documents")] + ["Don't it's  a b été İx ΣΑΣ. x.. y, 12.5, <|endoftext|> z<|startoftext|>q 中文 \U0001f600! \x1c \x85 ǅ ß. Straße, naïve’s we'll.", "", " \n\t\r\x0b\x0c "]
+    rng, letters = random.Random(14), [chr(c) for c in (0x61, 0x4D, 0xE9, 0x130, 0xDF, 0x3A3, 0x3C2, 0x1C5, 0x959, 0x95B, 0xB5C, 0xF43, 0x301, 0x30C, 0x1100, 0x1161, 0xAC00, 0x4E2D, 0x1E9B, 0x323, 0xFB01, 0x2126, 0x212B, 0x10D0, 0x2160)]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 4))) + rng.choice(["", ".", ",", "..", "1."]) for _ in range(200)) for _ in range(40)]
     for t in texts:
         assert np.frombuffer(table.encode(t), "<u4").tolist() == table.tokenizer.encode(t, add_special_tokens=False).ids
 
@@ -548,10 +551,27 @@ def test_chat_events(spark):
     turns = [("user", "Hi there\\"), ("assistant", "Ri<|xght\n"), ("us\ner\\n<|", "newer")]
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == chat_expected(turns) and got[None].n_turns == 1
     text = {r.conv_id: r for r in chats.collect()}[1]
-    assert [text.formatted[a:b] for a, b in text.loss_spans] == ["Ri<\\|xght\n"] and "".join(s.text for s in text.segments) == text.formatted
+    assert [text.formatted[s.start : s.end] for s in text.loss_spans] == ["Ri<\\|xght\n"]
+    # what is read back comes from the formatted text and its spans
+    changed = chats.where("conv_id = 1").withColumn("formatted", F.replace("formatted", F.lit("ght"), F.lit("GHT")))
+    assert chat.read_back(changed).first().loss_sha256 == hashlib.sha256(b"Ri<|xGHT\n").hexdigest()
     assert chat.read_back(chat.format_chats(events.limit(0))).count() == 0
 
 
+def test_chat_roles_and_streams(spark):
+    """Roles with any run of backslashes before a line break, long and repeated texts, and logs with drafts and edits."""
+    roles = ["\\" * n + "\n" + m for n in (0, 1, 2, 3, 2500, 2501) for m in ("", "n", "<\n", "<\\n", "<|")]
+    data = [(1, i, r, "x" * 40000 if i == 3 else f"t{i}\\<|im_end|>\n") for i, r in enumerate(roles)] + [(2, i, "assistant", None if i == 4 else "é" * i) for i in range(9)]
+    rows = spark.createDataFrame([(*x, 7) for x in data], "conv_id bigint, turn bigint, role string, text string, message int").select("conv_id", "turn", "role", "text")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.streamed(chat.events_of_rows(rows)))).collect()}
+    for c in (1, 2):
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == chat_expected([(role, t or "") for k, _, role, t in data if k == c])
+    again = [(5, 1, 1, "delta", "user", "a"), (5, 1, 1, "delta", "user", "a"), (5, 1, 2, "edit", "user", "b"), (5, 1, 2, "edit", "user", "b"), (5, 1, 3, "delta", "user", "c")]
+    r = chat.read_back(chat.format_chats(spark.createDataFrame(again, "conv_id bigint, message bigint, seq bigint, kind string, role string, text string"))).first()
+    assert r.turns_sha256 == chat_expected([("user", "bc")])[1]
+
+
 def test_fingerprint(spark):
     got = {r.doc_id: r for r in queries.op9_fingerprint(spark, SF).collect()}
     docs = sorted((i, t or "") for i, t, *_ in rows("documents"))
@@ -569,8 +589,6 @@ def test_fingerprint(spark):
 
 
 def test_sketches_merge(spark):
-    from pyspark.sql import functions as F
-
     base = spark.range(1).select(F.sequence(F.lit(1), F.lit(6000)).alias("x"), F.sequence(F.lit(3001), F.lit(9000)).alias("y"))
     hashed = base.select(*[F.transform(c, lambda v: F.xxhash64(v)).alias(c) for c in "xy"])
     s = hashed.select(*[fingerprint.smallest(F.col(c)).alias(c) for c in "xy"], fingerprint.smallest(F.concat("x", "y")).alias("both"))
@@ -620,11 +638,42 @@ def test_warc_finds_damage():
     assert [r["page_id"] for r in warc.read_archive(data)] == list(range(20))
     assert any(r.get("error") for r in warc.read_archive(data[:-10])) and [r["error"] for r in warc.read_archive(b"junk junk")] == ["no dictionary frame in front"]
     record = warc.encode_record(1, "u", b"abc", None, False)
+    assert warc.decode_record(record)["page_id"] == 1
     for broken in (record.replace(b"abc", b"abd"), record.replace(b"WARC/1.1", b"WARC/9"), record[:-5] + record[-4:], record.replace(b"WARC-Type", b"WARC-Tipe")):
         with pytest.raises(ValueError):
             warc.decode_record(broken)
 
 
+def test_warc_reads_foreign_archives():
+    """Records of other tools: types without HTTP, other digests or none, a compressed dictionary."""
+    import struct
+
+    import zstandard
+
+    def record(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:6c1b8a2e>", "WARC-Date: 2024-05-01T00:00:00Z", *more, f"Content-Length: {len(block)}", "", ""]
+        return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+    body, http = b"<p>hi</p>", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    digest = hashlib.sha256(body).hexdigest()
+    records = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI: http://a/", "Content-Type: application/http;msgtype=request"),
+        record("response", http + body, "WARC-Target-URI: http://a/", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"),
+        record("response", http + body, "Content-Type: application/http;msgtype=response"),
+        record("response", http + body, "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest[::-1]}"),
+        record("revisit", http, "Content-Type: application/http;msgtype=response", "WARC-Payload-Digest: sha1:ABC", "WARC-Refers-To: <urn:uuid:1>"),
+        record("metadata", b"a: b\r\n"), record("resource", body, "Content-Type: text/html"),
+    ]
+    dictionary = b"".join(records)[:2000]
+    frames = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).compress(r) for r in records]
+    for inner in (dictionary, zstandard.ZstdCompressor().compress(dictionary)):
+        got = list(warc.read_archive(struct.pack("<II", warc.DICTIONARY_MAGIC, len(inner)) + inner + b"".join(frames)))
+        assert [r.get("record_type") for r in got] == ["warcinfo", "request", "response", "response", None, "revisit", "metadata", "resource"]
+        assert got[2]["payload"] == got[3]["payload"] == got[7]["payload"] == body and "digest" in got[4]["error"]
+        assert all(r["page_id"] is None and r["record_id"] == "urn:uuid:6c1b8a2e" for r in got if "error" not in r) and got[5]["payload_digest"] == "ABC" and got[5]["payload"] is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

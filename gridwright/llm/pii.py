@@ -1,14 +1,17 @@
 """Format-preserving pseudonyms for personal data by a keyed Feistel network.
 
-Card numbers, account numbers (IBAN), phone numbers, social security numbers, IP
-addresses, dates and e-mail addresses are found and validated: cards by the Luhn
-digit, IBANs by their remainder of 97, addresses by the range of their parts,
-dates by the calendar. A value is then permuted among all values of its format
+Card numbers, account numbers (IBAN), phone numbers (international, national and
+local), social security numbers, IP addresses of both versions, dates (by numbers or
+with a month's name), e-mail addresses and secrets (tokens of known forms, and what
+stands behind words such as token or password) are found and validated: cards by the
+Luhn digit, IBANs by their remainder of 97, addresses by their parts, dates by the
+calendar. A day has the same pseudonym in every spelling of dates. A value is then permuted among all values of its format
 under a secret key: its digits and letters are the digits of a number in mixed
 radix, halves of which a Feistel network adds keyed hashes of each other to. What
 makes a value valid is kept, so pseudonyms pass the same checks, and a value has
 the same pseudonym in every document. With the key, ``restore`` takes it back
-(days and months of one digit come back with two), by the places in ``found``.
+(days and months of one digit come back with two, IPv6 letters in one case), by the
+places in ``found``.
 
 A card is looked for among the digit groups of a match: in groups as cards have
 them first, so an expiry, a CVV or a number beside it doesn't count, then the match
@@ -28,20 +31,32 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import string
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
 
 ROUNDS = 10
-#: For tests and demonstrations; a real run passes a secret of its own.
+#: Where a run's secret is configured; Spark hides settings of such names.
+KEY_SETTING = "spark.gridwright.pii.secret"
+#: For tests and demonstrations; a real run has a secret of its own.
 DEMO_KEY = b"a key that is not secret"
-KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
+KINDS = ("email", "secret", "iban", "ipv6", "ip", "date", "mdy", "month", "ssn", "card", "phone")
+#: Names of months by language; "en3" is the short English form. Fixed values.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "en3": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
 RESULT = "doc_id bigint, text string, n_found int, found array<struct<kind:string,start:int,end:int,pseudonym:string>>"
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -80,12 +95,13 @@ def permute(value: int, a: int, b: int, key: bytes, kind: str, back: bool = Fals
     return left * b + right
 
 
-def permute_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
-    """Letters and digits permuted within their alphabets, all other characters in their places."""
-    at = [i for i, c in enumerate(text) if _alphabet(c)]
+def permute_text(text: str, key: bytes, kind: str, back: bool = False, among: str = "") -> str:
+    """Letters and digits permuted within their alphabets (or ``among``), all other characters in their places."""
+    own = (lambda c: among if c in among else "") if among else _alphabet
+    at = [i for i, c in enumerate(text) if own(c)]
     value, sizes = 0, [1, 1]
     for n, i in enumerate(at):
-        alphabet = _ALPHABETS[text[i]]
+        alphabet = own(text[i])
         value = value * len(alphabet) + alphabet.index(text[i])
         sizes[2 * n >= len(at)] *= len(alphabet)
     if len(at) > 1:
@@ -96,8 +112,8 @@ def permute_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
         value = (value + (-step if back else step)) % size
     out = list(text)
     for i in reversed(at):
-        value, k = divmod(value, len(_ALPHABETS[text[i]]))
-        out[i] = _ALPHABETS[text[i]][k]
+        value, k = divmod(value, len(own(text[i])))
+        out[i] = own(text[i])[k]
     return "".join(out)
 
 
@@ -152,12 +168,15 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    n = len(_only(text))
-    if not 7 <= n <= 15:
+    n, local = len(_only(text)), len(text) == 8 and text[3] == "-"
+    if not 7 <= n <= (20 if text[0] == "+" else 15):
         return None
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)  # the country's code stays
-    at = head.end() if head else 0
-    return text[:at] + permute_text(text[at:], key, "phone", back)
+    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|\(?0*", text)  # the country's code and zeros in front stay
+    rest = text[head.end() :]
+    if head[0][:1] == "+":
+        return head[0] + permute_text(rest, key, "phone", back)
+    valid = lambda x: re.match("[2-9]" if local else r"\D*[1-9]", x) is not None
+    return head[0] + _walk(rest, key, "local" if local else "phone", back, valid) if valid(rest) else None
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
@@ -168,32 +187,78 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def _date(text: str, key: bytes, back: bool) -> str | None:
-    a, mark, b, _, c = re.split(r"([-/.])", text)
-    if len(a) == 4:
-        order = (0, 1, 2)
-    elif mark == "/" and int(b) > 12:
-        order = (2, 0, 1)
-    else:
-        order = (2, 1, 0)  # day first, unless only month first gives a date
+def _day(day: datetime.date, key: bytes, back: bool) -> datetime.date | None:
+    """The pseudonym of a day among those from 1900 to 2099."""
+    n = day.toordinal() - _FIRST_DAY
+    if not 0 <= n < _DAYS:
+        return None
+    n = permute(n, 271, 270, key, "date", back)  # 73,170 numbers hold all days
+    while n >= _DAYS:
+        n = permute(n, 271, 270, key, "date", back)
+    return datetime.date.fromordinal(n + _FIRST_DAY)
+
+
+def _numbers(text: str, order: tuple[int, int, int], key: bytes, back: bool) -> str | None:
+    parts = re.split(r"[-/.]", text)
     try:
-        day = datetime.date(*(int((a, b, c)[i]) for i in order)).toordinal() - _FIRST_DAY
+        new = _day(datetime.date(*(int(parts[i]) for i in order)), key, back)
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    if new is None:
         return None
-    parts = [a, b, c]
-    while True:
-        day = permute(day, 271, 270, key, "date", back)  # 73,170 numbers hold all days
-        if day >= _DAYS:
-            continue
-        new = datetime.date.fromordinal(day + _FIRST_DAY)
-        # in two-digit places a pseudonym must be read as the same order of parts
-        if order != (2, 0, 1) or new.day > 12:
-            break
     for i, x in zip(order, (new.year, new.month, new.day)):
         parts[i] = f"{x:0{len(parts[i])}d}" if len(parts[i]) > 1 else f"{x:02d}"
-    return mark.join(parts)
+    return re.search(r"[-/.]", text)[0].join(parts)
+
+
+def _date(text: str, key: bytes, back: bool) -> str | None:
+    """Year first, or day first."""
+    return _numbers(text, (0, 1, 2) if text[:4].isdecimal() else (2, 1, 0), key, back)
+
+
+def _mdy(text: str, key: bytes, back: bool) -> str | None:
+    """Month first, where day first gives no date; its pseudonym keeps this order, whatever its day."""
+    return _numbers(text, (2, 0, 1), key, back) if back or int(text.split("/")[1]) > 12 else None
+
+
+def _month(text: str, key: bytes, back: bool, style: str = "") -> tuple[str, str] | None:
+    """A date with a month's name: its pseudonym, and the list of names it is written with."""
+    found = next(m for m in re.finditer(r"[^\W\d_]+", text) if not re.fullmatch("st|nd|rd|th|of|de", m[0], re.I))
+    name, number = found[0], re.compile(r"\d+")
+    style = style or next((k for k, names in MONTHS.items() if name.lower() in [x.lower() for x in names]), "")
+    day, year = number.findall(text)
+    try:
+        new = _day(datetime.date(int(year), [x.lower() for x in MONTHS[style]].index(name.lower()) + 1, int(day)), key, back)
+    except (ValueError, KeyError):
+        return None
+    if new is None:
+        return None
+    other = MONTHS[style][new.month - 1]
+    other = other.lower() if name.islower() else other.upper() if name.isupper() else other[0].upper() + other[1:]
+    out = text[: found.start()] + "\0" + text[found.end() :]
+    out = re.sub(r"(\d{1,2})(st|nd|rd|th)?(?!\d)", lambda m: f"{new.day}{m[2] and ('th' if 10 < new.day < 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(new.day % 10, 'th')) or ''}", out, count=1)
+    out = re.sub(r"\d{4}", f"{new.year:04d}", out, count=1)
+    return out.replace("\0", other), style
+
+
+def _ipv6(text: str, key: bytes, back: bool) -> str | None:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if sum(c in string.hexdigits for c in text) < 8:  # 1::2 is more often something else
+        return None
+    return permute_text(text, key, "ipv6", back, "0123456789ABCDEF") if text.upper() == text else permute_text(text.lower(), key, "ipv6", back, "0123456789abcdef")
+
+
+def _secret(text: str, key: bytes, back: bool) -> str | None:
+    """Labels and the prefixes of known forms stay; hexadecimal values stay hexadecimal."""
+    head = _SECRET_HEAD.match(text).end()
+    value = text[head:]
+    if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return None
+    among = next((x for x in ("0123456789abcdef", "0123456789ABCDEF") if not set(value) - set(x)), "")
+    return text[:head] + permute_text(value, key, "secret", back, among)
 
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
@@ -201,18 +266,33 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
     return permute_text(name, key, "email", back) + "@" + host
 
 
+_NAMES = "|".join(sorted({x for names in MONTHS.values() for x in names}, key=len, reverse=True))
+_SECRET_HEAD = re.compile(r"""(?i:[\w-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)|AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[abprs]-|AIza|eyJ|""")
 _FIND = {
     "email": r"[^\W_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "secret": r"""(?<!\w)(?i:[\w-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)[^\s"',;<>]{8,}|(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?!\w)""",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!(?!T\d)\w|[/-]|\.\d)",
+    "mdy": r"(?<![\w./-])\d{1,2}/\d{1,2}/\d{4}(?!(?!T\d)\w|[/-]|\.\d)",
+    "month": rf"(?<![\w.])(?:\d{{1,2}}(?:st|nd|rd|th|\.)? (?:of |de )?(?i:{_NAMES})\.?,? (?:de )?\d{{4}}|(?i:{_NAMES})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
+    "phone": r"(?<![\w.])(?:(?:\+|00(?=[1-9]))\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,7}|\(0\d{1,4}\) ?\d{2,8}(?:[ -]\d{2,5}){0,3}|0[1-9]\d{1,3}[ /-]\d{5,8}|0[1-9]\d{1,3}(?:[ /-]\d{2,4}){2,4}|(?<!-)\d{3}-\d{4}(?!-)|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _FIND.items()))
 _MAYBE = re.compile("[0-9@]")
-_CHANGE = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
+_CHANGES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "ipv6": _ipv6, "date": _date, "mdy": _mdy}
+
+
+def change(kind: str, text: str, key: bytes, back: bool) -> tuple[str, str] | None:
+    """The kind (with the way a date is written, as in ``month:de``) and pseudonym of a value; None if it is not valid."""
+    if kind.startswith("month"):
+        new = _month(text, key, back, kind.partition(":")[2])
+        return new and (f"month:{new[1]}", new[0])
+    new = _CHANGES[kind](text, key, back)
+    return None if new is None else (kind, new)
 
 
 _EACH = {k: re.compile(p) for k, p in _FIND.items()}
@@ -245,14 +325,12 @@ def _inside(text: str, start: int, end: int, kinds: tuple[str, ...], key: bytes,
             m = _EACH[kind].match(text, start + low)
             ends = [start + high for at, high in reversed(groups) if at >= low] if kind in ("iban", "phone") else []
             for stop in [m.end()] if m and m.end() <= end else []:
-                new = _CHANGE[kind](m[0], key, back)
-                if new is not None:
-                    return kind, start + low, stop, new
+                if new := change(kind, m[0], key, back):
+                    return new[0], start + low, stop, new[1]
             for stop in ends if m else []:
                 part = _EACH[kind].fullmatch(text, start + low, stop)
-                new = _CHANGE[kind](part[0], key, back) if part else None
-                if new is not None:
-                    return kind, start + low, stop, new
+                if part and (new := change(kind, part[0], key, back)):
+                    return new[0], start + low, stop, new[1]
     return None
 
 
@@ -264,22 +342,20 @@ def _values(text: str, m: re.Match, again: bool, key: bytes, back: bool) -> list
     card = lambda runs: [("card", *r) for r in runs]
     tried = card(usual) + whole * (not again) + card(other) if kind == "card" else whole
     for k, low, high in tried:
-        new = _CHANGE[k](text[low:high], key, back)
-        if new is not None:
-            return [*_others(text, start, low, key, back), (k, low, high, new)]
+        if new := change(k, text[low:high], key, back):
+            return [*_others(text, start, low, key, back), (new[0], low, high, new[1])]
     part = _others(text, start, end, key, back)
     if not part and kind != "card":
         for k, low, high in card(usual + other):
-            new = _CHANGE[k](text[low:high], key, back)
-            if new is not None:
-                return [(k, low, high, new)]
+            if new := change(k, text[low:high], key, back):
+                return [(new[0], low, high, new[1])]
     return part
 
 
 def _others(text: str, start: int, end: int, key: bytes, back: bool) -> list[tuple[str, int, int, str]]:
     """Valid values of other kinds than cards between two places."""
     found = []
-    while start < end and (one := _inside(text, start, end, ("iban", "ip", "date", "ssn", "phone"), key, back)):
+    while start < end and (one := _inside(text, start, end, ("iban", "ipv6", "ip", "date", "mdy", "month", "ssn", "phone"), key, back)):
         found.append(one)
         start = one[2]
     return found
@@ -310,7 +386,7 @@ def restore_text(text: str, found: list[dict], key: bytes = DEMO_KEY) -> tuple[s
     for f in found:
         low = f["start"] + shift
         high = low + len(f["pseudonym"])
-        old = _CHANGE[f["kind"]](text[low:high], key, True)
+        old = change(f["kind"], text[low:high], key, True)[1]
         out += [text[end:low], old]
         back.append({"kind": f["kind"], "start": low, "end": high, "pseudonym": old})
         shift += high - low - (f["end"] - f["start"])
@@ -337,6 +413,11 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["found"] if known else [])).mapInArrow(run, RESULT)
 
 
+def configured_key(spark: SparkSession) -> bytes:
+    """The secret in KEY_SETTING, or the key for demonstrations where none is set."""
+    return spark.conf.get(KEY_SETTING, DEMO_KEY.decode()).encode()
+
+
 def restore(pseudonyms: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """The original texts, with the key."""
     return pseudonymise(pseudonyms, key, back=True)

@@ -22,7 +22,6 @@ FEATURE_COLOURS = {
 DEFAULT_COLOUR = "#888888"
 DEFAULT_MAP_COLOUR = "#FFFFFF"
 PALETTE = [(0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0)]
-LAYERS = {1: "built_up", 2: "road", 3: "water", 4: "utility"}
 LAYER_FILES = {
     False: ["Built_Up_Area_type.shp", "Road.shp", "Water_Body.shp", "Utility_Poly.shp"],
     True: ["Built_Up_Area_typ.shp", "Road.shp", "Water_Body.shp", "Utility_Poly_.shp"],
@@ -40,8 +39,8 @@ TILE_KEEP_SHARE = 0.01
 MAX_UPLOAD_BYTES = 6 * 1024**3
 PART_BYTES = 8 * 1024 * 1024
 TTL_SECONDS = 86_400
-UPLOAD_TTL_SECONDS = 3_600
 PING_SECONDS = 15
 DEFAULT_CRS = "EPSG:4326"
 UNKNOWN_CRS = "Unknown"
 DEFAULT_CENTRE = (20.5937, 78.9629)
+MAP_ZOOM = (14, 5)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .constants import DEFAULT_CENTRE, DEFAULT_CRS
+from .constants import DEFAULT_CENTRE, DEFAULT_CRS, MAP_ZOOM
 from .numbers import round_half_up
 
 A, K0, FALSE_EASTING, FALSE_NORTHING = 6378137.0, 0.9996, 500_000.0, 10_000_000.0
@@ -68,6 +68,13 @@ def apply_transform(transform: Column, col: Column, row: Column) -> tuple[Column
     return t[0] + col * t[1] + row * t[2], t[3] + col * t[4] + row * t[5]
 
 
+def geo_to_pixel(point: Column, transform: Column) -> Column:
+    """[col, row] of a struct<x, y> under the inverse of (x0, x_res, row_rot, y0, col_rot, y_res)."""
+    x0, xr, rr, y0, cr, yr = (F.element_at(transform, i) for i in range(1, 7))
+    dx, dy, size = point["x"] - x0, point["y"] - y0, xr * yr - rr * cr
+    return F.array((yr * dx - rr * dy) / size, (xr * dy - cr * dx) / size)
+
+
 def bbox_ring(x1: Column, y1: Column, x2: Column, y2: Column, transform: Column, digits: int = 8) -> Column:
     """The closed ring of a box: (x1,y1), (x2,y1), (x2,y2), (x1,y2), (x1,y1)."""
     corners = ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))
@@ -138,13 +145,62 @@ def wgs84_to_utm(lng: Column, lat: Column, zone: Column, south: Column) -> Colum
 
 def to_wgs84(x: Column, y: Column, crs: Column) -> Column:
     """struct<lng, lat>; a system that isn't known leaves the numbers as they are."""
-    name = normalise_crs(crs)
-    code = F.try_to_number(F.regexp_extract(name, r"^EPSG:(\d{4,5})$", 1), F.lit("99999")).cast("int")
+    code = _code(crs)
     zone, south = F.pmod(code, F.lit(100)), code.between(32701, 32760)
     pair = lambda p: F.struct(p[0].alias("lng"), p[1].alias("lat"))
     return F.when(code == 3857, pair(mercator_to_wgs84(x, y))).when(code.between(32601, 32660) | south, utm_to_wgs84(x, y, zone, south)).otherwise(pair((x, y)))
 
 
+def _code(crs: Column) -> Column:
+    return F.try_to_number(F.regexp_extract(normalise_crs(crs), r"^EPSG:(\d{4,5})$", 1), F.lit("99999")).cast("int")
+
+
+def from_wgs84(lng: Column, lat: Column, crs: Column) -> Column:
+    """struct<x, y> in a system; one that isn't known leaves the numbers as they are."""
+    code = _code(crs)
+    zone, south = F.pmod(code, F.lit(100)), code.between(32701, 32760)
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    mercator = pair(F.radians(lng) * A, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * A)
+    return F.when(code == 3857, mercator).when(code.between(32601, 32660) | south, wgs84_to_utm(lng, lat, zone, south)).otherwise(pair(lng, lat))
+
+
+def reproject(x: Column, y: Column, crs: Column, to: Column) -> Column:
+    """struct<x, y> of a point in another system; in the same one it stays as it is, to the last digit."""
+    there = to_wgs84(x, y, crs)
+    return F.when(normalise_crs(crs) == normalise_crs(to), F.struct(x.alias("x"), y.alias("y"))).otherwise(from_wgs84(there["lng"], there["lat"], to))
+
+
+def crs_of_wkt(wkt: Column) -> Column:
+    """The system that a .prj text names: its own EPSG code, a UTM zone on WGS 84, web Mercator or WGS 84."""
+    own = F.regexp_extract(wkt, r'AUTHORITY\["EPSG",\s*"?(\d+)"?\]\]\s*$', 1)
+    zone, side = F.regexp_extract(wkt, r"(?i)^PROJCS\[.WGS[_ ]*(?:19)?84[ _/]*UTM[_ ]zone[_ ](\d+)([NS])", 1), F.upper(F.regexp_extract(wkt, r"(?i)UTM[_ ]zone[_ ]\d+([NS])", 1))
+    utm = F.concat(F.lit("EPSG:32"), F.when(side == "S", "7").otherwise("6"), F.lpad(zone, 2, "0"))
+    named = F.when(own != "", F.concat(F.lit("EPSG:"), own)).when(zone != "", utm).when(wkt.rlike("(?i)^PROJCS.*(pseudo|auxiliary|web).?mercator|auxiliary_sphere"), F.lit("EPSG:3857"))
+    return F.coalesce(named, F.lit(DEFAULT_CRS))
+
+
+def with_wgs84(df: DataFrame, x: Column, y: Column, crs: Column) -> DataFrame:
+    """Adds lng and lat. The steps are columns of their own, so each is computed once and in generated code."""
+    code, south = F.col("_code"), F.col("_code").between(32701, 32760)
+    rows = df.withColumns({"_x": x, "_y": y, "_code": _code(crs)})
+    north = F.when(south, F.lit(FALSE_NORTHING)).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"_xi": (F.col("_y") - north) / (K0 * _RADIUS), "_eta": (F.col("_x") - FALSE_EASTING) / (K0 * _RADIUS)})
+    xi, eta = F.col("_xi"), F.col("_eta")
+    for j, b in enumerate(BETA, 1):
+        xi = xi - b * F.sin(F.col("_xi") * 2 * j) * F.cosh(F.col("_eta") * 2 * j)
+        eta = eta - b * F.cos(F.col("_xi") * 2 * j) * F.sinh(F.col("_eta") * 2 * j)
+    utm = code.between(32601, 32660) | south
+    rows = rows.withColumns({"_xi1": F.when(utm, xi), "_eta1": F.when(utm, eta)})
+    rows = rows.withColumns({"_lam": F.degrees(F.atan2(F.sinh("_eta1"), F.cos("_xi1"))), "_chi": F.asin(F.sin("_xi1") / F.cosh("_eta1"))})
+    lat = F.col("_chi")
+    for j, d in enumerate(DELTA, 1):
+        lat = lat + d * F.sin(F.col("_chi") * 2 * j)
+    mx, my = mercator_to_wgs84(F.col("_x"), F.col("_y"))
+    pick = lambda mercator, own, as_is: F.when(code == 3857, mercator).when(utm, own).otherwise(as_is)
+    placed = rows.withColumns({"lng": pick(mx, F.pmod(code, F.lit(100)) * 6 - 183 + F.col("_lam"), F.col("_x")), "lat": pick(my, F.degrees(lat), F.col("_y"))})
+    return placed.drop("_x", "_y", "_code", "_xi", "_eta", "_xi1", "_eta1", "_lam", "_chi")
+
+
 def ring_to_lat_lng(ring: Column, crs: Column) -> Column:
     """[[lat, lng], ...] of a ring of [x, y]."""
 
@@ -159,18 +215,13 @@ def bounds_to_lat_lng(left: Column, bottom: Column, right: Column, top: Column,
     return F.when(left.isNotNull() & bottom.isNotNull() & right.isNotNull() & top.isNotNull(), box)
 
 
+def map_zoom(bounds: Column) -> Column:
+    """How close a map starts: near where there are bounds, far else."""
+    return F.when(bounds.isNull(), MAP_ZOOM[1]).otherwise(MAP_ZOOM[0])
+
+
 def centre_of(bounds: Column) -> Column:
     """[lat, lng] in the middle of bounds, or the default centre."""
     middle = F.array((bounds[0][0] + bounds[1][0]) / 2, (bounds[0][1] + bounds[1][1]) / 2)
     return F.when(bounds.isNull(), F.array(*map(F.lit, DEFAULT_CENTRE))).otherwise(middle)
 
-
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a closed ring of [x, y], by the parity of edges to its right."""
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def crosses(e: Column) -> Column:
-        (x1, y1), (x2, y2) = (e["a"][0], e["a"][1]), (e["b"][0], e["b"][1])
-        return ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * F.try_divide(x2 - x1, y2 - y1))
-
-    return F.size(F.filter(edges, crosses)) % 2 == 1

@@ -12,10 +12,6 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
-def ceil_div(n: Column, size: int) -> Column:
-    return F.floor((n + F.lit(size - 1)) / F.lit(size)).cast("int")
-
-
 def progress_percent(done: Column, total: Column) -> Column:
     """Two digits; a job without chunks has none."""
     return round_half_up(F.try_divide(done, total) * F.lit(100.0), 2)

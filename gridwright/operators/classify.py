@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import DEFAULT_COLOUR, FEATURE_CLASSES, FEATURE_COLOURS, PALETTE
+from ..functions.constants import DEFAULT_COLOUR, DEFAULT_MAP_COLOUR, FEATURE_CLASSES, FEATURE_COLOURS, PALETTE
 
 
 def argmax_class(scores: Column) -> Column:
@@ -41,26 +42,50 @@ def colour_of(feature: Column, colours: dict[str, str] = FEATURE_COLOURS, defaul
     return F.coalesce(F.try_element_at(known, feature), F.lit(default))
 
 
+def map_colour(feature: Column, colours: dict[str, str] = FEATURE_COLOURS) -> Column:
+    """The colour on a map, whose default is another one."""
+    return colour_of(feature, colours, DEFAULT_MAP_COLOUR)
+
+
 def remap_mask(class_id: Column) -> Column:
     """Training masks: class 4 becomes background."""
     return F.when(class_id == 4, F.lit(0)).otherwise(class_id)
 
 
-def score_chunks(chunks: DataFrame, load: Callable[[], Callable[[list], list]], pixels: str = "pixels") -> DataFrame:
-    """Adds ``scores``: what a model gives for each chunk's bands.
+def score_chunks(chunks: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: dict[str, list[int]] = FEATURE_CLASSES) -> DataFrame:
+    """(path, chunk_id, cr, cc, h, w, geo_transform, crs, y, x, class_id): the mapped pixels of each chunk's mask.
 
-    ``load`` runs once per task and returns the scoring function, so a model is
-    loaded once and fed in Arrow batches.
+    ``load`` runs once per task and returns the model: from float32 bands (bands,
+    height, width) to class ids (height, width). Bands are views of Arrow's buffers,
+    and pixels whose class isn't mapped never leave the task. A chunk that wasn't
+    read, or that the model fails on, has no pixels: it doesn't end the job.
     """
+    mapped = np.array(sorted({i for ids in classes.values() for i in ids}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            scores = [model(x) for x in batch[pixels].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.list_(pa.float64()))], names=[*batch.schema.names, "scores"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    return chunks.mapInArrow(run, f"{schema}, scores array<double>")
+            for k in range(len(batch)):
+                path, name, window, pixels, there, crs = (batch[c][k] for c in ("path", "chunk_id", "window", "pixels", "geo_transform", "crs"))
+                h, w = window["height"].as_py(), window["width"].as_py()
+                bands = pixels.values
+                if not len(bands):
+                    continue
+                try:
+                    mask = np.asarray(model(bands.flatten().to_numpy(zero_copy_only=False).reshape(len(bands), h, w)))
+                except (ValueError, ArithmeticError, RuntimeError, IndexError):
+                    continue
+                y, x = np.nonzero(np.isin(mask, mapped))
+                cr, cc = map(int, name.as_py().split("_"))
+                n = len(y)
+                same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+                yield pa.RecordBatch.from_arrays([
+                    same(path.as_py(), pa.string()), same(name.as_py(), pa.string()), *(same(v, pa.int32()) for v in (cr, cc, h, w)), same(there.as_py(), pa.list_(pa.float64())), same(crs.as_py(), pa.string()),
+                    pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(mask[y, x].astype(np.int32)),
+                ], names=["path", "chunk_id", "cr", "cc", "h", "w", "geo_transform", "crs", "y", "x", "class_id"])
+
+    schema = "path string, chunk_id string, cr int, cc int, h int, w int, geo_transform array<double>, crs string, y int, x int, class_id int"
+    return chunks.where("error is null").select("path", "chunk_id", "window", "pixels", "geo_transform", "crs").mapInArrow(run, schema)
 
 
 def mask_metrics(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -69,3 +94,8 @@ def mask_metrics(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     sides = pairs.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("class_id"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("predicted").alias("class_id"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), (F.col("truth") == F.col("predicted")).cast("int").alias("hit"))
     sums = sides.groupBy(*by, F.col("s.class_id").alias("class_id")).agg(F.sum("s.t").alias("truth_px"), F.sum("s.p").alias("predicted_px"), F.sum(F.col("hit") * F.col("s.t")).alias("both_px"))
     return sums.withColumn("iou", F.try_divide(F.col("both_px"), F.col("truth_px") + F.col("predicted_px") - F.col("both_px")))
+
+
+def mean_loss(steps: DataFrame) -> DataFrame:
+    """(epoch, steps, loss): the mean loss of each epoch of (epoch, loss)."""
+    return steps.groupBy("epoch").agg(F.count("loss").alias("steps"), F.avg("loss").alias("loss"))

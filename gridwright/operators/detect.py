@@ -29,20 +29,41 @@ def detect(
     """
     mapped = map_classes(mask, classes)
     windows = assign_windows(mapped, size, overlap)
-    parts = label_components(windows, ["image_id", "cr", "cc", "h", "w", "feature_type", "feature_pos"]).where(F.col("area") >= min_area)
     r0, c0 = (F.greatest(F.lit(0), F.col(k) * size - overlap) for k in ("cr", "cc"))
-    placed = parts.withColumns({"confidence": confidence(F.col("area"), F.col("h") * F.col("w")), "transform": geo.window_transform(transform, c0, r0)}).where(F.col("confidence") >= threshold)
-    return placed.select(
-        "image_id", "cr", "cc", "feature_pos", "component", "feature_type", "confidence", F.format_string("%d_%d", "cr", "cc").alias("chunk_id"),
+    found = _objects(windows, ["image_id"], min_area, threshold).withColumns({"transform": geo.window_transform(transform, c0, r0), "crs": F.lit(crs)})
+    return _placed(found, ["image_id"])
+
+
+def detect_scored(scored: DataFrame, min_area: int = MIN_AREA, threshold: float = THRESHOLD, classes: dict[str, list[int]] = FEATURE_CLASSES) -> DataFrame:
+    """Detections of classify.score_chunks: by file, each chunk in its own place."""
+    found = _objects(map_classes(scored, classes), ["path", "crs", "geo_transform"], min_area, threshold)
+    return _placed(found.withColumnRenamed("geo_transform", "transform"), ["path"])
+
+
+def _objects(windows: DataFrame, by: list[str], min_area: int, threshold: float) -> DataFrame:
+    """Components of features that are large enough, with their confidence."""
+    parts = label_components(windows, [*by, "cr", "cc", "h", "w", "feature_type", "feature_pos"]).where(F.col("area") >= min_area)
+    return parts.withColumn("confidence", confidence(F.col("area"), F.col("h") * F.col("w"))).where(F.col("confidence") >= threshold)
+
+
+def _placed(found: DataFrame, by: list[str]) -> DataFrame:
+    return found.select(
+        *by, "cr", "cc", "feature_pos", "component", "feature_type", "confidence", F.format_string("%d_%d", "cr", "cc").alias("chunk_id"),
         F.array("x1", "y1", "x2", "y2").alias("pixel_bbox"), geo.bbox_ring(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("transform")).alias("geo_polygon"),
-        F.lit(crs).alias("crs"), F.col("area").alias("area_px"), colour_of(F.col("feature_type")).alias("colour"),
+        "crs", F.col("area").alias("area_px"), colour_of(F.col("feature_type")).alias("colour"),
     )
 
 
-def number_detections(found: DataFrame) -> DataFrame:
-    """Adds seq, the order in which an image's detections appear: chunk, feature, first pixel."""
-    order = Window.partitionBy("image_id").orderBy("cr", "cc", "feature_pos", "component")
-    return found.withColumn("seq", F.row_number().over(order))
+def number_detections(found: DataFrame, image: str = "image_id") -> DataFrame:
+    """Adds seq, the order in which an image's detections appear: chunk, feature, first pixel.
+
+    Detections are numbered within their chunk; the window over an image sees one
+    row for each of its chunks.
+    """
+    within = Window.partitionBy(image, "cr", "cc").orderBy("feature_pos", "component")
+    before = Window.partitionBy(image).orderBy("cr", "cc").rowsBetween(Window.unboundedPreceding, -1)
+    first = found.groupBy(image, "cr", "cc").agg(F.count("*").alias("n")).select(image, "cr", "cc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return found.withColumn("seq", F.row_number().over(within)).join(first, [image, "cr", "cc"]).withColumn("seq", (F.col("seq") + F.col("_before")).cast("int")).drop("_before")
 
 
 def of_feature(found: DataFrame, feature: str | None) -> DataFrame:

@@ -40,6 +40,22 @@ def refused_jobs(requests: DataFrame, uploads: DataFrame) -> DataFrame:
     return requests.join(uploads.select("upload_id"), "upload_id", "left_anti")
 
 
+def start_status(requests: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Adds the status of requests to start a job: 404 without an upload, 400 if it is not ready, else 200."""
+    joined = requests.join(uploads.select("upload_id", F.col("status").alias("_status")), "upload_id", "left")
+    return joined.withColumn("http_status", F.when(F.col("_status").isNull(), 404).when(F.col("_status") != "ready", 400).otherwise(200)).drop("_status")
+
+
+def stamped(documents: DataFrame, written: str = "updated_at") -> DataFrame:
+    """Adds the time of writing, in seconds with a fraction, as alive() reads it."""
+    return documents.withColumn(written, F.unix_micros(F.current_timestamp()) / F.lit(1e6))
+
+
+def with_id(documents: DataFrame, name: str = "job_id") -> DataFrame:
+    """Adds a random id; write the result before using it twice, as ids are drawn anew in each run."""
+    return documents.withColumn(name, F.uuid())
+
+
 def progress(messages: DataFrame) -> DataFrame:
     """Adds chunks_done, detections_found and progress to chunk messages (job_id, seq, total_chunks, n_det)."""
     order = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -123,5 +123,5 @@ def resize_nearest(pixels: DataFrame, height: int, width: int, to_height: int, t
     """(image_id, r, c, v) at another size by the pixel that each target pixel's corner falls in."""
     images = pixels.select("image_id").distinct()
     grid = images.withColumn("tr", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("tc", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
-    pick = lambda t, to, dim: F.least(F.floor(t * (dim / to)).cast("int"), F.lit(dim - 1))
+    pick = lambda t, to, dim: F.least(F.floor(t * dim / to).cast("int"), F.lit(dim - 1))
     return grid.withColumns({"r": pick(F.col("tr"), to_height, height), "c": pick(F.col("tc"), to_width, width)}).join(pixels, ["image_id", "r", "c"]).select("image_id", "tr", "tc", "v")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.constants import LAYER_FILES, TILE_KEEP_SHARE, TILE_SIZE, TILE_STRIDE
-from ..functions.geo import in_ring
 from .raster import tiles_of
 
 
-
 def usable(path: Column) -> Column:
     """.tif files of any case whose path has no .ecw, .aux or .pyrx, and that the builder has not written itself."""
     low = F.lower(path)
@@ -26,23 +27,41 @@ def layer_files(region: str) -> list[str]:
     return LAYER_FILES[region == "PB"]
 
 
+def to_pixels(layers: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, geom_id, layer_val, ring in pixels): layers (region, layer_val, geom_id, ring, crs) on images (image_id, path, crs, transform, height, width).
+
+    An image meets the layers of its region. Rings are brought into the image's
+    system and through its inverse transform; those outside the image end here.
+    """
+    placed = images.withColumn("region", region_of(F.col("path"))).select("image_id", "region", F.col("crs").alias("image_crs"), "transform", "height", "width")
+    pairs = layers.where("ring is not null").join(placed, "region")
+    there = lambda p: geo.geo_to_pixel(geo.reproject(p[0], p[1], F.col("crs"), F.col("image_crs")), F.col("transform"))
+    moved = pairs.withColumn("ring", F.transform("ring", there))
+    low, high = (lambda k: F.array_min(F.transform("ring", lambda p: p[k]))), (lambda k: F.array_max(F.transform("ring", lambda p: p[k])))
+    on = (low(0) < F.col("width")) & (high(0) > 0) & (low(1) < F.col("height")) & (high(1) > 0)
+    return moved.where(on).select("image_id", "geom_id", "layer_val", "ring")
+
+
 def rasterise(polygons: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, r, c, layer_val) of pixels whose centres lie in a polygon (image_id, layer_val, ring in pixels).
+    """(image_id, r, c, layer_val) of pixels whose centres lie in a polygon (image_id, layer_val, geom_id, ring in pixels).
 
-    Each polygon lists the rows it crosses within its image, and each row only the
-    columns between the polygon's sides, so no pixel meets a polygon far from it.
-    Where layers overlap the highest number wins; partial maxima precede the shuffle.
+    All rings of a geometry count together, so a ring within another is a hole. Each
+    edge names the rows whose centre lines it crosses and where; a row's crossings in
+    order are the ends of the spans inside. So no pixel meets an edge. Where layers
+    overlap the highest number wins; partial maxima precede the shuffle.
     """
     known = polygons.where(F.col("ring").isNotNull() & (F.size("ring") >= 4)).join(images.select("image_id", "height", "width"), "image_id")
-    axis = lambda k, f: f(F.transform("ring", lambda p: p[k]))
-    box = known.withColumns({"x0": axis(0, F.array_min), "x1": axis(0, F.array_max), "y0": axis(1, F.array_min), "y1": axis(1, F.array_max)})
-    first = lambda v: F.greatest(F.lit(0), F.ceil(F.col(v) - 0.5).cast("int"))
-    last = lambda v, d: F.least(F.col(d) - 1, F.floor(F.col(v) - 0.5).cast("int"))
-    spans = box.withColumns({"ra": first("y0"), "rb": last("y1", "height"), "ca": first("x0"), "cb": last("x1", "width")}).where("ra <= rb and ca <= cb")
-    rows = spans.select("image_id", "layer_val", "ring", "ca", "cb", F.explode(F.sequence("ra", "rb")).alias("r"))
-    cells = rows.select("image_id", "layer_val", "ring", "r", F.explode(F.sequence("ca", "cb")).alias("c"))
-    inside = cells.where(in_ring(F.col("c") + 0.5, F.col("r") + 0.5, F.col("ring")))
-    return inside.groupBy("image_id", "r", "c").agg(F.max("layer_val").alias("layer_val"))
+    ends = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring")), lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))
+    edges = known.select("image_id", "geom_id", "layer_val", "height", "width", F.explode(ends).alias("e")).select("*", "e.*").drop("e")
+    first = F.greatest(F.lit(0), F.ceil(F.least("y1", "y2") - 0.5).cast("int"))
+    last = F.least(F.col("height"), F.ceil(F.greatest("y1", "y2") - 0.5).cast("int")) - 1
+    rows = edges.withColumns({"ra": first, "rb": last}).where("ra <= rb").withColumn("r", F.explode(F.sequence("ra", "rb")))
+    at = F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    crossed = rows.select("image_id", "geom_id", "layer_val", "width", "r", at.alias("x")).groupBy("image_id", "geom_id", "layer_val", "width", "r").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    pair = lambda k: F.struct(F.greatest(F.lit(0), F.ceil(F.get("x", k * 2) - 0.5).cast("int")).alias("a"), (F.least(F.col("width"), F.ceil(F.get("x", k * 2 + 1) - 0.5).cast("int")) - 1).alias("b"))
+    spans = crossed.select("image_id", "layer_val", "r", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), pair)).alias("s")).where("s.a <= s.b")
+    cells = spans.select("image_id", "layer_val", "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
+    return cells.groupBy("image_id", "r", "c").agg(F.max("layer_val").alias("layer_val"))
 
 
 def keep_tiles(labelled: DataFrame, images: DataFrame, size: int = TILE_SIZE, stride: int = TILE_STRIDE, share: float = TILE_KEEP_SHARE) -> DataFrame:
@@ -59,15 +78,41 @@ def keep_tiles(labelled: DataFrame, images: DataFrame, size: int = TILE_SIZE, st
 def number_tiles(tiles: DataFrame) -> DataFrame:
     """Adds tile_id, running over images by id, then rows, then columns.
 
-    Tiles are numbered within their image; the windows over all images see one
-    row for each image.
+    Tiles are numbered within their row of tiles; the windows over images see one
+    row for each row of tiles, and one for each image.
     """
-    within = Window.partitionBy("image_id").orderBy("ty", "tx")
-    counts = tiles.groupBy("image_id").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("image_id", "ty").orderBy("tx")
+    rows = tiles.groupBy("image_id", "ty").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("image_id").orderBy("ty").rowsBetween(Window.unboundedPreceding, -1)
+    lines = rows.select("image_id", "ty", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
     before = Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("image_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = tiles.withColumn("k", F.row_number().over(within)).join(first, "image_id")
-    return numbered.withColumn("tile_id", F.col("first") + F.col("k") - 1).drop("first", "k")
+    first = tiles.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = tiles.withColumn("k", F.row_number().over(within)).join(lines, ["image_id", "ty"]).join(first, "image_id")
+    return numbered.withColumn("tile_id", F.col("first") + F.col("above") + F.col("k") - 1).drop("first", "above", "k")
+
+
+def mask_tiles(labelled: DataFrame, tiles: DataFrame, images: DataFrame, size: int = TILE_SIZE, stride: int = TILE_STRIDE) -> DataFrame:
+    """``tiles`` (image_id, ty, tx, tile_id) with ``content``: the labels of each tile as a GeoTIFF of one byte a pixel.
+
+    Labelled pixels go to the kept tiles that hold them; a task holds one tile.
+    """
+    known = labelled.join(images.select("image_id", "height", "width"), "image_id")
+    at = known.withColumn("ty", F.explode(tiles_of(F.col("r"), F.col("height"), size, stride))).withColumn("tx", F.explode(tiles_of(F.col("c"), F.col("width"), size, stride)))
+    place = tiles.select("image_id", "ty", "tx", "tile_id").join(images.select("image_id", "transform", "crs"), "image_id")
+    cells = at.select("image_id", "ty", "tx", "r", "c", "layer_val").join(place, ["image_id", "ty", "tx"])
+
+    def run(table: pa.Table) -> pa.Table:
+        from ..sources.geotiff import encode
+
+        ty, tx, t, crs = (table[n][0].as_py() for n in ("ty", "tx", "transform", "crs"))
+        grid = np.zeros((1, size, size), np.uint8)
+        grid[0, table["r"].to_numpy() - ty, table["c"].to_numpy() - tx] = table["layer_val"].to_numpy()
+        x0, xr, rr, y0, cr, yr = t
+        content = encode(grid, (xr, rr, x0 + tx * xr + ty * rr, cr, yr, y0 + tx * cr + ty * yr), int(crs[5:]) if crs and crs[5:].isdecimal() else None, deflate=True)
+        return pa.table({n: table[n].slice(0, 1) for n in ("image_id", "ty", "tx", "tile_id")} | {"content": pa.array([content], pa.binary())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    return cells.groupBy("image_id", "ty", "tx").applyInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in ("image_id", "ty", "tx", "tile_id")) + ", content binary")
 
 
 def totals(pixels: DataFrame) -> DataFrame:

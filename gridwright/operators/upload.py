@@ -10,26 +10,31 @@ from ..functions.constants import MAX_UPLOAD_BYTES, PART_BYTES
 
 def split_parts(files: DataFrame, key: str, content: str, size: int = PART_BYTES) -> DataFrame:
     """(key, idx, part): slices of ``size``; bytes of a binary, characters of a string. An empty file has one empty part."""
-    length = F.length(content)
-    count = F.greatest(F.lit(1), F.ceil(length / F.lit(size)).cast("int"))
+    if dict(files.dtypes)[content] == "string":  # one pass over the text, where substring would start anew for each part
+        parts = F.regexp_extract_all(content, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        return files.select(key, F.posexplode(F.when(F.col(content) == "", F.array(F.lit(""))).otherwise(parts)).alias("idx", "part"))
+    count = F.greatest(F.lit(1), F.ceil(F.length(content) / F.lit(size)).cast("int"))
     rows = files.select(key, content, F.explode(F.sequence(F.lit(0), count - 1)).alias("idx"))
     return rows.select(key, "idx", F.substring(content, F.col("idx") * size + 1, F.lit(size)).alias("part"))
 
 
+def latest_parts(parts: DataFrame, key: str) -> DataFrame:
+    """(key, idx, part, n): each part once, the later copy (by ``seq``, if there is one), and how often it arrived.
+
+    This is the stored form of files that are larger than a value can be.
+    """
+    seq = F.col("seq") if "seq" in parts.columns else F.lit(0)
+    return parts.groupBy(key, "idx").agg(F.max_by("part", seq).alias("part"), F.count("*").alias("n"))
+
+
 def reassemble(parts: DataFrame, key: str) -> DataFrame:
     """(key, content, received, distinct_parts, highest): parts in the order of their numbers.
 
-    Writing a part again is harmless: the later copy (by ``seq``, if there is one)
-    wins, while ``received`` counts every arrival. A file is one value in the end,
-    so its parts meet in one row.
+    Writing a part again is harmless: the later copy wins, while ``received`` counts
+    every arrival. A file is one value in the end, so its parts meet in one row.
     """
-    seq = F.col("seq") if "seq" in parts.columns else F.lit(0)
-    once = parts.groupBy(key, "idx").agg(F.max_by("part", seq).alias("part"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "part")))
-    found = once.groupBy(key).agg(ordered.alias("parts"), F.sum("n").alias("received"), F.count("*").alias("distinct_parts"), F.max("idx").alias("highest"))
-    empty = F.lit("") if dict(parts.dtypes)["part"] == "string" else F.lit(b"")
-    joined = F.aggregate("parts", empty, lambda a, p: F.concat(a, p["part"])) if dict(parts.dtypes)["part"] != "string" else F.array_join(F.transform("parts", lambda p: p["part"]), "")
-    return found.select(key, joined.alias("content"), "received", "distinct_parts", "highest")
+    joined = F.expr("listagg(part) within group (order by idx)")
+    return latest_parts(parts, key).groupBy(key).agg(joined.alias("content"), F.sum("n").alias("received"), F.count("*").alias("distinct_parts"), F.max("idx").alias("highest"))
 
 
 def complete(found: DataFrame, total: str = "total_chunks") -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
+from ..sources.geotiff import encode
+from ..sources.images import write_files
+from ..sources.scratch import scratch_dir
 
 CHUNK, OVERLAP, MIN_AREA = 32, 4, 8
 IMAGE = "mosaic"
@@ -17,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Height and width of the raster, as its header would say."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 20 + 1) * 8, 160
+
+
 def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, r, c, v, height, width): each vector is a patch of 8 x 8, twenty patches in a row."""
-    vectors = table(spark, sf_dir, "embeddings")
-    height = (vectors.agg(F.max("vec_id")).first()[0] // 20 + 1) * 8  # the header of the raster
+    vectors, (height, _) = table(spark, sf_dir, "embeddings"), size(spark, sf_dir)
     cells = vectors.select("vec_id", F.posexplode("embedding").alias("i", "v"))
     r, c = F.floor(F.col("vec_id") / 20) * 8 + F.floor(F.col("i") / 8), F.col("vec_id") % 20 * 8 + F.col("i") % 8
     return cells.select(F.lit(IMAGE).alias("image_id"), r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("v").cast("double").alias("v"), F.lit(height).cast("int").alias("height"), F.lit(160).alias("width"))
@@ -34,7 +43,33 @@ def label_px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixel(spark, sf_dir).select("image_id", "height", "width").distinct()
+    return spark.createDataFrame([(IMAGE, *size(spark, sf_dir))], "image_id string, height int, width int")
+
+
+def raster_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the raster as a GeoTIFF in UTM zone 44, one float band in tiles of its own size."""
+    height, width = size(spark, sf_dir)
+
+    def run(cells: pa.Table) -> pa.Table:
+        grid = np.zeros((1, height, width), np.float32)
+        grid[0, cells["r"].to_numpy(), cells["c"].to_numpy()] = cells["v"].to_numpy()
+        x0, xr, rr, y0, cr, yr = TRANSFORM
+        return pa.table({"path": [f"PB/{IMAGE}.tif"], "content": pa.array([encode(grid, (xr, rr, x0, cr, yr, y0), 32644, deflate=True)], pa.binary())})
+
+    folder = scratch_dir(spark)
+    write_files(pixel(spark, sf_dir).select("image_id", "r", "c", "v").groupBy("image_id").applyInArrow(run, "path string, content binary"), folder).collect()
+    return folder
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diamonds of suppliers, every second one with a hole, in pixels; no edge meets a pixel's centre."""
+    s = F.col("s_suppkey")
+    x, y = s * 13 % 150 + 0.25, s * 29 % 190 + 0.5
+    point = lambda dx, dy: F.array((x + dx).cast("double"), (y + dy).cast("double"))
+    diamond = lambda r: F.array(point(r, F.lit(0)), point(F.lit(0), r), point(-r, F.lit(0)), point(F.lit(0), -r), point(r, F.lit(0)))
+    outer = s % 6 + 4.125
+    rings = F.when(s % 2 == 0, F.array(diamond(outer), diamond(F.lit(2.125)))).otherwise(F.array(diamond(outer)))
+    return table(spark, sf_dir, "supplier").select(F.lit(IMAGE).alias("image_id"), s.alias("geom_id"), (s % 4 + 1).cast("int").alias("layer_val"), F.posexplode(rings).alias("part", "ring"))
 
 
 def det(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +118,12 @@ SQL = {
  from (select event_id, user_id, event_type, cast(floor(k/10e0) as int) as chunk_row, k%10 as chunk_col, cast(floor(value*2e0) as int) as area_px, cast(event_id%113 as int) as x1, cast((event_id*7)%97 as int) as y1 from ev)""",
     "msg": "select user_id as job_id, event_id as seq, count(*) over (partition by user_id) as total_chunks, cast(floor(value/100e0) as int) as n_det from events",
     "poly": "select s_suppkey as geom_id, cast(s_suppkey%4+1 as int) as layer_val, (s_suppkey*13)%150+0.25e0 as x0, (s_suppkey*29)%190+0.25e0 as y0, (s_suppkey*13)%150+0.25e0+4+s_suppkey%9 as x1, (s_suppkey*29)%190+0.25e0+3+s_suppkey%7 as y1 from supplier",
+    "shape": "select s_suppkey as geom_id, cast(s_suppkey%4+1 as int) as layer_val, (s_suppkey*13)%150+0.25e0 as x, (s_suppkey*29)%190+0.5e0 as y, s_suppkey%6+4.125e0 as outside, case when s_suppkey%2 = 0 then 2.125e0 else 0e0 end as hole from supplier",
+    "ready": "select cr, cc, r-r0 as y, c-c0 as x, h, w, cast((cast(v as float)-min(cast(v as float)) over k)/(max(cast(v as float)) over k-min(cast(v as float)) over k) as float) as u from pixel join grid on r >= r0 and r < r0+h and c >= c0 and c < c0+w window k as (partition by cr, cc)",
+    "seen": "select * from (select cr, cc, y, x, h, w, case when u < 0.3125e0 then 1 when u < 0.4375e0 then 6 when u < 0.5e0 then 83 when u < 0.5625e0 then 4 when u < 0.6875e0 then 21 else 0 end as class_id from ready) where class_id <> 0",
     "rast": "select r, c, max(layer_val) as layer_val from pixel join poly on c+0.5e0 > x0 and c+0.5e0 < x1 and r+0.5e0 > y0 and r+0.5e0 < y1 group by r, c",
 }
-_USES = {"label_px": ["pixel"], "dims": ["pixel"], "grid": ["dims"], "win": ["label_px", "grid"], "det": ["ev"], "rast": ["pixel", "poly"]}
+_USES = {"label_px": ["pixel"], "dims": ["pixel"], "grid": ["dims"], "win": ["label_px", "grid"], "det": ["ev"], "rast": ["pixel", "poly"], "ready": ["pixel", "grid"], "seen": ["ready"]}
 
 
 def with_fixtures(names: list[str], select: str, recursive: bool = False, more: str = "") -> str:

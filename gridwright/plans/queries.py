@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -14,6 +13,9 @@ from ..functions.constants import THRESHOLD
 from ..functions.numbers import progress_percent, round_half_up, show_area, show_percent, upload_percent
 from ..operators import classify, detect, jobs, raster, tiles, upload
 from ..operators.label import label_components
+from ..sources import geotiff
+from ..sources.images import write_files
+from ..sources.scratch import scratch_dir
 from ..streaming import messages as stream
 from . import fixtures as fx
 from .fixtures import CHUNK, MIN_AREA, OVERLAP, TRANSFORM, table, with_fixtures
@@ -161,12 +163,11 @@ def bbox_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_fixtures(["det"], "select seq, floor(degrees((9e6+x1*1e3)/6378137e0)*1e7+0.5e0)/1e7 as lng, floor(degrees(2*atan(exp((2e6+y1*1e3)/6378137e0))-pi()/2)*1e7+0.5e0)/1e7 as lat from det"))
 def crs_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = geo.to_wgs84(9e6 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, F.lit("EPSG:3857"))
-    return _degrees(fx.det(spark, sf_dir).select("seq", there.alias("p")))
+    return _degrees(geo.with_wgs84(fx.det(spark, sf_dir), 9e6 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, F.lit("EPSG:3857")))
 
 
 def _degrees(rows: DataFrame) -> DataFrame:
-    return rows.select("seq", round_half_up(F.col("p.lng"), 7).alias("lng"), round_half_up(F.col("p.lat"), 7).alias("lat"))
+    return rows.select("seq", round_half_up(F.col("lng"), 7).alias("lng"), round_half_up(F.col("lat"), 7).alias("lat"))
 
 
 def _utm_sql(x: str, y: str, zone: str) -> str:
@@ -180,7 +181,16 @@ def _utm_sql(x: str, y: str, zone: str) -> str:
 @query(with_fixtures(["det"], _utm_sql("4e5+x1*1e3", "2e6+y1*1e3", "43+seq%3")))
 def crs_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("epsg: 326"), (F.col("seq") % 3 + 43).cast("string"))
-    return _degrees(fx.det(spark, sf_dir).select("seq", geo.to_wgs84(4e5 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, code).alias("p")))
+    return _degrees(geo.with_wgs84(fx.det(spark, sf_dir), 4e5 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, code))
+
+
+@query(with_fixtures(["det"], "select seq, 4e5+x1*1e3 as x, 2e6+y1*1e3 as y from det"))
+def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a UTM zone to web Mercator and back: the same metres."""
+    code = F.concat(F.lit("EPSG:326"), (F.col("seq") % 3 + 43).cast("string"))
+    there = fx.det(spark, sf_dir).select("seq", geo.reproject(4e5 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, code, F.lit("EPSG:3857")).alias("p"), code.alias("crs"))
+    back = there.select("seq", geo.reproject(F.col("p.x"), F.col("p.y"), F.lit("EPSG:3857"), F.col("crs")).alias("p"))
+    return back.select("seq", round_half_up(F.col("p.x"), 3).alias("x"), round_half_up(F.col("p.y"), 3).alias("y"))
 
 
 @query(with_fixtures(["det"], """select seq, crs, case when coalesce(crs, '') = '' then 'EPSG:4326' when starts_with(u, 'EPSG:') then u when regexp_matches(u, 'URN:OGC:DEF:CRS:EPSG:.*:\\d+') then 'EPSG:' || regexp_extract(u, 'URN:OGC:DEF:CRS:EPSG:.*:(\\d+)', 1) else 'EPSG:4326' end as normal
@@ -219,6 +229,11 @@ def job_missing_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.refused_jobs(_requests(spark, sf_dir), _uploads(spark, sf_dir)).select("job_id", "upload_id")
 
 
+@query("select o_orderkey as job_id, case when c_custkey is null then 404 when c_acctbal >= 0 then 200 else 400 end as http_status from orders left join customer on c_custkey = case when o_orderkey%9 = 0 then -1-o_custkey else o_custkey end")
+def job_start_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.start_status(_requests(spark, sf_dir), _uploads(spark, sf_dir)).select("job_id", "http_status")
+
+
 @query(with_fixtures(["msg"], "select job_id, seq, count(*) over w as chunks_done, cast(sum(n_det) over w as bigint) as detections_found, floor(count(*) over w/cast(total_chunks as double)*100e0*100e0+0.5e0)/100e0 as progress from msg window w as (partition by job_id order by seq rows unbounded preceding)"))
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.progress(fx.messages(spark, sf_dir)).select("job_id", "seq", "chunks_done", "detections_found", "progress")
@@ -254,7 +269,8 @@ def upload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in any order, every fifth of a file twice."""
     parts = upload.split_parts(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
-    found = upload.reassemble(parts.unionByName(parts.where("idx % 5 = 0")), "doc_id")
+    twice = parts.withColumn("seq", F.explode(F.when(F.col("idx") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    found = upload.reassemble(twice, "doc_id")
     return found.select("doc_id", F.sha2("content", 256).alias("sha256"), "received", "distinct_parts")
 
 
@@ -279,13 +295,20 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("seq", "job_id", F.col("feature.geometry.type").alias("kind"), F.size(F.col("feature.geometry.coordinates")[0]).alias("points"), f"{p}feature_type", f"{p}confidence", f"{p}chunk_id", f"{p}area_px", F.col("feature.geometry.coordinates")[0][0][0].alias("first_x"))
 
 
-@query(with_fixtures(["det"], "select cast(u as bigint) as job_id, count(seq) as n_features, 'detections_' || left(cast(u as varchar), 8) as name from (select distinct c_custkey as u from customer) left join (select * from det where seq%11 <> 0 and seq%7 <> 0) on job_id = u group by u"))
+@query(with_fixtures(["det"], "select cast(u as bigint) as job_id, count(seq) as n_features, 'detections_' || left(cast(u as varchar), 8) as name, 'EPSG:32644' as crs, coalesce(string_agg(chunk_id || ':' || area_px || ':' || feature_type, ',' order by seq), '') as features from (select distinct c_custkey as u from customer) left join (select * from det where seq%11 <> 0 and seq%7 <> 0) on job_id = u group by u"))
 def geojson_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the text of each job's collection; jobs without detections have an empty one."""
     found = _ringed(fx.det(spark, sf_dir)).withColumns({"crs": F.lit("EPSG:32644"), "colour": classify.colour_of(F.col("feature_type"))})
     jobs_of = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"), F.lit("EPSG:32644").alias("crs"))
     text = F.col("geojson")
-    return detect.feature_collections(jobs_of, found).select("job_id", F.json_array_length(F.get_json_object(text, "$.features")).cast("bigint").alias("n_features"), F.get_json_object(text, "$.name").alias("name"))
+    return detect.feature_collections(jobs_of, found).select("job_id", F.json_array_length(F.get_json_object(text, "$.features")).cast("bigint").alias("n_features"), F.get_json_object(text, "$.name").alias("name"), F.get_json_object(text, "$.crs.properties.name").alias("crs"), _listed(F.get_json_object(text, "$.features")).alias("features"))
+
+
+def _listed(features: Column) -> Column:
+    """Some properties of a collection's features, in its order."""
+    rows = F.from_json(features, "array<struct<properties:struct<chunk_id:string,area_px:int,feature_type:string>>>")
+    each = lambda f: F.concat_ws(":", f["properties"]["chunk_id"], f["properties"]["area_px"].cast("string"), f["properties"]["feature_type"])
+    return F.array_join(F.transform(rows, each), ",")
 
 
 @query(with_fixtures(["dims"], "select cast(ty as int) as ty, cast(tx as int) as tx from dims, range(0, (select hh-64+1 from dims), 32) a(ty), range(0, (select ww-64+1 from dims), 32) b(tx)"))
@@ -298,6 +321,45 @@ def rasterize_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.rasterise(fx.polygons(spark, sf_dir), fx.images(spark, sf_dir)).select("r", "c", "layer_val")
 
 
+@query(with_fixtures(["pixel", "shape"], "select r, c, max(layer_val) as layer_val from pixel p join shape s on abs(p.c+0.5e0-s.x)+abs(p.r+0.5e0-s.y) < outside and abs(p.c+0.5e0-s.x)+abs(p.r+0.5e0-s.y) >= hole group by r, c"))
+def rasterize_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted edges and holes."""
+    return tiles.rasterise(fx.shapes(spark, sf_dir), fx.images(spark, sf_dir)).select("r", "c", "layer_val")
+
+
+@query(with_fixtures(["poly", "dims"], "select 'PB' as region, geom_id, layer_val, x0, y0, x1, y1 from poly, dims where x0 < ww and y0 < hh"))
+def layers_on_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of both regions, in metres, on an image of one of them: the region's rings in pixels."""
+    where = fx.images(spark, sf_dir).withColumns({"path": F.lit("/data/PB/mosaic.tif"), "crs": F.lit("EPSG:32644"), "transform": F.array(*map(F.lit, TRANSFORM))})
+    metres = F.transform("ring", lambda p: F.array(*geo.pixel_to_geo(p[0], p[1], TRANSFORM)))
+    rings = fx.polygons(spark, sf_dir).select("geom_id", "layer_val", metres.alias("ring"), F.lit("urn:ogc:def:crs:EPSG::32644").alias("crs"))
+    layers = rings.withColumn("region", F.explode(F.array(F.lit("PB"), F.lit("CG")))).where("region = 'PB' or geom_id % 2 = 0")
+    found = tiles.to_pixels(layers, where)
+    return found.select(F.lit("PB").alias("region"), "geom_id", "layer_val", F.col("ring")[0][0].alias("x0"), F.col("ring")[0][1].alias("y0"), F.col("ring")[2][0].alias("x1"), F.col("ring")[2][1].alias("y1"))
+
+
+@query(with_fixtures(["seen", "classes"], """select feature_type, confidence, concat(cast(cr as varchar), '_', cast(cc as varchar)) as chunk_id, x1, y1, x2, y2, cast(area as int) as area_px, 500000e0+(c0+x1)*0.5e0 as west, 2300000e0-(r0+y1)*0.5e0 as north, 'EPSG:32644' as crs
+ from (select comp.*, k as feature_type, greatest(0, cr*32-4) as r0, greatest(0, cc*32-4) as c0, floor(least(area/cast(h*w as double)*20e0, 0.99e0)*10000e0+0.5e0)/10000e0 as confidence from comp where area >= 8) where confidence >= 0.1e0""", True, _COMPONENTS.format(win="(select seen.*, feature_type as k from seen join classes using (class_id))")))
+def file_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a GeoTIFF through its windows, bands made ready and a scoring function to detections."""
+
+    def load() -> Callable:
+        """Stands for a model: classes by the value of the first band."""
+        return lambda bands: np.select([bands[0] < t for t in (0.3125, 0.4375, 0.5, 0.5625, 0.6875)], [1, 6, 83, 4, 21], 0)
+
+    files = geotiff.read_files(spark, fx.raster_folder(spark, sf_dir))
+    found = detect.detect_scored(classify.score_chunks(geotiff.chunks(files, CHUNK, OVERLAP, ready=4), load), MIN_AREA, THRESHOLD)
+    box, ring = F.col("pixel_bbox"), F.col("geo_polygon")
+    return found.select("feature_type", "confidence", "chunk_id", *[box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], "area_px", ring[0][0].alias("west"), ring[0][1].alias("north"), "crs")
+
+
+@query(with_fixtures(["dims"], "select 'mosaic.tif' as name, hh as height, ww as width, 1 as bands, 'float32' as dtype, 'EPSG:32644' as crs, 500000e0 as left_x, 2300000e0-hh*0.5e0 as bottom_y, 500000e0+ww*0.5e0 as right_x, 2300000e0 as top_y, 1 as total_inference_chunks from dims"))
+def raster_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geotiff.headers(geotiff.read_files(spark, fx.raster_folder(spark, sf_dir)))
+    corners = {"left": "left_x", "bottom": "bottom_y", "right": "right_x", "top": "top_y"}
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "height", "width", "bands", "dtype", "crs", *[F.col(f"bounds.{k}").alias(v) for k, v in corners.items()], "total_inference_chunks")
+
+
 _TILES = with_fixtures(["rast", "dims"], "select cast(ty as int) as ty, cast(tx as int) as tx, count(*) as labelled_px, row_number() over (order by ty, tx) - 1 as tile_id from rast join (select ty, tx from dims, range(0, (select hh-64+1 from dims), 32) a(ty), range(0, (select ww-64+1 from dims), 32) b(tx)) t on r >= ty and r < ty+64 and c >= tx and c < tx+64 group by ty, tx having count(*) >= 0.01e0*64*64")
 
 
@@ -308,6 +370,34 @@ def tile_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.number_tiles(kept).select("ty", "tx", "labelled_px", "tile_id")
 
 
+@query(with_fixtures(["rast", "dims"], """select ty, tx, tile_id, floor(sum(v)*1e3+0.5e0)/1e3 as sum_v, cast(count(l) as bigint) as labelled_px, cast(sum(coalesce(l, 0)) as bigint) as sum_layer from
+ (select t.*, cast(v as float)::double as v, layer_val as l from (select ty, tx, row_number() over (order by ty, tx) - 1 as tile_id from (select cast(ty as int) as ty, cast(tx as int) as tx, count(*) as n from rast join (select ty, tx from dims, range(0, (select hh-64+1 from dims), 32) a(ty), range(0, (select ww-64+1 from dims), 32) b(tx)) g on r >= ty and r < ty+64 and c >= tx and c < tx+64 group by 1, 2) where n >= 0.01e0*64*64) t
+ join pixel p on p.r >= ty and p.r < ty+64 and p.c >= tx and p.c < tx+64 left join rast on rast.r = p.r and rast.c = p.c) group by ty, tx, tile_id"""))
+def tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training tiles end to end: layers on the image, kept tiles, image and mask cut, written as GeoTIFFs and read again."""
+    folder = fx.raster_folder(spark, sf_dir)
+    files = geotiff.read_files(spark, folder)
+    where = geotiff.headers(files).select(F.lit(fx.IMAGE).alias("image_id"), "path", "crs", F.expr("array(transform[2], transform[0], transform[1], transform[5], transform[3], transform[4])").alias("transform"), "height", "width")
+    metres = F.transform("ring", lambda p: F.array(*geo.pixel_to_geo(p[0], p[1], TRANSFORM)))
+    layers = fx.polygons(spark, sf_dir).select(F.lit("PB").alias("region"), "geom_id", "layer_val", metres.alias("ring"), F.lit("EPSG:32644").alias("crs"))
+    labelled = tiles.rasterise(tiles.to_pixels(layers, where), where)
+    kept = tiles.number_tiles(tiles.keep_tiles(labelled, where, 64, 32)).drop("labelled_px")
+    named = lambda df, kind: df.select(F.concat(F.lit(f"{kind}/"), F.col("tile_id").cast("string"), F.lit(".tif")).alias("path"), "content")
+    windows = kept.join(where.select("image_id", "path"), "image_id").select("path", F.col("ty").alias("r0"), F.col("tx").alias("c0"), F.lit(64).alias("h"), F.lit(64).alias("w"), "tile_id")
+    out = scratch_dir(spark)
+    write_files(named(geotiff.cut(files, windows), "images").unionByName(named(tiles.mask_tiles(labelled, kept, where, 64, 32), "masks")), out).collect()
+
+    def read(kind: str) -> DataFrame:
+        found = geotiff.chunks(geotiff.read_files(spark, f"{out}/{kind}"), 64, 0)
+        place = F.col("geo_transform")
+        return found.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("bigint").alias("tile_id"), F.col("pixels")[0].alias("v"), ((place[3] - TRANSFORM[3]) / TRANSFORM[5]).cast("int").alias("ty"), ((place[0] - TRANSFORM[0]) / TRANSFORM[1]).cast("int").alias("tx"))
+
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    images = read("images").select("tile_id", "ty", "tx", round_half_up(total(F.col("v")), 3).alias("sum_v"))
+    masks = read("masks").select("tile_id", "ty", "tx", F.size(F.filter("v", lambda x: x > 0)).cast("bigint").alias("labelled_px"), total(F.col("v")).cast("bigint").alias("sum_layer"))
+    return images.join(masks, ["tile_id", "ty", "tx"]).select("ty", "tx", "tile_id", "sum_v", "labelled_px", "sum_layer")
+
+
 @query("select page_id, case when instr(path, 'PB') > 0 then 'PB' else 'CG' end as region, lower(path) like '%.tif' and not regexp_matches(lower(path), '\\.(ecw|aux|pyrx)') and not contains(lower(path), '/processed/') as usable from (select page_id, case page_id%3 when 0 then '/data/PB/' when 1 then '/data/pb/processed/' else '/data/CG/' end || page_id || case page_id%5 when 0 then '.TIF' when 1 then '.ecw.tif' when 2 then '.tiff' else '.tif' end as path from pages)")
 def region_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, e = F.col("page_id") % 3, F.col("page_id") % 5
@@ -328,19 +418,26 @@ def image_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("is_total").cast("bigint").alias("is_total"), F.coalesce("image_id", F.lit(-1)).alias("row_id"), "n", "top", F.col("left").alias("left_c"), "bottom", F.col("right").alias("right_c"))
 
 
-@query(with_fixtures(["pixel"], """select tr, tc, floor(sum(v*p)*1e6+0.5e0)/1e6 as v from pixel join (select tr, tc, a.k as kr, b.k as kc, a.p*b.p as p from
- (select cast(t as int) as tr, unnest([{'k': cast(floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0)) as int), 'p': 1-(greatest(0, (t+0.5e0)*0.5e0-0.5e0)-floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0)))}, {'k': cast(least(31, floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0))+1) as int), 'p': greatest(0, (t+0.5e0)*0.5e0-0.5e0)-floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0))}]) as a from range(64) x(t)),
- (select cast(t as int) as tc, unnest([{'k': cast(floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0)) as int), 'p': 1-(greatest(0, (t+0.5e0)*0.5e0-0.5e0)-floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0)))}, {'k': cast(least(31, floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0))+1) as int), 'p': greatest(0, (t+0.5e0)*0.5e0-0.5e0)-floor(greatest(0, (t+0.5e0)*0.5e0-0.5e0))}]) as b from range(64) x(t))) n
- on r = kr and c = kc and r < 32 and c < 32 group by tr, tc"""))
+def _taps(size: str, name: str) -> str:
+    """SQL of the two source rows (or columns) of each of twice as many, and their weights."""
+    at = "greatest(0, (t+0.5e0)*0.5e0-0.5e0)"
+    return f"select cast(t as int) as t{name}, a.k as k{name}, a.p as p{name} from (select t, unnest([{{'k': cast(floor({at}) as int), 'p': 1-({at}-floor({at}))}}, {{'k': cast(least({size}-1, floor({at})+1) as int), 'p': {at}-floor({at})}}]) as a from dims, range(0, (select 2*{size} from dims)) s(t))"
+
+
+@query(with_fixtures(["dims"], f"select tr, tc, floor(sum(v*pr*pc)*1e6+0.5e0)/1e6 as v from ({_taps('hh', 'r')}) a, ({_taps('ww', 'c')}) b, pixel where r = kr and c = kc group by tr, tc"))
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corner = fx.pixel(spark, sf_dir).where("r < 32 and c < 32").select("image_id", "r", "c", "v")
-    return raster.resize_bilinear(corner, 32, 32, 64, 64).select("tr", "tc", round_half_up(F.col("v"), 6).alias("v"))
+    """The whole image, twice as high and wide."""
+    height, width = fx.size(spark, sf_dir)
+    whole = fx.pixel(spark, sf_dir).select("image_id", "r", "c", "v")
+    return raster.resize_bilinear(whole, height, width, 2 * height, 2 * width).select("tr", "tc", round_half_up(F.col("v"), 6).alias("v"))
 
 
-@query(with_fixtures(["label_px"], "select cast(a as int) as tr, cast(b as int) as tc, class_id from range(20) x(a), range(20) y(b), label_px where r = (a*32)//20 and c = (b*32)//20"))
+@query(with_fixtures(["label_px", "dims"], "select cast(a as int) as tr, cast(b as int) as tc, class_id from dims, range(0, (select hh*5//8 from dims)) x(a), range(0, (select ww*5//8 from dims)) y(b), label_px where r = (a*hh)//(hh*5//8) and c = (b*ww)//(ww*5//8)"))
 def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corner = fx.label_px(spark, sf_dir).where("r < 32 and c < 32").select("image_id", "r", "c", F.col("class_id").alias("v"))
-    return raster.resize_nearest(corner, 32, 32, 20, 20).select("tr", "tc", F.col("v").alias("class_id"))
+    """The whole mask at five eighths of its size."""
+    height, width = fx.size(spark, sf_dir)
+    whole = fx.label_px(spark, sf_dir).select("image_id", "r", "c", F.col("class_id").alias("v"))
+    return raster.resize_nearest(whole, height, width, height * 5 // 8, width * 5 // 8).select("tr", "tc", F.col("v").alias("class_id"))
 
 
 @query(with_fixtures(["label_px"], """select class_id, cast(sum(t) as bigint) as truth_px, cast(sum(p) as bigint) as predicted_px, cast(sum(t*hit) as bigint) as both_px, sum(t*hit)/cast(sum(t)+sum(p)-sum(t*hit) as double) as iou from
@@ -356,12 +453,6 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.det(spark, sf_dir).select("seq", shown.alias("shown"), show_area(F.col("area_px")).alias("area"), upload_percent(F.col("chunk_row"), F.lit(10)).alias("percent"), progress_percent(F.col("chunk_row") + 1, F.lit(10)).alias("progress"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder for one stream's checkpoint: in the shared one, or of this machine where Spark is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="gridwright-")
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -377,7 +468,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _ran(stream_df: DataFrame, mode: str) -> DataFrame:
-    return stream.run_once(stream_df, mode, _scratch(stream_df.sparkSession))
+    return stream.run_once(stream_df, mode, scratch_dir(stream_df.sparkSession))
 
 
 @query("select user_id as job_id, event_type, count(*) as n from events group by user_id, event_type")

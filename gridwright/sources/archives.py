@@ -4,24 +4,39 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MEMBERS = "archive string, member string, size bigint, content binary"
+MEMBERS = "archive string, member string, size bigint, content binary, error string"
+
+
+def _read(z: zipfile.ZipFile, member: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    try:
+        return z.read(member), None
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+        return None, str(e)
+
+
+def _member(archive: str, member: str | None, size: int | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"archive": [archive], "member": pa.array([member], pa.string()), "size": pa.array([size], pa.int64()), "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
 
 
 def unzip(files: DataFrame) -> DataFrame:
-    """MEMBERS of binaryFile rows, one member at a time; folders are left out."""
+    """MEMBERS of binaryFile rows, one member at a time; folders are left out. What can't be read has an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in z.infolist():
-                        if not m.is_dir():
-                            yield pa.RecordBatch.from_pydict({"archive": [path], "member": [m.filename], "size": pa.array([m.file_size], pa.int64()), "content": pa.array([z.read(m)], pa.binary())})
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for m in z.infolist():
+                            if not m.is_dir():
+                                yield _member(path, m.filename, m.file_size, *_read(z, m))
+                except (zipfile.BadZipFile, ValueError, OSError) as e:
+                    yield _member(path, None, None, None, str(e))
 
     return files.select("path", "content").mapInArrow(run, MEMBERS)
 

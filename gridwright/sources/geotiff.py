@@ -1,7 +1,10 @@
 """GeoTIFF as Spark tables: headers, windows and pixels.
 
-Files are read by Spark's binaryFile source, so any file system works. Supported
-are classic TIFFs in strips or tiles, uncompressed or deflate, of integer or
+Files are listed by Spark; tasks read the bytes of headers and of the blocks that a
+window meets, through the file system of the path (or from a ``content`` column, as
+binaryFile gives it, where there is one). So a file may be larger than a value can
+be, and its windows are spread over tasks. Supported are TIFFs and BigTIFFs in
+strips or tiles, uncompressed or packed by deflate, LZW or PackBits, of integer or
 float samples, chunky or planar; anything else gives a row with an error.
 """
 
@@ -9,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +21,92 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, DEFAULT_CRS, UNKNOWN_CRS
 from ..operators.raster import chunk_grid
+from .scratch import file_system
 
 HEADER = "path string, crs string, bounds struct<left:double,bottom:double,right:double,top:double>, width int, height int, bands int, dtype string, transform array<double>, error string"
-#: TIFF field types: code, struct format, size.
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+#: Windows that a task reads at a time, and bytes that one read of a header fetches.
+WINDOWS_PER_TASK, HEADER_BYTES = 16, 1 << 16
+#: TIFF field types: code, struct format.
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 _KINDS = {1: "u", 2: "i", 3: "f"}
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _STRIPS, _SAMPLES, _ROWS, _STRIP_SIZES, _PLANAR, _PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 _TILE_W, _TILE_H, _TILES, _TILE_SIZES, _FORMAT, _SCALE, _TIE, _MATRIX, _KEYS = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735
+FAILURES = (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError)
+
+
+def opened(path: str, content: bytes | None) -> Callable[[int, int], bytes]:
+    """How to get n bytes from a place: out of the content, or by a read of the file."""
+    if content is not None:
+        return lambda at, n: content[at : at + n]
+    system, name = file_system(path)
+    file = system.open_input_file(name)
+    return lambda at, n: file.read_at(n, at)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first; 256 clears the table and 257 ends."""
+    out, table, bits, n, width, last = bytearray(), [], 0, 0, 9, b""
+    for byte in data:
+        bits, n = (bits << 8 | byte) & 0xFFFFFF, n + 8
+        if n < width:
+            continue
+        n -= width
+        code = bits >> n & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 + (len(table) > 510) + (len(table) > 1022) + (len(table) > 2046)
+    return bytes(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """PackBits: runs of literal bytes and of one repeated byte."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        k = data[at]
+        if k < 128:
+            out += data[at + 1 : at + 2 + k]
+            at += 2 + k
+        else:
+            out += data[at + 1 : at + 2] * (257 - k if k > 128 else 0)
+            at += 2 if k > 128 else 1
+    return bytes(out)
+
+
+_UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
 class Tiff:
-    """The first image of a TIFF file."""
+    """The first image of a TIFF file; ``get`` fetches bytes."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data = data
-        self.end = {b"II": "<", b"MM": ">"}.get(data[:2], "")
-        if not self.end or len(data) < 8 or struct.unpack(self.end + "H", data[2:4])[0] != 42:
+    def __init__(self, get: Callable[[int, int], bytes]) -> None:
+        self.get = get
+        first = get(0, HEADER_BYTES)
+        part = lambda at, n: first[at : at + n] if at + n <= len(first) else get(at, n)
+        self.end = {b"II": "<", b"MM": ">"}.get(first[:2], "")
+        version = struct.unpack(self.end + "H", first[2:4])[0] if self.end and len(first) >= 8 else 0
+        if version not in (42, 43):
             raise ValueError("not a TIFF file")
-        at = struct.unpack(self.end + "I", data[4:8])[0]
+        big = version == 43
+        place, count, entry, inline = ("Q", "Q", 20, 8) if big else ("I", "H", 12, 4)
+        at = struct.unpack(self.end + place, part(8 if big else 4, inline))[0]
+        n_tags = struct.unpack(self.end + count, part(at, struct.calcsize("<" + count)))[0]
+        at += struct.calcsize("<" + count)
+        rows = part(at, entry * n_tags)
         self.tags = {}
-        for k in range(struct.unpack_from(self.end + "H", data, at)[0]):
-            tag, kind, n = struct.unpack_from(self.end + "HHI", data, at + 2 + 12 * k)
+        for k in range(n_tags):
+            tag, kind, n = struct.unpack_from(self.end + "HH" + place, rows, entry * k)
             if kind in _TYPES:
-                size = struct.calcsize(self.end + _TYPES[kind]) * n
-                place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(self.end + "I", data, at + 10 + 12 * k)[0]
                 form = f"{self.end}{n}s" if kind == 2 else self.end + _TYPES[kind] * n
-                self.tags[tag] = struct.unpack_from(form, data, place)
+                size, here = struct.calcsize(form), entry * k + entry - inline
+                self.tags[tag] = struct.unpack(form, rows[here : here + size] if size <= inline else part(struct.unpack_from(self.end + place, rows, here)[0], size))
         self.width, self.height, self.bands = self._one(_WIDTH), self._one(_HEIGHT), self._one(_SAMPLES, 1)
         bits, form = self._one(_BITS, 8), _KINDS.get(self._one(_FORMAT, 1))
         if form is None or bits % 8 or bits > 64:
@@ -84,7 +147,7 @@ class Tiff:
         """(bands, height, width) of a window; only blocks that it meets are decoded."""
         height, width = self.height - row if height is None else height, self.width - col if width is None else width
         compression, predictor = self._one(_COMPRESSION, 1), self._one(_PREDICTOR, 1)
-        if compression not in (1, 8, 32946) or predictor not in (1, 2):
+        if compression not in _UNPACK or predictor not in (1, 2):
             raise ValueError(f"compression {compression} with predictor {predictor} isn't supported")
         tiled = _TILES in self.tags
         bw, bh = (self._one(_TILE_W), self._one(_TILE_H)) if tiled else (self.width, min(self.height, self._one(_ROWS, self.height)))
@@ -96,12 +159,11 @@ class Tiff:
             for by in range(row // bh, min(down, -(-(row + height) // bh))):
                 for bx in range(col // bw, min(across, -(-(col + width) // bw))):
                     k = plane * across * down + by * across + bx
-                    raw = self.data[places[k] : places[k] + sizes[k]]
-                    raw = zlib.decompress(raw) if compression != 1 else raw
+                    raw = _UNPACK[compression](self.get(places[k], sizes[k]))
                     rows = bh if tiled else min(bh, self.height - by * bh)
                     block = np.frombuffer(raw, self.dtype, count=rows * bw * (1 if planar else self.bands)).reshape(rows, bw, -1)
                     if predictor == 2:
-                        block = np.cumsum(block, axis=1, dtype=self.dtype)
+                        block = np.cumsum(block, axis=1, dtype=self.dtype.newbyteorder("="))
                     y0, y1 = max(row, by * bh), min(row + height, by * bh + rows)
                     x0, x1 = max(col, bx * bw), min(col + width, bx * bw + bw, self.width)
                     part = block[y0 - by * bh : y1 - by * bh, x0 - bx * bw : x1 - bx * bw].transpose(2, 0, 1)
@@ -131,9 +193,14 @@ def encode(pixels: np.ndarray, transform: tuple[float, ...] | None = None, epsg:
     return b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + b"".join(out) + b"\0\0\0\0" + tail
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*.[tT][iI][fF]*") -> DataFrame:
-    """binaryFile rows below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+def read_files(spark: SparkSession, path: str, pattern: str = "*.[tT][iI][fF]*", content: bool = False) -> DataFrame:
+    """(path, length) of the files below a folder; with ``content`` binaryFile's rows, for files up to 2 GB on systems that only Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files if content else files.select("path", "length")
+
+
+def _content(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch["content"].to_pylist() if "content" in batch.schema.names else [None] * len(batch)
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -142,44 +209,125 @@ def headers(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+            for path, content in zip(batch["path"].to_pylist(), _content(batch)):
                 try:
-                    t = Tiff(content)
+                    t = Tiff(opened(path, content))
                     rows.append({"path": path, "crs": t.crs or UNKNOWN_CRS, "bounds": t.bounds, "width": t.width, "height": t.height, "bands": t.bands, "dtype": t.dtype.newbyteorder("=").name, "transform": t.transform, "error": None})
-                except (ValueError, KeyError, struct.error) as e:
+                except FAILURES as e:
                     rows.append({"path": path, "error": str(e)})
             kinds = pa.schema([("path", pa.string()), ("crs", pa.string()), ("bounds", pa.struct([(k, pa.float64()) for k in ("left", "bottom", "right", "top")])), ("width", pa.int32()), ("height", pa.int32()), ("bands", pa.int32()), ("dtype", pa.string()), ("transform", pa.list_(pa.float64())), ("error", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    found = files.select("path", "content").mapInArrow(run, HEADER)
+    found = files.select(*[c for c in ("path", "content") if c in files.columns]).mapInArrow(run, HEADER)
     count = lambda d: F.floor((F.col(d) + CHUNK_SIZE - 1) / CHUNK_SIZE).cast("int")
     return found.withColumns({"chunk_cols": count("width"), "chunk_rows": count("height"), "total_inference_chunks": count("width") * count("height")})
 
 
-def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def ready_bands(bands: np.ndarray, want: int = 4) -> np.ndarray:
+    """The first ``want`` bands, filled up with zeros, each scaled to 0..1; a constant band, or one with NaN, becomes zeros."""
+    out = np.zeros((want, *bands.shape[1:]), np.float32)
+    for k, band in enumerate(bands[:want].astype(np.float32)):
+        low, high = band.min(initial=np.inf), band.max(initial=-np.inf)
+        if high > low:  # false with NaN as well
+            out[k] = (band - low) / (high - low)
+    return out
+
+
+def _plan(files: DataFrame, windows: DataFrame) -> DataFrame:
+    """Windows (path, r0, c0, ...) dealt to tasks by WINDOWS_PER_TASK that lie side by side, with the content where files have one."""
+    if "content" in files.columns:
+        return windows.join(files.select("path", "content"), "path")
+    group = F.floor(F.col("r0") / (4 * CHUNK_SIZE)), F.floor(F.col("c0") / (4 * CHUNK_SIZE))
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return windows.repartition(tasks, "path", *group).sortWithinPartitions("path", "r0", "c0")
+
+
+class _Open:
+    """The file that is being read; a task reads a file's windows one after the other."""
+
+    def __init__(self) -> None:
+        self.path, self.tiff = None, None
+
+    def __call__(self, path: str, content: bytes | None) -> Tiff:
+        if path != self.path:
+            self.path, self.tiff = None, Tiff(opened(path, content))
+            self.path = path
+        return self.tiff
+
+
+def _bands_array(bands: np.ndarray) -> pa.Array:
+    flat = bands.reshape(len(bands), -1)
+    inner = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), inner)
+
+
+def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, ready: int = 0) -> DataFrame:
     """A row per chunk: its window, its transform and its bands as arrays; a window that can't be read has an error.
 
-    A task holds one file and makes one window at a time.
+    Windows are the unit of work: a task reads one at a time, whatever file it is of.
+    With ``ready`` the bands are adapted to this number and scaled to 0..1.
     """
-    grid = chunk_grid(headers(files).where("error is null"), size, overlap).select("path", "chunk_id", "cr", "cc", "r0", "c0", "h", "w", "crs", "total_chunks", F.col("transform").alias("t"))
-    plan = grid.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("cr", "cc", "r0", "c0", "h", "w"))).alias("windows"), F.first("t").alias("t"), F.first("crs").alias("crs"), F.first("total_chunks").alias("total_chunks"))
+    grid = chunk_grid(headers(files).where("error is null"), size, overlap)
+    plan = _plan(files, grid.select("path", "cr", "cc", "r0", "c0", "h", "w", "crs", "total_chunks", F.col("transform").alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = _Open()
         for batch in batches:
-            for row in batch.to_pylist():
-                tiff = Tiff(row["content"])
+            for row, content in zip(batch.drop_columns([c for c in ("content",) if c in batch.schema.names]).to_pylist(), _content(batch)):
+                error, bands = None, np.zeros((0, 0), np.float32)
+                try:
+                    bands = file(row["path"], content).read(row["r0"], row["c0"], row["h"], row["w"]).astype(np.float32)
+                    bands = ready_bands(bands, ready) if ready else bands
+                except FAILURES as x:
+                    error = str(x)
                 a, b, c, d, e, f = row["t"]
-                for w in row["windows"]:
-                    error, bands = None, []
-                    try:
-                        bands = tiff.read(w["r0"], w["c0"], w["h"], w["w"]).astype(np.float32).reshape(tiff.bands, -1).tolist()
-                    except (ValueError, zlib.error) as x:
-                        error = str(x)
-                    there = [c + a * w["c0"] + b * w["r0"], a, b, f + d * w["c0"] + e * w["r0"], d, e]
-                    out = {"path": row["path"], "chunk_id": f"{w['cr']}_{w['cc']}", "window": {"col_off": w["c0"], "row_off": w["r0"], "width": w["w"], "height": w["h"]}, "pixels": bands, "geo_transform": there, "crs": DEFAULT_CRS if row["crs"] == UNKNOWN_CRS else row["crs"], "total_chunks": row["total_chunks"], "error": error}
-                    yield pa.RecordBatch.from_pylist([out], _CHUNK)
-
-    return files.select("path", "content").join(plan, "path").mapInArrow(run, CHUNK)
+                there = [c + a * row["c0"] + b * row["r0"], a, b, f + d * row["c0"] + e * row["r0"], d, e]
+                window = {"col_off": row["c0"], "row_off": row["r0"], "width": row["w"], "height": row["h"]}
+                values = [[row["path"]], [f"{row['cr']}_{row['cc']}"], [window], _bands_array(bands), [there], [DEFAULT_CRS if row["crs"] == UNKNOWN_CRS else row["crs"]], [row["total_chunks"]], [error]]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, field.type) for v, field in zip(values, _CHUNK)], schema=_CHUNK)
+
+    return plan.mapInArrow(run, CHUNK)
+
+
+def cut(files: DataFrame, windows: DataFrame) -> DataFrame:
+    """``windows`` (path, r0, c0, h, w, ...) with ``content``, a GeoTIFF of all bands of the window in its place; null where it can't be read."""
+    own = windows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = _Open()
+        for batch in batches:
+            content = _content(batch)
+            for k, (path, r0, c0, h, w) in enumerate(zip(*(batch[n].to_pylist() for n in ("path", "r0", "c0", "h", "w")))):
+                try:
+                    tiff = file(path, content[k])
+                    a, b, c, d, e, f = tiff.transform
+                    data = encode(tiff.read(r0, c0, h, w), (a, b, c + a * c0 + b * r0, d, e, f + d * c0 + e * r0), int(tiff.crs[5:]) if tiff.crs else None, deflate=True)
+                except FAILURES:
+                    data = None
+                yield pa.RecordBatch.from_arrays([*(batch[n].slice(k, 1) for n in own), pa.array([data], pa.binary())], names=[*own, "content"])
+
+    return _plan(files, windows).mapInArrow(run, f"{schema}, content binary")
+
+
+def rgb(files: DataFrame) -> DataFrame:
+    """(path, width, height, png, error): the first three bands of whole images as pictures; one band gives grey. For images that fit in a task."""
+    from .images import encode_png
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), _content(batch)):
+                out = {"path": path}
+                try:
+                    pixels = Tiff(opened(path, content)).read()[:3]
+                    pixels = np.repeat(pixels[:1], 3, axis=0) if len(pixels) < 3 else pixels
+                    out |= {"width": pixels.shape[2], "height": pixels.shape[1], "png": encode_png(np.clip(np.nan_to_num(pixels), 0, 255).astype(np.uint8).transpose(1, 2, 0))}
+                except FAILURES as x:
+                    out["error"] = str(x)
+                yield pa.RecordBatch.from_pylist([out], pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("png", pa.binary()), ("error", pa.string())]))
+
+    return files.select(*[c for c in ("path", "content") if c in files.columns]).mapInArrow(run, "path string, width int, height int, png binary, error string")
 
 
 CHUNK = "path string, chunk_id string, window struct<col_off:int,row_off:int,width:int,height:int>, pixels array<array<float>>, geo_transform array<double>, crs string, total_chunks int, error string"

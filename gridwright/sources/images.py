@@ -1,15 +1,17 @@
-"""Colour images of masks: PNG bytes by image, and GeoJSON text files."""
+"""Colour images of masks: PNG bytes by image, GeoJSON text files, and files of bytes."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.constants import PALETTE
+from .scratch import file_system
 
 
 def encode_png(rgb: np.ndarray) -> bytes:
@@ -37,3 +39,27 @@ def mask_images(mask: DataFrame, palette: list[tuple[int, int, int]] = PALETTE)
 def write_geojson(collections: DataFrame, path: str) -> None:
     """One line of text for each job's collection."""
     collections.select("geojson").write.mode("overwrite").text(path)
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's (path, content) below ``folder``, on a file system that tasks reach, when the result is read: (path, size).
+
+    A file is written under another name and then renamed, so a task that runs
+    again, or twice at a time, leaves whole files of the same content.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        system, base = file_system(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                name = f"{base}/{path}"
+                part = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(part) as out:
+                    out.write(content)
+                system.move(part, name)
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "size": pa.array([len(content)], pa.int64())})
+
+    return rows.where("content is not null").select("path", "content").mapInArrow(run, "path string, size bigint")

@@ -1,4 +1,4 @@
-"""Polygon shapefiles as rows (path, geom_id, ring); several rings of a shape are rows of their own."""
+"""Polygon shapefiles as rows (path, geom_id, part, ring); the rings of a shape, holes too, share its geom_id."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from ..functions.constants import DEFAULT_CRS
 from ..operators.tiles import layer_files
 
 POLYGONS = "path string, geom_id int, part int, ring array<array<double>>"
@@ -35,14 +37,16 @@ def read_shapes(data: bytes) -> Iterator[tuple[int, int, list[list[float]] | Non
         at += 8 + 2 * words
 
 
-def encode_shapes(rings: list[list[tuple[float, float]] | None]) -> bytes:
-    """A .shp file with one polygon of one ring for each entry; None is a null shape."""
+def encode_shapes(shapes: list[list[list[tuple[float, float]]] | None]) -> bytes:
+    """A .shp file with a polygon of one or more rings for each entry; None is a null shape."""
     body = b""
-    for number, ring in enumerate(rings, 1):
+    for number, rings in enumerate(shapes, 1):
         shape = struct.pack("<i", 0)
-        if ring is not None:
-            xs, ys = zip(*ring)
-            shape = struct.pack("<i4dii i", 5, min(xs), min(ys), max(xs), max(ys), 1, len(ring), 0) + struct.pack(f"<{2 * len(ring)}d", *(v for p in ring for v in p))
+        if rings is not None:
+            points = [p for ring in rings for p in ring]
+            xs, ys = zip(*points)
+            starts = [sum(len(r) for r in rings[:k]) for k in range(len(rings))]
+            shape = struct.pack(f"<i4dii{len(rings)}i", 5, min(xs), min(ys), max(xs), max(ys), len(rings), len(points), *starts) + struct.pack(f"<{2 * len(points)}d", *(v for p in points for v in p))
         body += struct.pack(">ii", number, len(shape) // 2) + shape
     return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, 5, *[0.0] * 8) + body
 
@@ -66,9 +70,14 @@ def polygons(files: DataFrame) -> DataFrame:
 
 
 def load_layers(spark: SparkSession, folder: str, region: str = "CG") -> DataFrame:
-    """(layer_val, geom_id, part, ring) of a region's four layers, numbered in their fixed order; null shapes are skipped."""
+    """(region, layer_val, geom_id, part, ring, crs) of a region's four layers, numbered in their fixed order; null shapes are skipped.
+
+    The system is that of the .prj file beside a layer, or WGS 84 where there is none.
+    """
     names = layer_files(region)
     files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names])
-    file = F.element_at(F.split("path", "/"), -1)
-    value = F.array_position(F.array(*map(F.lit, names)), F.url_decode(file)).cast("int")
-    return polygons(files).where("ring is not null").select(value.alias("layer_val"), "geom_id", "part", "ring")
+    value = lambda path: F.array_position(F.array(*map(F.lit, [n[:-4] for n in names])), F.regexp_replace(F.url_decode(F.element_at(F.split(path, "/"), -1)), r"\.\w+$", "")).cast("int")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.prj").load(folder)
+    systems = found.select(value(F.col("path")).alias("layer_val"), geo.crs_of_wkt(F.col("content").cast("string")).alias("crs")).where("layer_val > 0")
+    rings = polygons(files).where("ring is not null").select(F.lit(region).alias("region"), value(F.col("path")).alias("layer_val"), "geom_id", "part", "ring")
+    return rings.join(F.broadcast(systems), "layer_val", "left").select("region", "layer_val", "geom_id", "part", "ring", F.coalesce("crs", F.lit(DEFAULT_CRS)).alias("crs"))  # a system for each of four layers

@@ -24,13 +24,20 @@ def parse(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     return parsed.where("m is not null and m.type is not null").select("m.*")
 
 
-def job_states(messages: DataFrame, expire: bool = False) -> DataFrame:
+def _int(value: float | None, default: int) -> int:
+    """A number out of pandas, where null is None or NaN."""
+    return default if value is None or value != value else int(value)
+
+
+def job_states(messages: DataFrame, expire: bool = False, forget: bool = False) -> DataFrame:
     """The state of each job after each batch (STATES), from (job_id, seq, type, total_chunks, n_det, error).
 
     queued, running, then completed or failed. A job that has ended takes no
-    further messages. With ``expire`` the state of a job that was silent for an hour
+    further messages. Numbers that are null change nothing, and messages without a
+    seq are left out. With ``expire`` the state of a job that was silent for an hour
     is dropped; a query with such timers never runs out of batches, so it suits a
-    stream that stays up, not one that ends when all is read.
+    stream that stays up, not one that ends when all is read. With ``forget`` a job's
+    state is dropped as soon as it ends, for ids that no later message names.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,34 +45,39 @@ def job_states(messages: DataFrame, expire: bool = False) -> DataFrame:
             state.remove()
             return
         status, done, total, found, error = state.get if state.exists else ("queued", 0, 0, 0, None)
-        for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
+        for row in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
             if ORDER[status] == 2:
                 break
-            if row.type == "started":
-                status, total = "running", int(row.total_chunks or 0)
-            elif row.type == "chunk_done":
-                status, done, found, total = "running", done + 1, found + int(row.n_det or 0), int(row.total_chunks or total)
+            if row.type in ("started", "chunk_done"):
+                status, total = "running", _int(row.total_chunks, total)
+                if row.type == "chunk_done":
+                    done, found = done + 1, found + _int(row.n_det, 0)
             elif row.type in ("completed", "error"):
-                status, error = ("completed", None) if row.type == "completed" else ("failed", row.error)
-        state.update((status, done, total, found, error))
-        if expire:
-            state.setTimeoutDuration(1000 * 3600)
+                status, error = ("completed", None) if row.type == "completed" else ("failed", row.error if isinstance(row.error, str) else None)
+        if forget and ORDER[status] == 2:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((status, done, total, found, error))
+            if expire:
+                state.setTimeoutDuration(1000 * 3600)
         share = 100.0 if status == "completed" else int(done / total * 10000 + 0.5) / 100 if total else 0.0
         yield pd.DataFrame([(key[0], status, done, total, found, share, error)], columns=[c.split()[0] for c in STATES.split(", ")])
 
-    return messages.groupBy("job_id").applyInPandasWithState(fold, STATES, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+    return messages.where("seq is not null").groupBy("job_id").applyInPandasWithState(fold, STATES, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def final_states(messages: DataFrame) -> DataFrame:
     """What job_states ends with, as one aggregation over a finished log."""
+    messages = messages.where("seq is not null")
     known = messages.groupBy("job_id").agg(
         F.min_by("type", F.when(F.col("type").isin("completed", "error"), F.col("seq"))).alias("end"),
         F.min(F.when(F.col("type").isin("completed", "error"), F.col("seq"))).alias("end_seq"),
         F.min_by("error", F.when(F.col("type").isin("completed", "error"), F.col("seq"))).alias("end_error"),
     )
-    live = messages.join(known, "job_id").where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))
+    live = messages.withColumnRenamed("job_id", "_job").join(known, F.col("_job").eqNullSafe(F.col("job_id"))).where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))
     chunk = F.col("type") == "chunk_done"
-    sums = live.groupBy("job_id").agg(F.count_if(chunk).cast("int").alias("chunks_done"), F.coalesce(F.max_by("total_chunks", F.when(F.col("type").isin("started", "chunk_done"), F.col("seq"))), F.lit(0)).cast("int").alias("total_chunks"), F.coalesce(F.sum(F.when(chunk, F.col("n_det"))), F.lit(0)).cast("int").alias("detections_found"), F.count_if(F.col("type").isin("started", "chunk_done")).alias("begun"), F.first("end").alias("end"), F.first("end_error").alias("error"))
+    sums = live.groupBy("job_id").agg(F.count_if(chunk).cast("int").alias("chunks_done"), F.coalesce(F.max_by("total_chunks", F.when(F.col("type").isin("started", "chunk_done") & F.col("total_chunks").isNotNull(), F.col("seq"))), F.lit(0)).cast("int").alias("total_chunks"), F.coalesce(F.sum(F.when(chunk, F.col("n_det"))), F.lit(0)).cast("int").alias("detections_found"), F.count_if(F.col("type").isin("started", "chunk_done")).alias("begun"), F.first("end").alias("end"), F.first("end_error").alias("error"))
     status = F.when(F.col("end") == "completed", "completed").when(F.col("end") == "error", "failed").when(F.col("begun") > 0, "running").otherwise("queued")
     share = F.when(status == "completed", 100.0).when(F.col("total_chunks") > 0, F.floor(F.col("chunks_done") / F.col("total_chunks") * 10000 + 0.5) / 100).otherwise(0.0)
     return sums.select("job_id", status.alias("status"), "chunks_done", "total_chunks", "detections_found", share.alias("progress"), F.when(status == "failed", F.col("error")).alias("error"))

@@ -3,8 +3,10 @@
 import io
 import random
 import struct
+import time
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,10 +80,37 @@ def test_argmax_and_colours(spark):
     assert [tuple(r[:2]) for r in got] == [(1, "#4488FF"), (0, "#888888")] and tuple(got[0][2]) == (255, 255, 0)
 
 
-def test_scores_come_from_the_model(spark):
-    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0])], "id int, pixels array<double>")
-    got = classify.score_chunks(df, lambda: lambda bands: [2 * v for v in bands]).collect()
-    assert [r.scores for r in got] == [[2.0, 4.0], [6.0]]
+def test_files_to_detections(spark, tmp_path):
+    """Two files through their windows and a model; a window the model fails on, and a broken file, don't end the job."""
+    grid = np.zeros((1, 40, 70), np.float32)
+    grid[0, 2:12, 3:20], grid[0, 30:39, 50:69] = 1, 2
+    for name, data in (("a.tif", grid), ("b.tif", grid * 3)):
+        (tmp_path / name).write_bytes(geotiff.encode(data, (0.5, 0, 1000.0, 0, -0.5, 2000.0), 32644, deflate=True))
+    (tmp_path / "c.tif").write_bytes(b"II*\0junk")
+
+    def load():
+        def model(bands):
+            if bands.max() > 5:
+                raise ValueError("no such image")
+            return np.select([bands[0] == 1, bands[0] == 2, bands[0] == 3], [1, 6, 21], 99)
+
+        return model
+
+    for files in (geotiff.read_files(spark, str(tmp_path)), geotiff.read_files(spark, str(tmp_path), content=True)):
+        found = detect.detect_scored(classify.score_chunks(geotiff.chunks(files, 64, 4), load), 20, 0.0).collect()
+        got = sorted((r.path.rpartition("/")[2], r.chunk_id, r.feature_type, r.area_px, r.pixel_bbox, r.geo_polygon[0], r.crs) for r in found)
+        # the second object lies in both windows, and the model fails on those of the second file
+        assert got == [
+            ("a.tif", "0_0", "building", 170, [3, 2, 20, 12], [1001.5, 1999.0], "EPSG:32644"), ("a.tif", "0_0", "road", 171, [50, 30, 69, 39], [1025.0, 1985.0], "EPSG:32644"),
+            ("a.tif", "0_1", "road", 81, [0, 30, 9, 39], [1030.0, 1985.0], "EPSG:32644"),
+        ]
+
+
+def test_ready_bands_are_those_of_the_column_functions(spark):
+    bands = np.array([[[1.0, 3.0], [2.0, 5.0]], [[7.0, 7.0], [7.0, 7.0]], [[1.0, np.nan], [2.0, 3.0]]], np.float32)
+    df = spark.createDataFrame([([[float(v) for v in b.ravel()] for b in bands],)], "b array<array<float>>")
+    want = df.select(F.transform(raster.adapt_bands(F.col("b")), raster.normalise_band).alias("b")).first().b
+    assert np.array_equal(geotiff.ready_bands(bands).reshape(4, -1), np.array(want, np.float32))
 
 
 def test_rounding(spark):
@@ -134,7 +163,7 @@ def test_ring_to_lat_lng_and_bounds(spark):
 def test_rasterise_odd_shapes(spark):
     """A concave ring, one that lies outside, a null one; the highest layer wins."""
     rings = [("i", 1, [[0.25, 0.25], [6.25, 0.25], [6.25, 6.25], [3.25, 1.75], [0.25, 6.25], [0.25, 0.25]]), ("i", 4, [[-9.0, -9.0], [-3.0, -9.0], [-3.0, -3.0], [-9.0, -9.0]]), ("i", 2, None), ("i", 3, [[0.25, 0.25], [1.75, 0.25], [1.75, 1.75], [0.25, 1.75], [0.25, 0.25]])]
-    got = {(r.r, r.c): r.layer_val for r in tiles.rasterise(spark.createDataFrame(rings, "image_id string, layer_val int, ring array<array<double>>"), raster.image_table(spark, [("i", 5, 5)])).collect()}
+    got = {(r.r, r.c): r.layer_val for r in tiles.rasterise(spark.createDataFrame([(i, k, *r) for k, (i, *r) in enumerate(rings)], "image_id string, geom_id int, layer_val int, ring array<array<double>>"), raster.image_table(spark, [("i", 5, 5)])).collect()}
     assert got[0, 0] == 3 and got[1, 1] == 3 and got[0, 4] == 1 and (4, 3) not in got and (4, 0) in got and set(got.values()) == {1, 3}
 
 
@@ -182,6 +211,43 @@ def test_states_by_batch_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(log)
 
 
+def test_batch_and_stream_agree_on_random_logs(spark, tmp_path):
+    """With nulls in every column, numbers out of order and messages after the end."""
+    rng = random.Random(21)
+    maybe = lambda x: None if rng.random() < 0.3 else x
+    log = [(rng.choice([1, 2, 3, 4, 5, None]), k if rng.random() < 0.95 else None, rng.choice(["started", "chunk_done", "chunk_done", "chunk_done", "ping", None, *(["completed", "error"] if k % 40 == 0 else [])]), maybe(rng.randint(0, 9)), maybe(rng.randint(0, 5)), maybe("boom")) for k in range(400)]
+    rng.shuffle(log)
+    schema = "job_id bigint, seq bigint, type string, total_chunks int, n_det int, error string"
+    spark.createDataFrame(log, schema).coalesce(1).write.parquet(f"{tmp_path}/log")
+    want = Counter(map(str, stream.final_states(spark.read.parquet(f"{tmp_path}/log")).collect()))
+    for k, forget in enumerate((False, True)):
+        live = stream.job_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), forget=forget)
+        assert Counter(map(str, stream.run_once(live, "update", f"{tmp_path}/c{k}").collect())) == want and len(want) == 6
+
+
+def test_guards_stamps_and_ids(spark):
+    uploads = spark.createDataFrame([("a", "ready"), ("b", "uploading")], "upload_id string, status string")
+    got = jobs.start_status(spark.createDataFrame([("a",), ("b",), ("c",)], "upload_id string"), uploads).collect()
+    assert {r.upload_id: r.http_status for r in got} == {"a": 200, "b": 400, "c": 404}
+    r = jobs.with_id(jobs.stamped(uploads)).collect()
+    assert r[0].job_id != r[1].job_id and abs(r[0].updated_at - time.time()) < 600
+    loss = classify.mean_loss(spark.createDataFrame([(1, 2.0), (1, 4.0), (2, None)], "epoch int, loss double")).collect()
+    assert {r.epoch: (r.steps, r.loss) for r in loss} == {1: (2, 3.0), 2: (0, None)}
+    b = spark.createDataFrame([(None,), ([[0.0, 0.0], [2.0, 2.0]],)], "b array<array<double>>")
+    assert [r[0] for r in b.select(geo.map_zoom(F.col("b"))).collect()] == [5, 14]
+    assert b.limit(1).select(classify.map_colour(F.lit("boat")), classify.map_colour(F.lit("road"))).first()[:] == ("#FFFFFF", "#4488FF")
+
+
+def test_messages_are_forwarded(spark, tmp_path):
+    """Each message reaches the sender, under its batch's number."""
+    spark.range(5).write.parquet(f"{tmp_path}/log")
+    sent = []
+    query = stream.forward(spark.readStream.schema("id bigint").parquet(f"{tmp_path}/log"), lambda batch, n: sent.extend((n, r.id) for r in batch.collect()), f"{tmp_path}/c", 1)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(i for _, i in sent) == list(range(5))
+
+
 def test_frames(spark):
     lines = spark.createDataFrame([('{"type":"ping"}',), ("nonsense",), ('{"job_id":1}',), (None,)], "value string")
     assert [r.type for r in stream.parse(lines, "type string, job_id int").collect()] == ["ping"]
@@ -226,17 +292,119 @@ def test_tiff_tiles():
             tail, raw = tail + raw, struct.pack(">I", end + len(tail))
         body += struct.pack(">HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
     data = data[:4] + struct.pack(">I", start) + data[8:] + body + b"\0\0\0\0" + tail
-    tiff = geotiff.Tiff(data)
+    tiff = geotiff.Tiff(geotiff.opened("", data))
     assert np.array_equal(tiff.read(), bands) and np.array_equal(tiff.read(10, 3, 8, 15), bands[:, 10:18, 3:18]) and tiff.crs is None
     del at
 
 
+def pack_lzw(data):
+    """TIFF's LZW, the plain way."""
+    table, codes, word, width = {bytes([i]): i for i in range(256)}, [(256, 9)], b"", 9
+    free = 258
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if word + c in table:
+            word += c
+            continue
+        codes.append((table[word], width))
+        table[word + c] = free
+        free, word = free + 1, c
+        width = 9 + (free > 511) + (free > 1023) + (free > 2047)
+        if free == 4094:
+            codes.append((256, width))
+            table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
+    codes += [(table[word], width)] if word else []
+    free += 1
+    codes.append((257, 9 + (free > 511) + (free > 1023) + (free > 2047)))
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize(("compression", "pack"), [(1, bytes), (5, pack_lzw), (8, zlib.compress), (32773, lambda d: b"".join(bytes([len(d[i : i + 128]) - 1]) + d[i : i + 128] for i in range(0, len(d), 128)))])
+def test_tiff_strips(tmp_path, big, compression, pack):
+    """Strips of TIFF and BigTIFF under each compression, read by ranges of a file."""
+    rng = np.random.default_rng(4)
+    pixels = np.where(rng.random((90, 70)) < 0.5, 7, rng.integers(0, 4000, (90, 70))).astype("<u2")
+    strips = [pack(pixels[k : k + 20].tobytes()) for k in range(0, 90, 20)]
+    data = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0)
+    places = []
+    for strip in strips:
+        places.append(len(data))
+        data += strip
+    fields = [(256, [70]), (257, [90]), (258, [16]), (259, [compression]), (273, places), (277, [1]), (278, [20]), (279, [len(x) for x in strips])]
+    form, count, size, start = ("Q", 16, 8, len(data)) if big else ("I", 4, 4, len(data))
+    end = start + (8 + 20 * len(fields) + 8 if big else 2 + 12 * len(fields) + 4)
+    body, tail = struct.pack("<Q" if big else "<H", len(fields)), b""
+    for tag, values in fields:
+        raw = struct.pack(f"<{len(values)}{form}", *values)
+        if len(raw) > size:
+            tail, raw = tail + raw, struct.pack("<" + form, end + len(tail))
+        body += struct.pack("<HH" + form, tag, count, len(values)) + raw.ljust(size, b"\0")
+    at = 8 if big else 4
+    data = data[:at] + struct.pack("<" + form, start) + data[at + size :] + body + struct.pack("<" + form, 0) + tail
+    (tmp_path / "x y.tif").write_bytes(data)
+    tiff = geotiff.Tiff(geotiff.opened(f"file:{tmp_path}/x%20y.tif", None))
+    assert np.array_equal(tiff.read()[0], pixels) and np.array_equal(tiff.read(15, 9, 50, 33)[0], pixels[15:65, 9:42])
+
+
+def test_whole_images_as_pictures(spark, tmp_path):
+    pixels = np.arange(2 * 3 * 4, dtype=np.uint8).reshape(4, 2, 3)
+    (tmp_path / "a.tif").write_bytes(geotiff.encode(pixels))
+    (tmp_path / "b.tif").write_bytes(b"no image")
+    got = {r.path[-5:]: r for r in geotiff.rgb(geotiff.read_files(spark, str(tmp_path))).collect()}
+    data = bytes(got["a.tif"].png)
+    raw = zlib.decompress(data[data.index(b"IDAT") + 4 :])
+    assert (got["a.tif"].width, got["a.tif"].height) == (3, 2) and raw[1:10] == pixels[:3, 0].T.tobytes() and got["b.tif"].error
+
+
 def test_shapes_and_layers(spark, tmp_path):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    hole = [(3.0, 1.0), (3.0, 2.0), (3.5, 2.0), (3.0, 1.0)]
     for k, name in enumerate(tiles.layer_files("PB")):
-        (tmp_path / name).write_bytes(vectors.encode_shapes([ring] * k + [None]))
-    got = vectors.load_layers(spark, str(tmp_path), "PB").groupBy("layer_val").agg(F.count("*").alias("n"), F.first("ring").alias("ring")).collect()
-    assert {r.layer_val: r.n for r in got} == {2: 1, 3: 2, 4: 3} and got[0].ring == [list(p) for p in ring]
+        (tmp_path / name).write_bytes(vectors.encode_shapes([[ring, hole]] * k + [None]))
+        if k < 3:
+            (tmp_path / name.replace(".shp", ".prj")).write_text(['GEOGCS["GCS_WGS_1984"]', 'PROJCS["WGS_1984_UTM_Zone_44N",GEOGCS["x"]]', 'PROJCS["WGS 84 / UTM zone 43S",GEOGCS["y",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32743"]]'][k])
+    rows = vectors.load_layers(spark, str(tmp_path), "PB")
+    got = rows.groupBy("layer_val", "crs").agg(F.countDistinct("geom_id").alias("n"), F.count("*").alias("rings")).collect()
+    assert {(r.layer_val, r.crs, r.n, r.rings) for r in got} == {(2, "EPSG:32644", 1, 2), (3, "EPSG:32743", 2, 4), (4, "EPSG:4326", 3, 6)}
+    assert rows.where("part = 1").first().ring == [list(p) for p in hole] and {r.region for r in rows.collect()} == {"PB"}
+
+
+def test_holes_and_slants(spark):
+    """A square with a hole, and random polygons against the parity rule for every pixel."""
+    rng = random.Random(5)
+    square, hole = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]], [[3.0, 3.0], [3.0, 7.0], [7.0, 7.0], [7.0, 3.0], [3.0, 3.0]]
+    shapes = {("i", 0): [square, hole]}
+    for g in range(1, 6):
+        points = [[rng.uniform(-5, 35), rng.uniform(-5, 25)] for _ in range(rng.randint(3, 8))]
+        shapes["jk"[g % 2], g] = [points + points[:1]]
+    rings = [(i, g, 1 + g % 4, r) for (i, g), rs in shapes.items() for r in rs] + [("i", 9, 1, None), ("i", 9, 1, square[:2])]
+    where = spark.createDataFrame([("i", 12, 12), ("j", 20, 30), ("k", 20, 30)], "image_id string, height int, width int")
+    got = {(r.image_id, r.r, r.c): r.layer_val for r in tiles.rasterise(spark.createDataFrame(rings, "image_id string, geom_id int, layer_val int, ring array<array<double>>"), where).collect()}
+    assert sum(k[0] == "i" for k in got) == 84
+
+    def inside(x, y, rs):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for r in rs for a, b in zip(r, r[1:])) % 2
+
+    want = {}
+    for (i, g), rs in shapes.items():
+        for r in range(12 if i == "i" else 20):
+            for c in range(12 if i == "i" else 30):
+                if inside(c + 0.5, r + 0.5, rs):
+                    want[i, r, c] = max(want.get((i, r, c), 0), 1 + g % 4)
+    assert got == want
+
+
+def test_layers_are_reprojected(spark):
+    """A ring in degrees and one in metres of the same place fall on the same pixels."""
+    ring = [[500_010.0, 2_299_990.0], [500_020.0, 2_299_990.0], [500_020.0, 2_299_980.0], [500_010.0, 2_299_990.0]]
+    metres = spark.createDataFrame([(ring,)], "ring array<array<double>>")
+    there = metres.select(F.transform("ring", lambda p: geo.to_wgs84(p[0], p[1], F.lit("EPSG:32644"))).alias("t")).select(F.transform("t", lambda t: F.array(t["lng"], t["lat"])).alias("ring")).first().ring
+    layers = spark.createDataFrame([("PB", 1, 1, ring, "EPSG:32644"), ("PB", 2, 2, there, "EPSG:4326"), ("CG", 3, 3, ring, "EPSG:32644"), ("PB", 4, 4, [[0.0, 0.0]] * 4, "EPSG:32644")], "region string, geom_id int, layer_val int, ring array<array<double>>, crs string")
+    where = spark.createDataFrame([("i", "/x/PB/i.tif", "EPSG:32644", [500_000.0, 0.5, 0.0, 2_300_000.0, 0.0, -0.5], 100, 100)], "image_id string, path string, crs string, transform array<double>, height int, width int")
+    got = {r.geom_id: r.ring for r in tiles.to_pixels(layers, where).collect()}
+    assert got.keys() == {1, 2} and got[1][0] == [20.0, 20.0] and np.allclose(got[1], got[2], atol=1e-4)
 
 
 def test_zip(spark, tmp_path):
@@ -246,6 +414,12 @@ def test_zip(spark, tmp_path):
             z.writestr("x/", "")
     got = archives.read_archives(spark, str(tmp_path)).collect()
     assert [(r.archive.rpartition("/")[2], r.member, bytes(r.content)) for r in got] == [("a.zip", "x/y.txt", b"hello")]
+    (tmp_path / "c.zip").write_bytes(b"PK broken")
+    damaged = bytearray((tmp_path / "a.zip").read_bytes())
+    damaged[damaged.index(b"hello")] ^= 1
+    (tmp_path / "d.zip").write_bytes(damaged)
+    errors = {r.archive.rpartition("/")[2]: r.error for r in archives.read_archives(spark, str(tmp_path)).collect()}
+    assert errors["a.zip"] is None and errors["c.zip"] and errors["d.zip"]
 
 
 def test_png(spark):

@@ -326,7 +326,8 @@ def _open_groups(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame
     """(node, piece, pieces, work): groups of open nodes that share a shingle of their prefixes.
 
     Groups with the same nodes are one. A large group is cut into blocks, its pieces,
-    and is a work of its own; small groups share works of about one block.
+    and is a work of its own; small groups share works of about one block, and those
+    with the same smallest node share one, as most groups of one passage do.
     """
     n_open = nodes.count()
     own = sets.join(nodes, "node")
@@ -347,11 +348,11 @@ def _open_groups(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame
 
     items = materialize(own.select("node", "c", "shingles", "weights").mapInArrow(run, "shingle bigint, node bigint, c bigint, smaller boolean"), "prefixes")
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-    groups = items.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("smaller").alias("smaller"), *same)
-    groups = groups.where("low <> high and smaller").groupBy("n", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("shingle", "n")
+    groups = items.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("smaller").alias("smaller"), F.min("node").alias("head"), *same)
+    groups = groups.where("low <> high and smaller").groupBy("n", "h1", "h2").agg(F.min("shingle").alias("shingle"), F.min("head").alias("head")).select("shingle", "n", "head")
     groups = materialize(groups, "groups")
     total = groups.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
-    together = F.concat(F.lit("s"), F.pmod(F.xxhash64("shingle"), F.lit(-(-2 * total // BLOCK) or 1)).cast("string"))
+    together = F.concat(F.lit("s"), F.pmod(F.xxhash64("head"), F.lit(-(-2 * total // BLOCK) or 1)).cast("string"))
     sized = items.select("shingle", "node").join(groups, "shingle").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
     work = F.when(F.col("n") <= BLOCK, together).otherwise(F.col("shingle").cast("string"))
     return materialize(sized.select("node", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), "pieces", work.alias("work")).distinct(), "works")

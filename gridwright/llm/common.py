@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,18 +39,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+_open: list[list[str]] = []  # the tables that each settled() in progress has written so far
+
+
+def _write(df: DataFrame, name: str) -> str:
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation,
-    and what several later branches read is computed once.
+    and what several later branches read is computed once. Within ``settled`` the
+    table goes when the result that it is for is written.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = _write(df, name)
+    if _open:
+        _open[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written as by materialize; the tables that were written for it are deleted then."""
+    with tables_deleted(spark):
+        df = build()
+        path = _write(df, name)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables_deleted(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized in this block are deleted at its end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -57,12 +90,11 @@ BROADCAST_IDS = 2_000_000
 def keep_winners(docs: DataFrame, rows: DataFrame, with_digest: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that win, each once, with all their columns.
 
-    ``rows`` has (doc_id, digest, n, wins) for every distinct pair of id and digest, n
+    ``rows`` is a written table of (doc_id, digest, n, wins) for every distinct pair of id and digest, n
     being how often it occurs. Rows that lose are taken out by their ids, which alone
     are sent to the texts if there are not too many. Only rows without an id, or with
     one that occurs again, are told apart by digest: ``with_digest`` adds _gw_digest.
     """
-    rows = materialize(rows, "verdicts")
     again = materialize(rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_gw_id")), "again")
     out = rows.where("not wins and doc_id is not null").select(F.col("doc_id").alias("_gw_id")).unionByName(again.where("_gw_id is not null")).distinct()
     out = materialize(out, "losers")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, keep_winners, materialize, text_or_empty
+from .common import WHITE, keep_winners, materialize, settled, text_or_empty
 
 DIGESTS_PER_SHARD = 16384
 _BITS = "levels array<binary>, widths array<bigint>, slots binary, winners binary, counts binary"
@@ -155,14 +155,22 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, groups = equal_groups(docs, id_col, text_col)
-    joined = rows.join(groups.select("digest", "keep_id", F.col("n").alias("group_size")), "digest")
+
+    def build() -> DataFrame:
+        rows, groups = equal_groups(docs, id_col, text_col)
+        return rows.join(groups.select("digest", "keep_id", F.col("n").alias("group_size")), "digest")
+
+    joined = settled(docs.sparkSession, "groups", build)
     copies = joined.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
     return copies.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: one of each group of equal texts."""
-    rows, groups = equal_groups(docs, id_col, text_col)
-    judged = rows.join(groups.select("digest", "keep_id"), "digest").select("doc_id", "digest", "n", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("wins"))
+
+    def build() -> DataFrame:
+        rows, groups = equal_groups(docs, id_col, text_col)
+        return rows.join(groups.select("digest", "keep_id"), "digest").select("doc_id", "digest", "n", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("wins"))
+
+    judged = settled(docs.sparkSession, "judged", build)
     return keep_winners(docs, judged, lambda df: df.withColumn("_gw_digest", text_digest(text_col)), id_col)

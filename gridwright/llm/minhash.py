@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, keep_winners, materialize, slices, text_or_empty
+from .common import arrow_strings, keep_winners, materialize, settled, slices, text_or_empty
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -430,12 +430,13 @@ def _wins() -> Column:
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest id of its class), class_size, kept."""
-    rows = materialize(near_classes(docs, similar), "classes")
+    rows = settled(docs.sparkSession, "classes", lambda: near_classes(docs, similar))
     named = rows.join(_winners(rows), "class").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
     return named.select("doc_id", "class_id", "class_size", (_wins() & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each class, with all its columns."""
-    rows = materialize(near_classes(docs, similar), "classes")
-    return keep_winners(docs, rows.join(_winners(rows), "class").select("doc_id", "digest", "n", _wins().alias("wins")), with_digest)
+    rows = settled(docs.sparkSession, "classes", lambda: near_classes(docs, similar))
+    judged = rows.join(_winners(rows), "class").select("doc_id", "digest", "n", _wins().alias("wins"))
+    return keep_winners(docs, materialize(judged, "judged"), with_digest)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, materialize, slices, text_or_empty
+from .common import arrow_strings, materialize, slices, tables_deleted, text_or_empty
 
 MAX_PER_CLASS = 4000
 #: A, B, S and the evenly spread part of s; chosen on training rows.
@@ -231,6 +231,11 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_PER_CLASS) -> Scorer | None:
     """The scorer, or None where labels of one class are missing."""
+    with tables_deleted(docs.sparkSession):
+        return _learn(docs, labels, most)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, most: int) -> Scorer | None:
     sampled = sample(docs, labels, most)
     counts = bigram_counts(sampled)
     halves = [fit(counts, (1,)), fit(counts, (0,))]  # each half's texts are scored by the other's model

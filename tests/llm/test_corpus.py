@@ -766,6 +766,85 @@ def test_pipeline(spark):
     assert max(kept.values()) <= 3
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage, on its own input, keeps the rows that a plain version keeps."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    known = lambda df: {r.doc_id: r.text or "" for r in df.collect()}
+    before = known(docs)
+
+    toxic = {r.doc_id for r in queries.op6_toxicity(spark, SF).collect() if r.score >= 0.7}
+    docs = stages["toxicity"](spark, docs, SF).cache()
+    assert known(docs) == {i: t for i, t in before.items() if i not in toxic}
+
+    before, first = known(docs), {}
+    for i, t in sorted(before.items()):
+        first.setdefault(white(t), i)
+    docs = stages["exact_dedup"](spark, docs, SF).cache()
+    assert known(docs).keys() == set(first.values())
+
+    before = known(docs)
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := re.findall(r"\w+", t.lower())) else Counter() for i, t in before.items()}
+    root = {i: i for i in before}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(before), 2):
+        x, y = bags[a], bags[b]
+        both = x.keys() & y.keys()
+        like = len(both) / max(1, len(x.keys() | y.keys())) if x or y else 1.0
+        if like < 0.8 and len(both) and min(sum(x[e] for e in both) / sum(x.values()), sum(y[e] for e in both) / sum(y.values())) >= 0.8:
+            like = sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys()) for d in both)
+        if like >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    docs = stages["near_dedup"](spark, docs, SF).cache()
+    assert known(docs).keys() == {find(i) for i in before}
+
+    rows_in = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+    sizes = Counter()
+    for _, source, n in rows_in:
+        sizes[source] += n
+    want, hashes = targets(sizes), {i: hashlib.md5(str(i).encode()).hexdigest() for i, *_ in rows_in}
+    draw = lambda i, k: (int(hashes[i][:8], 16) + k * int(hashes[i][8:16], 16)) % 2**32 / 2**32
+    copies = {}
+    for source in sizes:
+        own = [(i, n) for i, s, n in rows_in if s == source]
+        whole, part = divmod(want[source] / sizes[source] if sizes[source] else 0, 1)
+        seed = min(range(64), key=lambda k: (abs(sum(n for i, n in own if draw(i, k) < part) - part * sizes[source]), k))
+        copies |= {i: int(whole) + (draw(i, seed) < part) for i, _ in own}
+    docs = stages["mixing"](spark, docs, SF).cache()
+    assert Counter(r.doc_id for r in docs.collect()) == Counter({i: c for i, c in copies.items() if c})
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = stages["packing"](spark, docs, SF).collect()
+    pieces_fit(pieces)
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in known(docs).items()}
+    assert all(bytes(p.ids) == ids[p.doc_id][4 * p.start : 4 * (p.start + p.length)] for p in pieces)
+    assert Counter((p.doc_id, p.start + k) for p in pieces for k in range(p.length)) == Counter({(i, k): c for i, c in copies.items() if c for k in range(len(ids[i]) // 4)})
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    """What an operator wrote on the way is deleted when its result is written."""
+    from gridwright.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}/scratch")
+    docs = make(spark, ODD)
+    minhash.drop_near_duplicates(docs).collect()
+    exact_dedup.drop_repeats(docs).collect()
+    toxicity.toxicity(docs, spark.createDataFrame([(1, 1), (6, 0)], "doc_id bigint, toxic int")).collect()
+    left = {p.name[:-33] for p in (tmp_path / "scratch").iterdir()}
+    assert left == {"classes", "judged", "again", "losers"}
+
+
 def test_pipeline_odd(spark, tmp_path):
     import corpus_pipeline
 

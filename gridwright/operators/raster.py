@@ -69,6 +69,11 @@ def adapt_bands(bands: Column, want: int = 4) -> Column:
     return F.concat(F.slice(bands, 1, want), F.array_repeat(zero, F.greatest(F.lit(0), F.lit(want) - F.size(bands))))
 
 
+def of_byte(value: Column) -> Column:
+    """0..255 to 0..1, as training and evaluation feed images."""
+    return (value / F.lit(255.0)).cast("float")
+
+
 def to_byte(value: Column) -> Column:
     """0..1 to 0..255, cut off."""
     return (value * 255).cast("int")
@@ -125,3 +130,20 @@ def resize_nearest(pixels: DataFrame, height: int, width: int, to_height: int, t
     grid = images.withColumn("tr", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("tc", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
     pick = lambda t, to, dim: F.least(F.floor(t * dim / to).cast("int"), F.lit(dim - 1))
     return grid.withColumns({"r": pick(F.col("tr"), to_height, height), "c": pick(F.col("tc"), to_width, width)}).join(pixels, ["image_id", "r", "c"]).select("image_id", "tr", "tc", "v")
+
+
+def square(pixels: DataFrame, height: int, width: int, size: int = 512) -> DataFrame:
+    """(image_id, band, r, c, v): the first three bands of (image_id, band, r, c, v) scaled to 0..1 and resized to a square.
+
+    Each band is resized as an image of its own; ``unsquare`` takes scores back.
+    """
+    own = F.struct("image_id", "band").alias("image_id")
+    resized = resize_bilinear(pixels.where("band < 3").select(own, "r", "c", of_byte(F.col("v")).cast("double").alias("v")), height, width, size, size)
+    return resized.select("image_id.image_id", "image_id.band", F.col("tr").alias("r"), F.col("tc").alias("c"), "v")
+
+
+def unsquare(scores: DataFrame, height: int, width: int, size: int = 512) -> DataFrame:
+    """(image_id, band, r, c, v): scores of a square (a band for each class) at the image's own size."""
+    own = F.struct("image_id", "band").alias("image_id")
+    resized = resize_bilinear(scores.select(own, "r", "c", "v"), size, size, height, width)
+    return resized.select("image_id.image_id", "image_id.band", F.col("tr").alias("r"), F.col("tc").alias("c"), "v")

@@ -380,11 +380,11 @@ def tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = geotiff.headers(files).select(F.lit(fx.IMAGE).alias("image_id"), "path", "crs", F.expr("array(transform[2], transform[0], transform[1], transform[5], transform[3], transform[4])").alias("transform"), "height", "width")
     metres = F.transform("ring", lambda p: F.array(*geo.pixel_to_geo(p[0], p[1], TRANSFORM)))
     layers = fx.polygons(spark, sf_dir).select(F.lit("PB").alias("region"), "geom_id", "layer_val", metres.alias("ring"), F.lit("EPSG:32644").alias("crs"))
-    labelled = tiles.rasterise(tiles.to_pixels(layers, where), where)
-    kept = tiles.number_tiles(tiles.keep_tiles(labelled, where, 64, 32)).drop("labelled_px")
+    out = scratch_dir(spark)
+    labelled = _written(tiles.rasterise(tiles.to_pixels(layers, where), where), f"{out}/labels")
+    kept = _written(tiles.number_tiles(tiles.keep_tiles(labelled, where, 64, 32)).drop("labelled_px"), f"{out}/kept")
     named = lambda df, kind: df.select(F.concat(F.lit(f"{kind}/"), F.col("tile_id").cast("string"), F.lit(".tif")).alias("path"), "content")
     windows = kept.join(where.select("image_id", "path"), "image_id").select("path", F.col("ty").alias("r0"), F.col("tx").alias("c0"), F.lit(64).alias("h"), F.lit(64).alias("w"), "tile_id")
-    out = scratch_dir(spark)
     write_files(named(geotiff.cut(files, windows), "images").unionByName(named(tiles.mask_tiles(labelled, kept, where, 64, 32), "masks")), out).collect()
 
     def read(kind: str) -> DataFrame:
@@ -453,6 +453,12 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.det(spark, sf_dir).select("seq", shown.alias("shown"), show_area(F.col("area_px")).alias("area"), upload_percent(F.col("chunk_row"), F.lit(10)).alias("percent"), progress_percent(F.col("chunk_row") + 1, F.lit(10)).alias("progress"))
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """What several later steps read, computed once."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema

@@ -1,6 +1,7 @@
 """The raster, detection, job, upload, tile and streaming operators."""
 
 import io
+import json
 import random
 import struct
 import time
@@ -348,6 +349,27 @@ def test_tiff_strips(tmp_path, big, compression, pack):
     assert np.array_equal(tiff.read()[0], pixels) and np.array_equal(tiff.read(15, 9, 50, 33)[0], pixels[15:65, 9:42])
 
 
+def test_squares_and_back(spark):
+    """Bytes to 0..1, three bands, resized; a flat band stays flat on the way there and back."""
+    cells = spark.createDataFrame([("i", b, r, c, 51 * b) for b in range(4) for r in range(6) for c in range(4)], "image_id string, band int, r int, c int, v int")
+    there = raster.square(cells, 6, 4, 8)
+    got = there.groupBy("band").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    assert {r.band: r.n for r in got} == {0: 64, 1: 64, 2: 64} and all(r.low == pytest.approx(0.2 * r.band) and r.high == pytest.approx(0.2 * r.band) for r in got)
+    back = raster.unsquare(there, 6, 4, 8).collect()
+    assert len(back) == 72 and all(r.v == pytest.approx(0.2 * r.band) for r in back)
+
+
+def test_geojson_files(spark, tmp_path):
+    """A line for each job, without spaces, features in order."""
+    found = spark.createDataFrame([(1, 2, "road", 0.5, "0_0", "#4488FF", 7, "EPSG:32644", [[0.0, 0.0]] * 5), (1, 1, "water", 0.25, "0_1", "#00BBFF", 9, "EPSG:32644", [[1.0, 1.0]] * 5)], "job_id int, seq int, feature_type string, confidence double, chunk_id string, colour string, area_px int, crs string, geo_polygon array<array<double>>")
+    jobs_of = spark.createDataFrame([(1, "EPSG:32644"), (2, None)], "job_id int, crs string")
+    images.write_geojson(detect.feature_collections(jobs_of, found), f"{tmp_path}/out")
+    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect())
+    docs = {d["name"]: d for d in map(json.loads, lines)}
+    assert [f["properties"]["area_px"] for f in docs["detections_1"]["features"]] == [9, 7] and docs["detections_2"]["features"] == [] and docs["detections_2"]["crs"]["properties"]["name"] == "EPSG:4326"
+    assert docs["detections_1"]["type"] == "FeatureCollection" and all(json.dumps(json.loads(x), separators=(",", ":")) == x for x in lines)
+
+
 def test_whole_images_as_pictures(spark, tmp_path):
     pixels = np.arange(2 * 3 * 4, dtype=np.uint8).reshape(4, 2, 3)
     (tmp_path / "a.tif").write_bytes(geotiff.encode(pixels))

@@ -8,8 +8,8 @@ resemblance (Jaccard) and containment. All of it is made of Spark functions.
 Defined results: a null text counts as empty and has an empty sketch; a text of
 one to four words has the one shingle of all its words; two empty sketches have
 resemblance 1, an empty and another one 0; in the order of documents, rows
-without an id come first and rows with the same id are ordered by text; with one
-row, the next document is that row; an empty table gives an empty result. Other
+without an id come first, and rows with the same id, or none, follow a hash of their
+texts and then these; with one row, the next document is that row; an empty table gives an empty result. Other
 columns are ignored, whatever their names.
 """
 
@@ -87,20 +87,29 @@ def _tree(x: Column, edges: list, low: int, high: int) -> Column:
 
 
 def _buckets(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Adds part and bucket, both ascending with doc_id, of about ROWS_PER_BUCKET rows each; and counts the rows.
+    """Adds part, bucket and hash, ascending as the rows are ordered, of about ROWS_PER_BUCKET rows each; and counts the rows.
 
-    Quantiles of the ids make up to QUANTILES + 1 parts, and each part is divided evenly.
+    Quantiles of the ids make up to QUANTILES + 1 parts, and each part is divided
+    evenly. Ids that hold several quantiles, and rows without an id, are many rows of
+    one id each: these are divided by the hash of their texts.
     """
-    found = docs.select(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / (QUANTILES + 1) for i in range(1, QUANTILES + 1)], 10_000)).first()
-    n, least, most, edges = found[0], found[1] or 0, found[2] or 0, sorted(set(found[3] or ()))
+    found = docs.select(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / (QUANTILES + 1) for i in range(1, QUANTILES + 1)], 10_000), F.count_if(F.col("doc_id").isNull())).first()
+    n, least, most, quantiles, n_null = found[0], found[1] or 0, found[2] or 0, found[3] or [], found[4]
+    edges = sorted(set(quantiles))
+    heavy = [x for x in edges if quantiles.count(x) > 1] if n > ROWS_PER_BUCKET * 4 else []
     edges = edges if n > ROWS_PER_BUCKET * 4 else edges[:: max(1, len(edges) * ROWS_PER_BUCKET // max(1, n))]
-    each = max(1, -(-n // (ROWS_PER_BUCKET * (len(edges) + 1))))
+    each, same = max(1, -(-n // (ROWS_PER_BUCKET * (len(edges) + 1)))), max(1, -(-n // ROWS_PER_BUCKET))
     bounds = F.array(*[F.lit(x).cast("bigint") for x in (least, *edges, most + 1)])
-    low, high = F.element_at(bounds, F.col("part") + 1), F.element_at(bounds, F.col("part") + 2)
-    within = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * each)
+    low, high = F.get(bounds, F.col("part")), F.get(bounds, F.col("part") + 1)
+    within = F.least(F.greatest(F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * each), F.lit(0)), F.lit(each - 1))
     part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_tree(F.col("doc_id"), edges, 0, len(edges)))
-    bucket = F.when(F.col("part") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("part") * F.lit(each) + F.least(F.greatest(within, F.lit(0)), F.lit(each - 1)))
-    return docs.withColumn("part", part).withColumn("bucket", bucket.cast("bigint")), n
+    bucket = F.col("part").cast("bigint") * (same + each) + same + within
+    if heavy or n_null > ROWS_PER_BUCKET:  # the texts are read here only where there are such rows
+        by_hash = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * same).cast("bigint")
+        alone = F.col("doc_id").isNull() | F.col("doc_id").isin(heavy) if heavy else F.col("doc_id").isNull()
+        bucket = F.when(alone, F.col("part").cast("bigint") * (same + each) + F.least(by_hash, F.lit(same - 1))).otherwise(bucket)
+    rows = docs.withColumns({"part": part, "hash": F.xxhash64("text")})
+    return rows.withColumn("bucket", F.coalesce(bucket, F.lit(-same - each)).cast("bigint")), n
 
 
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
@@ -117,16 +126,16 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.lead("head").over(every), F.min("head").over(every)).alias("following"))
     chain = heads.join(F.broadcast(parts), "part").select("bucket", F.coalesce(F.lead("bucket").over(Window.partitionBy("part").orderBy("bucket")), "following").alias("after"))
     head = heads.select(F.col("bucket").alias("_b"), F.col("first_id").alias("_id"))
-    firsts = rows.join(head, (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    firsts = rows.join(head, (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("bucket").agg(F.min(F.struct("hash", "text"))["text"].alias("text"))
     firsts = firsts.select(F.col("bucket").alias("after"), F.col("text").alias("head_text"), words(F.col("text")).alias("word"))
     tails = materialize(chain.join(firsts, "after").select("bucket", "head_text", smallest(shingles(F.col("word")), k).alias("head_sketch")), "heads")
 
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+    order = Window.partitionBy("bucket").orderBy("doc_id", "hash", "text")
     # words only after the window: made before it, they would go through the shuffle
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_TASK))
-    led = rows.repartition(tasks, "bucket").select("bucket", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
+    led = rows.repartition(tasks, "bucket").select("bucket", "doc_id", "hash", "text", F.lead("text").over(order).alias("next_text"))
     split = led.select("*", words(F.col("text")).alias("word"))
-    sketched = split.select("bucket", "doc_id", "text", "next_text", smallest(shingles(F.col("word")), k).alias("sketch"))
+    sketched = split.select("bucket", "doc_id", "hash", "text", "next_text", smallest(shingles(F.col("word")), k).alias("sketch"))
     paired = sketched.withColumn("next_sketch", F.lead("sketch").over(order))
     tails = tails.withColumnRenamed("bucket", "_b")
     joined = paired.join(tails, (F.col("bucket") == F.col("_b")) & F.col("next_text").isNull(), "left")

@@ -674,6 +674,21 @@ def test_sketches_merge(spark):
     assert r.both == r.merged and abs(r.n - 9000) < 1800 and abs(r.j - 1 / 3) < 0.1 and abs(r.c - 0.5) < 0.15
 
 
+def test_next_documents_in_order(spark, monkeypatch):
+    """The chain of next documents visits all rows in order, with clustered, heavy and missing ids."""
+    monkeypatch.setattr(fingerprint, "ROWS_PER_BUCKET", 20)
+    rng = random.Random(16)
+    ids = [None] * 150 + [7] * 200 + [10**12 + i for i in range(100)] + rng.sample(range(-1000, 1000), 100)
+    data = [(i, f"text {k}", None) for k, i in enumerate(ids)]
+    df = make(spark, data).repartition(5)
+    got = fingerprint.with_next(df).select("doc_id", "text", "next_text").collect()
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t, _ in sorted(data, key=lambda d: (d[0] is not None, d[0] or 0, hashed[d[1]], d[1]))]
+    assert {r.text: r.next_text for r in got} == dict(zip(order, order[1:] + order[:1])) and len(got) == len(data)
+    largest = max(r["count"] for r in fingerprint._buckets(df.select("doc_id", "text"))[0].groupBy("bucket").count().collect())
+    assert largest < 100
+
+
 def test_fingerprint_odd(spark):
     got = fingerprint.fingerprint_edits(make(spark, ODD, extra=True)).collect()
     assert len(got) == len(ODD) and all(0 <= r.near_next <= 1 for r in got)

@@ -20,8 +20,9 @@ normalised by their number; a line that is repeated counts once, as in the count
 Its score follows by a rising curve (isotonic regression).
 
 Labels are learned from rows with crc32(doc_id as text) mod 3 other than 1. From
-these, up to MAX_PER_CLASS documents of each class, by the order of a hash of
-their ids, are the sample on which the models are fitted. The curve is fitted on
+these, up to MAX_PER_CLASS documents of each class, or as many as MAX_CHARS
+characters hold, by the order of a hash of their ids, are the sample on which the
+models are fitted. The curve is fitted on
 ratios that each half of the sample gets from models of the other half, and every
 sampled document weighs as many as it stands for. A model holds a number for each
 word and bigram of the sample, under 64-bit hashes; so its size is bounded by the
@@ -45,12 +46,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_strings, materialize, slices, tables_deleted, text_or_empty
 
-MAX_PER_CLASS = 4000
+#: Bounds of the sample: documents of each class, and characters of each class beyond which no document is added.
+MAX_PER_CLASS, MAX_CHARS = 4000, 24_000_000
 #: A, B, S and the evenly spread part of s; chosen on training rows.
 CLASS_SHARE, PAIR_SHARE, PAIR_STRENGTH, EVEN_SHARE = 1e-4, 1e-7, 1000, 0.05
 #: Texts' log-likelihood ratios are divided by their number of distinct bigrams to this power.
@@ -138,14 +140,18 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_PER_CLASS) -> Dat
     """(doc_id, toxic, half, weight, text): the labelled documents that models are fitted on."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    known = materialize(known.where("toxic in (0, 1)").where(~held_out()).join(texts.select("doc_id").distinct(), "doc_id"), "labels")
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    first = lambda c: known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(most)
-    weight = lambda c: F.lit(max(1.0, counts.get(c, 0) / most))
-    ids = first(0).unionByName(first(1)).withColumn("weight", F.when(F.col("toxic") == 0, weight(0)).otherwise(weight(1)))
-    ids = materialize(ids.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")), "sample")
-    return materialize(texts.join(F.broadcast(ids), "doc_id"), "sampled")  # at most 2 * most ids
+    lengths = texts.groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("chars"))
+    known = materialize(known.where("toxic in (0, 1)").where(~held_out()).join(lengths, "doc_id"), "labels")
+    order = [F.xxhash64("doc_id", F.lit("sample")), "doc_id"]
+    first = lambda c: known.where(F.col("toxic") == c).orderBy(*order).limit(most)
+    before = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # over at most ``most`` rows
+    ids = first(0).unionByName(first(1)).withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("before") < MAX_CHARS)
+    ids = materialize(ids.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "sample")
+    count = lambda df: {r["toxic"]: r["count"] for r in df.groupBy("toxic").count().collect()}
+    every, taken = count(known), count(ids)
+    stands_for = lambda c: F.lit(every.get(c, 0) / max(1, taken.get(c, 0)))
+    weighed = ids.withColumn("weight", F.when(F.col("toxic") == 0, stands_for(0)).otherwise(stands_for(1)))
+    return materialize(texts.join(F.broadcast(weighed), "doc_id"), "sampled")  # at most 2 * most ids
 
 
 def bigram_counts(sampled: DataFrame) -> DataFrame:

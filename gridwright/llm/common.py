@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the controls from tab to carriage return.
 WHITE = "[\\x20\\x09-\\x0D]+"
+CACHED_WORDS = 100_000
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 _local_scratch: dict[str, str] = {}
@@ -117,6 +119,19 @@ def arrow_strings(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the words of late; one table for each Python worker, whatever it runs."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = x = xxhash.xxh3_64_intdigest(word)
+        return x
+
+
+word_hash = WordHashes()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of ``rows`` at most, so a task holds few texts as Python strings at a time."""
     for batch in batches:

@@ -48,12 +48,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, keep_winners, materialize, settled, slices, text_or_empty
+from .common import arrow_strings, keep_winners, materialize, settled, slices, text_or_empty, word_hash
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 30, 6
-CACHED_WORDS = 100_000
 #: Members of a block; two blocks are compared in one task.
 BLOCK = 512
 BATCH_SHINGLES = 60_000
@@ -63,20 +62,9 @@ _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word)
-        return x
-
-
-_hashes = _WordHashes()
-
-
 def word_hashes(text: str) -> np.ndarray:
     found = _WORD.findall(text.lower())
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(word_hash.__getitem__, found), np.uint64, len(found))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -45,11 +45,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, materialize, slices, tables_deleted, text_or_empty
+from .common import arrow_strings, materialize, slices, tables_deleted, text_or_empty, word_hash
 
 #: Bounds of the sample: documents of each class, and characters of each class beyond which no document is added.
 MAX_PER_CLASS, MAX_CHARS = 4000, 24_000_000
@@ -58,7 +57,6 @@ CLASS_SHARE, PAIR_SHARE, PAIR_STRENGTH, EVEN_SHARE = 1e-4, 1e-7, 1000, 0.05
 #: Texts' log-likelihood ratios are divided by their number of distinct bigrams to this power.
 LENGTH = 0.75
 THRESHOLD = 0.7
-CACHED_WORDS = 100_000
 START = np.uint64(0)
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -66,17 +64,6 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = [(c, half) for c in (0, 1) for half in (0, 1)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word)
-        return x
-
-
-_hashes = _WordHashes()
-
-
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -84,7 +71,7 @@ def words(text: str) -> list[str]:
 def bigrams(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of the first and second words of a text's distinct bigrams, and its number of words."""
     found = words(text)
-    w = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    w = np.fromiter(map(word_hash.__getitem__, found), np.uint64, len(found))
     u = np.concatenate(([START], w))[: len(w)]
     _, at = np.unique(pair_keys(u, w), return_index=True)
     return u[at], w[at], len(found)

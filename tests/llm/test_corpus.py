@@ -579,7 +579,7 @@ def test_toxicity_models_are_kneser_ney(spark):
         after = [x for (v, _), x in n[c].items() if v == u]
         return b * max(n[c][u, w] - d(n[c]), 0) / (sum(after) + size) + (1 - b + b * (sum(min(x, d(n[c])) for x in after) + size) / (sum(after) + size)) * q
 
-    code = lambda w: np.array([0 if w == "^" else toxicity._hashes[w]], np.uint64)
+    code = lambda w: np.array([0 if w == "^" else toxicity.word_hash[w]], np.uint64)
     for u in ["^", *every, "new"]:
         for w in [*every, "new"]:
             assert model.ratios(code(u), code(w))[0] == pytest.approx(math.log(p(1, u, w) / p(0, u, w)), rel=1e-5, abs=1e-12)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, html_text, minhash, mixing, packing, pii, toxicity, warc
+from . import chat, divergence, exact_dedup, fingerprint, html_text, merkle, minhash, mixing, packing, pii, quality, toxicity, warc
 from .common import table
 
 
@@ -56,10 +56,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_mixing, op4_minhash, op5_html, op6_toxicity, op7_chat, op8_exact_dedup, op9_fingerprint, op10_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_mixing, op4_minhash, op5_html, op6_toxicity, op7_chat, op8_exact_dedup, op9_fingerprint, op10_warc, op11_quality, op12_merkle, op13_divergence, pipeline)}

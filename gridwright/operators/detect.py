@@ -40,6 +40,12 @@ def detect_scored(scored: DataFrame, min_area: int = MIN_AREA, threshold: float
     return _placed(found.withColumnRenamed("geo_transform", "transform"), ["path"])
 
 
+def detect_objects(objects: DataFrame, min_area: int = MIN_AREA, threshold: float = THRESHOLD) -> DataFrame:
+    """Detections of classify.score_objects: by file, each chunk in its own place. Nothing is shuffled."""
+    parts = objects.where(F.col("error").isNull() & (F.col("area") >= min_area)).withColumn("confidence", confidence(F.col("area"), F.col("h") * F.col("w")))
+    return _placed(parts.where(F.col("confidence") >= threshold).withColumnRenamed("geo_transform", "transform"), ["path"])
+
+
 def _objects(windows: DataFrame, by: list[str], min_area: int, threshold: float) -> DataFrame:
     """Components of features that are large enough, with their confidence."""
     parts = label_components(windows, [*by, "cr", "cc", "h", "w", "feature_type", "feature_pos"]).where(F.col("area") >= min_area)

@@ -35,6 +35,48 @@ def label_pixels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
             return np.unique(root, return_inverse=True)[1]
 
 
+def label_spans(classes: np.ndarray) -> dict[str, np.ndarray]:
+    """Components of a whole mask (height, width), where -1 is background: class, component, area, x1, y1, x2 and y2 of each; boxes are half open.
+
+    The unit is the span, a run of one class in a row. Spans of neighbouring rows
+    that overlap or touch at a corner are joined; the smallest number of both ends
+    spreads along these joints. Components are numbered within their class in the
+    order of their first pixels by row and column.
+    """
+    height, width = classes.shape
+    edge = np.full((height, 1), -2, np.int64)
+    cut = np.diff(np.concatenate([edge, classes.astype(np.int64), edge], axis=1), axis=1) != 0
+    row, at = np.nonzero(cut[:, :width])
+    end = np.nonzero(cut[:, 1:])[1] + 1
+    kind = classes[row, at].astype(np.int64)
+    keep = np.flatnonzero(kind >= 0)
+    keep = keep[np.lexsort((at[keep], row[keep], kind[keep]))]
+    row, at, end, kind = row[keep].astype(np.int64), at[keep].astype(np.int64), end[keep].astype(np.int64), kind[keep]
+    line = (kind * (height + 1) + row) * (width + 2)  # a line of its own for each class and row, and a free one between classes
+    low = np.searchsorted(line + end, line + width + 2 + at)  # the spans of the next line that end at or behind this one's start ..
+    high = np.searchsorted(line + at, line + width + 2 + end, side="right")  # .. and start at or before its end
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), many)
+    b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    root = np.arange(len(row))
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while not (root[root] == root).all():
+            root = root[root]
+        if (root == before).all():
+            break
+    first, number = np.unique(root, return_inverse=True)
+    n = len(first)
+    found = {"kind": kind[first], "component": np.arange(n) - np.searchsorted(kind[first], kind[first]), "area": np.bincount(number, end - at, n).astype(np.int64)}
+    for name, value, pick, start in (("x1", at, np.minimum, width), ("y1", row, np.minimum, height), ("x2", end, np.maximum, 0), ("y2", row + 1, np.maximum, 0)):
+        found[name] = np.full(n, start, np.int64)
+        pick.at(found[name], number, value)
+    return found
+
+
 def label_components(pixels: DataFrame, by: list[str]) -> DataFrame:
     """(by..., component, area, x1, y1, x2, y2) of pixels (by..., y, x); boxes are half open.
 

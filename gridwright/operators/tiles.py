@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.constants import LAYER_FILES, TILE_KEEP_SHARE, TILE_SIZE, TILE_STRIDE
+from ..sources.scratch import written
 from .raster import tiles_of
+from .spatial import meeting
 
 
 def usable(path: Column) -> Column:
@@ -27,18 +29,36 @@ def layer_files(region: str) -> list[str]:
     return LAYER_FILES[region == "PB"]
 
 
+#: Systems that layers are brought into by a broadcast at most; more are joined by a shuffle.
+BROADCAST_SYSTEMS = 10_000
+
+
+def with_box(rows: DataFrame, ring: str) -> DataFrame:
+    """Adds the box of an array of [x, y] points."""
+    side = lambda pick, k: pick(F.transform(ring, lambda p: p[k]))
+    return rows.withColumns({"bx0": side(F.array_min, 0), "by0": side(F.array_min, 1), "bx1": side(F.array_max, 0), "by1": side(F.array_max, 1)})
+
+
 def to_pixels(layers: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, geom_id, layer_val, ring in pixels): layers (region, layer_val, geom_id, ring, crs) on images (image_id, path, crs, transform, height, width).
 
-    An image meets the layers of its region. Rings are brought into the image's
-    system and through its inverse transform; those outside the image end here.
+    An image meets the layers of its region. Rings are brought once into each system
+    that the region's images have, and meet images by cells of that system; what a
+    pair costs is the inverse transform of the ring. Rings outside the image end
+    here. A null ring, and one with a point that is no number, meets no image, and so
+    does an image without a transform; a null system is WGS 84. Equal rows stay apart.
     """
-    placed = images.withColumn("region", region_of(F.col("path"))).select("image_id", "region", F.col("crs").alias("image_crs"), "transform", "height", "width")
-    pairs = layers.where("ring is not null").join(placed, "region")
-    there = lambda p: geo.geo_to_pixel(geo.reproject(p[0], p[1], F.col("crs"), F.col("image_crs")), F.col("transform"))
-    moved = pairs.withColumn("ring", F.transform("ring", there))
-    low, high = (lambda k: F.array_min(F.transform("ring", lambda p: p[k]))), (lambda k: F.array_max(F.transform("ring", lambda p: p[k])))
-    on = (low(0) < F.col("width")) & (high(0) > 0) & (low(1) < F.col("height")) & (high(1) > 0)
+    placed = images.select("image_id", region_of(F.col("path")).alias("region"), geo.normalise_crs(F.col("crs")).alias("system"), "transform", "height", "width")
+    systems = written(placed.select("region", "system").distinct(), "systems")
+    small = F.broadcast(systems) if systems.count() <= BROADCAST_SYSTEMS else systems
+    there = lambda p: geo.reproject(p[0], p[1], F.col("crs"), F.col("system"))
+    rings = layers.where("ring is not null").join(small, "region").withColumn("ring", F.transform(F.transform("ring", there), lambda p: F.array(p["x"], p["y"])))
+    corners = [F.array(*geo.apply_transform(F.col("transform"), x, y)) for x in (F.lit(0), F.col("width")) for y in (F.lit(0), F.col("height"))]
+    framed = with_box(placed.withColumn("corners", F.array(*corners)), "corners").drop("corners")
+    pairs = meeting(with_box(rings.select("region", "system", "geom_id", "layer_val", "ring"), "ring"), framed, ["region", "system"])
+    point = lambda p: geo.geo_to_pixel(F.struct(p[0].alias("x"), p[1].alias("y")), F.col("transform"))
+    moved = with_box(pairs.withColumn("ring", F.transform("ring", point)), "ring")
+    on = (F.col("bx0") < F.col("width")) & (F.col("bx1") > 0) & (F.col("by0") < F.col("height")) & (F.col("by1") > 0)
     return moved.where(on).select("image_id", "geom_id", "layer_val", "ring")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from ..sources.geotiff import encode
-from ..sources.images import write_files
+from ..sources.datasource import write_rows
 from ..sources.scratch import scratch_dir
 
 CHUNK, OVERLAP, MIN_AREA = 32, 4, 8
@@ -47,20 +50,80 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the raster as a GeoTIFF in UTM zone 44, one float band in tiles of its own size."""
+    """A folder with the raster as a GeoTIFF in UTM zone 44, one float band in strips of eight rows."""
     height, width = size(spark, sf_dir)
 
     def run(cells: pa.Table) -> pa.Table:
         grid = np.zeros((1, height, width), np.float32)
         grid[0, cells["r"].to_numpy(), cells["c"].to_numpy()] = cells["v"].to_numpy()
         x0, xr, rr, y0, cr, yr = TRANSFORM
-        return pa.table({"path": [f"PB/{IMAGE}.tif"], "content": pa.array([encode(grid, (xr, rr, x0, cr, yr, y0), 32644, deflate=True)], pa.binary())})
+        return pa.table({"path": [f"PB/{IMAGE}.tif"], "content": pa.array([encode(grid, (xr, rr, x0, cr, yr, y0), 32644, deflate=True, rows=8)], pa.binary())})
+
+    folder = scratch_dir(spark)
+    write_rows(pixel(spark, sf_dir).select("image_id", "r", "c", "v").groupBy("image_id").applyInArrow(run, "path string, content binary"), folder)
+    return folder
+
+
+def strip_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a GeoTIFF for each row of patches, every second one turned by a quarter."""
+
+    def run(patches: pa.Table) -> pa.Table:
+        strip = patches["strip"][0].as_py()
+        grid = np.zeros((1, 8, 160), np.float32)
+        for at, values in zip(patches["vec_id"].to_pylist(), patches["embedding"].to_pylist()):
+            grid[0, :, at % 20 * 8 : at % 20 * 8 + 8] = np.array(values, np.float32).reshape(8, 8)
+        x0, xr, _, y0, _, yr = TRANSFORM
+        place = (0.0, xr, x0 + strip, yr, 0.0, y0) if strip % 2 else (xr, 0.0, x0 + strip, 0.0, yr, y0)
+        return pa.table({"path": [f"strips/{strip}.tif"], "content": pa.array([encode(grid, place, 32644, deflate=True)], pa.binary())})
 
     folder = scratch_dir(spark)
-    write_files(pixel(spark, sf_dir).select("image_id", "r", "c", "v").groupBy("image_id").applyInArrow(run, "path string, content binary"), folder).collect()
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("strip"), "vec_id", "embedding")
+    write_rows(rows.groupBy("strip").applyInArrow(run, "path string, content binary"), folder)
     return folder
 
 
+def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each page, named like a raster: a good one of 4 x 4 pixels, one whose header is cut off, one with a broken block, and the page itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, files = [], []
+            for page, text in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist()):
+                whole = encode(np.full((1, 4, 4), page % 200, np.uint8), deflate=True)
+                start = 8 + len(zlib.compress(bytes(16)))
+                files.append((whole, whole[: len(whole) // 2], whole[:8] + bytes(start - 8) + whole[start:], (text or "").encode())[page % 4])
+                names.append(f"mixed/{page}.tif")
+            yield pa.RecordBatch.from_pydict({"path": names, "content": pa.array(files, pa.binary())})
+
+    folder = scratch_dir(spark)
+    write_rows(table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "path string, content binary"), folder)
+    return folder
+
+
+#: Where the mosaics' corners begin in each zone: the same land, as zones 43 to 45 see it; and where the parcels begin in web Mercator.
+ORIGINS, PARCEL_ORIGIN = {43: (1_034_500.0, 2_009_000.0), 44: (399_200.0, 2_002_000.0), 45: (-237_000.0, 2_015_500.0)}, (8_911_000.0, 2_050_000.0)
+
+
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of customers in three UTM zones over the same land, of two regions; every fifth is turned."""
+    k = F.col("c_custkey")
+    zone = (k % 3 + 43).cast("int")
+    origin = lambda i: F.element_at(F.create_map(*[F.lit(x) for z, o in ORIGINS.items() for x in (z, o[i])]), zone)
+    x0, y0 = origin(0) + k * 7919 % 10_000, origin(1) + k * 104_729 % 10_000
+    straight, turned = F.array(x0, F.lit(0.5), F.lit(0.0), y0, F.lit(0.0), F.lit(-0.5)), F.array(x0, F.lit(0.4), F.lit(0.3), y0, F.lit(0.3), F.lit(-0.4))
+    path = F.concat(F.when(k % 2 == 0, "/data/PB/").otherwise("/data/CG/"), k.cast("string"), F.lit(".tif"))
+    return table(spark, sf_dir, "customer").select(k.alias("image_id"), path.alias("path"), F.concat(F.lit("EPSG:326"), zone.cast("string")).alias("crs"), F.when(k % 5 == 0, turned).otherwise(straight).alias("transform"), (k % 64 + 48).cast("int").alias("height"), (k % 80 + 64).cast("int").alias("width"))
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of orders in web Mercator, of two regions; every 500th is large."""
+    k = F.col("o_orderkey")
+    x0, y0 = F.lit(PARCEL_ORIGIN[0]) + k * 7919 % 10_500, F.lit(PARCEL_ORIGIN[1]) + k * 6007 % 10_500
+    x1, y1 = x0 + 4 + k % 60 + F.when(k % 500 == 0, 400).otherwise(0), y0 + 3 + k % 45
+    ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    return table(spark, sf_dir, "orders").select(F.when(k % 3 == 0, "PB").otherwise("CG").alias("region"), k.alias("geom_id"), (k % 4 + 1).cast("int").alias("layer_val"), ring.alias("ring"), F.lit("urn:ogc:def:crs:EPSG::3857").alias("crs"))
+
+
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diamonds of suppliers, every second one with a hole, in pixels; no edge meets a pixel's centre."""
     s = F.col("s_suppkey")
@@ -121,6 +184,8 @@ SQL = {
     "shape": "select s_suppkey as geom_id, cast(s_suppkey%4+1 as int) as layer_val, (s_suppkey*13)%150+0.25e0 as x, (s_suppkey*29)%190+0.5e0 as y, s_suppkey%6+4.125e0 as outside, case when s_suppkey%2 = 0 then 2.125e0 else 0e0 end as hole from supplier",
     "ready": "select cr, cc, r-r0 as y, c-c0 as x, h, w, cast((cast(v as float)-min(cast(v as float)) over k)/(max(cast(v as float)) over k-min(cast(v as float)) over k) as float) as u from pixel join grid on r >= r0 and r < r0+h and c >= c0 and c < c0+w window k as (partition by cr, cc)",
     "seen": "select * from (select cr, cc, y, x, h, w, case when u < 0.3125e0 then 1 when u < 0.4375e0 then 6 when u < 0.5e0 then 83 when u < 0.5625e0 then 4 when u < 0.6875e0 then 21 else 0 end as class_id from ready) where class_id <> 0",
+    "mosaic": "select *, case when region = 'PB' then 0 else 1 end as r, case when k%5 = 0 then 0.4e0 else 0.5e0 end as xr, case when k%5 = 0 then 0.3e0 else 0e0 end as rr, case when k%5 = 0 then 0.3e0 else 0e0 end as cr, case when k%5 = 0 then -0.4e0 else -0.5e0 end as yr, k%64+48 as height, k%80+64 as width from (select c_custkey as k, cast(43+c_custkey%3 as int) as zone, case when c_custkey%2 = 0 then 'PB' else 'CG' end as region, case c_custkey%3 when 0 then 1034500e0 when 1 then 399200e0 else -237000e0 end+(c_custkey*7919)%10000 as x0, case c_custkey%3 when 0 then 2009000e0 when 1 then 2002000e0 else 2015500e0 end+(c_custkey*104729)%10000 as y0 from customer)",
+    "parcel": "select geom_id, region, layer_val, c, case when c in (0, 3) then x0 else x1 end as mx, case when c < 2 then y0 else y1 end as my from (select o_orderkey as geom_id, case when o_orderkey%3 = 0 then 'PB' else 'CG' end as region, cast(o_orderkey%4+1 as int) as layer_val, x0, y0, x0+4+o_orderkey%60+case when o_orderkey%500 = 0 then 400 else 0 end as x1, y0+3+o_orderkey%45 as y1 from (select o_orderkey, 8911000e0+(o_orderkey*7919)%10500 as x0, 2050000e0+(o_orderkey*6007)%10500 as y0 from orders)), range(4) t(c)",
     "rast": "select r, c, max(layer_val) as layer_val from pixel join poly on c+0.5e0 > x0 and c+0.5e0 < x1 and r+0.5e0 > y0 and r+0.5e0 < y1 group by r, c",
 }
 _USES = {"label_px": ["pixel"], "dims": ["pixel"], "grid": ["dims"], "win": ["label_px", "grid"], "det": ["ev"], "rast": ["pixel", "poly"], "ready": ["pixel", "grid"], "seen": ["ready"]}

@@ -14,8 +14,8 @@ from ..functions.numbers import progress_percent, round_half_up, show_area, show
 from ..operators import classify, detect, jobs, raster, tiles, upload
 from ..operators.label import label_components
 from ..sources import geotiff
-from ..sources.images import write_files
-from ..sources.scratch import scratch_dir
+from ..sources.datasource import read_rasters, write_rows
+from ..sources.scratch import scratch_dir, written
 from ..streaming import messages as stream
 from . import fixtures as fx
 from .fixtures import CHUNK, MIN_AREA, OVERLAP, TRANSFORM, table, with_fixtures
@@ -184,6 +184,25 @@ def crs_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _degrees(geo.with_wgs84(fx.det(spark, sf_dir), 4e5 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, code))
 
 
+def _forward_utm_sql(source: str, keep: str, zone: str) -> str:
+    """SQL of x and y in a UTM zone from mx and my in web Mercator, by the forward series; ``keep`` are columns to pass on."""
+    e, scale = repr(geo._E), repr(geo.K0 * geo._RADIUS)
+    eta = "eta" + "".join(f" + ({a!r})*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(geo.ALPHA, 1))
+    xi = "xi" + "".join(f" + ({a!r})*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(geo.ALPHA, 1))
+    degrees = f"select {keep}, {zone} as zone, 2*atan(exp(my/6378137e0))-pi()/2 as phi, mx/6378137e0-radians(({zone})*6-183) as lam from {source}"
+    plane = f"select {keep}, zone, sinh(atanh(sin(phi))-{e}*atanh({e}*sin(phi))) as tau, sin(lam) as s, cos(lam) as c0 from ({degrees})"
+    sphere = f"select {keep}, zone, atan2(tau, c0) as xi, asinh(s/sqrt(tau*tau+c0*c0)) as eta from ({plane})"
+    return f"select {keep}, zone, ({eta})*{scale}+5e5 as x, ({xi})*{scale} as y from ({sphere})"
+
+
+@query(with_fixtures(["det"], f"select seq, floor(x*1e3+0.5e0)/1e3 as x, floor(y*1e3+0.5e0)/1e3 as y from ({_forward_utm_sql('(select seq, 8.9e6+x1*1e3 as mx, 2e6+y1*1e3 as my from det)', 'seq', 'cast(43+seq%3 as int)')})"))
+def crs_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From web Mercator to three UTM zones: eastings and northings as the forward series gives them."""
+    code = F.concat(F.lit("EPSG:326"), (F.col("seq") % 3 + 43).cast("string"))
+    there = fx.det(spark, sf_dir).select("seq", geo.reproject(8.9e6 + F.col("x1") * 1e3, 2e6 + F.col("y1") * 1e3, F.lit("EPSG:3857"), code).alias("p"))
+    return there.select("seq", round_half_up(F.col("p.x"), 3).alias("x"), round_half_up(F.col("p.y"), 3).alias("y"))
+
+
 @query(with_fixtures(["det"], "select seq, 4e5+x1*1e3 as x, 2e6+y1*1e3 as y from det"))
 def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a UTM zone to web Mercator and back: the same metres."""
@@ -338,6 +357,19 @@ def layers_on_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.lit("PB").alias("region"), "geom_id", "layer_val", F.col("ring")[0][0].alias("x0"), F.col("ring")[0][1].alias("y0"), F.col("ring")[2][0].alias("x1"), F.col("ring")[2][1].alias("y1"))
 
 
+_PLACED = f"""select m.k as image_id, geom_id, layer_val, c, (yr*(x-x0)-rr*(y-y0))/(xr*yr-rr*cr) as col, (xr*(y-y0)-cr*(x-x0))/(xr*yr-rr*cr) as row, width, height, x, y, x0+least(0, width*xr)+least(0, height*rr) as west, x0+greatest(0, width*xr)+greatest(0, height*rr) as east, y0+least(0, width*cr)+least(0, height*yr) as south, y0+greatest(0, width*cr)+greatest(0, height*yr) as north
+ from mosaic m join ({_forward_utm_sql("(select * from parcel, range(43, 46) z(zone0))", "geom_id, region, layer_val, c", "cast(zone0 as int)")}) p on m.zone = p.zone and m.region = p.region and abs(x-x0) < 1000 and abs(y-y0) < 1000"""
+
+
+@query(with_fixtures(["mosaic", "parcel"], f"""select image_id, geom_id, layer_val, floor(min(col) filter (where c = 0)*1e3+0.5e0)/1e3 as first_x, floor(min(row) filter (where c = 0)*1e3+0.5e0)/1e3 as first_y, floor(min(col) filter (where c = 2)*1e3+0.5e0)/1e3 as third_x, floor(min(row) filter (where c = 2)*1e3+0.5e0)/1e3 as third_y
+ from ({_PLACED}) group by image_id, geom_id, layer_val, width, height, west, east, south, north having count(*) = 4 and min(x) <= east and max(x) >= west and min(y) <= north and max(y) >= south and min(col) < width and max(col) > 0 and min(row) < height and max(row) > 0"""))
+def layers_on_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many images in three systems, some turned, meet many rings of a fourth system by cells."""
+    found = tiles.to_pixels(fx.parcels(spark, sf_dir), fx.mosaics(spark, sf_dir))
+    ring = F.col("ring")
+    return found.select("image_id", "geom_id", "layer_val", *[round_half_up(ring[k][i], 3).alias(n) for n, k, i in (("first_x", 0, 0), ("first_y", 0, 1), ("third_x", 2, 0), ("third_y", 2, 1))])
+
+
 @query(with_fixtures(["seen", "classes"], """select feature_type, confidence, concat(cast(cr as varchar), '_', cast(cc as varchar)) as chunk_id, x1, y1, x2, y2, cast(area as int) as area_px, 500000e0+(c0+x1)*0.5e0 as west, 2300000e0-(r0+y1)*0.5e0 as north, 'EPSG:32644' as crs
  from (select comp.*, k as feature_type, greatest(0, cr*32-4) as r0, greatest(0, cc*32-4) as c0, floor(least(area/cast(h*w as double)*20e0, 0.99e0)*10000e0+0.5e0)/10000e0 as confidence from comp where area >= 8) where confidence >= 0.1e0""", True, _COMPONENTS.format(win="(select seen.*, feature_type as k from seen join classes using (class_id))")))
 def file_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,8 +379,8 @@ def file_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Stands for a model: classes by the value of the first band."""
         return lambda bands: np.select([bands[0] < t for t in (0.3125, 0.4375, 0.5, 0.5625, 0.6875)], [1, 6, 83, 4, 21], 0)
 
-    files = geotiff.read_files(spark, fx.raster_folder(spark, sf_dir))
-    found = detect.detect_scored(classify.score_chunks(geotiff.chunks(files, CHUNK, OVERLAP, ready=4), load), MIN_AREA, THRESHOLD)
+    windows = read_rasters(spark, fx.raster_folder(spark, sf_dir), chunk=CHUNK, overlap=OVERLAP, ready=4)
+    found = detect.detect_objects(classify.score_objects(windows, load), MIN_AREA, THRESHOLD)
     box, ring = F.col("pixel_bbox"), F.col("geo_polygon")
     return found.select("feature_type", "confidence", "chunk_id", *[box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], "area_px", ring[0][0].alias("west"), ring[0][1].alias("north"), "crs")
 
@@ -360,6 +392,31 @@ def raster_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "height", "width", "bands", "dtype", "crs", *[F.col(f"bounds.{k}").alias(v) for k, v in corners.items()], "total_inference_chunks")
 
 
+@query("""select strip || '.tif' as name, cast(8 as int) as height, cast(160 as int) as width, case when strip%2 = 1 then 0e0 else 0.5e0 end as x_res, case when strip%2 = 1 then 0.5e0 else 0e0 end as x_turn, case when strip%2 = 1 then -0.5e0 else 0e0 end as y_turn, case when strip%2 = 1 then 0e0 else -0.5e0 end as y_res, 500000e0+strip as left_x,
+ case when strip%2 = 1 then 500000e0+strip+4 else 500000e0+strip+80 end as right_x, case when strip%2 = 1 then 2300000e0-80 else 2300000e0-4 end as bottom_y from (select distinct vec_id//20 as strip from embeddings)""")
+def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of many files, half of them turned by a quarter."""
+    found = geotiff.headers(geotiff.read_files(spark, fx.strip_folder(spark, sf_dir)))
+    t = F.col("transform")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "height", "width", t[0].alias("x_res"), t[1].alias("x_turn"), t[3].alias("y_turn"), t[4].alias("y_res"), F.col("bounds.left").alias("left_x"), F.col("bounds.right").alias("right_x"), F.col("bounds.bottom").alias("bottom_y"))
+
+
+@query("select page_id, case when page_id%4 in (0, 2) then '0_0' end as chunk_id, page_id%4 <> 0 as failed, cast(case when page_id%4 = 0 then 16*(page_id%200) else -1 end as bigint) as total from pages")
+def raster_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good rasters, cut-off ones, ones with a broken block and files of another kind: each has its row."""
+    found = read_rasters(spark, fx.mixed_folder(spark, sf_dir))
+    total = F.aggregate(F.col("pixels")[0], F.lit(0.0), lambda a, x: a + x.cast("double")).cast("bigint")
+    return found.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("bigint").alias("page_id"), "chunk_id", F.col("error").isNotNull().alias("failed"), F.when(F.col("error").isNull(), total).otherwise(-1).alias("total"))
+
+
+@query(with_fixtures(["pixel", "grid"], "select cr, cc, h, w, floor(sum(cast(v as float)::double)*1e3+0.5e0)/1e3 as sum_v from pixel join grid on r >= r0 and r < r0+h and c >= c0 and c < c0+w where cr >= 2 and cc = 1 group by cr, cc, h, w"))
+def raster_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some windows of a raster: filters on their place reach the source, which reads the blocks of these windows only."""
+    found = read_rasters(spark, fx.raster_folder(spark, sf_dir), chunk=CHUNK, overlap=OVERLAP).where("cr >= 2 and cc = 1")
+    total = F.aggregate(F.col("pixels")[0], F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select("cr", "cc", "h", "w", round_half_up(total, 3).alias("sum_v"))
+
+
 _TILES = with_fixtures(["rast", "dims"], "select cast(ty as int) as ty, cast(tx as int) as tx, count(*) as labelled_px, row_number() over (order by ty, tx) - 1 as tile_id from rast join (select ty, tx from dims, range(0, (select hh-64+1 from dims), 32) a(ty), range(0, (select ww-64+1 from dims), 32) b(tx)) t on r >= ty and r < ty+64 and c >= tx and c < tx+64 group by ty, tx having count(*) >= 0.01e0*64*64")
 
 
@@ -381,11 +438,11 @@ def tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     metres = F.transform("ring", lambda p: F.array(*geo.pixel_to_geo(p[0], p[1], TRANSFORM)))
     layers = fx.polygons(spark, sf_dir).select(F.lit("PB").alias("region"), "geom_id", "layer_val", metres.alias("ring"), F.lit("EPSG:32644").alias("crs"))
     out = scratch_dir(spark)
-    labelled = _written(tiles.rasterise(tiles.to_pixels(layers, where), where), f"{out}/labels")
-    kept = _written(tiles.number_tiles(tiles.keep_tiles(labelled, where, 64, 32)).drop("labelled_px"), f"{out}/kept")
+    labelled = written(tiles.rasterise(tiles.to_pixels(layers, where), where), "labels")
+    kept = written(tiles.number_tiles(tiles.keep_tiles(labelled, where, 64, 32)).drop("labelled_px"), "kept")
     named = lambda df, kind: df.select(F.concat(F.lit(f"{kind}/"), F.col("tile_id").cast("string"), F.lit(".tif")).alias("path"), "content")
     windows = kept.join(where.select("image_id", "path"), "image_id").select("path", F.col("ty").alias("r0"), F.col("tx").alias("c0"), F.lit(64).alias("h"), F.lit(64).alias("w"), "tile_id")
-    write_files(named(geotiff.cut(files, windows), "images").unionByName(named(tiles.mask_tiles(labelled, kept, where, 64, 32), "masks")), out).collect()
+    write_rows(named(geotiff.cut(files, windows), "images").unionByName(named(tiles.mask_tiles(labelled, kept, where, 64, 32), "masks")), out)
 
     def read(kind: str) -> DataFrame:
         found = geotiff.chunks(geotiff.read_files(spark, f"{out}/{kind}"), 64, 0)
@@ -453,12 +510,6 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.det(spark, sf_dir).select("seq", shown.alias("shown"), show_area(F.col("area_px")).alias("area"), upload_percent(F.col("chunk_row"), F.lit(10)).alias("percent"), progress_percent(F.col("chunk_row") + 1, F.lit(10)).alias("progress"))
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """What several later steps read, computed once."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema

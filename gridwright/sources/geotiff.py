@@ -5,13 +5,16 @@ window meets, through the file system of the path (or from a ``content`` column,
 binaryFile gives it, where there is one). So a file may be larger than a value can
 be, and its windows are spread over tasks. Supported are TIFFs and BigTIFFs in
 strips or tiles, uncompressed or packed by deflate, LZW or PackBits, of integer or
-float samples, chunky or planar; anything else gives a row with an error.
+float samples, with either predictor, chunky or planar, and JPEG blocks if a decoder
+is given; anything else gives a row with an error. So does a file without a usable
+header: no file of the input goes without a row.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,26 +24,47 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, DEFAULT_CRS, UNKNOWN_CRS
 from ..operators.raster import chunk_grid
-from .scratch import file_system
+from .scratch import file_system, written
 
 HEADER = "path string, crs string, bounds struct<left:double,bottom:double,right:double,top:double>, width int, height int, bands int, dtype string, transform array<double>, error string"
-#: Windows that a task reads at a time, and bytes that one read of a header fetches.
-WINDOWS_PER_TASK, HEADER_BYTES = 16, 1 << 16
+#: Windows that a task reads, bytes that one read of a header fetches, and bytes of decoded blocks that a task keeps for the next windows.
+WINDOWS_PER_TASK, HEADER_BYTES, BLOCK_BYTES = 16, 1 << 16, 128 << 20
+#: How blocks of a compression that isn't known here are decoded: (bytes, tables or None) to an array (rows, columns, samples).
+Decoders = dict[int, Callable[[bytes, bytes | None], np.ndarray]]
 #: TIFF field types: code, struct format.
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 _KINDS = {1: "u", 2: "i", 3: "f"}
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _STRIPS, _SAMPLES, _ROWS, _STRIP_SIZES, _PLANAR, _PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
-_TILE_W, _TILE_H, _TILES, _TILE_SIZES, _FORMAT, _SCALE, _TIE, _MATRIX, _KEYS = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735
+_TILE_W, _TILE_H, _TILES, _TILE_SIZES, _FORMAT, _JPEG_TABLES, _SCALE, _TIE, _MATRIX, _KEYS = 322, 323, 324, 325, 339, 347, 33550, 33922, 34264, 34735
 FAILURES = (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError)
 
 
-def opened(path: str, content: bytes | None) -> Callable[[int, int], bytes]:
-    """How to get n bytes from a place: out of the content, or by a read of the file."""
-    if content is not None:
-        return lambda at, n: content[at : at + n]
-    system, name = file_system(path)
-    file = system.open_input_file(name)
-    return lambda at, n: file.read_at(n, at)
+class Bytes:
+    """n bytes from a place: out of the content, or by a read of the file. Used in a with statement, or closed."""
+
+    def __init__(self, path: str, content: bytes | None = None) -> None:
+        self.content, self.file = content, None
+        if content is None:
+            system, name = file_system(path)
+            self.file = system.open_input_file(name)
+
+    def __call__(self, at: int, n: int) -> bytes:
+        return self.content[at : at + n] if self.file is None else self.file.read_at(n, at)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+    def __enter__(self) -> Bytes:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def opened(path: str, content: bytes | None = None) -> Bytes:
+    """The bytes of a path, or of a content that is at hand."""
+    return Bytes(path, content)
 
 
 def unpack_lzw(data: bytes) -> bytes:
@@ -84,10 +108,12 @@ _UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress,
 
 
 class Tiff:
-    """The first image of a TIFF file; ``get`` fetches bytes."""
+    """The first image of a TIFF file; ``get`` fetches bytes. Decoded blocks are kept, the last ones used, up to ``keep`` bytes."""
 
-    def __init__(self, get: Callable[[int, int], bytes]) -> None:
-        self.get = get
+    def __init__(self, get: Callable[[int, int], bytes], decoders: Decoders | None = None, keep: int = BLOCK_BYTES) -> None:
+        self.get, self.decoders, self.keep = get, decoders or {}, keep
+        self.blocks: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.kept, self.decoded = 0, 0
         first = get(0, HEADER_BYTES)
         part = lambda at, n: first[at : at + n] if at + n <= len(first) else get(at, n)
         self.end = {b"II": "<", b"MM": ">"}.get(first[:2], "")
@@ -143,12 +169,38 @@ class Tiff:
         xs, ys = [c, c + a * self.width + b * self.height], [f, f + d * self.width + e * self.height]
         return {"left": xs[0], "bottom": ys[1], "right": xs[1], "top": ys[0]}
 
+    def _unpacked(self, raw: bytes, rows: int, width: int, samples: int) -> np.ndarray:
+        """(rows, width, samples) of a block's bytes."""
+        compression, predictor = self._one(_COMPRESSION, 1), self._one(_PREDICTOR, 1)
+        if compression in self.decoders:
+            tables = self.tags.get(_JPEG_TABLES)
+            found = np.asarray(self.decoders[compression](raw, bytes(tables) if tables else None))
+            return found.reshape(found.shape[0], width, samples)[:rows].astype(self.dtype, copy=False)
+        if compression not in _UNPACK or predictor not in (1, 2, 3) or predictor == 3 and self.dtype.kind != "f":
+            raise ValueError(f"compression {compression} with predictor {predictor} isn't supported")
+        raw = _UNPACK[compression](raw)
+        if predictor == 3:  # the bytes of a row's samples in planes, the highest first, as differences
+            size = self.dtype.itemsize
+            planes = np.frombuffer(raw, np.uint8, count=rows * width * samples * size).reshape(rows, -1, samples).cumsum(axis=1, dtype=np.uint8)
+            return np.ascontiguousarray(planes.reshape(rows, size, -1).transpose(0, 2, 1)).view(f">f{size}").reshape(rows, width, samples)
+        block = np.frombuffer(raw, self.dtype, count=rows * width * samples).reshape(rows, width, samples)
+        return np.cumsum(block, axis=1, dtype=self.dtype.newbyteorder("=")) if predictor == 2 else block
+
+    def _block(self, k: int, place: int, size: int, rows: int, width: int, samples: int) -> np.ndarray:
+        if k in self.blocks:
+            self.blocks.move_to_end(k)
+            return self.blocks[k]
+        block = self._unpacked(self.get(place, size), rows, width, samples)
+        self.decoded += 1
+        self.blocks[k] = block
+        self.kept += block.nbytes
+        while self.kept > self.keep and len(self.blocks) > 1:
+            self.kept -= self.blocks.popitem(last=False)[1].nbytes
+        return block
+
     def read(self, row: int = 0, col: int = 0, height: int | None = None, width: int | None = None) -> np.ndarray:
         """(bands, height, width) of a window; only blocks that it meets are decoded."""
         height, width = self.height - row if height is None else height, self.width - col if width is None else width
-        compression, predictor = self._one(_COMPRESSION, 1), self._one(_PREDICTOR, 1)
-        if compression not in _UNPACK or predictor not in (1, 2):
-            raise ValueError(f"compression {compression} with predictor {predictor} isn't supported")
         tiled = _TILES in self.tags
         bw, bh = (self._one(_TILE_W), self._one(_TILE_H)) if tiled else (self.width, min(self.height, self._one(_ROWS, self.height)))
         places, sizes = (self.tags[_TILES], self.tags[_TILE_SIZES]) if tiled else (self.tags[_STRIPS], self.tags[_STRIP_SIZES])
@@ -159,11 +211,8 @@ class Tiff:
             for by in range(row // bh, min(down, -(-(row + height) // bh))):
                 for bx in range(col // bw, min(across, -(-(col + width) // bw))):
                     k = plane * across * down + by * across + bx
-                    raw = _UNPACK[compression](self.get(places[k], sizes[k]))
                     rows = bh if tiled else min(bh, self.height - by * bh)
-                    block = np.frombuffer(raw, self.dtype, count=rows * bw * (1 if planar else self.bands)).reshape(rows, bw, -1)
-                    if predictor == 2:
-                        block = np.cumsum(block, axis=1, dtype=self.dtype.newbyteorder("="))
+                    block = self._block(k, places[k], sizes[k], rows, bw, 1 if planar else self.bands)
                     y0, y1 = max(row, by * bh), min(row + height, by * bh + rows)
                     x0, x1 = max(col, bx * bw), min(col + width, bx * bw + bw, self.width)
                     part = block[y0 - by * bh : y1 - by * bh, x0 - bx * bw : x1 - bx * bw].transpose(2, 0, 1)
@@ -171,16 +220,23 @@ class Tiff:
         return out
 
 
-def encode(pixels: np.ndarray, transform: tuple[float, ...] | None = None, epsg: int | None = None, deflate: bool = False) -> bytes:
-    """A GeoTIFF of (bands, height, width) in one strip; ``transform`` as in Tiff.transform, without rotation."""
+def encode(pixels: np.ndarray, transform: tuple[float, ...] | None = None, epsg: int | None = None, deflate: bool = False, rows: int | None = None) -> bytes:
+    """A GeoTIFF of (bands, height, width) in strips of ``rows`` rows, or in one; ``transform`` as in Tiff.transform, written whole where the image is turned."""
     bands, height, width = pixels.shape
-    body = np.ascontiguousarray(pixels.transpose(1, 2, 0)).astype(pixels.dtype.newbyteorder("<")).tobytes()
-    body = zlib.compress(body) if deflate else body
+    image = np.ascontiguousarray(pixels.transpose(1, 2, 0)).astype(pixels.dtype.newbyteorder("<"))
+    rows = rows or max(height, 1)
+    strips = [image[k : k + rows].tobytes() for k in range(0, max(height, 1), rows)]
+    strips = [zlib.compress(s) for s in strips] if deflate else strips
+    sizes, body = [len(s) for s in strips], b"".join(strips)
+    starts = (8 + np.cumsum([0, *sizes[:-1]])).tolist()
     kind = {"u": 1, "i": 2, "f": 3}[pixels.dtype.kind]
-    fields = [(_WIDTH, "I", [width]), (_HEIGHT, "I", [height]), (_BITS, "H", [pixels.dtype.itemsize * 8] * bands), (_COMPRESSION, "H", [8 if deflate else 1]), (262, "H", [1]), (_STRIPS, "I", [8]), (_SAMPLES, "H", [bands]), (_ROWS, "I", [height]), (_STRIP_SIZES, "I", [len(body)]), (_PLANAR, "H", [1]), (_FORMAT, "H", [kind] * bands)]
+    fields = [(_WIDTH, "I", [width]), (_HEIGHT, "I", [height]), (_BITS, "H", [pixels.dtype.itemsize * 8] * bands), (_COMPRESSION, "H", [8 if deflate else 1]), (262, "H", [1]), (_STRIPS, "I", starts), (_SAMPLES, "H", [bands]), (_ROWS, "I", [rows]), (_STRIP_SIZES, "I", sizes), (_PLANAR, "H", [1]), (_FORMAT, "H", [kind] * bands)]
     if transform:
-        a, _, c, _, e, f = transform
-        fields += [(_SCALE, "d", [a, -e, 0.0]), (_TIE, "d", [0.0, 0.0, 0.0, c, f, 0.0])]
+        a, b, c, d, e, f = transform
+        if b or d or a <= 0 or e >= 0:  # a scale says neither a turn nor an axis the other way
+            fields.append((_MATRIX, "d", [a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]))
+        else:
+            fields += [(_SCALE, "d", [a, -e, 0.0]), (_TIE, "d", [0.0, 0.0, 0.0, c, f, 0.0])]
     if epsg:
         fields.append((_KEYS, "H", [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg]))
     at = 8 + len(body) + len(body) % 2
@@ -211,7 +267,8 @@ def headers(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"].to_pylist(), _content(batch)):
                 try:
-                    t = Tiff(opened(path, content))
+                    with opened(path, content) as get:
+                        t = Tiff(get)
                     rows.append({"path": path, "crs": t.crs or UNKNOWN_CRS, "bounds": t.bounds, "width": t.width, "height": t.height, "bands": t.bands, "dtype": t.dtype.newbyteorder("=").name, "transform": t.transform, "error": None})
                 except FAILURES as e:
                     rows.append({"path": path, "error": str(e)})
@@ -233,46 +290,69 @@ def ready_bands(bands: np.ndarray, want: int = 4) -> np.ndarray:
     return out
 
 
-def _plan(files: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows (path, r0, c0, ...) dealt to tasks by WINDOWS_PER_TASK that lie side by side, with the content where files have one."""
+def _plan(files: DataFrame, windows: DataFrame, count: int) -> DataFrame:
+    """Windows (path, r0, c0, ...), ``count`` of them, dealt to tasks by some WINDOWS_PER_TASK that lie side by side, with the content where files have one."""
     if "content" in files.columns:
-        return windows.join(files.select("path", "content"), "path")
+        return windows.join(files.select("path", "content"), "path", "left")
     group = F.floor(F.col("r0") / (4 * CHUNK_SIZE)), F.floor(F.col("c0") / (4 * CHUNK_SIZE))
-    spark = files.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-count // WINDOWS_PER_TASK))
     return windows.repartition(tasks, "path", *group).sortWithinPartitions("path", "r0", "c0")
 
 
 class _Open:
     """The file that is being read; a task reads a file's windows one after the other."""
 
-    def __init__(self) -> None:
-        self.path, self.tiff = None, None
+    def __init__(self, decoders: Decoders | None = None) -> None:
+        self.path, self.tiff, self.decoders = None, None, decoders
 
     def __call__(self, path: str, content: bytes | None) -> Tiff:
         if path != self.path:
-            self.path, self.tiff = None, Tiff(opened(path, content))
+            self.close()
+            get = opened(path, content)
+            try:
+                self.tiff = Tiff(get, self.decoders)
+            except FAILURES:
+                get.close()
+                raise
             self.path = path
         return self.tiff
 
+    def close(self) -> None:
+        if self.path is not None:
+            self.tiff.get.close()
+        self.path, self.tiff = None, None
+
 
 def _bands_array(bands: np.ndarray) -> pa.Array:
-    flat = bands.reshape(len(bands), -1)
+    flat = bands.reshape(len(bands), int(np.prod(bands.shape[1:])))
     inner = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), inner)
 
 
-def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, ready: int = 0) -> DataFrame:
-    """A row per chunk: its window, its transform and its bands as arrays; a window that can't be read has an error.
+def chunk_row(path: str, name: str, window: tuple[int, int, int, int], bands: np.ndarray, transform: list[float] | None, crs: str | None, total: int | None, error: str | None) -> list[pa.Array]:
+    """A row of CHUNK; ``window`` is (r0, c0, h, w), ``transform`` that of the file."""
+    r0, c0, h, w = window
+    place, at = None, None
+    if transform:
+        a, b, c, d, e, f = transform
+        place, at = [c + a * c0 + b * r0, a, b, f + d * c0 + e * r0, d, e], {"col_off": c0, "row_off": r0, "width": w, "height": h}
+    values = [[path], [name], [at], _bands_array(bands), [place], [DEFAULT_CRS if crs == UNKNOWN_CRS else crs], [total], [error]]
+    return [v if isinstance(v, pa.Array) else pa.array(v, field.type) for v, field in zip(values, _CHUNK)]
+
+
+def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, ready: int = 0, decoders: Decoders | None = None) -> DataFrame:
+    """A row per chunk: its window, its transform and its bands as arrays; a window that can't be read has an error, and so has a file, in a row without a chunk.
 
     Windows are the unit of work: a task reads one at a time, whatever file it is of.
     With ``ready`` the bands are adapted to this number and scaled to 0..1.
     """
-    grid = chunk_grid(headers(files).where("error is null"), size, overlap)
-    plan = _plan(files, grid.select("path", "cr", "cc", "r0", "c0", "h", "w", "crs", "total_chunks", F.col("transform").alias("t")))
+    heads = written(headers(files), "headers")
+    grid = chunk_grid(heads.where("error is null"), size, overlap).select("path", "cr", "cc", "r0", "c0", "h", "w", "crs", "total_chunks", F.col("transform").alias("t"))
+    empty = heads.where("error is not null or height < 1 or width < 1").select("path", F.coalesce("error", F.lit("an image without pixels")).alias("error"))
+    count = grid.groupBy().count().first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = _Open()
+        file = _Open(decoders)
         for batch in batches:
             for row, content in zip(batch.drop_columns([c for c in ("content",) if c in batch.schema.names]).to_pylist(), _content(batch)):
                 error, bands = None, np.zeros((0, 0), np.float32)
@@ -281,34 +361,36 @@ def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
                     bands = ready_bands(bands, ready) if ready else bands
                 except FAILURES as x:
                     error = str(x)
-                a, b, c, d, e, f = row["t"]
-                there = [c + a * row["c0"] + b * row["r0"], a, b, f + d * row["c0"] + e * row["r0"], d, e]
-                window = {"col_off": row["c0"], "row_off": row["r0"], "width": row["w"], "height": row["h"]}
-                values = [[row["path"]], [f"{row['cr']}_{row['cc']}"], [window], _bands_array(bands), [there], [DEFAULT_CRS if row["crs"] == UNKNOWN_CRS else row["crs"]], [row["total_chunks"]], [error]]
-                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, field.type) for v, field in zip(values, _CHUNK)], schema=_CHUNK)
+                window = row["r0"], row["c0"], row["h"], row["w"]
+                yield pa.RecordBatch.from_arrays(chunk_row(row["path"], f"{row['cr']}_{row['cc']}", window, bands, row["t"], row["crs"], row["total_chunks"], error), schema=_CHUNK)
+        file.close()
 
-    return plan.mapInArrow(run, CHUNK)
+    unread = empty.select("path", *[{"error": F.col("error"), "pixels": F.array()}.get(f, F.lit(None)).alias(f) for f in _CHUNK.names[1:]])
+    read = _plan(files, grid, count).mapInArrow(run, CHUNK)
+    return read.unionByName(unread.select([F.col(f.name).cast(f.dataType) for f in read.schema.fields]))
 
 
-def cut(files: DataFrame, windows: DataFrame) -> DataFrame:
-    """``windows`` (path, r0, c0, h, w, ...) with ``content``, a GeoTIFF of all bands of the window in its place; null where it can't be read."""
+def cut(files: DataFrame, windows: DataFrame, decoders: Decoders | None = None) -> DataFrame:
+    """``windows`` (path, r0, c0, h, w, ...) with ``content``, a GeoTIFF of all bands of the window in its place, and ``error``, why it has none."""
     own = windows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = _Open()
+        file = _Open(decoders)
         for batch in batches:
             content = _content(batch)
             for k, (path, r0, c0, h, w) in enumerate(zip(*(batch[n].to_pylist() for n in ("path", "r0", "c0", "h", "w")))):
+                data, error = None, None
                 try:
                     tiff = file(path, content[k])
                     a, b, c, d, e, f = tiff.transform
                     data = encode(tiff.read(r0, c0, h, w), (a, b, c + a * c0 + b * r0, d, e, f + d * c0 + e * r0), int(tiff.crs[5:]) if tiff.crs else None, deflate=True)
-                except FAILURES:
-                    data = None
-                yield pa.RecordBatch.from_arrays([*(batch[n].slice(k, 1) for n in own), pa.array([data], pa.binary())], names=[*own, "content"])
+                except FAILURES as x:
+                    error = str(x)
+                yield pa.RecordBatch.from_arrays([*(batch[n].slice(k, 1) for n in own), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=[*own, "content", "error"])
+        file.close()
 
-    return _plan(files, windows).mapInArrow(run, f"{schema}, content binary")
+    return _plan(files, windows, windows.count()).mapInArrow(run, f"{schema}, content binary, error string")
 
 
 def rgb(files: DataFrame) -> DataFrame:
@@ -320,7 +402,8 @@ def rgb(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"].to_pylist(), _content(batch)):
                 out = {"path": path}
                 try:
-                    pixels = Tiff(opened(path, content)).read()[:3]
+                    with opened(path, content) as get:
+                        pixels = Tiff(get).read()[:3]
                     pixels = np.repeat(pixels[:1], 3, axis=0) if len(pixels) < 3 else pixels
                     out |= {"width": pixels.shape[2], "height": pixels.shape[1], "png": encode_png(np.clip(np.nan_to_num(pixels), 0, 255).astype(np.uint8).transpose(1, 2, 0))}
                 except FAILURES as x:

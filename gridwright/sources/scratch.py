@@ -8,7 +8,7 @@ import uuid
 from typing import TYPE_CHECKING
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 if TYPE_CHECKING:
     from pyarrow.fs import FileSystem
@@ -32,3 +32,10 @@ def file_system(path: str) -> tuple[FileSystem, str]:
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(unquote(re.sub("^file:/+", "/", path)) if path.startswith("file:") else path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in a new folder: what several later steps read is computed once, and a lost executor costs a read."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

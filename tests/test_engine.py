@@ -266,7 +266,7 @@ def test_geotiff(spark, tmp_path, dtype, deflate):
     a = heads["a.TIF"]
     assert (a.width, a.height, a.bands, a.dtype, a.crs, a.transform, tuple(a.bounds)) == (40, 50, 3, dtype, "EPSG:32644", [0.5, 0, 1000, 0, -0.5, 2000], (1000, 1975, 1020, 2000)) and heads["bad.tif"].error
     got = {r.chunk_id: r for r in geotiff.chunks(files, 32, 4).collect()}
-    assert set(got) == {"0_0", "0_1", "1_0", "1_1"} and got["1_1"].geo_transform == [1014.0, 0.5, 0.0, 1986.0, 0.0, -0.5]
+    assert set(got) == {"0_0", "0_1", "1_0", "1_1", None} and got[None].error and got[None].path.endswith("bad.tif") and got["1_1"].geo_transform == [1014.0, 0.5, 0.0, 1986.0, 0.0, -0.5]
     assert np.array_equal(np.array(got["1_1"].pixels).reshape(3, 22, 12), pixels[:, 28:50, 28:40].astype(np.float32))
 
 

@@ -136,10 +136,12 @@ def base_failed() -> Column:
     return (F.col("_gw.n_words") < MIN_WORDS) | (100 * F.col("_gw.n_repeat_words") > MAX_REPEATED * F.col("_gw.n_words"))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, held: float = HELD) -> tuple[float, np.ndarray]:
     """The share of good documents, and (class, rule, vote) shares of bad (0) and good (1) ones, by expectation-maximisation.
 
-    ``patterns`` are rows of votes -1, 0 and 1, ``counts`` how many documents have them.
+    ``patterns`` are rows of votes -1, 0 and 1, ``counts`` how many documents have
+    them. A part ``held`` of each estimate stays at its start, so a rule that few
+    documents break still says something of a document that breaks it.
     """
     start = np.array([[START[False]] * patterns.shape[1], [START[True]] * patterns.shape[1]])
     good, share = START_GOOD, start
@@ -148,9 +150,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarra
         odds = np.log(good) - np.log1p(-good) + (np.log(share[1]) - np.log(share[0]))[rules, patterns + 1].sum(axis=1)
         weight = counts / (1 + np.exp(-odds))
         both = np.stack([counts - weight, weight])
-        good = (1 - HELD) * weight.sum() / counts.sum() + HELD * START_GOOD
+        good = (1 - held) * weight.sum() / counts.sum() + held * START_GOOD
         seen = np.stack([both @ (patterns == v) for v in (-1, 0, 1)], axis=-1)
-        share = (1 - HELD) * seen / np.maximum(both.sum(axis=1), 1e-9)[:, None, None] + HELD * start
+        share = (1 - held) * seen / np.maximum(both.sum(axis=1), 1e-9)[:, None, None] + held * start
     return good, share
 
 

@@ -53,8 +53,8 @@ from .common import arrow_strings, keep_winners, materialize, settled, slices, t
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 30, 6
-#: Members of a block; two blocks are compared in one task.
-BLOCK = 512
+#: Members of a block and their shingles; two blocks are compared in one task.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 BATCH_SHINGLES = 60_000
 #: Open nodes whose shingles are counted for the order, and frequent shingles that are told apart in it.
 ORDER_NODES, ORDER_SHINGLES = 20_000, 200_000
@@ -315,7 +315,8 @@ def _open_groups(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame
 
     Groups with the same nodes are one. A large group is cut into blocks, its pieces,
     and is a work of its own; small groups share works of about one block, and those
-    with the same smallest node share one, as most groups of one passage do.
+    with the same smallest node share one, as most groups of one passage do, unless
+    they have more nodes or shingles together than a block.
     """
     n_open = nodes.count()
     own = sets.join(nodes, "node")
@@ -325,25 +326,50 @@ def _open_groups(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for batch in slices(batches, 100):
-            columns = [[], [], [], []]
+            columns = [[], [], [], [], []]
             for node, c, s, w in zip(*(batch[x].to_pylist() for x in ("node", "c", "shingles", "weights"))):
                 s, w = np.frombuffer(s, "<u8"), np.frombuffer(w, "<u4")
                 at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
                 found, smaller = prefix(s, w, np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s)), similar)
-                for column, x in zip(columns, (found.view(np.int64), np.full(len(found), node), np.full(len(found), c), smaller)):
+                for column, x in zip(columns, (found.view(np.int64), np.full(len(found), node), np.full(len(found), c), smaller, np.full(len(found), len(s)))):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["shingle", "node", "c", "smaller"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["shingle", "node", "c", "smaller", "size"])
 
-    items = materialize(own.select("node", "c", "shingles", "weights").mapInArrow(run, "shingle bigint, node bigint, c bigint, smaller boolean"), "prefixes")
+    items = materialize(own.select("node", "c", "shingles", "weights").mapInArrow(run, "shingle bigint, node bigint, c bigint, smaller boolean, size bigint"), "prefixes")
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-    groups = items.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("smaller").alias("smaller"), F.min("node").alias("head"), *same)
-    groups = groups.where("low <> high and smaller").groupBy("n", "h1", "h2").agg(F.min("shingle").alias("shingle"), F.min("head").alias("head")).select("shingle", "n", "head")
-    groups = materialize(groups, "groups")
-    total = groups.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
-    together = F.concat(F.lit("s"), F.pmod(F.xxhash64("head"), F.lit(-(-2 * total // BLOCK) or 1)).cast("string"))
-    sized = items.select("shingle", "node").join(groups, "shingle").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
-    work = F.when(F.col("n") <= BLOCK, together).otherwise(F.col("shingle").cast("string"))
-    return materialize(sized.select("node", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), "pieces", work.alias("work")).distinct(), "works")
+    groups = items.groupBy("shingle").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("smaller").alias("smaller"), F.min("node").alias("head"), *same)
+    groups = groups.where("low <> high and smaller").groupBy("n", "h1", "h2").agg(F.min("shingle").alias("shingle"), F.min("head").alias("head"), F.min("mass").alias("mass")).select("shingle", "n", "mass", "head")
+    members = materialize(items.select("shingle", "node", "size").join(materialize(groups, "groups"), "shingle"), "grouped")
+    one = F.lit(1)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    found = members.where(blocks > 1).select("node", blocks.alias("pieces"), F.col("shingle").cast("string").alias("work"))
+    few, left = members.where(blocks <= 1), ["head"]
+    # of the small groups those with the same smallest node are together if their nodes fit in a block, else those
+    # with the same two smallest ones; what is left, of nodes that share shingles with very many others, is dealt by group
+    for letter in ("s", "t"):
+        unions = materialize(few.groupBy(*left, "node").agg(F.max("size").alias("size"), F.count("*").alias("n")).groupBy(*left).agg(F.count("*").alias("nodes"), F.sum("size").alias("mass"), F.sum("n").alias("n")), "unions")
+        fits = (F.col("nodes") <= BLOCK) & (F.col("mass") <= BLOCK_SHINGLES)
+        deal = _works(unions.where(fits))
+        whole = few.join(unions.where(fits).select(*left), left, "left_semi")
+        found = found.unionByName(whole.select("node", one.alias("pieces"), F.concat(F.lit(letter), F.pmod(F.xxhash64(*left), F.lit(deal)).cast("string")).alias("work")))
+        few = few.join(unions.where(~fits).select(*left), left, "left_semi")
+        if unions.where(~fits).isEmpty():
+            break
+        if letter == "s":
+            second = few.groupBy("shingle").agg(F.min(F.when(F.col("node") != F.col("head"), F.col("node"))).alias("second"))
+            few, left = materialize(few.join(second, "shingle"), "hubs"), ["head", "second"]
+    else:
+        deal = _works(few)
+        found = found.unionByName(few.select("node", one.alias("pieces"), F.concat(F.lit("u"), F.pmod(F.xxhash64("shingle"), F.lit(deal)).cast("string")).alias("work")))
+    return materialize(found.select("node", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), "pieces", "work").distinct(), "works")
+
+
+def _works(rows: DataFrame) -> int:
+    """How many works rows of (n, ...) or of single members make, of half a block each."""
+    n = F.sum("n") if "nodes" in rows.columns else F.count("*")
+    mass = F.sum("mass") if "nodes" in rows.columns else F.sum("size")
+    total = rows.agg(n.alias("n"), mass.alias("mass")).first()
+    return max(1, -(-2 * (total.n or 0) // BLOCK), -(-2 * (total.mass or 0) // BLOCK_SHINGLES))
 
 
 def _links(table: pa.Table, similar: float) -> list[tuple[int, int]]:

@@ -868,3 +868,31 @@ def test_pipeline_odd(spark, tmp_path):
         make(spark, data).write.parquet(f"{sf}/documents.parquet")
         spark.createDataFrame([(1, 1), (6, 0), (None, None)], "doc_id bigint, toxic int").write.parquet(f"{sf}/labels.parquet")
         pieces_fit(corpus_pipeline.run(spark, str(sf)).collect())
+
+
+@pytest.mark.parametrize("hubs", [1, 2])
+def test_minhash_hubs_make_no_large_works(spark, monkeypatch, hubs):
+    """Texts that share one rare shingle each with thousands of others: no task gets more than some blocks, and every group is whole in one."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    n, rng = 3000, np.random.default_rng(4)
+    own = rng.integers(1, 2**62, (n, 2)).astype(np.uint64)
+    sets = [np.sort(np.concatenate([own[:, 0], rng.integers(1, 2**62, 50).astype(np.uint64)])) for _ in range(hubs)] + [np.sort(x) for x in own]
+    rows = [(k, x.astype("<u8").tobytes(), np.ones(len(x), "<u4").tobytes()) for k, x in enumerate(sets)]
+    known = spark.createDataFrame(rows, "node bigint, shingles binary, weights binary")
+    works = minhash._open_groups(known.select("node", F.col("node").alias("c")), known, 0.5).collect()
+    held = defaultdict(set)
+    for r in works:
+        held[r.work].add(r.node)
+    groups, smallest, times = defaultdict(set), set(), Counter(np.concatenate(sets).tolist())
+    for k, x in enumerate(sets):
+        found, smaller = minhash.prefix(x, np.ones(len(x), np.uint32), np.array([times[s] * (times[s] > 2) for s in x.tolist()]), 0.5)
+        for s, own_prefix in zip(found.tolist(), smaller):
+            groups[s].add(k)
+            smallest |= {s} if own_prefix else set()
+    small = [g for s, g in groups.items() if 1 < len(g) <= 64 and s in smallest]
+    assert small and max(map(len, held.values())) < 64 * 5 and len(held) > n / 64 / 5
+    by_node = defaultdict(set)
+    for work, nodes in held.items():
+        for x in nodes:
+            by_node[x].add(work)
+    assert all(set.intersection(*(by_node[x] for x in g)) for g in small)

@@ -16,7 +16,9 @@ from ..operators.label import label_components
 from ..sources import geotiff
 from ..sources.datasource import read_rasters, write_rows
 from ..sources.scratch import scratch_dir, written
+from ..streaming import lifecycle, log
 from ..streaming import messages as stream
+from ..streaming import requests as starts
 from . import fixtures as fx
 from .fixtures import CHUNK, MIN_AREA, OVERLAP, TRANSFORM, table, with_fixtures
 
@@ -584,6 +586,52 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.final_states(_log(table(spark, sf_dir, "events"))).select("job_id", "status", "chunks_done", "detections_found", "error")
 
 
+@query(_STATES)
+def stream_job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states by the processor with named state variables; its timers are off, as a query with timers doesn't end."""
+    with lifecycle.rocks(spark):
+        updates = _ran(lifecycle.lifecycle(_log(_stream(spark, sf_dir, "events")), timed=False), "update")
+    order = F.struct((F.col("status").isin("completed", "failed")).cast("int"), "chunks_done", "detections_found")
+    return jobs.latest(updates.withColumn("at", order), "job_id", "at").select("job_id", "status", "chunks_done", "detections_found", "error")
+
+
+@query(f"with log as ({_LOG}) select job_id, case when seq%3 = 0 then 'tail' else 'snapshot' end as side, count(*) as n, cast(sum(n_det) as bigint) as n_det from log group by 1, 2")
+def stream_log_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log, its snapshot, and its tail: every third message, most of them with lower numbers than others, is written after the snapshot."""
+    home = scratch_dir(spark)
+    messages, path = _log(table(spark, sf_dir, "events")), f"{home}/log"
+    kinds = ", ".join(f"{n} {t}" for n, t in messages.dtypes)
+    messages.where("seq % 3 <> 0").write.parquet(f"{home}/source")
+    source = spark.readStream.schema(messages.schema).parquet(f"{home}/source")
+    log.append(source, path, f"{home}/written").awaitTermination()
+    at = log.position(path)
+    messages.where("seq % 3 = 0").write.mode("append").parquet(f"{home}/source")
+    log.append(source, path, f"{home}/written").awaitTermination()
+    late = _ran(log.tail(spark, path, kinds, at), "append")
+    both = log.snapshot(spark, path, kinds, at).withColumn("side", F.lit("snapshot")).unionByName(late.withColumn("side", F.lit("tail")))
+    return both.groupBy("job_id", "side").agg(F.count("*").alias("n"), F.sum("n_det").alias("n_det"))
+
+
+_TIMES = """req as (select o_orderkey as job_id, case when o_orderkey%9 = 0 then -1-o_custkey else o_custkey end as upload_id, o_orderkey%7200 as asked from orders),
+ st as (select c_custkey as up, case when c_acctbal >= 0 then 'ready' else 'uploading' end as status, c_custkey*37%7200 as said from customer union all select c_custkey, 'uploading', c_custkey*37%7200-600 from customer where c_custkey%4 = 0)"""
+
+
+@query(f"with {_TIMES} select job_id, case when count(up) = 0 then 404 when arg_max(status, row(said, status = 'ready')) = 'ready' then 200 else 400 end as http_status from req left join st on upload_id = up and said <= asked and said >= asked-3600 group by job_id")
+def stream_start_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and states of uploads as two streams: a state counts for an hour. A row at the end of each stream closes the time before it."""
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    row = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    each = lambda df, *rows: df.select(F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("r.*")
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    end, upload = F.lit(1_000_000), F.when(k % 9 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    none, none_upload = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    asked = each(_stream(spark, sf_dir, "orders"), row(job_id=k, upload_id=upload, asked_at=at(k % 7200)), F.when(k % 50 == 1, row(job_id=none, upload_id=none_upload, asked_at=at(end))))
+    status, said = F.when(F.col("c_acctbal") >= 0, "ready").otherwise("uploading"), c * 37 % 7200
+    states = each(_stream(spark, sf_dir, "customer"), row(upload_id=c, status=status, said_at=at(said)), F.when(c % 4 == 0, row(upload_id=c, status=F.lit("uploading"), said_at=at(said - 600))), F.when(c % 10 == 1, row(upload_id=none_upload, status=F.lit("none"), said_at=at(end))))
+    answers = _ran(starts.start_status(asked, states), "append")
+    return starts.decided(answers.where("job_id is not null")).select("job_id", "http_status")
+
+
 @query(f"with log as ({_LOG}) select job_id, type, count(*) as n from log where type <> 'ping' group by job_id, type")
 def message_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages to JSON and back; frames that are no JSON, and those without a type, vanish."""

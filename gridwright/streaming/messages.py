@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.constants import PING_SECONDS
+from ..functions.constants import PING_SECONDS, TTL_SECONDS
 
 #: A job's statuses in the order that it can take.
 ORDER = {"queued": 0, "running": 1, "completed": 2, "failed": 2}
 STATES = "job_id bigint, status string, chunks_done int, total_chunks int, detections_found int, progress double, error string"
 STATE = "status string, chunks_done int, total_chunks int, detections_found int, error string"
+NEW = ("queued", 0, 0, 0, None)
 
 
 def parse(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
@@ -24,9 +26,32 @@ def parse(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     return parsed.where("m is not null and m.type is not null").select("m.*")
 
 
-def _int(value: float | None, default: int) -> int:
-    """A number out of pandas, where null is None or NaN."""
-    return default if value is None or value != value else int(value)
+def advance(state: tuple, rows: pd.DataFrame) -> tuple:
+    """The state (as in STATE) after more messages of a job, in the order of their seq; what follows the first end counts for nothing."""
+    status, done, total, found, error = state
+    if ORDER[status] == 2:
+        return state
+    rows = rows.sort_values("seq", kind="stable")
+    kind = rows["type"].to_numpy(object)
+    ends = np.flatnonzero((kind == "completed") | (kind == "error"))
+    live = rows.iloc[: ends[0]] if len(ends) else rows
+    chunk = (live["type"] == "chunk_done").to_numpy(bool)
+    begun = chunk | (live["type"] == "started").to_numpy(bool)
+    totals = live["total_chunks"][begun].dropna()
+    total = int(totals.iloc[-1]) if len(totals) else total
+    done, found = done + int(chunk.sum()), found + int(live["n_det"][chunk].dropna().sum())
+    if len(ends):
+        last = rows.iloc[ends[0]]
+        failed = last["type"] == "error"
+        return "failed" if failed else "completed", done, total, found, last["error"] if failed and isinstance(last["error"], str) else None
+    return "running" if begun.any() else status, done, total, found, error
+
+
+def state_row(job_id: int | None, state: tuple) -> tuple:
+    """A row of STATES."""
+    status, done, total, found, error = state
+    share = 100.0 if status == "completed" else int(done / total * 10000 + 0.5) / 100 if total else 0.0
+    return job_id, status, done, total, found, share, error
 
 
 def job_states(messages: DataFrame, expire: bool = False, forget: bool = False) -> DataFrame:
@@ -34,7 +59,7 @@ def job_states(messages: DataFrame, expire: bool = False, forget: bool = False)
 
     queued, running, then completed or failed. A job that has ended takes no
     further messages. Numbers that are null change nothing, and messages without a
-    seq are left out. With ``expire`` the state of a job that was silent for an hour
+    seq are left out. With ``expire`` the state of a job that was silent for a day
     is dropped; a query with such timers never runs out of batches, so it suits a
     stream that stays up, not one that ends when all is read. With ``forget`` a job's
     state is dropped as soon as it ends, for ids that no later message names.
@@ -44,25 +69,15 @@ def job_states(messages: DataFrame, expire: bool = False, forget: bool = False)
         if expire and state.hasTimedOut:
             state.remove()
             return
-        status, done, total, found, error = state.get if state.exists else ("queued", 0, 0, 0, None)
-        for row in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
-            if ORDER[status] == 2:
-                break
-            if row.type in ("started", "chunk_done"):
-                status, total = "running", _int(row.total_chunks, total)
-                if row.type == "chunk_done":
-                    done, found = done + 1, found + _int(row.n_det, 0)
-            elif row.type in ("completed", "error"):
-                status, error = ("completed", None) if row.type == "completed" else ("failed", row.error if isinstance(row.error, str) else None)
-        if forget and ORDER[status] == 2:
+        new = advance(state.get if state.exists else NEW, pd.concat(list(batches)))
+        if forget and ORDER[new[0]] == 2:
             if state.exists:
                 state.remove()
         else:
-            state.update((status, done, total, found, error))
+            state.update(new)
             if expire:
-                state.setTimeoutDuration(1000 * 3600)
-        share = 100.0 if status == "completed" else int(done / total * 10000 + 0.5) / 100 if total else 0.0
-        yield pd.DataFrame([(key[0], status, done, total, found, share, error)], columns=[c.split()[0] for c in STATES.split(", ")])
+                state.setTimeoutDuration(1000 * TTL_SECONDS)
+        yield pd.DataFrame([state_row(key[0], new)], columns=[c.split()[0] for c in STATES.split(", ")])
 
     return messages.where("seq is not null").groupBy("job_id").applyInPandasWithState(fold, STATES, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
@@ -105,7 +120,7 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def snapshot_and_tail(spark: SparkSession, log: str, schema: str, job_id: int, seen: int) -> tuple[DataFrame, DataFrame]:
-    """A job's messages up to number ``seen`` as a table, and the later ones as a stream: none is lost between them."""
+    """A job's messages up to number ``seen`` as a table, and the later ones as a stream: none is lost between them if they are written in the order of their numbers; log.follow does without that."""
     return spark.read.schema(schema).parquet(log).where((F.col("job_id") == job_id) & (F.col("seq") <= seen)).orderBy("seq"), spark.readStream.schema(schema).parquet(log).where((F.col("job_id") == job_id) & (F.col("seq") > seen))
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_UPLOAD_BYTES, PART_BYTES
+from ..sources.datasource import PARTS, has_positions, register
+from ..sources.geotiff import opened
+
+#: Parts of a file that a task writes in a row, and slices that a task reads.
+PARTS_PER_TASK = 64
 
 
 def split_parts(files: DataFrame, key: str, content: str, size: int = PART_BYTES) -> DataFrame:
@@ -37,6 +45,57 @@ def reassemble(parts: DataFrame, key: str) -> DataFrame:
     return latest_parts(parts, key).groupBy(key).agg(joined.alias("content"), F.sum("n").alias("received"), F.count("*").alias("distinct_parts"), F.max("idx").alias("highest"))
 
 
+def slices(files: DataFrame, size: int = PART_BYTES) -> DataFrame:
+    """(path, idx, part) of files (path, length) of any length: each task reads its slices by ranges. An empty file has one empty part."""
+    count = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("length") / F.lit(size)))
+    each = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("idx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, get = None, None
+            for name, idx, length in zip(*(batch[c].to_pylist() for c in ("path", "idx", "length"))):
+                if name != path:
+                    if get is not None:
+                        get.close()
+                    path, get = name, opened(name)
+                part = get(idx * size, min(size, length - idx * size)) if length else b""
+                yield pa.RecordBatch.from_pydict({"path": [name], "idx": pa.array([idx], pa.int32()), "part": pa.array([part], pa.binary())})
+            if get is not None:
+                get.close()
+
+    # dealt by a written number of tasks, as these rows are small and what they stand for is not
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-(each.groupBy().count().first()[0]) // PARTS_PER_TASK))
+    dealt = each.repartition(tasks, "path", F.floor(F.col("idx") / PARTS_PER_TASK)).sortWithinPartitions("path", "idx")
+    return dealt.mapInArrow(run, "path string, idx int, part binary")
+
+
+def manifest(parts: DataFrame, key: str, size: int = PART_BYTES) -> DataFrame:
+    """(key, idx, offset, length, checksum, arrivals): the place of each part in its file; a part that came again is listed once, its later copy."""
+    bytes_of = F.col("part").cast("binary")
+    return latest_parts(parts, key).select(key, "idx", (F.col("idx").cast("bigint") * size).alias("offset"), F.octet_length(bytes_of).cast("bigint").alias("length"), F.md5(bytes_of).alias("checksum"), F.col("n").alias("arrivals"))
+
+
+def whole_files(listed: DataFrame, key: str, size: int = PART_BYTES) -> DataFrame:
+    """(key, total_size, parts, whole) of a manifest: whole, if no part is missing and none but the last is short."""
+    found = listed.groupBy(key).agg(F.sum("length").alias("total_size"), F.count("*").alias("parts"), F.max("idx").alias("_last"), F.count_if(F.col("length") != size).alias("_odd"), F.max_by("length", "idx").alias("_end"))
+    tidy = (F.col("parts") == F.col("_last") + 1) & (F.col("_odd") - (F.col("_end") != size).cast("int") == 0) & (F.col("_end") <= size)
+    return found.select(key, "total_size", "parts", tidy.alias("whole"))
+
+
+def place(parts: DataFrame, key: str, folder: str, name: Column | None = None, size: int = PART_BYTES) -> None:
+    """Writes each upload's parts to one file below ``folder``, named by ``name`` (the key), all files or none.
+
+    Every part goes to the place that its number says, so parts may come in any order
+    and again. No file is ever one value: many tasks write runs of a large file where
+    files have positions, else a task streams a file's parts in their order. Check
+    whole_files first, as a missing part leaves a hole.
+    """
+    rows = latest_parts(parts, key).select((F.col(key).cast("string") if name is None else name).alias("path"), (F.col("idx").cast("bigint") * size).alias("offset"), F.col("part").cast("binary").alias("part"))
+    register(parts.sparkSession)
+    run = [F.floor(F.col("offset") / (size * PARTS_PER_TASK))] if has_positions(folder) else []
+    rows.repartition("path", *run).sortWithinPartitions("path", "offset").write.format(PARTS).mode("append").save(folder)
+
+
 def complete(found: DataFrame, total: str = "total_chunks") -> DataFrame:
     """Uploads of which no part is missing: a check of our own, on top of the counter."""
     return found.where((F.col("distinct_parts") == F.col(total)) & (F.col("highest") == F.col(total) - 1))

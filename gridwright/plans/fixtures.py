@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -100,6 +102,23 @@ def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def zip_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an archive for every hundred documents: each text is a member, every third one stored as it is."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("texts/", "")
+            for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()):
+                z.writestr(f"texts/{doc_id}.txt", (text or "").encode(), zipfile.ZIP_DEFLATED if doc_id % 3 else zipfile.ZIP_STORED)
+        return pa.table({"path": [f"zips/{docs['hundred'][0].as_py()}.zip"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    folder = scratch_dir(spark)
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("hundred"), "doc_id", "text")
+    write_rows(docs.groupBy("hundred").applyInArrow(run, "path string, content binary"), folder)
+    return folder
+
+
 #: Where the mosaics' corners begin in each zone: the same land, as zones 43 to 45 see it; and where the parcels begin in web Mercator.
 ORIGINS, PARCEL_ORIGIN = {43: (1_034_500.0, 2_009_000.0), 44: (399_200.0, 2_002_000.0), 45: (-237_000.0, 2_015_500.0)}, (8_911_000.0, 2_050_000.0)
 

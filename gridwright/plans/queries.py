@@ -13,7 +13,7 @@ from ..functions.constants import THRESHOLD
 from ..functions.numbers import progress_percent, round_half_up, show_area, show_percent, upload_percent
 from ..operators import classify, detect, jobs, raster, tiles, upload
 from ..operators.label import label_components
-from ..sources import geotiff
+from ..sources import archives, geotiff
 from ..sources.datasource import read_rasters, write_rows
 from ..sources.scratch import scratch_dir, written
 from ..streaming import lifecycle, log
@@ -295,6 +295,40 @@ def upload_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.sha2("content", 256).alias("sha256"), "received", "distinct_parts")
 
 
+_BYTES = "cast(greatest(1, ceil(strlen(text)/1024e0)) as bigint)"
+
+
+def _byte_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files in parts of 1024 bytes, in any order, every fifth part twice."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    parts = upload.split_parts(files, "doc_id", "content", 1024)
+    return parts.withColumn("seq", F.explode(F.when(F.col("idx") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+
+
+@query(f"select doc_id, cast(i as int) as idx, i*1024 as offset, cast(least(1024, strlen(text)-i*1024) as bigint) as length, cast(case when i%5 = 0 then 2 else 1 end as bigint) as arrivals from (select doc_id, text, unnest(range({_BYTES})) as i from documents)")
+def upload_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upload.manifest(_byte_parts(spark, sf_dir), "doc_id", 1024).drop("checksum")
+
+
+@query(f"select doc_id, cast(strlen(text) as bigint) as total_size, {_BYTES} as parts, true as whole, sha256(text) as sha256 from documents")
+def upload_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are written to their places in files, and the files read again."""
+    parts, folder = _byte_parts(spark, sf_dir), scratch_dir(spark)
+    upload.place(parts, "doc_id", folder, F.concat(F.lit("uploads/"), F.col("doc_id").cast("string"), F.lit(".bin")), 1024)
+    files = spark.read.format("binaryFile").load(f"{folder}/uploads").select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("bigint").alias("doc_id"), F.sha2("content", 256).alias("sha256"))
+    return upload.whole_files(upload.manifest(parts, "doc_id", 1024), "doc_id", 1024).join(files, "doc_id")
+
+
+@query(f"select doc_id, cast(strlen(text) as bigint) as size, {_BYTES} as parts, sha256(text) as sha256 from documents")
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of archives by their directories, in parts of 1024 bytes."""
+    listed = archives.directory(archives.list_archives(spark, fx.zip_folder(spark, sf_dir)))
+    doc_id = F.regexp_extract("member", r"(\d+)\.txt$", 1).cast("bigint")
+    content = F.expr("listagg(part) within group (order by idx)")
+    found = archives.member_parts(listed, 1024).where("error is null").groupBy(doc_id.alias("doc_id")).agg(content.alias("content"), F.count("*").alias("parts"))
+    return listed.select(doc_id.alias("doc_id"), "size").join(found, "doc_id").select("doc_id", "size", "parts", F.sha2("content", 256).alias("sha256"))
+
+
 @query("select page_id, case when length(html) > 3000 then 413 when not regexp_matches(lower(name), '\\.tiff?$') then 400 else 200 end as http_status, regexp_matches(name, '\\.tiff?$') as same_case from (select page_id, html, url || case page_id%4 when 0 then '.tif' when 1 then '.TIFF' when 2 then '.png' else '' end as name from pages)")
 def upload_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 4

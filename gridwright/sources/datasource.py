@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import importlib
 import math
+import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, UNKNOWN_CRS
 from . import geotiff
 from .scratch import file_system
 
-READER, WRITER = "gridwright_raster", "gridwright_files"
+READER, WRITER, PARTS = "gridwright_raster", "gridwright_files", "gridwright_parts"
 #: Bytes of files that a task of the reader has about, and small files that it has at most.
 SHARE_BYTES, SHARE_FILES = 64 << 20, 256
 #: How often the writer looks for files of a job that failed, at a fifth of a second.
@@ -44,6 +45,7 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RasterSource)
     spark.dataSource.register(FileSink)
+    spark.dataSource.register(PartSink)
 
 
 def read_rasters(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -244,3 +246,57 @@ class FileWriter(DataSourceWriter):
         if there:
             system.delete_dir(base)
         return there
+
+
+class PartSink(FileSink):
+    """Files as parts (path, offset, part); a part that comes twice is written twice, to the same place."""
+
+    @classmethod
+    def name(cls) -> str:
+        return PARTS
+
+    def schema(self) -> str:
+        return "path string, offset bigint, part binary"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return PartWriter(self.options["path"], overwrite)
+
+
+def has_positions(folder: str) -> bool:
+    """Whether tasks can write at any place of a file there, as local and mounted file systems let them; a store takes a file from its start to its end."""
+    return file_system(folder)[0].type_name == "local"
+
+
+class PartWriter(FileWriter):
+    """Tasks share the files of the job. Where there are no positions, a task must get all parts of a file in order."""
+
+    def write(self, rows: Iterator[Row]) -> Placed:
+        system, base = file_system(self.aside)
+        path, out, at, names = None, None, 0, []
+        try:
+            for row in rows:
+                if row["part"] is None or row["offset"] is None or row["path"] is None:
+                    raise ValueError(f"a part of {row['path']} without content or position")
+                if row["path"] != path:
+                    if out is not None:
+                        out.close()
+                    path, at = row["path"], 0
+                    name = f"{base}/{path}"
+                    system.create_dir(name.rpartition("/")[0], recursive=True)
+                    out = os.fdopen(os.open(name, os.O_CREAT | os.O_WRONLY), "wb") if system.type_name == "local" else system.open_output_stream(name)
+                    names.append(path)
+                if system.type_name == "local":
+                    out.seek(row["offset"])
+                elif row["offset"] != at:
+                    raise ValueError(f"{path} continues at {at}, not at {row['offset']}")
+                out.write(bytes(row["part"]))
+                at += len(row["part"])
+        finally:
+            if out is not None:
+                out.close()
+        return Placed(base, sorted(set(names)))
+
+    def commit(self, messages: list[Placed | None]) -> None:
+        """Each file once, though many tasks wrote it."""
+        names = sorted({n for m in messages if m for n in m.names})
+        super().commit([Placed(file_system(self.aside)[1], names)])

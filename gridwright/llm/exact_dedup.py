@@ -117,12 +117,17 @@ def text_digest(text: str = "text"):
     return F.unhex(F.sha2(F.regexp_replace(text_or_empty(text), WHITE, " "), 256))
 
 
+def shards_for(n_distinct: int) -> int:
+    return 1 << max(3, math.ceil(math.log2(max(1, n_distinct) / DIGESTS_PER_SHARD)))
+
+
 def build_index(distinct: DataFrame, n_distinct: int) -> DataFrame:
     """The hash over a history's distinct digests (digest, keep_id, n): a row per shard.
 
-    A shard has about DIGESTS_PER_SHARD digests, whatever the size of the history.
+    A shard has about DIGESTS_PER_SHARD digests, whatever ``n_distinct``: the
+    distinct digests of the history, or of what is looked up if these are more.
     """
-    shards = 1 << max(3, math.ceil(math.log2(max(1, n_distinct) / DIGESTS_PER_SHARD)))
+    shards = shards_for(n_distinct)
     index = distinct.select("digest", "keep_id", "n", _shard(shards)).groupBy("shard").applyInArrow(_build, "shard int, " + _BITS)
     return materialize(index.withColumn("shards", F.lit(shards)), "mph")
 
@@ -144,10 +149,9 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     middle = rows.select(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]
     old = F.coalesce(F.col("doc_id") < F.lit(middle).cast("bigint"), F.lit(False))
     distinct = lambda df: df.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("n"))
-    history, batch = materialize(distinct(rows.where(old)), "history"), distinct(rows.where(~old))
-    index = build_index(history, history.count())
-    shards = (index.select("shards").first() or [8])[0]
-    found = materialize(look_up(batch, index, shards), "found")
+    history, batch = materialize(distinct(rows.where(old)), "history"), materialize(distinct(rows.where(~old)), "batch")
+    most = max(history.count(), batch.count())
+    found = materialize(look_up(batch, build_index(history, most), shards_for(most)), "found")
     members, others = found.where("old_id is not null"), found.where("old_id is null")
     groups = history.unionByName(members.select("digest", F.col("old_id").alias("keep_id"), "n")).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     return rows, groups.unionByName(others.select("digest", "keep_id", "n"))

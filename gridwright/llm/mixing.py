@@ -8,7 +8,7 @@ draws bring its words closest to its target; one aggregation tries them all.
 
 Defined results: a null text has no words; documents without a source form a
 source of their own, last in order; a source without words gets target 0 and
-keeps none of its documents; documents with a null id share one draw; repeated
+keeps none of its documents; a document with a null id is drawn by its text; repeated
 rows share their id's draw and are emitted alike; an empty table gives an empty
 result. Columns other than id, text and source are passed through by emit_mix.
 """
@@ -53,9 +53,9 @@ def _hash(text: Column, start: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, 8), 16, 10).cast("bigint")
 
 
-def with_draws(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds _gw_h1 and _gw_h2, two hashes of the id from which every seed's draw follows."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+def with_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds _gw_h1 and _gw_h2, two hashes of the id, or of the text where there is none, from which every seed's draw follows."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), text_or_empty(text_col)))
     return docs.withColumns({"_gw_h1": _hash(key, 1), "_gw_h2": _hash(key, 9)})
 
 
@@ -79,8 +79,8 @@ def join_rates(df: DataFrame, rates: DataFrame, source_col: str = "source") -> D
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size and the two hashes of each row, kept in the scratch folder."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"))
-    return materialize(with_draws(slim), "sizes")
+    drawn = with_draws(docs, id_col, text_col)
+    return materialize(drawn.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"), "_gw_h1", "_gw_h2"), "sizes")
 
 
 def source_rates(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS) -> DataFrame:

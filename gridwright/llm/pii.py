@@ -79,8 +79,12 @@ def _alphabet(c: str) -> str:
 
 
 def _round(key: bytes, kind: str, i: int, x: int, sizes: tuple[int, int], modulus: int) -> int:
-    h = hashlib.blake2b(f"{kind}|{i}|{sizes}|{x}".encode(), key=key, digest_size=32)
-    return int.from_bytes(h.digest(), "big") % modulus
+    """A keyed hash below the modulus, as long as it needs to be."""
+    text = f"{kind}|{i}|{sizes}|{x}".encode()
+    digest = hashlib.blake2b(text, key=key, digest_size=32).digest()
+    for more in range(1, (modulus.bit_length() + 64) // 256 + 1 if modulus.bit_length() > 256 else 0):
+        digest += hashlib.blake2b(text + b"|%d" % more, key=key, digest_size=32).digest()
+    return int.from_bytes(digest, "big") % modulus
 
 
 def permute(value: int, a: int, b: int, key: bytes, kind: str, back: bool = False) -> int:
@@ -267,19 +271,19 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
 
 
 _NAMES = "|".join(sorted({x for names in MONTHS.values() for x in names}, key=len, reverse=True))
-_SECRET_HEAD = re.compile(r"""(?i:[\w-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)|AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[abprs]-|AIza|eyJ|""")
+_SECRET_HEAD = re.compile(r"""(?i:[\w-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)|Bearer |AKIA|ASIA|gh[pousr]_|sk-|sk_(?:live|test)_|xox[abprs]-|AIza|eyJ|""")
 _FIND = {
-    "email": r"[^\W_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"""(?<!\w)(?i:[\w-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)[^\s"',;<>]{8,}|(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?!\w)""",
+    "email": r"[^\W_][\w.+-]*@(?:[^\W_](?:[^\W_]|-)*\.)+[^\W\d_]{2,}",
+    "secret": r"""(?<!\w)(?i:[\w-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)[^\s"',;<>]{4,}|(?<!\w)(?:Bearer [\w.~+/-]{16,}=*|sk-[\w-]{20,})(?![\w-])|(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?!\w)""",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "ip": r"(?<![\w.])(?<!\bver )(?<!\b[vV]ersion )\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!(?!T\d)\w|[/-]|\.\d)",
     "mdy": r"(?<![\w./-])\d{1,2}/\d{1,2}/\d{4}(?!(?!T\d)\w|[/-]|\.\d)",
     "month": rf"(?<![\w.])(?:\d{{1,2}}(?:st|nd|rd|th|\.)? (?:of |de )?(?i:{_NAMES})\.?,? (?:de )?\d{{4}}|(?i:{_NAMES})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<=SSN )\d{3} \d{2} \d{4}(?![\w-])|(?<=SSN: )\d{3} \d{2} \d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
-    "phone": r"(?<![\w.])(?:(?:\+|00(?=[1-9]))\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,7}|\(0\d{1,4}\) ?\d{2,8}(?:[ -]\d{2,5}){0,3}|0[1-9]\d{1,3}[ /-]\d{5,8}|0[1-9]\d{1,3}(?:[ /-]\d{2,4}){2,4}|(?<!-)\d{3}-\d{4}(?!-)|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
+    "phone": r"(?<![\w.])(?:(?:\+|00(?=[1-9]))\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,7}|\(0\d{1,4}\) ?\d{2,8}(?:[ -]\d{2,5}){0,3}|0[1-9]\d{1,3}[ /-]\d{5,8}|0[1-9](?:[ .-]\d{2}){4}|(?<!\d )[2-9]\d{2} [2-9]\d{2} \d{4}(?! \d)|0[1-9]\d{1,3}(?:[ /-]\d{2,4}){2,4}|(?<!-)\d{3}-\d{4}(?!-)|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _FIND.items()))
 _MAYBE = re.compile("[0-9@]")

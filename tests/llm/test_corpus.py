@@ -896,3 +896,34 @@ def test_minhash_hubs_make_no_large_works(spark, monkeypatch, hubs):
         for x in nodes:
             by_node[x].add(work)
     assert all(set.intersection(*(by_node[x] for x in g)) for g in small)
+
+
+def test_pii_forms_that_were_missed():
+    key, text = b"k", "call 212 555 0187 or 06 12 34 56 78, SSN 123 45 6789, jose@bücher.de, password: hunter2, sk-abcdefghijklmnopqrstuvwxyz123456, Bearer abcdef1234567890 end"
+    out, found = pii.pseudonymise_text(text, key)
+    assert [f["kind"] for f in found] == ["phone", "phone", "ssn", "email", "secret", "secret", "secret"] and pii.restore_text(out, found, key)[0] == text
+    assert not any(x in out for x in ("555 0187", "12 34 56", "45 6789", "jose", "hunter2", "abcdef"))
+    assert pii.pseudonymise_text("ver 1.2.3.4, version 10.20.30.40, password: none, token = x", key)[1] == []
+
+
+def test_long_secrets_are_permuted_whole():
+    """No part of a token of hundreds of characters stays in clear."""
+    token = "eyJ" + "aB3dEf" * 40 + "." + "Zx9Qw" * 40 + "." + "Mn7" * 30
+    out, found = pii.pseudonymise_text("jwt " + token + " end", b"k")
+    parts = [token[k : k + 12] for k in range(3, len(token) - 12, 12)]
+    assert len(found) == 1 and not any(p in out for p in parts) and pii.restore_text(out, found, b"k")[0] == "jwt " + token + " end"
+
+
+def test_mixing_draws_rows_without_an_id_by_their_texts(spark):
+    rows = [(None, f"word {k} " * 5, "a" if k % 2 else "b") for k in range(400)]
+    kept = mixing.plan_mix(make(spark, rows)).collect()
+    assert len({r.copies for r in kept if r.source == "a"}) == 2  # not all or none
+
+
+def test_exact_dedup_shards_by_the_larger_side(spark, monkeypatch):
+    """Rows without ids are no history; what is looked up is spread all the same."""
+    monkeypatch.setattr(exact_dedup, "DIGESTS_PER_SHARD", 16)
+    seen, was = [], exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda batch, index, shards: (seen.append(shards), was(batch, index, shards))[1])
+    got = exact_dedup.exact_dedup(make(spark, [(None, f"text {k % 900}", "a") for k in range(1000)])).collect()
+    assert seen == [64] and Counter(r.group_size for r in got) == {1: 800, 2: 200}

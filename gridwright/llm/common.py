@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -132,6 +133,15 @@ class WordHashes(dict):
 word_hash = WordHashes()
 
 
+def give_back() -> None:
+    """Returns memory that earlier tasks of this Python worker have freed, but that its allocators still hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of ``rows`` at most, so a task holds few texts as Python strings at a time."""
     for batch in batches:

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, keep_winners, materialize, settled, slices, text_or_empty, word_hash
+from .common import arrow_strings, give_back, keep_winners, materialize, settled, slices, text_or_empty, word_hash
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -148,6 +148,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the words, band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in slices(batches):
             ids, sets, digests, size = [], [], [], 0
 
@@ -191,6 +192,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (sorted uint64), weights (uint32) of the nodes (node, digest, text_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in slices(batches, 100):
             words = [word_hashes(x) for x in arrow_strings(batch["text"])]
             sets = [shingles(w) for w in words]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_strings, slices, text_or_empty
+from .common import arrow_strings, give_back, slices, text_or_empty, word_hash
 
 WINDOW = 4096
 MAX_OPEN = 1024
@@ -196,6 +196,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        word_hash.clear()  # of stages before this one
+        give_back()
         packer, encode = Packer(window, TaskContext.get().partitionId() << 40), word_ids(tokenizer).encode
         for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), arrow_strings(batch["text"])):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.constants import THRESHOLD
 from ..functions.numbers import progress_percent, round_half_up, show_area, show_percent, upload_percent
-from ..operators import classify, detect, jobs, raster, tiles, upload
+from ..operators import blocks, classify, detect, documents, jobs, raster, tiles, upload
 from ..operators.label import label_components
 from ..sources import archives, geotiff
 from ..sources.datasource import read_rasters, write_rows
@@ -268,6 +268,22 @@ def job_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold_patches(patches, "job_id", "seq", ["status", "progress", "error_seq"]).select("job_id", "seq", "status", "progress", "error_seq")
 
 
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches that set some fields and leave others."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("status"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("progress"), F.when(F.col("event_type") == "error", F.col("event_id")).alias("error_seq"))
+
+
+@query(ORACLES["job_final_state"])
+def job_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents from a store in buckets that takes the patches as a base and two deltas, some of them older than what is there."""
+    patches = _patches(spark, sf_dir)
+    store = documents.Store(f"{scratch_dir(spark)}/jobs", ("job_id", "bigint"), ("seq", "bigint"), {"status": "string", "progress": "double", "error_seq": "bigint"}, 16)
+    for part in ("seq % 4 > 1", "seq % 4 = 0 and job_id % 3 = 0", "seq % 4 < 2"):
+        documents.merge(patches.where(part), store)
+    return documents.documents(spark, store)
+
+
 @query("select user_id as job_id, max(event_id) as seq, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id having arg_max(value, event_id) + 86400 > 86500")
 def job_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest document of each job that has not expired: its value stands for the time it was written."""
@@ -525,6 +541,15 @@ def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.resize_bilinear(whole, height, width, 2 * height, 2 * width).select("tr", "tc", round_half_up(F.col("v"), 6).alias("v"))
 
 
+@query(ORACLES["resize_bilinear"])
+def resize_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks, which move with one row and column of their neighbours."""
+    height, width = fx.size(spark, sf_dir)
+    whole = blocks.to_blocks(fx.pixel(spark, sf_dir).select("image_id", "r", "c", "v"), 32)
+    found = blocks.to_pixels(blocks.resize_bilinear(whole, height, width, 2 * height, 2 * width, 32))
+    return found.select(F.col("r").alias("tr"), F.col("c").alias("tc"), round_half_up(F.col("v"), 6).alias("v"))
+
+
 @query(with_fixtures(["label_px", "dims"], "select cast(a as int) as tr, cast(b as int) as tc, class_id from dims, range(0, (select hh*5//8 from dims)) x(a), range(0, (select ww*5//8 from dims)) y(b), label_px where r = (a*hh)//(hh*5//8) and c = (b*ww)//(ww*5//8)"))
 def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mask at five eighths of its size."""

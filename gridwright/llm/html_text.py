@@ -37,7 +37,7 @@ from .common import arrow_strings, slices
 
 RESULT = "page_id bigint, url string, text string"
 #: Elements that a browser doesn't show as text.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object canvas audio video select textarea button datalist".split())
 MAIN = frozenset(("article", "main"))
 BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that are often left open; they don't hold others back.
@@ -49,7 +49,13 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|t
 _NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[a-z]+")
-_HIDES = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDES = re.compile(r"\sstyle\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)|\saria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN_WORD, _QUOTED = re.compile(r"\shidden(?=[\s>=/])", re.I), re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def _hides(tag: str) -> bool:
+    """Whether a tag hides its element: by an attribute of its own, not by words in the values of others."""
+    return bool("=" in tag and _HIDES.search(tag)) or "hidden" in tag.lower() and bool(_HIDDEN_WORD.search(_QUOTED.sub('""', tag)))
 
 
 @functools.lru_cache(20_000)
@@ -68,7 +74,8 @@ def tokens(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
     """(kind, features, whether in a main element, text); kind is text, or for tags block or tag."""
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # open elements: name, features of all so far, whether hidden
     hidden, main, link, item = 0, 0, 0, 0
-    has_main = bool(re.search(r"<(?:article|main)\b", page, re.I))
+    n_main = sum(1 for _ in re.finditer(r"<(?:article|main)\b", page, re.I))
+    has_main = n_main > 0
     for m in _TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
@@ -92,12 +99,13 @@ def tokens(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
                     main -= was in MAIN
                 del stack[at:]
         elif name not in VOID and not token.endswith("/>"):
-            flag = name in HIDDEN or (" hidden" in token or "=" in token) and bool(_HIDES.search(token))
+            flag = name in HIDDEN or _hides(token)
             if name == "a":
                 link = 1
             elif name == "li":
                 item = 1
-            own = _features(name, token if "=" in token else "", main > 0)
+            only = n_main == 1 and name in MAIN  # what the one main element is called doesn't make it another part of the page
+            own = _features(name, token if "=" in token and not only else "", main > 0)
             if flag or own or name not in LOOSE:
                 stack.append((name, (*(stack[-1][1] if stack else ()), *own), flag))
                 hidden += flag

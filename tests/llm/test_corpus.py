@@ -927,3 +927,16 @@ def test_exact_dedup_shards_by_the_larger_side(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "look_up", lambda batch, index, shards: (seen.append(shards), was(batch, index, shards))[1])
     got = exact_dedup.exact_dedup(make(spark, [(None, f"text {k % 900}", "a") for k in range(1000)])).collect()
     assert seen == [64] and Counter(r.group_size for r in got) == {1: 800, 2: 200}
+
+
+def test_html_hides_by_attributes_and_keeps_the_one_main_element():
+    model = html_text.learn()
+    story = "<h1>A storm</h1><p>The wind rose at dawn and the boats stayed in the harbour.</p>"
+    want = "A storm\nThe wind rose at dawn and the boats stayed in the harbour."
+    nav = '<nav><a href="/">Home</a></nav>'
+    for tag in ('<article class="notice-board">', '<main class="menu page">', '<article id="social-history">', "<article>"):
+        assert html_text.extract(f"<body>{nav}{tag}{story}</{tag[1:5] if 'main' in tag else 'article'}></body>", model) == want
+    for extra, text in (('<p class="lead hidden lg">Of note.</p>', "Of note."), ("<p>So <math><mi>x</mi></math> grows.</p>", "So x grows."), ('<p title="a hidden thing">Of note.</p>', "Of note."), ("<p data-x='display: none'>Of note.</p>", "Of note.")):
+        assert html_text.extract(f"<body>{nav}<article>{story}{extra}</article></body>", model) == f"{want}\n{text}"
+    for extra in ("<p hidden>No</p>", '<p class="x" hidden="">No</p>', '<p style="color:red; display : none">No</p>', "<p aria-hidden='true'>No</p>", "<p HIDDEN>No</p>"):
+        assert html_text.extract(f"<body>{nav}<article>{story}{extra}</article></body>", model) == want

@@ -1,4 +1,10 @@
-"""From scores to classes, features and colours; the model itself is a parameter."""
+"""From scores to classes, features and colours; the model itself is a parameter.
+
+Defined results: null or empty scores have no class; a null class has no colour and
+no feature, so its pixels vanish where classes are mapped, and stays null in a
+remapped mask; an unknown or null feature has the default colour; chunks with an
+error give a row with it, chunks without mapped pixels none.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +26,7 @@ def argmax_class(scores: Column) -> Column:
 
 def palette_colour(class_id: Column, palette: list[tuple[int, int, int]] = PALETTE) -> Column:
     colours = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, ("red", "green", "blue"))]) for c in palette])
-    return F.element_at(colours, (F.pmod(class_id, F.lit(len(palette))) + 1).cast("int"))
+    return F.when(class_id.isNotNull(), F.element_at(colours, (F.pmod(class_id, F.lit(len(palette))) + 1).cast("int")))
 
 
 def swap_red_blue(colour: Column) -> Column:

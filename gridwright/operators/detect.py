@@ -1,4 +1,10 @@
-"""Detections: components of mapped classes, georeferenced, scored by size and filtered."""
+"""Detections: components of mapped classes, georeferenced, scored by size and filtered.
+
+Defined results: a detection without a polygon, or with one of fewer than four
+points, is neither shown nor exported; one of an unknown or null feature is shown,
+and counted under no feature; a job without detections, or without an id, has an
+empty collection; an empty table gives an empty result, but 0 for each known feature.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,11 @@
-"""Documents as logs of patches, job progress, and joins of jobs with uploads and detections."""
+"""Documents as logs of patches, job progress, and joins of jobs with uploads and detections.
+
+Defined results: rows without a key are one document or one job; a patch without a
+number sets nothing, and a key that has no other ones has null fields; a request
+without an upload, or with a null one, starts nothing and is answered 404, also where
+the upload's status is null; a null n_det counts nothing; equal numbers leave one of
+their values; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -59,7 +66,7 @@ def with_id(documents: DataFrame, name: str = "job_id") -> DataFrame:
 def progress(messages: DataFrame) -> DataFrame:
     """Adds chunks_done, detections_found and progress to chunk messages (job_id, seq, total_chunks, n_det)."""
     order = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = messages.withColumns({"chunks_done": F.count("*").over(order), "detections_found": F.sum("n_det").over(order)})
+    counted = messages.withColumns({"chunks_done": F.count("*").over(order), "detections_found": F.coalesce(F.sum("n_det").over(order), F.lit(0))})
     return counted.withColumn("progress", progress_percent(F.col("chunks_done"), F.col("total_chunks")))
 
 

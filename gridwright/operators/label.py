@@ -1,4 +1,8 @@
-"""Connected components of masks, chunk by chunk."""
+"""Connected components of masks, chunk by chunk.
+
+Defined results: repeated pixels count once; pixels without a place are left out; an
+empty mask has no components.
+"""
 
 from __future__ import annotations
 
@@ -100,4 +104,4 @@ def label_components(pixels: DataFrame, by: list[str]) -> DataFrame:
         stats = {"component": np.arange(n), "area": np.bincount(label), "x1": low[:, 0], "y1": low[:, 1], "x2": high[:, 0] + 1, "y2": high[:, 1] + 1}
         return pa.table(same | {k: pa.array(v.astype(np.int32)) for k, v in stats.items()})
 
-    return pixels.select(*by, "y", "x").groupBy(*by).applyInArrow(run, schema)
+    return pixels.select(*by, "y", "x").dropna(subset=["y", "x"]).groupBy(*by).applyInArrow(run, schema)

@@ -1,4 +1,11 @@
-"""Training tiles from images and vector layers."""
+"""Training tiles from images and vector layers.
+
+Defined results: null rings, and rings of fewer than four points, cover nothing; of
+layers that overlap the highest number wins; pixels without a place are in no tile;
+images smaller than a tile have none; rows of an image that isn't among the images
+are left out; equal rings count as one geometry's rings, so twice the same ring of a
+geometry is a ring and its hole; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -89,7 +96,7 @@ def keep_tiles(labelled: DataFrame, images: DataFrame, size: int = TILE_SIZE, st
 
     Labelled pixels name the tiles they are in; empty tiles are never made.
     """
-    known = labelled.join(images.select("image_id", "height", "width"), "image_id")
+    known = labelled.dropna(subset=["r", "c"]).join(images.select("image_id", "height", "width"), "image_id")
     at = known.withColumn("ty", F.explode(tiles_of(F.col("r"), F.col("height"), size, stride))).withColumn("tx", F.explode(tiles_of(F.col("c"), F.col("width"), size, stride)))
     counts = at.groupBy("image_id", "ty", "tx").agg(F.count("*").alias("labelled_px"))
     return counts.where(F.col("labelled_px") >= share * size * size)
@@ -116,7 +123,7 @@ def mask_tiles(labelled: DataFrame, tiles: DataFrame, images: DataFrame, size: i
 
     Labelled pixels go to the kept tiles that hold them; a task holds one tile.
     """
-    known = labelled.join(images.select("image_id", "height", "width"), "image_id")
+    known = labelled.dropna(subset=["r", "c"]).join(images.select("image_id", "height", "width"), "image_id")
     at = known.withColumn("ty", F.explode(tiles_of(F.col("r"), F.col("height"), size, stride))).withColumn("tx", F.explode(tiles_of(F.col("c"), F.col("width"), size, stride)))
     place = tiles.select("image_id", "ty", "tx", "tile_id").join(images.select("image_id", "transform", "crs"), "image_id")
     cells = at.select("image_id", "ty", "tx", "r", "c", "layer_val").join(place, ["image_id", "ty", "tx"])

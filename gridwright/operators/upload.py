@@ -1,4 +1,11 @@
-"""Uploads in parts: splitting, putting together, and the rules they must keep."""
+"""Uploads in parts: splitting, putting together, and the rules they must keep.
+
+Defined results: a null content has no parts, an empty one has one empty part; a part
+that is null is counted as received, adds nothing to a value, has no length in a
+manifest, and is refused by ``place``; parts without a number are refused as well; of
+copies of a part without an order between them any may win; rows without a key are
+of one upload; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.constants import PALETTE
 from .scratch import file_system
@@ -23,7 +24,11 @@ def encode_png(rgb: np.ndarray) -> bytes:
 
 
 def mask_images(mask: DataFrame, palette: list[tuple[int, int, int]] = PALETTE) -> DataFrame:
-    """(image_id, width, height, png): a picture of each tile (image_id, r, c, class_id); r and c count from the tile's corner."""
+    """(image_id, width, height, png): a picture of each tile (image_id, r, c, class_id); r and c count from the tile's corner.
+
+    Pixels without a place are left out, and those without a class, like those that
+    are missing, have the colour of class 0.
+    """
     colours = np.array(palette, np.uint8)
 
     def run(table: pa.Table) -> pa.Table:
@@ -33,7 +38,7 @@ def mask_images(mask: DataFrame, palette: list[tuple[int, int, int]] = PALETTE)
         return pa.table({"image_id": table["image_id"].slice(0, 1), "width": pa.array([grid.shape[1]], pa.int32()), "height": pa.array([grid.shape[0]], pa.int32()), "png": [encode_png(colours[grid % len(colours)])]})
 
     kind = dict(mask.dtypes)["image_id"]
-    return mask.select("image_id", "r", "c", "class_id").groupBy("image_id").applyInArrow(run, f"image_id {kind}, width int, height int, png binary")
+    return mask.select("image_id", "r", "c", F.coalesce("class_id", F.lit(0)).alias("class_id")).dropna(subset=["r", "c"]).groupBy("image_id").applyInArrow(run, f"image_id {kind}, width int, height int, png binary")
 
 
 def write_geojson(collections: DataFrame, path: str) -> None:

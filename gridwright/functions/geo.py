@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,21 +146,28 @@ def wgs84_to_utm(lng: Column, lat: Column, zone: Column, south: Column) -> Colum
     return _let(_let(_let(start, plane), sphere), ellipsoid)
 
 
+def code_of(crs: Column) -> Column:
+    """The EPSG number of a system, 99999 for one that isn't known; it is cheaper to ask once for a row than for each point."""
+    return F.try_to_number(F.regexp_extract(normalise_crs(crs), r"^EPSG:(\d{4,5})$", 1), F.lit("99999")).cast("int")
+
+
 def to_wgs84(x: Column, y: Column, crs: Column) -> Column:
     """struct<lng, lat>; a system that isn't known leaves the numbers as they are."""
-    code = _code(crs)
+    return _to_wgs84(x, y, code_of(crs))
+
+
+def _to_wgs84(x: Column, y: Column, code: Column) -> Column:
     zone, south = F.pmod(code, F.lit(100)), code.between(32701, 32760)
     pair = lambda p: F.struct(p[0].alias("lng"), p[1].alias("lat"))
     return F.when(code == 3857, pair(mercator_to_wgs84(x, y))).when(code.between(32601, 32660) | south, utm_to_wgs84(x, y, zone, south)).otherwise(pair((x, y)))
 
 
-def _code(crs: Column) -> Column:
-    return F.try_to_number(F.regexp_extract(normalise_crs(crs), r"^EPSG:(\d{4,5})$", 1), F.lit("99999")).cast("int")
-
-
 def from_wgs84(lng: Column, lat: Column, crs: Column) -> Column:
     """struct<x, y> in a system; one that isn't known leaves the numbers as they are."""
-    code = _code(crs)
+    return _from_wgs84(lng, lat, code_of(crs))
+
+
+def _from_wgs84(lng: Column, lat: Column, code: Column) -> Column:
     zone, south = F.pmod(code, F.lit(100)), code.between(32701, 32760)
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     mercator = pair(F.radians(lng) * A, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * A)
@@ -166,8 +176,65 @@ def from_wgs84(lng: Column, lat: Column, crs: Column) -> Column:
 
 def reproject(x: Column, y: Column, crs: Column, to: Column) -> Column:
     """struct<x, y> of a point in another system; in the same one it stays as it is, to the last digit."""
-    there = to_wgs84(x, y, crs)
-    return F.when(normalise_crs(crs) == normalise_crs(to), F.struct(x.alias("x"), y.alias("y"))).otherwise(from_wgs84(there["lng"], there["lat"], to))
+    return reproject_codes(x, y, code_of(crs), code_of(to), normalise_crs(crs) == normalise_crs(to))
+
+
+def reproject_codes(x: Column, y: Column, code: Column, to: Column, same: Column) -> Column:
+    """reproject by numbers of code_of, ``same`` saying that both are one system."""
+    there = _let(_to_wgs84(x, y, code), lambda p: _from_wgs84(p["lng"], p["lat"], to))
+    return F.when(same, F.struct(x.alias("x"), y.alias("y"))).otherwise(there)
+
+
+def move_points(x: np.ndarray, y: np.ndarray, code: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """reproject_codes for many points of one pair of systems at a time, inside a task: expressions on arrays of points aren't compiled."""
+    utm = lambda c: 32601 <= c <= 32660 or 32701 <= c <= 32760
+    north = lambda c: FALSE_NORTHING if c > 32700 else 0.0
+    scale = K0 * _RADIUS
+    if code == 3857:
+        lng, lat = np.degrees(x / A), np.degrees(2 * np.arctan(np.exp(y / A)) - math.pi / 2)
+    elif utm(code):
+        xi, eta = (y - north(code)) / scale, (x - FALSE_EASTING) / scale
+        xi1 = xi - sum(b * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
+        eta1 = eta - sum(b * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
+        chi = np.arcsin(np.sin(xi1) / np.cosh(eta1))
+        lng = code % 100 * 6 - 183 + np.degrees(np.arctan2(np.sinh(eta1), np.cos(xi1)))
+        lat = np.degrees(chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)))
+    else:
+        lng, lat = x, y
+    if to == 3857:
+        return np.radians(lng) * A, np.log(np.tan(np.radians(lat) / 2 + math.pi / 4)) * A
+    if not utm(to):
+        return lng, lat
+    phi, lam = np.radians(lat), np.radians(lng - (to % 100 * 6 - 183))
+    tau = np.sinh(np.arctanh(np.sin(phi)) - _E * np.arctanh(_E * np.sin(phi)))
+    xi, eta = np.arctan2(tau, np.cos(lam)), np.arcsinh(np.sin(lam) / np.hypot(tau, np.cos(lam)))
+    xi1 = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    eta1 = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    return eta1 * scale + FALSE_EASTING, xi1 * scale + north(to)
+
+
+def move_rings(rows: DataFrame, ring: str, code: str, to: str, same: str) -> DataFrame:
+    """``rows`` with the rings (arrays of [x, y]) in another system, by columns with the numbers of code_of; other columns pass through."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = batch[ring]
+            points, n = rings.flatten(), pc.fill_null(pc.list_value_length(rings), 0).to_numpy()
+            xy = [pc.list_element(points, k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)] if len(points) else [np.zeros(0)] * 2
+            pair = np.stack([pc.fill_null(batch[c].cast(pa.int64()), 0).to_numpy() for c in (code, to)] + [pc.fill_null(batch[same], False).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+            kinds, at = np.unique(pair, axis=0, return_inverse=True)
+            at = np.repeat(at.ravel(), n)
+            with np.errstate(all="ignore"):  # what has no place in a system is no number there
+                for k, (a, b, stays) in enumerate(kinds):
+                    own = np.flatnonzero(at == k)
+                    if not stays and len(own):
+                        xy[0][own], xy[1][own] = move_points(xy[0][own], xy[1][own], int(a), int(b))
+            pairs = pa.ListArray.from_arrays(np.arange(len(points) + 1, dtype=np.int32) * 2, pa.array(np.stack(xy, axis=1).ravel()))
+            moved = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pairs, mask=rings.is_null() if rings.null_count else None)
+            yield batch.set_column(batch.schema.get_field_index(ring), ring, moved)
+
+    return rows.mapInArrow(run, fields)
 
 
 def crs_of_wkt(wkt: Column) -> Column:
@@ -182,7 +249,7 @@ def crs_of_wkt(wkt: Column) -> Column:
 def with_wgs84(df: DataFrame, x: Column, y: Column, crs: Column) -> DataFrame:
     """Adds lng and lat. The steps are columns of their own, so each is computed once and in generated code."""
     code, south = F.col("_code"), F.col("_code").between(32701, 32760)
-    rows = df.withColumns({"_x": x, "_y": y, "_code": _code(crs)})
+    rows = df.withColumns({"_x": x, "_y": y, "_code": code_of(crs)})
     north = F.when(south, F.lit(FALSE_NORTHING)).otherwise(F.lit(0.0))
     rows = rows.withColumns({"_xi": (F.col("_y") - north) / (K0 * _RADIUS), "_eta": (F.col("_x") - FALSE_EASTING) / (K0 * _RADIUS)})
     xi, eta = F.col("_xi"), F.col("_eta")

@@ -58,8 +58,9 @@ def to_pixels(layers: DataFrame, images: DataFrame) -> DataFrame:
     placed = images.select("image_id", region_of(F.col("path")).alias("region"), geo.normalise_crs(F.col("crs")).alias("system"), "transform", "height", "width")
     systems = written(placed.select("region", "system").distinct(), "systems")
     small = F.broadcast(systems) if systems.count() <= BROADCAST_SYSTEMS else systems
-    there = lambda p: geo.reproject(p[0], p[1], F.col("crs"), F.col("system"))
-    rings = layers.where("ring is not null").join(small, "region").withColumn("ring", F.transform(F.transform("ring", there), lambda p: F.array(p["x"], p["y"])))
+    named = layers.where("ring is not null").withColumns({"_name": geo.normalise_crs(F.col("crs")), "_from": geo.code_of(F.col("crs"))})
+    rings = named.join(small, "region").withColumns({"_to": geo.code_of(F.col("system")), "_same": F.col("_name") == F.col("system")})
+    rings = geo.move_rings(rings.select("region", "system", "geom_id", "layer_val", "ring", "_from", "_to", "_same"), "ring", "_from", "_to", "_same")
     corners = [F.array(*geo.apply_transform(F.col("transform"), x, y)) for x in (F.lit(0), F.col("width")) for y in (F.lit(0), F.col("height"))]
     framed = with_box(placed.withColumn("corners", F.array(*corners)), "corners").drop("corners")
     pairs = meeting(with_box(rings.select("region", "system", "geom_id", "layer_val", "ring"), "ring"), framed, ["region", "system"])

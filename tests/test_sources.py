@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridwright.functions import geo
 from gridwright.operators import classify, detect, spatial, tiles
 from gridwright.operators.label import label_pixels, label_spans
 from gridwright.plans import queries as plans
@@ -224,3 +225,24 @@ def test_layers_without_a_place(spark):
 def test_plan_of_layers_has_no_nested_loop(spark):
     plan = plans.layers_on_mosaics(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rings_move_as_points_do(spark):
+    """The vectorised way agrees with the column expressions in every pair of systems."""
+    codes = ["EPSG:4326", "EPSG:3857", "EPSG:32643", "EPSG:32645", "EPSG:32744", "EPSG:9999", None]
+    rng = random.Random(9)
+    rows = []
+    for a in codes:
+        for b in codes:
+            lng, lat = rng.uniform(70, 90), rng.uniform(-60, 60)
+            rows.append((a, b, [[lng + k, lat + k / 2] for k in range(3)]))
+    df = spark.createDataFrame(rows, "a string, b string, degrees array<array<double>>")
+    place = lambda p, crs: geo.reproject(p[0], p[1], F.lit("EPSG:4326"), crs)
+    df = df.withColumn("ring", F.transform(F.transform("degrees", lambda p: place(p, F.col("a"))), lambda p: F.array(p["x"], p["y"]))).withColumn("k", F.monotonically_increasing_id())
+    want = {r.k: r.r for r in df.select("k", F.transform("ring", lambda p: geo.reproject(p[0], p[1], F.col("a"), F.col("b"))).alias("r")).collect()}
+    coded = df.select("k", "ring", geo.code_of(F.col("a")).alias("c"), geo.code_of(F.col("b")).alias("t"), (geo.normalise_crs(F.col("a")) == geo.normalise_crs(F.col("b"))).alias("s"))
+    got = {r.k: r.ring for r in geo.move_rings(coded, "ring", "c", "t", "s").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12, atol=1e-6) for k in got)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [[None, 1.0]]), (4, [[1.0, 95.0]])], "k int, ring array<array<double>>").withColumns({"c": F.lit(4326), "t": F.lit(32644), "s": F.lit(False)})
+    found = {r.k: r.ring for r in geo.move_rings(odd, "ring", "c", "t", "s").collect()}
+    assert found[1] is None and found[2] == [] and np.isnan(found[3]).any()

@@ -336,12 +336,13 @@ def chunk_row(path: str, name: str, window: tuple[int, int, int, int], bands: np
     if transform:
         a, b, c, d, e, f = transform
         place, at = [c + a * c0 + b * r0, a, b, f + d * c0 + e * r0, d, e], {"col_off": c0, "row_off": r0, "width": w, "height": h}
-    values = [[path], [name], [at], _bands_array(bands), [place], [DEFAULT_CRS if crs == UNKNOWN_CRS else crs], [total], [error]]
+    pixels = pa.nulls(1, _CHUNK.field("pixels").type) if error is not None else _bands_array(bands)
+    values = [[path], [name], [at], pixels, [place], [DEFAULT_CRS if crs == UNKNOWN_CRS else crs], [total], [error]]
     return [v if isinstance(v, pa.Array) else pa.array(v, field.type) for v, field in zip(values, _CHUNK)]
 
 
 def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, ready: int = 0, decoders: Decoders | None = None) -> DataFrame:
-    """A row per chunk: its window, its transform and its bands as arrays; a window that can't be read has an error, and so has a file, in a row without a chunk.
+    """A row per chunk: its window, its transform and its bands as arrays; a window that can't be read has an error and no bands, and so has a file, in a row without a chunk.
 
     Windows are the unit of work: a task reads one at a time, whatever file it is of.
     With ``ready`` the bands are adapted to this number and scaled to 0..1.
@@ -365,7 +366,7 @@ def chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
                 yield pa.RecordBatch.from_arrays(chunk_row(row["path"], f"{row['cr']}_{row['cc']}", window, bands, row["t"], row["crs"], row["total_chunks"], error), schema=_CHUNK)
         file.close()
 
-    unread = empty.select("path", *[{"error": F.col("error"), "pixels": F.array()}.get(f, F.lit(None)).alias(f) for f in _CHUNK.names[1:]])
+    unread = empty.select("path", *[(F.col("error") if f == "error" else F.lit(None)).alias(f) for f in _CHUNK.names[1:]])
     read = _plan(files, grid, count).mapInArrow(run, CHUNK)
     return read.unionByName(unread.select([F.col(f.name).cast(f.dataType) for f in read.schema.fields]))
 

@@ -104,32 +104,40 @@ def image_table(spark: SparkSession, images: list[tuple[str, int, int]]) -> Data
     return spark.createDataFrame(images, "image_id string, height int, width int")
 
 
+def _targets(k: Column, to: int, dim: int) -> Column:
+    """Array of the target places on one axis that may take from place k: those from one of its neighbours' centres to the other's."""
+    place = lambda x: (x + 0.5) * (to / dim) - 0.5
+    first = F.when(k <= 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(place(k - 1)).cast("int")))
+    last = F.when(k >= dim - 1, F.lit(to - 1)).otherwise(F.least(F.lit(to - 1), F.ceil(place(k + 1)).cast("int")))
+    return F.when((k >= 0) & (k < dim) & (first <= last), F.sequence(first, F.greatest(first, last)))
+
+
 def resize_bilinear(pixels: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
-    """(image_id, r, c, v) at another size, corners not aligned: four neighbours, weighted by distance.
+    """(image_id, tr, tc, v) at another size, corners not aligned: four neighbours, weighted by distance.
 
-    Each target pixel names its neighbours by arithmetic and one equi-join by
-    (image, neighbour) fetches them; sums are combined before the shuffle.
+    Each pixel names the target pixels that it is a neighbour of by arithmetic, so
+    nothing is joined or sent to the driver; sums are combined before the one shuffle.
+    Neighbours that are missing count for nothing.
     """
-    images = pixels.select("image_id").distinct()
-    grid = images.withColumn("tr", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("tc", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
 
-    def taps(t: Column, to: int, dim: int) -> Column:
+    def weight(k: Column, t: Column, to: int, dim: int) -> Column:
+        """Of place k in target t; the last place may be both neighbours."""
         at = F.greatest(F.lit(0.0), (t + 0.5) * (dim / to) - 0.5)
         low = F.least(F.floor(at).cast("int"), F.lit(dim - 1))
-        high, part = F.least(low + 1, F.lit(dim - 1)), at - low
-        return F.array(F.struct(low.alias("k"), (1 - part).alias("p")), F.struct(high.alias("k"), part.alias("p")))
+        return F.when(k == low, 1 - (at - low)).otherwise(0.0) + F.when(k == F.least(low + 1, F.lit(dim - 1)), at - low).otherwise(0.0)
 
-    near = grid.withColumn("a", F.explode(taps(F.col("tr"), to_height, height))).withColumn("b", F.explode(taps(F.col("tc"), to_width, width)))
-    near = near.select("image_id", "tr", "tc", F.col("a.k").alias("r"), F.col("b.k").alias("c"), (F.col("a.p") * F.col("b.p")).alias("p")).where("p > 0")
-    return near.join(pixels, ["image_id", "r", "c"]).groupBy("image_id", "tr", "tc").agg(F.sum(F.col("p") * F.col("v")).alias("v"))
+    near = pixels.where("image_id is not null")
+    for k, t, p, to, dim in (("r", "tr", "_pr", to_height, height), ("c", "tc", "_pc", to_width, width)):
+        near = near.withColumn(t, F.explode(_targets(F.col(k), to, dim))).withColumn(p, weight(F.col(k), F.col(t), to, dim)).where(F.col(p) > 0)
+    return near.groupBy("image_id", "tr", "tc").agg(F.sum(F.col("_pr") * F.col("_pc") * F.col("v")).alias("v"))
 
 
 def resize_nearest(pixels: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
-    """(image_id, r, c, v) at another size by the pixel that each target pixel's corner falls in."""
-    images = pixels.select("image_id").distinct()
-    grid = images.withColumn("tr", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("tc", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
-    pick = lambda t, to, dim: F.least(F.floor(t * dim / to).cast("int"), F.lit(dim - 1))
-    return grid.withColumns({"r": pick(F.col("tr"), to_height, height), "c": pick(F.col("tc"), to_width, width)}).join(pixels, ["image_id", "r", "c"]).select("image_id", "tr", "tc", "v")
+    """(image_id, tr, tc, v) at another size by the pixel that each target pixel's corner falls in; each pixel names its targets, and nothing is shuffled."""
+    near = pixels.where("image_id is not null")
+    for k, t, to, dim in (("r", "tr", to_height, height), ("c", "tc", to_width, width)):
+        near = near.withColumn(t, F.explode(_targets(F.col(k), to, dim))).where(F.least(F.floor(F.col(t).cast("bigint") * dim / to).cast("int"), F.lit(dim - 1)) == F.col(k))
+    return near.select("image_id", "tr", "tc", "v")
 
 
 def square(pixels: DataFrame, height: int, width: int, size: int = 512) -> DataFrame:

@@ -456,3 +456,28 @@ def test_png(spark):
 
 def test_all_queries_are_registered():
     assert len(plans.QUERIES) >= 45 and set(plans.ORACLES) == set(plans.QUERIES)
+
+
+def test_resizing_makes_no_grid_to_send_around(spark, tmp_path):
+    """Pixels with gaps, against NumPy; no join, as the one with a grid of all targets was sent to the driver whole."""
+    rng = np.random.default_rng(5)
+    for (h, w), (th, tw) in (((7, 5), (14, 10)), ((7, 5), (3, 4)), ((1, 6), (5, 1)), ((9, 4), (10, 3))):
+        grid = np.where(rng.random((h, w)) < 0.2, np.nan, rng.normal(size=(h, w)))
+        rows = [("a", r, c, float(v)) for (r, c), v in np.ndenumerate(grid) if not np.isnan(v)]
+        pixels = spark.createDataFrame([*rows, ("a", None, 1, 5.0), (None, 0, 0, 5.0)], "image_id string, r int, c int, v double")
+        want, near = {}, {}
+        for r in range(th):
+            for c in range(tw):
+                at = [max(0.0, (t + 0.5) * (d / to) - 0.5) for t, d, to in ((r, h, th), (c, w, tw))]
+                ends = [[(k := min(int(x), d - 1), 1 - (x - k)), (min(k + 1, d - 1), x - k)] for x, d in zip(at, (h, w))]
+                taps = [grid[y, x] * p * q for y, p in ends[0] for x, q in ends[1] if p * q > 0 and not np.isnan(grid[y, x])]
+                if taps:
+                    want[r, c] = sum(taps)
+                if not np.isnan(v := grid[r * h // th, c * w // tw]):
+                    near[r, c] = v
+        found, picked = raster.resize_bilinear(pixels, h, w, th, tw), raster.resize_nearest(pixels, h, w, th, tw)
+        got = {(x.tr, x.tc): x.v for x in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+        assert {(x.tr, x.tc): x.v for x in picked.collect()} == near
+        for df in (found, picked):
+            assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()

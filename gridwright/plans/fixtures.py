@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
-from ..sources.geotiff import encode
-from ..sources.datasource import write_rows
+from ..sources.geotiff import encode, pack_strip
+from ..sources.datasource import write_rows, write_strips
 from ..sources.scratch import scratch_dir
 
 CHUNK, OVERLAP, MIN_AREA = 32, 4, 8
@@ -52,17 +52,22 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the raster as a GeoTIFF in UTM zone 44, one float band in strips of eight rows."""
+    """A folder with the raster as a GeoTIFF in UTM zone 44, one float band in strips of eight rows; pixels that no vector gives are without data (NaN). A task holds a strip."""
     height, width = size(spark, sf_dir)
 
-    def run(cells: pa.Table) -> pa.Table:
-        grid = np.zeros((1, height, width), np.float32)
-        grid[0, cells["r"].to_numpy(), cells["c"].to_numpy()] = cells["v"].to_numpy()
-        x0, xr, rr, y0, cr, yr = TRANSFORM
-        return pa.table({"path": [f"PB/{IMAGE}.tif"], "content": pa.array([encode(grid, (xr, rr, x0, cr, yr, y0), 32644, deflate=True, rows=8)], pa.binary())})
+    def run(patches: pa.Table) -> pa.Table:
+        grid = np.full((1, 8, width), np.nan, np.float32)
+        for at, values in zip(patches["vec_id"].to_pylist(), patches["embedding"].to_pylist()):
+            if values is not None:
+                grid[0, :, at % 20 * 8 : at % 20 * 8 + 8] = np.array(values, np.float32).reshape(8, 8)
+        return pa.table({"k": patches["k"].slice(0, 1), "data": pa.array([pack_strip(grid, deflate=True)], pa.binary())})
 
     folder = scratch_dir(spark)
-    write_rows(pixel(spark, sf_dir).select("image_id", "r", "c", "v").groupBy("image_id").applyInArrow(run, "path string, content binary"), folder)
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.floor(F.col("vec_id") / 20).alias("k"), "vec_id", "embedding")
+    every = spark.range(height // 8).select(F.col("id").alias("k"), F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"))
+    x0, xr, rr, y0, cr, yr = TRANSFORM
+    strips = rows.unionByName(every).groupBy("k").applyInArrow(run, "k bigint, data binary")
+    write_strips(strips, folder, f"PB/{IMAGE}.tif", height // 8, bands=1, height=height, width=width, dtype=np.dtype("float32"), rows=8, transform=(xr, rr, x0, cr, yr, y0), epsg=32644, deflate=True, nodata=np.nan)
     return folder
 
 

@@ -21,13 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, UNKNOWN_CRS
 from . import geotiff
-from .scratch import file_system
+from .scratch import file_system, written
 
 READER, WRITER, PARTS = "gridwright_raster", "gridwright_files", "gridwright_parts"
 #: Bytes of files that a task of the reader has about, and small files that it has at most.
@@ -70,7 +71,7 @@ class Share(InputPartition):
 
 
 class RasterSource(DataSource):
-    """Options: path, chunk and overlap in pixels, ready (bands to be made ready, 0 for raw ones), suffix (any of, by commas), share in bytes, decoder ("module:function") for JPEG blocks."""
+    """Options: path, chunk and overlap in pixels, ready (bands to be made ready, 0 for raw ones), masked (true: pixels that the file says to be without data are NaN, and count for nothing when bands are made ready), suffix (any of, by commas), share in bytes, decoder ("module:function") for JPEG blocks."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,6 +90,7 @@ class RasterReader(DataSourceReader):
         self.size, self.overlap, self.ready = int(options.get("chunk", CHUNK_SIZE)), int(options.get("overlap", CHUNK_OVERLAP)), int(options.get("ready", 0))
         self.suffixes = tuple(options.get("suffix", ".tif,.tiff").lower().split(","))
         self.share, self.decoder = int(options.get("share", SHARE_BYTES)), options.get("decoder")
+        self.masked = str(options.get("masked", "false")).lower() == "true"
         self.tests: list[tuple[str, type[Filter], object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -158,8 +160,9 @@ class RasterReader(DataSourceReader):
                     for at in self._windows(tiff, partition.part, partition.parts):
                         before, error, bands = tiff.decoded, None, empty
                         try:
-                            bands = tiff.read(at["r0"], at["c0"], at["h"], at["w"]).astype("float32")
-                            bands = geotiff.ready_bands(bands, self.ready) if self.ready else bands
+                            bands = tiff.read(at["r0"], at["c0"], at["h"], at["w"])
+                            bands = tiff.masked(bands) if self.masked else bands.astype("float32")
+                            bands = geotiff.ready_bands(bands, self.ready, self.masked) if self.ready else bands
                         except geotiff.FAILURES as x:
                             error = str(x)
                         yield row(path, at, bands, tiff, error, tiff.decoded - before)
@@ -168,6 +171,46 @@ class RasterReader(DataSourceReader):
                     yield row(path, {}, empty, None, str(x), 0)
 
 
+#: Strips whose sizes are summed in one group of a window.
+STRIPS_PER_RUN = 1024
+
+
+def write_strips(strips: DataFrame, folder: str, path: str, count: int, **header: object) -> None:
+    """Writes one GeoTIFF below ``folder`` from its strips (k, data), all ``count`` of them, as geotiff.pack_strip gives them; ``header`` as for geotiff.leading_header.
+
+    No task holds the file: strips are written once, the sizes before each are summed in
+    runs, and every strip goes to its place with its own entries of both lists. Beyond
+    4 GB it is a BigTIFF.
+    """
+    spark = strips.sparkSession
+    register(spark)
+    kept = written(strips.select(F.col("k").cast("bigint").alias("k"), "data"), "strips")
+    sized = kept.select("k", F.octet_length("data").cast("bigint").alias("n"), F.floor(F.col("k") / STRIPS_PER_RUN).alias("run"))
+    runs = written(sized.groupBy("run").agg(F.sum("n").alias("n"), F.count("*").alias("strips")), "runs")
+    total, there = runs.agg(F.sum("n"), F.sum("strips")).first()
+    if there != count:
+        raise ValueError(f"{there} strips of {count}")
+    big = total + 16 * count > (1 << 32) - (1 << 16)
+    parts, places, sizes, first = geotiff.leading_header(count, big, **header)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select("run", before(Window.orderBy("run")).alias("start"))
+    within = kept.withColumns({"n": F.octet_length("data").cast("bigint"), "run": F.floor(F.col("k") / STRIPS_PER_RUN)}).withColumn("before", before(Window.partitionBy("run").orderBy("k")))
+    width = 8 if big else 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, out = [], []
+            for k, data, at in zip(*(batch[c].to_pylist() for c in ("k", "data", "at"))):
+                offsets += [places + width * k, sizes + width * k, at]
+                out += [at.to_bytes(width, "little"), len(data).to_bytes(width, "little"), data]
+            yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "offset": pa.array(offsets, pa.int64()), "part": pa.array(out, pa.binary())})
+
+    placed = within.join(starts, "run").select("k", "data", (F.col("start") + F.col("before") + first).alias("at")).mapInArrow(run, "path string, offset bigint, part binary")
+    rows = placed.unionByName(spark.createDataFrame([(path, at, part) for at, part in parts], "path string, offset bigint, part binary"))
+    rows = rows if has_positions(folder) else rows.repartition("path").sortWithinPartitions("path", "offset")
+    rows.write.format(PARTS).mode("append").save(folder)
+
+
 class FileSink(DataSource):
     @classmethod
     def name(cls) -> str:

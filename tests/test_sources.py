@@ -246,3 +246,62 @@ def test_rings_move_as_points_do(spark):
     odd = spark.createDataFrame([(1, None), (2, []), (3, [[None, 1.0]]), (4, [[1.0, 95.0]])], "k int, ring array<array<double>>").withColumns({"c": F.lit(4326), "t": F.lit(32644), "s": F.lit(False)})
     found = {r.k: r.ring for r in geo.move_rings(odd, "ring", "c", "t", "s").collect()}
     assert found[1] is None and found[2] == [] and np.isnan(found[3]).any()
+
+
+def _agrees(spark, tables, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("embeddings", "supplier"):
+        db.sql(f"create view {table} as select * from '{tables}/{table}.parquet/*.parquet'")
+    got = plans.QUERIES[name](spark, str(tables))
+    want = db.sql(f"select {', '.join(got.columns)} from ({plans.ORACLES[name]})").fetchall()
+    return len(want) > 0 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["file_detections", "raster_windows", "tile_pairs"])
+def test_pixels_that_no_vector_gives_are_without_data(spark, tmp_path, name):
+    """The last row of patches is half full: zeros there were taken for pixels."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(scale=0.1, size=64)]) for k in range(330)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(1, 60).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert _agrees(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize(("height", "rows", "positions"), [(5, 5, True), (5, 5, False), (9, 4, True), (23, 2, False), (4100, 2, True)])
+def test_rasters_are_written_strip_by_strip(spark, tmp_path, monkeypatch, height, rows, positions):
+    monkeypatch.setattr(datasource, "has_positions", lambda folder: positions)
+    image = np.random.default_rng(height).normal(size=(2, height, 3)).astype(np.float32)
+    image[0, 1, 1] = np.nan
+    place = (0.5, 0.0, 10.0, 0.0, -0.5, 20.0)
+    strips = [(k, geotiff.pack_strip(image[:, k * rows : (k + 1) * rows], True)) for k in range(-(-height // rows))]
+    header = {"bands": 2, "height": height, "width": 3, "dtype": image.dtype, "rows": rows, "transform": place, "epsg": 32644, "deflate": True, "nodata": np.nan}
+    datasource.write_strips(spark.createDataFrame(strips[::-1], "k int, data binary").repartition(3), f"file://{tmp_path}/out", "a/b.tif", len(strips), **header)
+    with geotiff.opened(f"{tmp_path}/out/a/b.tif") as get:
+        tiff = geotiff.Tiff(get)
+        assert np.array_equal(tiff.read(), image, equal_nan=True) and tiff.transform == list(place) and tiff.crs == "EPSG:32644" and np.isnan(tiff.nodata)
+    with pytest.raises(ValueError, match="strips of"):
+        datasource.write_strips(spark.createDataFrame(strips[:1], "k int, data binary"), f"file://{tmp_path}/none", "b.tif", len(strips) + 1, **header)
+
+
+@pytest.mark.parametrize("strips", [1, 2, 3, 700])
+def test_headers_of_files_beyond_4_gb(strips):
+    header = {"bands": 1, "height": strips * 2, "width": 2, "dtype": np.dtype("uint16"), "rows": 2, "transform": None, "epsg": 3857, "deflate": False, "nodata": 7}
+    parts, places, sizes, first = geotiff.leading_header(strips, True, **header)
+    file = bytearray(first + 8 * strips)
+    for at, part in parts:
+        file[at : at + len(part)] = part
+    image = np.arange(strips * 4, dtype=np.uint16).reshape(1, strips * 2, 2)
+    for k in range(strips):
+        for at, n in ((places, first + 8 * k), (sizes, 8)):
+            file[at + 8 * k : at + 8 * k + 8] = n.to_bytes(8, "little")
+        file[first + 8 * k : first + 8 * k + 8] = geotiff.pack_strip(image[:, 2 * k : 2 * k + 2])
+    tiff = geotiff.Tiff(lambda at, n: bytes(file[at : at + n]))
+    assert np.array_equal(tiff.read(), image) and tiff.nodata == 7 and tiff.crs == "EPSG:3857"
+    assert np.array_equal(np.isnan(tiff.masked(image)), image == 7)
+
+
+def test_bands_without_data_are_scaled_by_the_rest():
+    band = np.array([[[2, np.nan], [4, 3]]], np.float32)
+    assert np.array_equal(geotiff.ready_bands(band, 1, masked=True), [[[0, np.nan], [1, 0.5]]], equal_nan=True) and not geotiff.ready_bands(band, 1).any()

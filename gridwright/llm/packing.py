@@ -18,6 +18,7 @@ sequence ids, if its partition is read from files.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from .common import arrow_strings, give_back, slices, text_or_empty, word_hash
 WINDOW = 4096
 MAX_OPEN = 1024
 END_ID = 2
-CACHED_WORDS = 150_000
+CACHED_WORDS = 200_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _FAR = 1 << 40
 _words: dict[str, _WordIds] = {}
@@ -58,25 +59,41 @@ class _WordIds(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.last: dict[str, bytes] = {}  # the table before this one: words of late aren't asked for again when a table is full
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.spell = byte_characters()
 
     def __missing__(self, word: str) -> bytes:
-        lower = word.lower()
-        if lower.isalpha() and "\u03a3" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.spell)
-            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-            ids = np.array(ids, "<u4").tobytes()
-        elif word[-1:] in (".", ",") and lower[:-1].isalpha() and (word.isascii() or "\u03a3" not in word and unicodedata.is_normalized("NFC", word)):
-            return self[word[:-1]] + self[word[-1]]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.last.get(word)
+        if ids is None:
+            ids = self._ask(word)
         if len(word) <= 40:
             if len(self) >= CACHED_WORDS:
+                self.last = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def _ask(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self._spelled(word) if word.islower() else self[word.lower()]
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+        elif "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
+            lower = word.lower()
+            if lower.isalpha():
+                return self._spelled(lower.encode().decode("latin-1").translate(self.spell))
+            if word[-1] in (".", ",") and lower[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _spelled(self, letters: str) -> bytes:
+        ids = [t.id for t in self.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         for c in "\n\t\r":
             text = text.replace(c, " ")

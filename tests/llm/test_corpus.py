@@ -940,3 +940,15 @@ def test_html_hides_by_attributes_and_keeps_the_one_main_element():
         assert html_text.extract(f"<body>{nav}<article>{story}{extra}</article></body>", model) == f"{want}\n{text}"
     for extra in ("<p hidden>No</p>", '<p class="x" hidden="">No</p>', '<p style="color:red; display : none">No</p>', "<p aria-hidden='true'>No</p>", "<p HIDDEN>No</p>"):
         assert html_text.extract(f"<body>{nav}<article>{story}{extra}</article></body>", model) == want
+
+
+def test_words_of_late_are_not_asked_for_again(monkeypatch):
+    """When the table of word ids is full, the words of the table before it are still known; a word and its capitals are asked for once."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 4)
+    table, asked = packing._WordIds(public_tokenizers.path("word_bpe_49k.json")), []
+    tokenize = table.tokenize
+    monkeypatch.setattr(table, "tokenize", lambda word: asked.append(word) or tokenize(word))
+    table.encode("one two three four five one Two THREE")
+    assert asked == ["one", "two", "three", "four", "five"]

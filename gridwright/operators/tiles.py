@@ -38,6 +38,8 @@ def layer_files(region: str) -> list[str]:
 
 #: Systems that layers are brought into by a broadcast at most; more are joined by a shuffle.
 BROADCAST_SYSTEMS = 10_000
+#: Equal images, or equal rings, that one task joins with what they meet.
+LOT = 10_000
 
 
 def with_box(rows: DataFrame, ring: str) -> DataFrame:
@@ -46,28 +48,50 @@ def with_box(rows: DataFrame, ring: str) -> DataFrame:
     return rows.withColumns({"bx0": side(F.array_min, 0), "by0": side(F.array_min, 1), "bx1": side(F.array_max, 0), "by1": side(F.array_max, 1)})
 
 
+def _alike(*columns: str) -> Column:
+    """What rows that are equal in these columns share: the digest of their JSON text, which keeps every digit, NaN and null apart."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256))
+
+
+def _each(pairs: DataFrame, members: DataFrame, by: str) -> DataFrame:
+    """``pairs`` once for each member that is equal in ``by``; more than LOT members of one kind are dealt into lots, which tasks share."""
+    many = members.groupBy(by).agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots")).where("lots > 1")
+    lots = F.coalesce("lots", F.lit(1))
+    dealt = members.join(F.broadcast(many), by, "left").withColumn("lot", F.pmod(F.xxhash64(*members.columns), lots).cast("int")).drop("lots")  # a row for each LOT members at most
+    spread = pairs.join(F.broadcast(many), by, "left").withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("lots")
+    return spread.join(dealt, [by, "lot"]).drop(by, "lot")
+
+
 def to_pixels(layers: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, geom_id, layer_val, ring in pixels): layers (region, layer_val, geom_id, ring, crs) on images (image_id, path, crs, transform, height, width).
 
-    An image meets the layers of its region. Rings are brought once into each system
-    that the region's images have, and meet images by cells of that system; what a
-    pair costs is the inverse transform of the ring. Rings outside the image end
-    here. A null ring, and one with a point that is no number, meets no image, and so
-    does an image without a transform; a null system is WGS 84. Equal rows stay apart.
+    An image meets the layers of its region. Images of one frame (region, system,
+    transform and size) and layers of one shape (region, system and ring) are placed
+    once: a shape is brought once into each system that the region's images have,
+    and meets frames by cells of that system. What a pair of them costs is the
+    inverse transform of the ring, and what a row of the result costs is a join of
+    ids. Rings outside the image end here. A null ring, and one with a point that is
+    no number, meets no image, and so does an image without a transform; a null
+    system is WGS 84. Equal rows stay apart.
     """
     placed = images.select("image_id", region_of(F.col("path")).alias("region"), geo.normalise_crs(F.col("crs")).alias("system"), "transform", "height", "width")
-    systems = written(placed.select("region", "system").distinct(), "systems")
+    placed = written(placed.withColumn("frame", _alike("region", "system", "transform", "height", "width")), "images")
+    named = layers.where("ring is not null").select("region", "geom_id", "layer_val", "ring", geo.normalise_crs(F.col("crs")).alias("_name"))
+    named = written(named.withColumn("shape", _alike("region", "_name", "ring")), "layers")
+    systems = placed.select("region", "system").distinct()
     small = F.broadcast(systems) if systems.count() <= BROADCAST_SYSTEMS else systems
-    named = layers.where("ring is not null").withColumns({"_name": geo.normalise_crs(F.col("crs")), "_from": geo.code_of(F.col("crs"))})
-    rings = named.join(small, "region").withColumns({"_to": geo.code_of(F.col("system")), "_same": F.col("_name") == F.col("system")})
-    rings = geo.move_rings(rings.select("region", "system", "geom_id", "layer_val", "ring", "_from", "_to", "_same"), "ring", "_from", "_to", "_same")
+    rings = named.select("shape", "region", "_name", "ring").distinct().join(small, "region")
+    rings = rings.withColumns({"_from": geo.code_of(F.col("_name")), "_to": geo.code_of(F.col("system")), "_same": F.col("_name") == F.col("system")})
+    rings = geo.move_rings(rings.select("region", "system", "shape", "ring", "_from", "_to", "_same"), "ring", "_from", "_to", "_same")
+    frames = placed.drop("image_id").distinct()
     corners = [F.array(*geo.apply_transform(F.col("transform"), x, y)) for x in (F.lit(0), F.col("width")) for y in (F.lit(0), F.col("height"))]
-    framed = with_box(placed.withColumn("corners", F.array(*corners)), "corners").drop("corners")
-    pairs = meeting(with_box(rings.select("region", "system", "geom_id", "layer_val", "ring"), "ring"), framed, ["region", "system"])
+    framed = with_box(frames.withColumn("corners", F.array(*corners)), "corners").drop("corners")
+    pairs = meeting(with_box(rings.select("region", "system", "shape", "ring"), "ring"), framed, ["region", "system"])
     point = lambda p: geo.geo_to_pixel(F.struct(p[0].alias("x"), p[1].alias("y")), F.col("transform"))
     moved = with_box(pairs.withColumn("ring", F.transform("ring", point)), "ring")
     on = (F.col("bx0") < F.col("width")) & (F.col("bx1") > 0) & (F.col("by0") < F.col("height")) & (F.col("by1") > 0)
-    return moved.where(on).select("image_id", "geom_id", "layer_val", "ring")
+    found = _each(moved.where(on).select("frame", "shape", "ring"), placed.select("frame", "image_id"), "frame")
+    return _each(found, named.select("shape", "geom_id", "layer_val"), "shape").select("image_id", "geom_id", "layer_val", "ring")
 
 
 def rasterise(polygons: DataFrame, images: DataFrame) -> DataFrame:

@@ -222,6 +222,30 @@ def test_layers_without_a_place(spark):
     assert tiles.to_pixels(layers, spark.createDataFrame([], kind)).count() == 0
 
 
+@pytest.mark.parametrize("lot", [7, 10_000])
+def test_equal_images_and_layers_are_placed_once(spark, monkeypatch, lot):
+    """30 copies of a ring and 40 of an image meet as one pair, and each pair of copies has its row; a turned image and another system are apart."""
+    ring, far = [[10.0, -10.0], [20.0, -10.0], [20.0, -20.0], [10.0, -10.0]], [[900.0, -10.0], [920.0, -10.0], [920.0, -20.0], [900.0, -10.0]]
+    rows = [("PB", k % 4, k, ring, None if k % 2 else "EPSG:4326") for k in range(30)] + [("PB", 1, 5, ring, None), ("CG", 1, 50, ring, None), ("PB", 1, 51, far, None), ("PB", 1, 52, ring[1:] + ring[1:2], None)]
+    layers = spark.createDataFrame(rows, "region string, layer_val int, geom_id int, ring array<array<double>>, crs string")
+    straight, turned = [0.0, 1.0, 0.0, 0.0, 0.0, -1.0], [0.0, 0.0, 1.0, 0.0, -1.0, 0.0]
+    shots = [(k, "/PB/a.tif", "EPSG:4326", straight, 50, 50) for k in range(40)] + [(3, "/PB/again.tif", None, straight, 50, 50), (40, "/PB/t.tif", None, turned, 50, 50), (41, "/CG/a.tif", None, straight, 50, 50)]
+    images = spark.createDataFrame(shots, "image_id int, path string, crs string, transform array<double>, height int, width int")
+    met = []
+
+    def meet(left, right, by):
+        met.append((left.count(), right.count()))
+        return spatial.meeting(left, right, by)
+
+    monkeypatch.setattr(tiles, "meeting", meet)
+    monkeypatch.setattr(tiles, "LOT", lot)
+    got = Counter((r.image_id, r.geom_id, r.layer_val, tuple(map(tuple, r.ring))) for r in tiles.to_pixels(layers, images).collect())
+    place = lambda p, turn: (-p[1], p[0]) if turn else (p[0], -p[1])
+    want = Counter((i, g, v, tuple(place(p, t is turned) for p in r)) for i, path, _, t, _, _ in shots for region, v, g, r, _ in rows if region in path and r is not far)
+    assert got == want and sum(want.values()) == 42 * 32 + 1
+    assert met == [(4, 3)]
+
+
 def test_plan_of_layers_has_no_nested_loop(spark):
     plan = plans.layers_on_mosaics(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

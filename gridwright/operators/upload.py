@@ -9,18 +9,23 @@ of one upload; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.constants import MAX_UPLOAD_BYTES, PART_BYTES
 from ..sources.datasource import PARTS, has_positions, register
 from ..sources.geotiff import opened
+from ..sources.scratch import file_system
 
 #: Parts of a file that a task writes in a row, and slices that a task reads.
 PARTS_PER_TASK = 64
+#: Files and bytes that a task has about to read whole, and bytes that one read fetches.
+FILES_PER_TASK, BYTES_PER_TASK, READ_BYTES = 4096, 64 << 20, 1 << 20
 
 
 def split_parts(files: DataFrame, key: str, content: str, size: int = PART_BYTES) -> DataFrame:
@@ -103,6 +108,33 @@ def place(parts: DataFrame, key: str, folder: str, name: Column | None = None, s
     rows.repartition("path", *run).sortWithinPartitions("path", "offset").write.format(PARTS).mode("append").save(folder)
 
 
+def digests(files: DataFrame, folder: str) -> DataFrame:
+    """Adds ``sha256`` to files (path below ``folder``, length, ...), each read by its name: no folder is listed, so empty files count and the driver holds no names.
+
+    A task reads its files piece by piece. A null path has no digest, a file that isn't
+    there is an error. The rows are counted first, so they should be a written table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(folder)
+
+        def digest(path: str) -> str:
+            found = hashlib.sha256()
+            with system.open_input_stream(f"{base}/{path}") as file:
+                while piece := file.read(READ_BYTES):
+                    found.update(piece)
+            return found.hexdigest()
+
+        for batch in batches:
+            values = [None if path is None else digest(path) for path in batch["path"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], names=[*batch.schema.names, "sha256"])
+
+    # dealt by a written number of tasks, as in slices
+    count, length = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-count // FILES_PER_TASK), -(-length // BYTES_PER_TASK))
+    return files.repartition(tasks, "path").mapInArrow(run, StructType([*files.schema, StructField("sha256", StringType())]))
+
+
 def complete(found: DataFrame, total: str = "total_chunks") -> DataFrame:
     """Uploads of which no part is missing: a check of our own, on top of the counter."""
     return found.where((F.col("distinct_parts") == F.col(total)) & (F.col("highest") == F.col(total) - 1))

@@ -6,8 +6,9 @@ scan needs no shuffle. Filters on path leave out files before tasks are made, fi
 on the place of a window leave out windows before their blocks are read.
 
 The writer puts each row's content below a folder of its own first. When all tasks
-have ended, the driver moves the files to their places by the tasks' lists; where a
-task fails for good, all goes. So a folder holds files of whole jobs only.
+have ended, the driver moves what they wrote to its place, whole folders at once
+where it can, so it holds no list of files; where a task fails for good, all goes.
+So a folder holds files of whole jobs only.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -30,11 +32,16 @@ from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, UNKNOWN_CRS
 from . import geotiff
 from .scratch import file_system, written
 
+if TYPE_CHECKING:
+    from pyarrow.fs import FileSystem
+
 READER, WRITER, PARTS = "gridwright_raster", "gridwright_files", "gridwright_parts"
 #: Bytes of files that a task of the reader has about, and small files that it has at most.
 SHARE_BYTES, SHARE_FILES = 64 << 20, 256
 #: How often the writer looks for files of a job that failed, at a fifth of a second.
 ABORT_TRIES = 50
+#: File systems that move a folder with all that is in it.
+MOVES_FOLDERS = ("local", "hdfs")
 #: Columns of a window's place, on which filters are pushed down.
 PLACE = ("cr", "cc", "r0", "c0", "h", "w")
 SCHEMA = f"{geotiff.CHUNK}, {', '.join(f'{c} int' for c in PLACE)}, blocks_read int"
@@ -225,10 +232,39 @@ class FileSink(DataSource):
 
 @dataclass
 class Placed(WriterCommitMessage):
-    """Files of one task: their names below its own folder, which are those below the target."""
+    """Where the files of one task are, by the names that they get below the target. It doesn't grow with them, as all messages meet in the driver."""
 
     folder: str
-    names: list[str]
+
+
+def _entries(system: FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what stands in a folder."""
+    from pyarrow.fs import FileSelector, FileType
+
+    if system.type_name == "local":  # one after the other, however many there are
+        with os.scandir(folder) as found:
+            for entry in found:
+                yield entry.path, entry.is_dir(follow_symlinks=False)
+    else:
+        for f in system.get_file_info(FileSelector(folder)):
+            yield f.path, f.type == FileType.Directory
+
+
+def move_into(system: FileSystem, source: str, target: str) -> None:
+    """Moves what stands in ``source`` to ``target``: a folder as a whole where the target has none of its name yet, else what is in it. Files of the same name are replaced."""
+    from pyarrow.fs import FileType
+
+    system.create_dir(target, recursive=True)
+    again = True
+    while again:  # a folder that is read while entries leave it may pass over some
+        again = False
+        for path, is_folder in _entries(system, source):
+            to = f"{target}/{path.rpartition('/')[2]}"
+            if is_folder and (system.type_name not in MOVES_FOLDERS or system.get_file_info(to).type == FileType.Directory):
+                move_into(system, path, to)
+            else:
+                system.move(path, to)
+                again = system.type_name == "local"
 
 
 class FileWriter(DataSourceWriter):
@@ -238,7 +274,7 @@ class FileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Placed:
         system, base = file_system(self.aside)
-        own, names = f"{base}/{uuid.uuid4().hex}", []  # attempts of a task don't meet
+        own = f"{base}/{uuid.uuid4().hex}"  # attempts of a task don't meet
         for row in rows:
             if row["content"] is None:
                 raise ValueError(f"{row['path']} has no content")
@@ -246,8 +282,7 @@ class FileWriter(DataSourceWriter):
             system.create_dir(name.rpartition("/")[0], recursive=True)
             with system.open_output_stream(name) as out:
                 out.write(bytes(row["content"]))
-            names.append(row["path"])
-        return Placed(own, names)
+        return Placed(own)
 
     def commit(self, messages: list[Placed | None]) -> None:
         from pyarrow.fs import FileSelector, FileType
@@ -257,15 +292,9 @@ class FileWriter(DataSourceWriter):
             for old in system.get_file_info(FileSelector(base, allow_not_found=True)):
                 if old.base_name != self.aside.rpartition("/")[2]:
                     (system.delete_dir if old.type == FileType.Directory else system.delete_file)(old.path)
-        made: set[str] = set()
-        for message in messages:
-            for name in message.names if message else ():
-                target = f"{base}/{name}"
-                parent = target.rpartition("/")[0]
-                if parent not in made:
-                    system.create_dir(parent, recursive=True)
-                    made.add(parent)
-                system.move(f"{message.folder}/{name}", target)
+        for folder in dict.fromkeys(m.folder for m in messages if m):
+            if system.get_file_info(folder).type == FileType.Directory:  # a task without rows has none
+                move_into(system, folder, base)
         self._clean()
 
     def abort(self, messages: list[Placed | None]) -> None:
@@ -311,11 +340,11 @@ def has_positions(folder: str) -> bool:
 
 
 class PartWriter(FileWriter):
-    """Tasks share the files of the job. Where there are no positions, a task must get all parts of a file in order."""
+    """Tasks share the files of the job, and so do attempts, which write the same parts to the same places. Where there are no positions, a task must get all parts of a file in order."""
 
     def write(self, rows: Iterator[Row]) -> Placed:
         system, base = file_system(self.aside)
-        path, out, at, names = None, None, 0, []
+        path, out, at = None, None, 0
         try:
             for row in rows:
                 if row["part"] is None or row["offset"] is None or row["path"] is None:
@@ -327,7 +356,6 @@ class PartWriter(FileWriter):
                     name = f"{base}/{path}"
                     system.create_dir(name.rpartition("/")[0], recursive=True)
                     out = os.fdopen(os.open(name, os.O_CREAT | os.O_WRONLY), "wb") if system.type_name == "local" else system.open_output_stream(name)
-                    names.append(path)
                 if system.type_name == "local":
                     out.seek(row["offset"])
                 elif row["offset"] != at:
@@ -337,9 +365,4 @@ class PartWriter(FileWriter):
         finally:
             if out is not None:
                 out.close()
-        return Placed(base, sorted(set(names)))
-
-    def commit(self, messages: list[Placed | None]) -> None:
-        """Each file once, though many tasks wrote it."""
-        names = sorted({n for m in messages if m for n in m.names})
-        super().commit([Placed(file_system(self.aside)[1], names)])
+        return Placed(base)

@@ -1,6 +1,7 @@
 """Files that are larger than a value: parts with positions, archives by their directories, shapes by their index."""
 
 import hashlib
+import pickle
 import random
 import struct
 import zipfile
@@ -72,6 +73,46 @@ def test_stores_without_positions_take_parts_in_order(tmp_path, monkeypatch):
     assert len(list((tmp_path / "out").iterdir())) == 2
 
 
+@pytest.mark.parametrize("kind", [datasource.FileWriter, datasource.PartWriter])
+@pytest.mark.parametrize("local", [True, False])
+def test_the_driver_holds_no_list_of_files(tmp_path, monkeypatch, kind, local):
+    """What a task says to the driver is as long for 500 files as for one; folders come together from many tasks, jobs and levels."""
+    from pyarrow import fs
+
+    class Store(fs.SubTreeFileSystem):
+        pass
+
+    if not local:
+        store = Store("/", fs.LocalFileSystem())
+        monkeypatch.setattr(datasource, "file_system", lambda path: (store, path))
+    name = lambda k: f"{k % 7}/{k % 3}/{k}" if k % 2 else f"f{k}"
+    row = lambda k, value: {"path": name(k), "offset": 0, "part": value, "content": value}
+    said = []
+    for numbers, value in ((range(500), b"a"), (range(500, 501), b"b"), (range(400, 600), b"c")):
+        writer = kind(str(tmp_path / "out"), False)
+        messages = [writer.write(iter([row(k, value) for k in sorted(part, key=name)])) for part in (numbers[::2], numbers[1::2], [])]
+        said.append(max(len(pickle.dumps(m)) for m in messages))
+        writer.commit([*messages, None])
+    assert len(set(said)) == 1
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {name(k): b"a" if k < 400 else b"c" for k in range(600)}
+    assert not list((tmp_path / "out").glob("_*"))
+
+
+def test_digests_by_names(spark, tmp_path):
+    data = {"a/one": b"", "a/b/two": bytes(3_000_000), "three%20.bin": b"x"}
+    for name, value in data.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(value)
+    files = spark.createDataFrame([(k, n, len(v)) for k, (n, v) in enumerate(data.items())] + [(9, None, None)], "id int, path string, length bigint")
+    want = {n: hashlib.sha256(v).hexdigest() for n, v in data.items()} | {None: None}
+    found = upload.digests(files, f"file://{tmp_path}")
+    assert {r.path: r.sha256 for r in found.collect()} == want and found.columns == ["id", "path", "length", "sha256"]
+    assert upload.digests(files.where("false"), str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="gone"):
+        upload.digests(spark.createDataFrame([("gone", 1)], "path string, length bigint"), str(tmp_path)).collect()
+
+
 def zipped(path, **members):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("folder/", "")

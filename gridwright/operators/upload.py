@@ -38,13 +38,17 @@ def split_parts(files: DataFrame, key: str, content: str, size: int = PART_BYTES
     return rows.select(key, "idx", F.substring(content, F.col("idx") * size + 1, F.lit(size)).alias("part"))
 
 
+def _arrival(parts: DataFrame) -> Column:
+    """What orders copies of a part."""
+    return F.col("seq") if "seq" in parts.columns else F.lit(0)
+
+
 def latest_parts(parts: DataFrame, key: str) -> DataFrame:
     """(key, idx, part, n): each part once, the later copy (by ``seq``, if there is one), and how often it arrived.
 
     This is the stored form of files that are larger than a value can be.
     """
-    seq = F.col("seq") if "seq" in parts.columns else F.lit(0)
-    return parts.groupBy(key, "idx").agg(F.max_by("part", seq).alias("part"), F.count("*").alias("n"))
+    return parts.groupBy(key, "idx").agg(F.max_by("part", _arrival(parts)).alias("part"), F.count("*").alias("n"))
 
 
 def reassemble(parts: DataFrame, key: str) -> DataFrame:
@@ -82,9 +86,11 @@ def slices(files: DataFrame, size: int = PART_BYTES) -> DataFrame:
 
 
 def manifest(parts: DataFrame, key: str, size: int = PART_BYTES) -> DataFrame:
-    """(key, idx, offset, length, checksum, arrivals): the place of each part in its file; a part that came again is listed once, its later copy."""
+    """(key, idx, offset, length, checksum, arrivals): the place of each part in its file; a part that came again is listed once, its later copy. Parts are measured where they are, so no bytes are shuffled."""
     bytes_of = F.col("part").cast("binary")
-    return latest_parts(parts, key).select(key, "idx", (F.col("idx").cast("bigint") * size).alias("offset"), F.octet_length(bytes_of).cast("bigint").alias("length"), F.md5(bytes_of).alias("checksum"), F.col("n").alias("arrivals"))
+    measured = parts.select(key, "idx", _arrival(parts).alias("_seq"), F.octet_length(bytes_of).cast("bigint").alias("length"), F.md5(bytes_of).alias("checksum"))
+    found = measured.groupBy(key, "idx").agg(F.max_by("length", "_seq").alias("length"), F.max_by("checksum", "_seq").alias("checksum"), F.count("*").alias("arrivals"))
+    return found.select(key, "idx", (F.col("idx").cast("bigint") * size).alias("offset"), "length", "checksum", "arrivals")
 
 
 def whole_files(listed: DataFrame, key: str, size: int = PART_BYTES) -> DataFrame:
@@ -102,10 +108,13 @@ def place(parts: DataFrame, key: str, folder: str, name: Column | None = None, s
     files have positions, else a task streams a file's parts in their order. Check
     whole_files first, as a missing part leaves a hole.
     """
-    rows = latest_parts(parts, key).select((F.col(key).cast("string") if name is None else name).alias("path"), (F.col("idx").cast("bigint") * size).alias("offset"), F.col("part").cast("binary").alias("part"))
     register(parts.sparkSession)
-    run = [F.floor(F.col("offset") / (size * PARTS_PER_TASK))] if has_positions(folder) else []
-    rows.repartition("path", *run).sortWithinPartitions("path", "offset").write.format(PARTS).mode("append").save(folder)
+    run = {"_run": F.floor(F.col("idx") / PARTS_PER_TASK)} if has_positions(folder) else {}
+    named = parts.withColumns({"_path": F.col(key).cast("string") if name is None else name, **run})
+    # copies of a part meet in the task that writes it, so bytes are shuffled once
+    latest = named.repartition("_path", *run).groupBy("_path", *run, key, "idx").agg(F.max_by("part", _arrival(parts)).alias("part"))
+    rows = latest.select(F.col("_path").alias("path"), (F.col("idx").cast("bigint") * size).alias("offset"), F.col("part").cast("binary").alias("part"))
+    rows.sortWithinPartitions("path", "offset").write.format(PARTS).mode("append").save(folder)
 
 
 def digests(files: DataFrame, folder: str) -> DataFrame:
